@@ -103,3 +103,74 @@ ORACLE["hard_negative_counts"] = f"""
          coalesce(c.num_hard_negative, 0) AS num_hard_negative
   FROM variants v CROSS JOIN embeddings q
   LEFT JOIN counts c ON c.variant_id = v.variant_id AND c.qid = q.vec_id"""
+
+ORACLE["normalize"] = f"""
+  SELECT doc_id, {sql_normalize('text')} AS normalized FROM documents"""
+
+ORACLE["passage_text"] = f"""
+  WITH p AS (SELECT p_partkey AS doc_id, CASE WHEN p_size < 10 THEN '' ELSE coalesce(p_name, '') END AS title,
+                    coalesce(p_brand, '') AS body FROM part)
+  SELECT doc_id,
+         regexp_replace(CASE WHEN length(title) > 0 THEN title || '[SEP]' || body ELSE body END,
+                        '^{_WS}+|{_WS}+$', '', 'g') AS passage_text
+  FROM p"""
+
+_CONV_PRED = """
+  preds AS (SELECT conv_id, turn, role, text AS prediction FROM conversations),
+  gold AS (SELECT conv_id, turn,
+                  CASE WHEN role = 'user' THEN text || '.' ELSE split_part(text, ' ', 1) END AS gold_answer
+           FROM conversations WHERE role <> 'system'),
+  joined AS (SELECT p.*, g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
+             FROM preds p LEFT JOIN gold g ON g.conv_id = p.conv_id AND g.turn = p.turn),
+  scored AS (SELECT *, CAST({n_p} = {n_g} AS INTEGER) AS exact_match,
+                    CAST(contains({n_p}, {n_g}) AS INTEGER) AS cover_exact_match FROM joined)"""
+_CONV_PRED = _CONV_PRED.format(n_p=sql_normalize("prediction"), n_g=sql_normalize("gold_answer"))
+
+ORACLE["score_answers"] = f"""
+  WITH {_CONV_PRED}
+  SELECT conv_id, turn, role, has_gold, exact_match, cover_exact_match FROM scored"""
+
+ORACLE["evaluate"] = f"""
+  WITH {_CONV_PRED},
+  runs AS (SELECT 'conversations' AS experiment, v AS variant
+           FROM (VALUES ('assistant'), ('system'), ('tool'), ('user')) t(v)),
+  m AS (SELECT role AS variant, count(*) AS num_samples, avg(exact_match) AS em, avg(cover_exact_match) AS cem,
+               count(*) FILTER (WHERE NOT has_gold) AS n_missing_gold
+        FROM scored GROUP BY role)
+  SELECT r.experiment, r.variant, coalesce(m.num_samples, 0) AS num_samples,
+         round(coalesce(m.em, 0.0), 6) AS exact_match, round(coalesce(m.cem, 0.0), 6) AS cover_exact_match,
+         coalesce(m.n_missing_gold, 0) AS n_missing_gold
+  FROM runs r LEFT JOIN m ON m.variant = r.variant"""
+
+ORACLE["duplicate_answers"] = f"""
+  WITH n AS (SELECT doc_id, {sql_normalize('text')} AS t FROM documents),
+  g AS (SELECT t, min(doc_id) AS dup_of, count(*) AS group_size FROM n GROUP BY t HAVING count(*) > 1)
+  SELECT n.doc_id, g.dup_of, g.group_size FROM n JOIN g ON n.t = g.t"""
+
+ORACLE["benchmark_cover"] = f"""
+  WITH d AS (SELECT doc_id, {sql_normalize('text')} AS t FROM documents),
+  b AS (SELECT item_id, {sql_normalize('text')} AS t FROM benchmark)
+  SELECT d.doc_id, b.item_id FROM d JOIN b ON contains(d.t, b.t)"""
+
+ORACLE["gold_substring"] = """
+  WITH g AS (SELECT DISTINCT gold_title FROM (
+               SELECT lower(split_part(p_name, ' ', -1)) AS gold_title FROM part
+               UNION ALL SELECT lower(concat_ws(' ', p_name, p_type)) FROM part) x),
+  p AS (SELECT p_partkey AS doc_id, lower(coalesce(p_name, '')) AS t FROM part)
+  SELECT DISTINCT g.gold_title, p.doc_id FROM g JOIN p ON contains(p.t, g.gold_title) OR contains(g.gold_title, p.t)"""
+
+ORACLE["oracle_contexts"] = """
+  WITH ctx AS (SELECT conv_id AS qid, turn AS ctx_pos, role AS title, string_split(text, chr(10)) AS sentences
+               FROM conversations),
+  last AS (SELECT qid, title, arg_max(sentences, ctx_pos) AS sentences FROM ctx GROUP BY qid, title),
+  facts AS (SELECT conv_id AS qid, turn AS fact_pos,
+                   CASE WHEN role = 'system' THEN upper(role) ELSE role END AS title,
+                   CAST(turn - 2 AS INTEGER) AS sent_idx FROM conversations),
+  hits AS (SELECT f.qid, f.fact_pos, f.title, f.sent_idx,
+                  l.sentences[CASE WHEN f.sent_idx >= 0 THEN f.sent_idx + 1 ELSE f.sent_idx END] AS text
+           FROM facts f JOIN last l ON l.qid = f.qid AND l.title = f.title
+           WHERE f.sent_idx < len(l.sentences) AND f.sent_idx >= -len(l.sentences)),
+  firsts AS (SELECT qid, title, text, min(fact_pos) AS position FROM hits GROUP BY qid, title, text)
+  SELECT x.qid, x.position, 'oracle_' || x.title || '_' || CAST(h.sent_idx AS VARCHAR) AS doc_id,
+         x.title, x.text, 1.0::DOUBLE AS score
+  FROM firsts x JOIN hits h ON h.qid = x.qid AND h.fact_pos = x.position"""

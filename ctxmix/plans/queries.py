@@ -85,3 +85,126 @@ def q_hard_negative_counts(spark, sf_dir):
     requests = C.with_variants(tables.retrieval_questions(spark, sf_dir).select("qid"), variants)
     out = C.context_counts(sel, ["variant_id", "qid"], ["gold", "hard_negative"], requests)
     return out.select("variant_id", "qid", "num_gold", "num_hard_negative")
+
+
+# --------------------------------------------------------------------------- text and scoring
+
+from ..functions import text as TX  # noqa: E402
+from ..operators import gold as G  # noqa: E402
+from ..operators import matching as M  # noqa: E402
+from ..operators import scoring as S  # noqa: E402
+
+
+@register("normalize")
+def q_normalize(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.normalize("text").alias("normalized"))
+
+
+@register("passage_text")
+def q_passage_text(spark, sf_dir):
+    p = tables.table(spark, sf_dir, "part")
+    title = F.when(F.col("p_size") < 10, F.lit("")).otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("doc_id"),
+                    TX.passage_text(title, F.col("p_brand")).alias("passage_text"))
+
+
+def conversation_predictions(spark, sf_dir):
+    """Prediction rows = every conversation turn; gold answers keyed by (conv_id, turn):
+    user turns -> their text plus a full stop, assistant turns -> their first word,
+    system turns -> no gold answer (missing)."""
+    c = tables.table(spark, sf_dir, "conversations")
+    preds = c.select("conv_id", "turn", "role", F.col("text").alias("prediction"))
+    gold = c.where(F.col("role") != "system").select(
+        "conv_id", "turn",
+        F.when(F.col("role") == "user", F.concat(F.col("text"), F.lit(".")))
+        .otherwise(F.substring_index(F.col("text"), " ", 1)).alias("gold_answer"))
+    g = gold.withColumn("qid", F.struct("conv_id", "turn")).select("qid", "gold_answer")
+    p = preds.withColumn("qid", F.struct("conv_id", "turn"))
+    return C.attach_gold_answers(p, g, "qid").drop("qid")
+
+
+@register("score_answers")
+def q_score_answers(spark, sf_dir):
+    scored = S.score_answers(conversation_predictions(spark, sf_dir))
+    return scored.select("conv_id", "turn", "role", "has_gold", "exact_match",
+                         "cover_exact_match")
+
+
+@register("evaluate")
+def q_evaluate(spark, sf_dir):
+    scored = S.score_answers(conversation_predictions(spark, sf_dir)).withColumn(
+        "experiment", F.lit("conversations")).withColumnRenamed("role", "variant")
+    runs = C.variants_frame(spark, [{"experiment": "conversations", "variant": v}
+                                    for v in ("assistant", "system", "tool", "user")])
+    m = S.evaluate(scored, ("experiment", "variant"), runs)
+    return m.select("experiment", "variant", "num_samples",
+                    F.round("exact_match", 6).alias("exact_match"),
+                    F.round("cover_exact_match", 6).alias("cover_exact_match"),
+                    "n_missing_gold")
+
+
+@register("duplicate_answers")
+def q_duplicate_answers(spark, sf_dir):
+    """EM as an equi-join: documents whose normalized texts are equal.
+
+    Each document in a group of equal texts is paired with the group's smallest id
+    (linear output; a hot group is aggregated map-side and never expanded to pairs)."""
+    d = tables.table(spark, sf_dir, "documents")
+    n = d.select("doc_id", F.sha2(TX.normalize("text"), 256).alias("h"))
+    groups = (n.groupBy("h").agg(F.min("doc_id").alias("dup_of"),
+                                 F.count(F.lit(1)).alias("group_size"))
+              .where(F.col("group_size") > 1))
+    return n.join(groups, "h").select("doc_id", "dup_of", "group_size")
+
+
+@register("benchmark_cover")
+def q_benchmark_cover(spark, sf_dir):
+    """CEM as a join: (document, benchmark item) where the normalized item occurs in the
+    normalized document text."""
+    d = tables.table(spark, sf_dir, "documents").select(
+        "doc_id", TX.normalize("text").alias("doc_norm"))
+    b = tables.table(spark, sf_dir, "benchmark").select(
+        "item_id", TX.normalize("text").alias("item_norm"))
+    return M.cover_join(d, b, "doc_norm", "item_norm", chunk_col="item_id").select(
+        "doc_id", "item_id")
+
+
+# --------------------------------------------------------------------------- gold
+
+def part_gold_titles(spark, sf_dir):
+    """Gold titles derived from ``part``: the last word of each name, and each name
+    followed by its lower-cased type."""
+    p = tables.table(spark, sf_dir, "part")
+    last_word = F.lower(F.substring_index(F.col("p_name"), " ", -1))
+    full = F.lower(F.concat_ws(" ", F.col("p_name"), F.col("p_type")))
+    return (p.select(last_word.alias("gold_title"))
+            .unionByName(p.select(full.alias("gold_title"))).distinct())
+
+
+@register("gold_substring")
+def q_gold_substring(spark, sf_dir):
+    gold = part_gold_titles(spark, sf_dir).withColumn("qid", F.col("gold_title"))
+    passages = tables.part_passages(spark, sf_dir)
+    out = G.gold_docs_by_substring(gold, passages, key="qid")
+    return out.select(F.col("qid").alias("gold_title"), "doc_id")
+
+
+def conversation_oracle_inputs(spark, sf_dir):
+    """Context paragraphs = turns (title = role, sentences = lines); facts = one per turn
+    (title = role, upper-cased for system turns; index = turn - 2)."""
+    c = tables.table(spark, sf_dir, "conversations")
+    ctx = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("ctx_pos"),
+                   F.col("role").alias("title"), F.split(F.col("text"), "\n").alias("sentences"))
+    facts = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("fact_pos"),
+                     F.when(F.col("role") == "system", F.upper("role")).otherwise(F.col("role"))
+                     .alias("title"),
+                     (F.col("turn") - 2).cast("int").alias("sent_idx"))
+    return ctx, facts
+
+
+@register("oracle_contexts")
+def q_oracle_contexts(spark, sf_dir):
+    ctx, facts = conversation_oracle_inputs(spark, sf_dir)
+    return G.oracle_contexts_long(ctx, facts).select(
+        "qid", "position", "doc_id", "title", "text", "score")
