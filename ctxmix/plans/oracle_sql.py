@@ -174,3 +174,68 @@ ORACLE["oracle_contexts"] = """
   SELECT x.qid, x.position, 'oracle_' || x.title || '_' || CAST(h.sent_idx AS VARCHAR) AS doc_id,
          x.title, x.text, 1.0::DOUBLE AS score
   FROM firsts x JOIN hits h ON h.qid = x.qid AND h.fact_pos = x.position"""
+
+SEED = 42
+_DRAWS = 64  # brute-force draw count: far more than the fixtures ever need
+
+
+def _sample_sql(requests: str, pool: str, exclude_pred: str) -> str:
+    """Sequential keyed draws, first ``need`` accepted; pool has (idx, ...) dense by order."""
+    h = hash_sql(str(SEED), "r.variant_id", "r.qid", "t.j")
+    return f"""
+      npool AS (SELECT count(*) AS n FROM pool),
+      draws AS (SELECT r.*, t.j, {h} % (SELECT n FROM npool) AS idx
+                FROM ({requests}) r CROSS JOIN range(0, {_DRAWS}) t(j) WHERE r.need > 0),
+      firsts AS (SELECT variant_id, qid, any_value(need) AS need, any_value(q_key) AS q_key, idx, min(j) AS j
+                 FROM draws GROUP BY variant_id, qid, idx),
+      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM firsts f JOIN pool p ON p.idx = f.idx
+               WHERE NOT ({exclude_pred})),
+      picked AS (SELECT * FROM (
+                   SELECT *, row_number() OVER (PARTITION BY variant_id, qid ORDER BY j) AS draw FROM cand)
+                 WHERE draw <= need)"""
+
+
+ORACLE["random_negatives"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  variants AS ({sql_ratio_variants(RATIOS, 5)}),
+  relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
+               FROM ranked r JOIN variants v ON r.rank <= v.n_keep JOIN documents d ON d.doc_id = r.doc_id),
+  pool AS (SELECT d.doc_id, e.label AS d_label, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx
+           FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+  {_sample_sql(
+      "SELECT v.variant_id, q.vec_id AS qid, q.label AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings q",
+      "pool",
+      "coalesce(f.q_key = p.d_label, false) OR EXISTS (SELECT 1 FROM relevant x WHERE x.variant_id = f.variant_id"
+      " AND x.qid = f.qid AND x.doc_id = p.doc_id)")}
+  SELECT variant_id, qid, doc_id, 'relevant' AS role, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM relevant
+  UNION ALL
+  SELECT variant_id, qid, doc_id, 'random' AS role, CAST(draw AS INTEGER) AS ord, 0.0::DOUBLE AS score FROM picked"""
+
+ORACLE["random_from_run"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  variants AS ({sql_ratio_variants((0.0, 0.5, 1.0), 5)}),
+  relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
+               FROM ranked r JOIN variants v ON r.rank <= v.n_keep),
+  pool AS (SELECT qid AS owner, rank AS owner_rank, doc_id,
+                  row_number() OVER (ORDER BY qid, rank) - 1 AS idx
+           FROM ranked WHERE rank > 50 AND rank <= 100),
+  {_sample_sql(
+      "SELECT v.variant_id, q.qid, q.qid AS q_key, v.n_noise AS need FROM variants v "
+      "CROSS JOIN (SELECT DISTINCT qid FROM ranked) q",
+      "pool", "p.owner = f.qid")}
+  SELECT variant_id, qid, doc_id, 'relevant' AS role, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM relevant
+  UNION ALL
+  SELECT variant_id, qid, doc_id, 'random' AS role, CAST(draw AS INTEGER) AS ord, 0.0::DOUBLE AS score FROM picked"""
+
+ORACLE["shuffle_contexts"] = f"""
+  WITH {_labelled(100)},
+  variants AS ({sql_ratio_variants(RATIOS, 5, (0, 1))}),
+  sel AS (SELECT v.variant_id, o.qid, o.doc_id, o.ord,
+                 CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role
+          FROM ordered o JOIN variants v
+            ON o.ord <= greatest(CASE WHEN o.is_gold THEN v.n_keep ELSE v.n_noise END, v.min_quota))
+  SELECT variant_id, qid,
+         CAST(row_number() OVER (PARTITION BY variant_id, qid
+              ORDER BY {hash_sql(str(SEED), 'variant_id', 'qid', 'role', 'ord')}, role, ord) AS INTEGER) AS position,
+         doc_id, role
+  FROM sel"""

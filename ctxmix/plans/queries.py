@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contexts as C
 from ..operators import retrieval as R
+from ..session import materialize
 from . import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +209,75 @@ def q_oracle_contexts(spark, sf_dir):
     ctx, facts = conversation_oracle_inputs(spark, sf_dir)
     return G.oracle_contexts_long(ctx, facts).select(
         "qid", "position", "doc_id", "title", "text", "score")
+
+
+# --------------------------------------------------------------------------- sampling
+
+from ..operators import sampling as SM  # noqa: E402
+
+SEED = 42
+
+
+def random_negative_contexts(spark, sf_dir):
+    """X2 selection: top ``n_keep`` retrieved passages + ``n_noise`` random documents that
+    are neither gold (same label) nor already used, for the five noise ratios."""
+    variants = C.ratio_variants(RATIOS, 5)
+    # The run feeds both the kept contexts and the exclusions: compute it once.
+    ranked = materialize(ranked_run(spark, sf_dir, 100))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id")
+    relevant = C.attach_passages(
+        C.top_k_slice(C.with_variants(ranked, variants), "n_keep"), docs)
+    relevant = relevant.select("variant_id", "qid", "doc_id", "score",
+                               F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
+    labels = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "d_label")
+    pool, n_pool = SM.dense_index(docs.join(labels, "doc_id", "left"), ["doc_id"])
+    requests = C.with_variants(tables.retrieval_questions(spark, sf_dir).select("qid", "q_label"),
+                               variants).withColumnRenamed("n_noise", "need")
+    drawn = SM.sample_without_replacement(
+        requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
+        exclude=relevant.select("variant_id", "qid", "doc_id"), exclude_on=["doc_id"],
+        exclude_if=F.col("q_label") == F.col("d_label"), carry=["q_label"])
+    random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
+                          F.col("draw").alias("ord"), F.lit("random").alias("role"))
+    return C.mix_contexts(relevant, random)
+
+
+@register("random_negatives")
+def q_random_negatives(spark, sf_dir):
+    mixed = random_negative_contexts(spark, sf_dir)
+    return mixed.select("variant_id", "qid", "doc_id", "role", "ord",
+                        F.round("score", 6).alias("score"))
+
+
+@register("random_from_run")
+def q_random_from_run(spark, sf_dir):
+    """X3 selection: from a stored top-100 run, the first ``n_keep`` contexts plus
+    ``n_noise`` rows sampled from ranks 51-100 of every *other* question (duplicates
+    of a passage across questions are separate pool rows)."""
+    variants = C.ratio_variants((0.0, 0.5, 1.0), 5)
+    run = materialize(ranked_run(spark, sf_dir, 100))
+    relevant = C.top_k_slice(C.with_variants(run, variants), "n_keep").select(
+        "variant_id", "qid", "doc_id", "score", F.col("rank").alias("ord"),
+        F.lit("relevant").alias("role"))
+    band = C.rank_band(run, 50, 100).select(F.col("qid").alias("owner"),
+                                            F.col("rank").alias("owner_rank"), "doc_id")
+    pool, n_pool = SM.dense_index(band, ["owner", "owner_rank"])
+    requests = C.with_variants(C.keep_all_questions(
+        tables.retrieval_questions(spark, sf_dir).select("qid"), run), variants
+    ).withColumnRenamed("n_noise", "need")
+    drawn = SM.sample_without_replacement(
+        requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
+        exclude_if=F.col("owner") == F.col("qid"))
+    random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
+                          F.col("draw").alias("ord"), F.lit("random").alias("role"))
+    mixed = C.mix_contexts(relevant, random)
+    return mixed.select("variant_id", "qid", "doc_id", "role", "ord",
+                        F.round("score", 6).alias("score"))
+
+
+@register("shuffle_contexts")
+def q_shuffle_contexts(spark, sf_dir):
+    """R3 on the hard-negative sweep: reproducible random prompt order per (variant, question)."""
+    sel = hard_negative_selection(spark, sf_dir)
+    shuffled = SM.shuffle_contexts(sel, ["variant_id", "qid"], ["role", "ord"], seed=SEED)
+    return shuffled.select("variant_id", "qid", "position", "doc_id", "role")
