@@ -239,3 +239,59 @@ ORACLE["shuffle_contexts"] = f"""
               ORDER BY {hash_sql(str(SEED), 'variant_id', 'qid', 'role', 'ord')}, role, ord) AS INTEGER) AS position,
          doc_id, role
   FROM sel"""
+
+ORACLE["first_n_questions"] = """
+  SELECT vec_id AS qid FROM embeddings ORDER BY vec_id LIMIT 200"""
+
+ORACLE["baseline_sweep"] = f"""
+  WITH ranked AS ({sql_ranked(5)}),
+  ks AS (SELECT * FROM (VALUES (1), (3), (5)) t(k))
+  SELECT ks.k, r.qid, r.rank, r.doc_id, round(r.score, 6) AS score, coalesce(d.source, '') AS title
+  FROM ranked r JOIN ks ON r.rank <= ks.k JOIN documents d ON d.doc_id = r.doc_id"""
+
+_CONFIG_VALUES = ", ".join(f"({g * 100 + h * 10 + m}, {g}, {h}, {m})"
+                           for g, h, m in [(5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)])
+
+ORACLE["hard_negative_configs"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  run AS (SELECT r.qid, r.doc_id, coalesce(p.p_name, '') AS title,
+                 row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
+          FROM ranked r JOIN part p ON p.p_partkey = r.doc_id),
+  lab AS (SELECT run.*, coalesce(lower(run.title) = lower(g.p_name), false) AS is_gold
+          FROM run LEFT JOIN part g ON g.p_partkey = run.qid),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY qid, is_gold ORDER BY pos, doc_id) AS ord FROM lab),
+  configs AS (SELECT * FROM (VALUES {_CONFIG_VALUES}) t(config_id, k_gold, k_hard, mix_topk))
+  SELECT c.config_id, c.k_gold, c.k_hard, c.mix_topk, o.qid, o.doc_id,
+         CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role, CAST(o.ord AS INTEGER) AS ord, o.title
+  FROM ordered o JOIN configs c ON o.ord <= CASE WHEN o.is_gold THEN c.k_gold ELSE c.k_hard END
+  UNION ALL
+  SELECT c.config_id, c.k_gold, c.k_hard, c.mix_topk, o.qid, o.doc_id, 'topk' AS role,
+         CAST(o.pos AS INTEGER) AS ord, o.title
+  FROM ordered o JOIN configs c ON o.pos <= c.mix_topk"""
+
+_ORACLE_CTX_CTE = """
+  ctx AS (SELECT conv_id AS qid, turn AS ctx_pos, role AS title, string_split(text, chr(10)) AS sentences
+          FROM conversations),
+  last AS (SELECT qid, title, arg_max(sentences, ctx_pos) AS sentences FROM ctx GROUP BY qid, title),
+  facts AS (SELECT conv_id AS qid, turn AS fact_pos,
+                   CASE WHEN role = 'system' THEN upper(role) ELSE role END AS title,
+                   CAST(turn - 2 AS INTEGER) AS sent_idx FROM conversations),
+  hits AS (SELECT f.qid, f.fact_pos, f.title, f.sent_idx,
+                  l.sentences[CASE WHEN f.sent_idx >= 0 THEN f.sent_idx + 1 ELSE f.sent_idx END] AS text
+           FROM facts f JOIN last l ON l.qid = f.qid AND l.title = f.title
+           WHERE f.sent_idx < len(l.sentences) AND f.sent_idx >= -len(l.sentences)),
+  oc AS (SELECT qid, title, text, min(fact_pos) AS position FROM hits GROUP BY qid, title, text)"""
+
+ORACLE["build_prompt"] = f"""
+  WITH {_ORACLE_CTX_CTE},
+  blocks AS (SELECT qid, string_agg('[DOC ' || CAST(rn AS VARCHAR) || '] ' || title || chr(10) || text,
+                                    chr(10) || chr(10) ORDER BY position) AS block
+             FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position) AS rn FROM oc) x
+             GROUP BY qid),
+  q AS (SELECT conv_id AS qid, text AS question FROM conversations WHERE turn = 0)
+  SELECT q.qid,
+         'You are a QA system. Answer questions based on the provided documents.' || chr(10) || chr(10) ||
+         'Question: ' || coalesce(q.question, '') || chr(10) || chr(10) || 'Relevant documents:' || chr(10) ||
+         coalesce(b.block, '') || chr(10) || chr(10) ||
+         'Answer the question as concisely as possible. Provide only the answer, no explanation needed.' AS prompt
+  FROM q LEFT JOIN blocks b ON b.qid = q.qid"""

@@ -281,3 +281,63 @@ def q_shuffle_contexts(spark, sf_dir):
     sel = hard_negative_selection(spark, sf_dir)
     shuffled = SM.shuffle_contexts(sel, ["variant_id", "qid"], ["role", "ord"], seed=SEED)
     return shuffled.select("variant_id", "qid", "position", "doc_id", "role")
+
+
+# --------------------------------------------------------------------------- composed selections
+
+@register("first_n_questions")
+def q_first_n_questions(spark, sf_dir):
+    """The first 200 questions in order (the reference job's question budget)."""
+    q = tables.retrieval_questions(spark, sf_dir).withColumn("seq", F.col("qid"))
+    return C.first_n_questions(q, 200, "seq").select("qid")
+
+
+@register("baseline_sweep")
+def q_baseline_sweep(spark, sf_dir):
+    """One retrieval at the largest k; each k in {1, 3, 5} is a variant row."""
+    ks = [{"k": 1}, {"k": 3}, {"k": 5}]
+    run = ranked_run(spark, sf_dir, 5)
+    picked = C.top_k_slice(C.with_variants(run, ks), "k")
+    out = C.attach_passages(picked, tables.doc_passages(spark, sf_dir).select("doc_id", "title"))
+    return out.select("k", "qid", "rank", "doc_id", F.round("score", 6).alias("score"), "title")
+
+
+CONFIGS = [(5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)]
+
+
+def stored_run_with_titles(spark, sf_dir, k: int = 100):
+    """A stored run: top-k rows with passages from ``part`` attached (unknown ids dropped),
+    ``pos`` = 1-based position in the stored list."""
+    from pyspark.sql import Window
+    run = C.attach_passages(ranked_run(spark, sf_dir, k), tables.part_passages(spark, sf_dir))
+    w = Window.partitionBy("qid").orderBy("rank")
+    return run.withColumn("pos", F.row_number().over(w))
+
+
+@register("hard_negative_configs")
+def q_hard_negative_configs(spark, sf_dir):
+    """X5 selection: exact-title gold (the question's own part name) from a stored run,
+    gold[:k_gold] + non-gold[:k_hard] + run[:mix_topk], duplicates kept."""
+    configs = [{"config_id": g * 100 + h * 10 + m, "k_gold": g, "k_hard": h, "mix_topk": m}
+               for g, h, m in CONFIGS]
+    run = stored_run_with_titles(spark, sf_dir)
+    titles = tables.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("qid"), F.array(F.lower("p_name")).alias("gold_titles"))
+    labelled = G.split_gold_by_title(run, titles, how="exact")
+    picked = C.select_config_mix(labelled, configs, rank="pos")
+    return picked.select("config_id", "k_gold", "k_hard", "mix_topk", "qid", "doc_id", "role",
+                         "ord", "title")
+
+
+@register("build_prompt")
+def q_build_prompt(spark, sf_dir):
+    """A4 + P8: per conversation, question = turn-0 text, contexts = its oracle sentences
+    in fact order, rendered with the fixed prompt template."""
+    ctx, facts = conversation_oracle_inputs(spark, sf_dir)
+    oc = G.oracle_contexts_long(ctx, facts)
+    collected = C.collect_contexts(oc, ["qid"], ["title", "text"])
+    c = tables.table(spark, sf_dir, "conversations")
+    questions = c.where(F.col("turn") == 0).select(F.col("conv_id").alias("qid"),
+                                                   F.col("text").alias("question"))
+    rec = C.attach_contexts(questions, collected, ["qid"])
+    return rec.select("qid", TX.build_prompt("question", "contexts").alias("prompt"))
