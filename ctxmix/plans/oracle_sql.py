@@ -295,3 +295,36 @@ ORACLE["build_prompt"] = f"""
          coalesce(b.block, '') || chr(10) || chr(10) ||
          'Answer the question as concisely as possible. Provide only the answer, no explanation needed.' AS prompt
   FROM q LEFT JOIN blocks b ON b.qid = q.qid"""
+
+_GEN = f"""
+  {_ORACLE_CTX_CTE},
+  firstctx AS (SELECT qid, arg_min(text, position) AS text FROM oc GROUP BY qid),
+  recs AS (SELECT conv_id AS qid FROM conversations WHERE turn = 0),
+  gold1 AS (SELECT conv_id AS qid, string_split(text, chr(10))[-1] AS gold_answer FROM conversations WHERE turn = 1),
+  gjoined AS (SELECT 'oracle_gold_only' AS variant, r.qid,
+                    regexp_replace(coalesce(f.text, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+                    g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
+             FROM recs r LEFT JOIN firstctx f ON f.qid = r.qid LEFT JOIN gold1 g ON g.qid = r.qid),
+  gen AS (SELECT *, CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+                 CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+          FROM gjoined)"""
+
+ORACLE["generate_score"] = f"""
+  WITH {_GEN}
+  SELECT variant, qid, prediction, gold_answer, has_gold, exact_match, cover_exact_match,
+         CAST(NULL AS VARCHAR) AS error FROM gen"""
+
+ORACLE["summary"] = f"""
+  WITH {_GEN}, {_CONV_PRED},
+  m AS (SELECT 'oracle' AS experiment, variant, count(*) AS num_samples, avg(exact_match) AS em,
+               avg(cover_exact_match) AS cem FROM gen GROUP BY variant
+        UNION ALL
+        SELECT 'conversations', role, count(*), avg(exact_match), avg(cover_exact_match)
+        FROM scored GROUP BY role)
+  SELECT CASE experiment WHEN 'oracle' THEN 0 WHEN 'baseline' THEN 1 WHEN 'random_negatives' THEN 2
+              WHEN 'hard_negatives' THEN 3 ELSE 4 END AS experiment_order,
+         experiment, variant, num_samples, round(em * 100, 2) AS em_pct, round(cem * 100, 2) AS cem_pct
+  FROM m"""
+
+ORACLE["read_write_roundtrip"] = f"""
+  SELECT qid, doc_id, round(score, 6) AS score, rank FROM ({sql_ranked(5)}) x"""

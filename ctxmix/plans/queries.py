@@ -341,3 +341,75 @@ def q_build_prompt(spark, sf_dir):
                                                    F.col("text").alias("question"))
     rec = C.attach_contexts(questions, collected, ["qid"])
     return rec.select("qid", TX.build_prompt("question", "contexts").alias("prompt"))
+
+
+# --------------------------------------------------------------------------- inference and IO
+
+from ..operators import inference as I  # noqa: E402
+from ..plans import jobs as J  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def oracle_generation(spark, sf_dir):
+    """X6 on conversations: oracle sentences -> prompt -> stand-in generator (first line
+    of the first context) -> gold = last line of turn 1 (missing when absent) -> scores."""
+    ctx, facts = conversation_oracle_inputs(spark, sf_dir)
+    oc = (G.oracle_contexts_long(ctx, facts).withColumn("variant", F.lit("oracle_gold_only"))
+          .withColumn("role", F.lit("oracle")).withColumnRenamed("position", "ord"))
+    c = tables.table(spark, sf_dir, "conversations")
+    recs = (c.where(F.col("turn") == 0)
+            .select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
+            .withColumn("variant", F.lit("oracle_gold_only")))
+    gold = c.where(F.col("turn") == 1).select(
+        F.col("conv_id").alias("qid"),
+        F.element_at(F.split(F.col("text"), "\n"), -1).alias("gold_answer"))
+    return J.finish(oc, recs, "oracle", I.first_context_line_factory(), gold, shuffle=False)
+
+
+@register("generate_score")
+def q_generate_score(spark, sf_dir):
+    scored, _ = oracle_generation(spark, sf_dir)
+    return scored.select("variant", "qid", "prediction", "gold_answer", "has_gold",
+                         "exact_match", "cover_exact_match", "error")
+
+
+@register("summary")
+def q_summary(spark, sf_dir):
+    """Metrics of the oracle generation run and of the per-role conversation scoring,
+    EM/CEM in percent, fixed experiment order."""
+    _, m1 = oracle_generation(spark, sf_dir)
+    scored = S.score_answers(conversation_predictions(spark, sf_dir)).withColumn(
+        "experiment", F.lit("conversations")).withColumnRenamed("role", "variant")
+    m2 = S.evaluate(scored)
+    out = J.summarize(m1.select("experiment", "variant", "num_samples", "exact_match",
+                                "cover_exact_match"),
+                      m2.select("experiment", "variant", "num_samples", "exact_match",
+                                "cover_exact_match"))
+    return out.select("experiment_order", "experiment", "variant", "num_samples", "em_pct",
+                      "cem_pct")
+
+
+@register("encode_topk")
+def q_encode_topk(spark, sf_dir):
+    """F6 + K1 with the stand-in hashing encoder: user turns retrieve documents
+    (encoder input = source[SEP]text)."""
+    enc = I.hashing_encoder_factory(64)
+    docs = tables.doc_passages(spark, sf_dir).withColumn(
+        "input", TX.passage_text("title", "text"))
+    dv = I.encode(docs.select("doc_id", "input"), enc, text="input")
+    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    qv = I.encode(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+                           F.col("text").alias("input")), enc, text="input")
+    r = R.topk_cosine(qv, dv, 5, exclude_self=False)
+    return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("read_write_roundtrip")
+def q_read_write_roundtrip(spark, sf_dir):
+    """S3 round trip: store the top-10 run as Parquet in the shared folder, read back the
+    top 5 (rank filter pushed into the scan)."""
+    path = scratch_path(spark, "ranked")
+    IO.write_ranked(ranked_run(spark, sf_dir, 10), path)
+    r = IO.read_ranked(spark, path, 5)
+    return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
