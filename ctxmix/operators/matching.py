@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def grams(s: Column, n: int) -> Column:
     """Distinct character n-grams of ``s`` (empty array when shorter than n)."""
@@ -89,6 +91,8 @@ def cover_join(texts: DataFrame, needles: DataFrame, text: str, needle: str,
     n_chunks = max(1, math.ceil(approx_bytes / max_broadcast_bytes),
                    math.ceil(rows / max_broadcast_rows))
     cond = F.col(text).contains(F.col(needle))
+    # Each text row is checked against every needle: make sure all cores take part.
+    texts = spread(texts)
     if n_chunks == 1:
         return texts.join(F.broadcast(needles), cond, "inner")
     key = F.pmod(F.xxhash64(F.col(chunk_col or needle)), F.lit(n_chunks))

@@ -119,6 +119,11 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
           .withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
     cb = (c.withColumn("bc", F.pmod(F.xxhash64("doc_id"), F.lit(bc)).cast("int"))
           .withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    # One explicit partition count for both sides: the cogroup reuses this hash
+    # partitioning, and AQE does not merge the CPU-heavy cells into fewer tasks.
+    n_part = max(bq * bc, spark.sparkContext.defaultParallelism)
+    qb = qb.repartition(n_part, "bq", "bc")
+    cb = cb.repartition(n_part, "bq", "bc")
     schema = T.StructType([
         T.StructField("qid", q.schema["qid"].dataType),
         T.StructField("doc_id", c.schema["doc_id"].dataType),

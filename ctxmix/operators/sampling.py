@@ -13,7 +13,7 @@ deduplicated per (request, idx) with a grouped ``min(j)``, equi-joined to the po
 on ``idx``, filtered by the exclusions, and cut with a per-request ``row_number``
 (at most ``budget`` rows per request, so no window partition is hot). Requests that
 are still short and have not seen every index get 4x the budget in the next round.
-Each round's output is checkpointed to the shared checkpoint folder, so no round is
+Each round's picks are written to the shared checkpoint folder, so no round is
 recomputed and lineage stays short. No Q x N join is ever formed.
 """
 
@@ -38,17 +38,22 @@ def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tupl
     tagged = (pool.orderBy(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = materialize(tagged)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the pool: a bounded frame, safe to order globally and broadcast.
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    tagged = materialize(tagged, "indexed")
+    # One count per partition of the pool (not per row): bounded by the partition count,
+    # so it may come to the driver to become offsets, like RDD.zipWithIndex does.
+    counts = sorted((r["_pid"], r["_n"]) for r in
+                    tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, run = [], 0
+    for pid, n in counts:
+        offsets.append((pid, run))
+        run += n
+    spark = pool.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = (tagged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+    out = (tagged.join(F.broadcast(off), "_pid")
            .withColumn(idx, F.col("_off") + local)
            .drop("_pid", "_mid", "_off"))
-    n = int(counts.agg(F.sum("_n")).first()[0] or 0)
-    return out, n
+    return out, run
 
 
 def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str],
@@ -58,7 +63,6 @@ def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str]
                             F.explode(F.sequence(F.lit(0), budget - 1)).alias("j"))
              .withColumn("idx", F.pmod(keyed_hash(F.lit(seed), *keys, "j"), F.lit(n_pool))))
     first = draws.groupBy(*keys, "need", *carry, "idx").agg(F.min("j").alias("j"))
-    first = materialize(first)
     seen = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_seen"))
     cand = first.join(pool, "idx")
     if exclude is not None:
@@ -69,7 +73,7 @@ def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str]
     w = Window.partitionBy(*keys).orderBy("j")
     picked = (cand.withColumn("draw", F.row_number().over(w))
               .where(F.col("draw") <= F.col("need")))
-    return materialize(picked), seen
+    return materialize(picked, "picks"), seen
 
 
 def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int, *,
@@ -101,7 +105,6 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
         status = (pending.join(got, keys, "left").join(seen, keys, "left")
                   .withColumn("done", (F.coalesce("n_got", F.lit(0)) >= F.col("need"))
                               | (F.coalesce("n_seen", F.lit(0)) >= n_pool)))
-        status = materialize(status)
         outputs.append(picked.join(status.where("done").select(*keys), keys, "left_semi"))
         pending = status.where(~F.col("done")).select(*keys, "need", *carry)
         if pending.isEmpty():

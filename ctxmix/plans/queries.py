@@ -397,10 +397,11 @@ def q_encode_topk(spark, sf_dir):
     enc = I.hashing_encoder_factory(64)
     docs = tables.doc_passages(spark, sf_dir).withColumn(
         "input", TX.passage_text("title", "text"))
-    dv = I.encode(docs.select("doc_id", "input"), enc, text="input")
+    # Encode once and keep the vectors (S7): retrieval reads them several times.
+    dv = materialize(I.encode(docs.select("doc_id", "input"), enc, text="input"))
     c = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    qv = I.encode(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
-                           F.col("text").alias("input")), enc, text="input")
+    qv = materialize(I.encode(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+                                       F.col("text").alias("input")), enc, text="input"))
     r = R.topk_cosine(qv, dv, 5, exclude_self=False)
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 

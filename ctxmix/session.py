@@ -57,7 +57,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back. One job (a reliable ``checkpoint()`` recomputes its last stage to
+    write), and the result survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy stage (Python models, long-text scans) at least ``partitions`` tasks.
+
+    Only shuffles when the input has fewer partitions than that (e.g. a file with one
+    row group); an explicit count is never coalesced by AQE.
+    """
+    want = partitions or parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
