@@ -25,9 +25,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Scores are computed in float64; rows of each passage sub-chunk are bounded so the
-# score matrix of one step stays near this many entries.
-_SCORE_ENTRIES = 4_000_000
+# Scores are computed in float64 on sub-blocks of at most _Q_STEP questions x
+# _C_STEP passages, so the score matrix of one step stays near 16M entries (128 MB).
+_Q_STEP = 8192
+_SCORE_ENTRIES = 16_000_000
+
+
+def _running_topk(keys, ranks, kk):
+    """Indices of the ``kk`` best entries per row: smallest ``keys``, ties broken by
+    largest ``ranks``. Exact: rows whose boundary ties are cut arbitrarily by
+    ``argpartition`` are re-selected with a full lexicographic sort."""
+    width = keys.shape[1]
+    if width <= kk:
+        return np.broadcast_to(np.arange(width), keys.shape).copy()
+    part = np.argpartition(keys, kk - 1, axis=1)[:, :kk]
+    picked = np.take_along_axis(keys, part, 1)
+    kth = picked.max(axis=1)
+    ties_all = (keys == kth[:, None]).sum(axis=1)
+    ties_sel = (picked == kth[:, None]).sum(axis=1)
+    for row in np.nonzero(ties_all != ties_sel)[0]:
+        part[row] = np.lexsort((-ranks[row], keys[row]))[:kk]
+    return part
 
 
 def _cell_topk(k: int, metric: str, exclude_self: bool, nan_score):
@@ -40,61 +58,78 @@ def _cell_topk(k: int, metric: str, exclude_self: bool, nan_score):
         c = np.stack(cpdf["vec"].to_numpy()).astype(np.float64, copy=False)
         qids = qpdf["qid"].to_numpy()
         dids = cpdf["doc_id"].to_numpy()
+        # Tie-break order of passages: position of the id in ascending id order.
+        drank = np.empty(len(dids), dtype=np.int64)
+        drank[np.argsort(dids, kind="stable")] = np.arange(len(dids))
         with np.errstate(divide="ignore", invalid="ignore"):
             if metric == "cosine":
                 q = q / np.linalg.norm(q, axis=1, keepdims=True)
                 c = c / np.linalg.norm(c, axis=1, keepdims=True)
-        step = max(1, _SCORE_ENTRIES // max(1, len(q)))
-        rows, cols, vals = [], [], []
-        for start in range(0, len(c), step):
-            block = c[start:start + step]
-            with np.errstate(invalid="ignore"):
-                s = q @ block.T
-            if nan_score is not None:
-                s[np.isnan(s)] = nan_score
-            if exclude_self:
-                s[qids[:, None] == dids[None, start:start + step]] = -np.inf
-            width = s.shape[1]
-            if width > k:
-                thr = np.partition(s, width - k, axis=1)[:, width - k]
-                keep = (s >= thr[:, None]) | np.isnan(s)
-            else:
-                keep = np.ones_like(s, dtype=bool)
-            keep &= s != -np.inf
-            r, cc = np.nonzero(keep)
-            rows.append(r)
-            cols.append(cc + start)
-            vals.append(s[r, cc])
-        r = np.concatenate(rows)
-        if len(r) == 0:
-            return empty
-        cand = pd.DataFrame({"qi": r, "score": np.concatenate(vals),
-                             "doc_id": dids[np.concatenate(cols)]})
-        cand = cand.sort_values(["qi", "score", "doc_id"], ascending=[True, False, False],
-                                kind="mergesort", na_position="first")
-        cand = cand.groupby("qi", sort=False).head(k)
-        return pd.DataFrame({"qid": qids[cand["qi"].to_numpy()],
-                             "doc_id": cand["doc_id"].to_numpy(),
-                             "score": cand["score"].to_numpy()})
+        kk = min(k, len(dids))
+        c_step = max(256, _SCORE_ENTRIES // _Q_STEP)
+        out_q, out_d, out_s = [], [], []
+        for qs in range(0, len(q), _Q_STEP):
+            qb, qi = q[qs:qs + _Q_STEP], qids[qs:qs + _Q_STEP]
+            top_s = np.zeros((len(qb), 0))
+            top_c = np.zeros((len(qb), 0), dtype=np.int64)
+            for cs in range(0, len(c), c_step):
+                with np.errstate(invalid="ignore"):
+                    sc = qb @ c[cs:cs + c_step].T
+                if nan_score is not None:
+                    sc[np.isnan(sc)] = nan_score
+                if exclude_self:
+                    sc[qi[:, None] == dids[None, cs:cs + c_step]] = -np.inf
+                cols = np.broadcast_to(np.arange(cs, cs + sc.shape[1]), sc.shape)
+                all_s = np.concatenate([top_s, sc], axis=1)
+                all_c = np.concatenate([top_c, cols], axis=1)
+                # Sort key: larger score first; NaN ranks above every number (as in Spark).
+                key = np.where(np.isnan(all_s), -np.inf, -all_s)
+                sel = _running_topk(key, drank[all_c], kk)
+                top_s = np.take_along_axis(all_s, sel, 1)
+                top_c = np.take_along_axis(all_c, sel, 1)
+            keep = top_s != -np.inf
+            rows = np.nonzero(keep)
+            out_q.append(qi[rows[0]])
+            out_d.append(dids[top_c[keep]])
+            out_s.append(top_s[keep])
+        return pd.DataFrame({"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
+                             "score": np.concatenate(out_s)})
     return run
 
 
-def plan_blocks(n_queries: int, n_docs: int, parallelism: int,
-                q_rows_per_block: int = 4096, c_rows_per_block: int = 32768) -> tuple[int, int]:
-    """Block counts so one cell holds at most ~q_rows x c_rows vectors and all cores work."""
-    bq = max(1, math.ceil(n_queries / q_rows_per_block))
-    want_cells = max(1, parallelism)
-    bc = max(math.ceil(n_docs / c_rows_per_block), math.ceil(want_cells / bq))
+def plan_blocks(n_queries: int, n_docs: int, dim: int, parallelism: int,
+                cell_bytes: int = 512 << 20) -> tuple[int, int]:
+    """Block counts ``(bq, bc)`` for the scoring cells.
+
+    A cell holds one question block and one passage block as float64 matrices; half of
+    ``cell_bytes`` goes to each side. Fewer, larger blocks mean less replication
+    (questions are copied ``bc`` times, passages ``bq`` times), so blocks are as large
+    as the budget allows, with at least ``parallelism`` cells so every core works.
+    Passages are only replicated when the question set alone exceeds its half budget.
+    """
+    rows = max(1, (cell_bytes // 2) // (max(1, dim) * 8))
+    bq = max(1, math.ceil(n_queries / rows))
+    bc = max(math.ceil(n_docs / rows), math.ceil(max(1, parallelism) / bq))
     bc = max(1, min(bc, max(1, n_docs)))
     return bq, bc
 
 
+def _sizes(q: DataFrame, c: DataFrame) -> tuple[int, int, int]:
+    """Row counts of both sides and the vector width, in one job."""
+    both = (q.select(F.lit(0).alias("side"), F.size("vec").alias("d"))
+            .unionByName(c.select(F.lit(1).alias("side"), F.size("vec").alias("d"))))
+    stats = {r["side"]: (r["n"], r["d"]) for r in
+             both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
+    nq, dq = stats.get(0, (0, 0))
+    nc, dc = stats.get(1, (0, 0))
+    return int(nq), int(nc), int(max(dq or 0, dc or 0))
+
+
 def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
                 qid: str = "qid", doc_id: str = "doc_id",
                 query_vec: str = "embedding", doc_vec: str = "embedding",
                 metric: str = "cosine", exclude_self: bool = True, nan_score: float | None = -1.0,
-                blocks: tuple[int, int] | None = None,
-                q_rows_per_block: int = 4096, c_rows_per_block: int = 32768) -> DataFrame:
+                blocks: tuple[int, int] | None = None, cell_bytes: int = 512 << 20) -> DataFrame:
     """Exact top-k passages per question -> ``(qid, doc_id, score double, rank int)``.
 
     ``rank`` is 1-based in the total order (score desc, doc_id desc). ``exclude_self``
@@ -111,17 +146,20 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
         F.col("vec").isNotNull())
     c = corpus.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("vec")).where(
         F.col("vec").isNotNull())
+    cores = spark.sparkContext.defaultParallelism
     if blocks is None:
-        blocks = plan_blocks(q.count(), c.count(), spark.sparkContext.defaultParallelism,
-                             q_rows_per_block, c_rows_per_block)
+        nq, nc, dim = _sizes(q, c)
+        blocks = plan_blocks(nq, nc, dim, cores, cell_bytes)
     bq, bc = blocks
     qb = (q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
           .withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
     cb = (c.withColumn("bc", F.pmod(F.xxhash64("doc_id"), F.lit(bc)).cast("int"))
           .withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
     # One explicit partition count for both sides: the cogroup reuses this hash
-    # partitioning, and AQE does not merge the CPU-heavy cells into fewer tasks.
-    n_part = max(bq * bc, spark.sparkContext.defaultParallelism)
+    # partitioning and AQE does not merge the CPU-heavy cells into fewer tasks. With
+    # many cells, each task scores several of them and the partial top-k cut before
+    # the exchange keeps k rows per question per task, not per cell.
+    n_part = max(cores, min(bq * bc, 4 * cores))
     qb = qb.repartition(n_part, "bq", "bc")
     cb = cb.repartition(n_part, "bq", "bc")
     schema = T.StructType([

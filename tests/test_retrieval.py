@@ -74,6 +74,34 @@ def test_mean_pool_masked(spark):
 
 
 def test_plan_blocks_bounds():
-    assert R.plan_blocks(10, 10, 8) == (1, 8)
-    bq, bc = R.plan_blocks(10_000, 1_000_000, 8, 4096, 32768)
-    assert bq == 3 and bc >= 31
+    assert R.plan_blocks(10, 10, 64, 8) == (1, 8)
+    # 768-dim vectors, 512 MB cells: ~43k rows per side per cell
+    bq, bc = R.plan_blocks(100_000, 10_000_000, 768, 8)
+    assert bq == 3 and bc == catch_ceil(10_000_000, (256 << 20) // (768 * 8))
+
+
+def catch_ceil(a, b):
+    return -(-a // b)
+
+
+def test_cell_kernel_ties_and_steps(monkeypatch):
+    """Scores in {-1, 0, 1} exactly (axis vectors scaled by powers of two): massive ties,
+    several question and passage sub-steps; ties must go to the larger doc_id."""
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(R, "_Q_STEP", 3)
+    monkeypatch.setattr(R, "_SCORE_ENTRIES", 3 * 256)
+    eye = np.eye(4)
+    axes = [eye[0], eye[1], -eye[0], eye[2]]
+    qv = [axes[i % 4] for i in range(7)]
+    cv = [axes[i % 4] * (2.0 ** (i % 3)) for i in range(700)]
+    qpdf = pd.DataFrame({"qid": np.arange(7), "vec": qv})
+    cpdf = pd.DataFrame({"doc_id": np.arange(700), "vec": cv})
+    out = R._cell_topk(9, "cosine", True, -1.0)(qpdf, cpdf)
+    for qid in range(7):
+        scores = [float(np.dot(qv[qid], v) / (np.linalg.norm(qv[qid]) * np.linalg.norm(v)))
+                  for v in cv]
+        want = sorted(((sc, d) for d, sc in enumerate(scores) if d != qid),
+                      key=lambda t: (-t[0], -t[1]))[:9]
+        got = out[out["qid"] == qid].sort_values(["score", "doc_id"], ascending=False)
+        assert list(zip(got["score"], got["doc_id"])) == want
