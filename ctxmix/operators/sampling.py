@@ -67,7 +67,7 @@ def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str]
     cand = first.join(pool, "idx")
     if exclude is not None:
         cand = cand.join(exclude.select(*keys, *exclude_on).distinct(), keys + exclude_on,
-                         "left_anti")
+                         "left_anti")  # J7
     if exclude_if is not None:
         cand = cand.where(~F.coalesce(exclude_if, F.lit(False)))
     w = Window.partitionBy(*keys).orderBy("j")
@@ -124,6 +124,13 @@ def _empty_result(pending, pool, keys, carry):
                            F.lit(0).alias("draw")).limit(0))
 
 
+def exclude_docs(rows: DataFrame, exclusions: DataFrame, keys: Sequence[str],
+                 doc_id: str = "doc_id") -> DataFrame:
+    """Drop rows whose ``(keys, doc_id)`` is in ``exclusions`` (left anti join)."""
+    on = list(keys) + [doc_id]
+    return rows.join(exclusions.select(*on).distinct(), on, "left_anti")
+
+
 def exclusion_set(*parts: DataFrame) -> DataFrame:
     """Set union of exclusion rows (e.g. gold ids and already used ids)."""
     out = parts[0]

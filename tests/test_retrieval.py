@@ -105,3 +105,17 @@ def test_cell_kernel_ties_and_steps(monkeypatch):
                       key=lambda t: (-t[0], -t[1]))[:9]
         got = out[out["qid"] == qid].sort_values(["score", "doc_id"], ascending=False)
         assert list(zip(got["score"], got["doc_id"])) == want
+
+
+def test_row_level_cosine_matches_cells(spark):
+    from ctxmix.functions import vectors as V
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    run = R.topk_cosine(e.select(F.col("vec_id").alias("qid"), "embedding"),
+                        e.select(F.col("vec_id").alias("doc_id"), "embedding"), 3)
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    d = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"))
+    j = run.join(q, "qid").join(d, "doc_id").select("score", V.cosine("qv", "dv").alias("re"))
+    assert all(abs(r["score"] - r["re"]) < 1e-12 for r in j.collect())
+    z = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert z.select(V.cosine("a", "b")).first()[0] == -1.0
+    assert z.select(V.cosine("a", "b", floor=None)).first()[0] is None

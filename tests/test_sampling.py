@@ -59,3 +59,12 @@ def test_shuffle_positions_are_a_permutation(spark):
     for r in out:
         by.setdefault(r["qid"], []).append(r["position"])
     assert all(sorted(v) == list(range(1, 11)) for v in by.values())
+
+
+def test_exclude_docs_and_exclusion_set(spark):
+    rows = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "qid int, doc_id int")
+    gold = spark.createDataFrame([(1, 10)], "qid int, doc_id int")
+    used = spark.createDataFrame([(1, 10), (2, 10)], "qid int, doc_id int")
+    ex = SM.exclusion_set(gold, used)
+    assert ex.count() == 2
+    assert [(r["qid"], r["doc_id"]) for r in SM.exclude_docs(rows, ex, ["qid"]).collect()] == [(1, 11)]
