@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_code
+
 # Scores are computed in float64 on sub-blocks of at most _Q_STEP questions x
 # _C_STEP passages, so the score matrix of one step stays near 16M entries (128 MB).
 _Q_STEP = 8192
@@ -142,6 +144,7 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
     if k <= 0:
         raise ValueError("k must be positive")
     spark = queries.sparkSession
+    ship_code(spark)
     q = queries.select(F.col(qid).alias("qid"), F.col(query_vec).alias("vec")).where(
         F.col("vec").isNotNull())
     c = corpus.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("vec")).where(

@@ -8,9 +8,10 @@ not excluded for ``r``. The sample is the first ``need`` accepted draws, in draw
 order, or every available row when fewer than ``need`` are available (the sequence
 then exhausts the pool). This is uniform sampling without replacement.
 
-Execution: each request gets a budget of draws (``2 * need + 16`` first). Draws are
-deduplicated per (request, idx) with a grouped ``min(j)``, equi-joined to the pool
-on ``idx``, filtered by the exclusions, and cut with a per-request ``row_number``
+Execution: each request gets a budget of draws (``2 * need + 16`` first). A request's
+draws are generated and deduplicated on its own row (``array_distinct`` keeps the first
+draw of each index, in draw order), exploded, equi-joined to the pool on ``idx``,
+filtered by the exclusions, and cut with a per-request ``row_number``
 (at most ``budget`` rows per request, so no window partition is hot). Requests that
 are still short and have not seen every index get 4x the budget in the next round.
 Each round's picks are written to the shared checkpoint folder, so no round is
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
-from ..session import materialize
+from ..session import materialize, spread
 
 
 def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tuple[DataFrame, int]:
@@ -56,14 +57,23 @@ def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tupl
     return out, run
 
 
+def _draw_indices(keys: list[str], budget: Column, seed: int, n_pool: int) -> Column:
+    """Distinct pool indices of a request's draws ``0 .. budget-1``, in draw order.
+
+    All draws of a request come from its own row, so they are deduplicated there:
+    ``array_distinct`` keeps first occurrences, i.e. the smallest draw per index.
+    """
+    seq = F.sequence(F.lit(0), budget - 1)
+    return F.array_distinct(F.transform(
+        seq, lambda j: F.pmod(keyed_hash(F.lit(seed), *keys, j), F.lit(n_pool))))
+
+
 def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str],
                carry: list[str], budget: Column, seed: int, exclude: DataFrame | None,
-               exclude_on: list[str], exclude_if: Column | None) -> tuple[DataFrame, DataFrame]:
-    draws = (pending.select(*keys, "need", *carry,
-                            F.explode(F.sequence(F.lit(0), budget - 1)).alias("j"))
-             .withColumn("idx", F.pmod(keyed_hash(F.lit(seed), *keys, "j"), F.lit(n_pool))))
-    first = draws.groupBy(*keys, "need", *carry, "idx").agg(F.min("j").alias("j"))
-    seen = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_seen"))
+               exclude_on: list[str], exclude_if: Column | None) -> DataFrame:
+    """One round of draws for the pending requests -> picked rows (written out)."""
+    idxs = _draw_indices(keys, budget, seed, n_pool)
+    first = pending.select(*keys, "need", *carry, F.posexplode(idxs).alias("j", "idx"))
     cand = first.join(pool, "idx")
     if exclude is not None:
         cand = cand.join(exclude.select(*keys, *exclude_on).distinct(), keys + exclude_on,
@@ -73,7 +83,7 @@ def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str]
     w = Window.partitionBy(*keys).orderBy("j")
     picked = (cand.withColumn("draw", F.row_number().over(w))
               .where(F.col("draw") <= F.col("need")))
-    return materialize(picked, "picks"), seen
+    return materialize(picked, "picks")
 
 
 def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int, *,
@@ -91,20 +101,23 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
     Output: request keys, ``carry`` columns, pool columns, ``j`` and 1-based ``draw``.
     """
     keys, carry, exclude_on = list(keys), list(carry), list(exclude_on)
-    pending = requests.select(*keys, F.col(need).cast("int").alias("need"), *carry).where(
-        F.col("need") > 0)
+    # Each request expands to many hashed draws: start from enough partitions.
+    pending = spread(requests.select(*keys, F.col(need).cast("int").alias("need"), *carry).where(
+        F.col("need") > 0))
     if n_pool == 0:
         return _empty_result(pending, pool, keys, carry)
     budget = F.col("need") * 2 + 16
     scale = 1
     outputs = []
     for _ in range(max_rounds):
-        picked, seen = _one_round(pending, pool, n_pool, keys, carry, budget * scale, seed,
-                                  exclude, exclude_on, exclude_if)
+        picked = _one_round(pending, pool, n_pool, keys, carry, budget * scale, seed,
+                            exclude, exclude_on, exclude_if)
         got = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_got"))
-        status = (pending.join(got, keys, "left").join(seen, keys, "left")
+        # Exhausted: every pool index was drawn (recomputed on the request row).
+        n_seen = F.size(_draw_indices(keys, budget * scale, seed, n_pool))
+        status = (pending.join(got, keys, "left")
                   .withColumn("done", (F.coalesce("n_got", F.lit(0)) >= F.col("need"))
-                              | (F.coalesce("n_seen", F.lit(0)) >= n_pool)))
+                              | (n_seen >= n_pool)))
         outputs.append(picked.join(status.where("done").select(*keys), keys, "left_semi"))
         pending = status.where(~F.col("done")).select(*keys, "need", *carry)
         if pending.isEmpty():

@@ -227,8 +227,9 @@ def random_negative_contexts(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("doc_id")
     relevant = C.attach_passages(
         C.top_k_slice(C.with_variants(ranked, variants), "n_keep"), docs)
-    relevant = relevant.select("variant_id", "qid", "doc_id", "score",
-                               F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
+    relevant = materialize(relevant.select("variant_id", "qid", "doc_id", "score",
+                                           F.col("rank").alias("ord"),
+                                           F.lit("relevant").alias("role")), "relevant")
     labels = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "d_label")
     pool, n_pool = SM.dense_index(docs.join(labels, "doc_id", "left"), ["doc_id"])
     requests = C.with_variants(tables.retrieval_questions(spark, sf_dir).select("qid", "q_label"),
