@@ -7,8 +7,8 @@ haystack, for short strings such as titles, as equi-joins:
   the haystack side) and joined with the exploded trigrams of each haystack, then
   verified with ``contains``. Lossless: a contained needle shares every trigram.
 * needles of length 1 or 2 join the exploded 1- and 2-grams of the haystacks.
-* the empty needle is contained in every haystack (one equi-join on a constant key;
-  its output is exactly one row per haystack).
+* the empty needle is contained in every haystack: when present (a one-row check),
+  every haystack is emitted once with it, without any join.
 
 ``cover_join`` handles long needles in long texts (passages in documents), where
 exploding grams of the texts is too costly: the needle side is broadcast when its
@@ -56,16 +56,19 @@ def contained_pairs(needles: DataFrame, haystacks: DataFrame, needle: str = "nee
     short = n.where(F.length("n").between(1, 2))
     short_hits = short.join(h12, short["n"] == h12["g"]).select("n", "h")
 
-    empty = n.where(F.length("n") == 0).withColumn("_k", F.lit(0))
-    empty_hits = empty.join(h.withColumn("_k", F.lit(0)), "_k").select("n", "h")
-
-    out = long_hits.unionByName(short_hits).unionByName(empty_hits)
+    out = long_hits.unionByName(short_hits)
+    if n.where(F.length("n") == 0).limit(1).count() > 0:
+        out = out.unionByName(h.select(F.lit("").alias("n"), "h"))
     return out.select(F.col("n").alias(needle), F.col("h").alias(haystack))
 
 
 def either_contains_pairs(left: DataFrame, right: DataFrame, left_col: str,
                           right_col: str) -> DataFrame:
     """Distinct ``(left, right)`` where one string contains the other (both directions)."""
+    # Both directions read the same two distinct sets; identical exchanges in one plan
+    # are reused by Spark, so each distinct is shuffled once.
+    left = left.select(left_col).where(F.col(left_col).isNotNull()).distinct()
+    right = right.select(right_col).where(F.col(right_col).isNotNull()).distinct()
     a = contained_pairs(left.select(F.col(left_col).alias("needle")),
                         right.select(F.col(right_col).alias("haystack")))
     a = a.select(F.col("needle").alias(left_col), F.col("haystack").alias(right_col))
