@@ -98,7 +98,7 @@ from ..operators import scoring as S  # noqa: E402
 
 @register("normalize")
 def q_normalize(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir, "doc_id", "text")
     return d.select("doc_id", TX.normalize("text").alias("normalized"))
 
 
@@ -151,7 +151,7 @@ def q_duplicate_answers(spark, sf_dir):
 
     Each document in a group of equal texts is paired with the group's smallest id
     (linear output; a hot group is aggregated map-side and never expanded to pairs)."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir, "doc_id", "text")
     n = d.select("doc_id", F.sha2(TX.normalize("text"), 256).alias("h"))
     groups = (n.groupBy("h").agg(F.min("doc_id").alias("dup_of"),
                                  F.count(F.lit(1)).alias("group_size"))
@@ -163,7 +163,7 @@ def q_duplicate_answers(spark, sf_dir):
 def q_benchmark_cover(spark, sf_dir):
     """CEM as a join: (document, benchmark item) where the normalized item occurs in the
     normalized document text."""
-    d = tables.table(spark, sf_dir, "documents").select(
+    d = tables.documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", TX.normalize("text").alias("doc_norm"))
     b = tables.table(spark, sf_dir, "benchmark").select(
         "item_id", TX.normalize("text").alias("item_norm"))

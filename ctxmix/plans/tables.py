@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -21,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """``documents`` for per-row text work (normalization, hashing, substring scans):
+    spread over all cores when the file has fewer splits than the cluster has cores."""
+    d = table(spark, sf_dir, "documents")
+    return spread(d.select(*cols) if cols else d)
+
+
 def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(qid, embedding, q_label)`` - every embedding row asks one question."""
     e = table(spark, sf_dir, "embeddings")
