@@ -328,3 +328,55 @@ ORACLE["summary"] = f"""
 
 ORACLE["read_write_roundtrip"] = f"""
   SELECT qid, doc_id, round(score, 6) AS score, rank FROM ({sql_ranked(5)}) x"""
+
+ORACLE["baseline_generate"] = f"""
+  WITH ranked AS ({sql_ranked(5)}),
+  first_ctx AS (SELECT r.qid, split_part(d.text, chr(10), 1) AS line
+                FROM (SELECT qid, min(rank) AS rank FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
+                      GROUP BY qid) m
+                JOIN ranked r ON r.qid = m.qid AND r.rank = m.rank JOIN documents d ON d.doc_id = r.doc_id),
+  ks AS (SELECT * FROM (VALUES ('top1'), ('top3'), ('top5')) t(variant)),
+  recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM ranked) q CROSS JOIN ks),
+  gold AS (SELECT doc_id AS qid, split_part(text, chr(10), 1) AS gold_answer FROM documents),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(f.line, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
+        FROM recs LEFT JOIN first_ctx f ON f.qid = recs.qid LEFT JOIN gold g ON g.qid = recs.qid)
+  SELECT variant, qid, prediction, has_gold,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""
+
+_HN_VARIANTS = ", ".join(
+    f"('hard_neg_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in RATIOS)
+
+ORACLE["hard_negative_generate"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  run AS (SELECT r.qid, r.doc_id, r.rank, coalesce(p.p_name, '') AS title,
+                 concat_ws(' ', p.p_brand, p.p_type) AS text
+          FROM ranked r JOIN part p ON p.p_partkey = r.doc_id),
+  gt AS (SELECT p_partkey AS qid, lower(split_part(p_name, ' ', -1)) AS g FROM part),
+  lab AS (SELECT run.*, coalesce(contains(lower(run.title), gt.g) OR contains(gt.g, lower(run.title)), false) AS is_gold
+          FROM run LEFT JOIN gt ON gt.qid = run.qid),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY qid, is_gold ORDER BY rank, doc_id) AS ord FROM lab),
+  variants AS (SELECT * FROM (VALUES {_HN_VARIANTS}) t(variant, n_noise, n_keep)),
+  sel AS (SELECT v.variant, o.qid, o.text, o.ord, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role
+          FROM ordered o JOIN variants v
+            ON o.ord <= greatest(CASE WHEN o.is_gold THEN v.n_keep ELSE v.n_noise END, 1)),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
+                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM sel),
+  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'gold') AS INTEGER) AS num_gold,
+                    CAST(count(*) FILTER (WHERE role = 'hard_negative') AS INTEGER) AS num_hard_negative
+             FROM sel GROUP BY ALL),
+  recs AS (SELECT v.variant, q.qid FROM (SELECT DISTINCT qid FROM lab) q CROSS JOIN variants v),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.p_brand IS NOT NULL AS has_gold, coalesce(g.p_brand, '') AS gold_answer,
+               coalesce(c.num_gold, 0) AS num_gold, coalesce(c.num_hard_negative, 0) AS num_hard_negative
+        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
+        LEFT JOIN part g ON g.p_partkey = recs.qid
+        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
+  SELECT variant, qid, prediction, has_gold, num_gold, num_hard_negative,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""

@@ -415,3 +415,45 @@ def q_read_write_roundtrip(spark, sf_dir):
     IO.write_ranked(ranked_run(spark, sf_dir, 10), path)
     r = IO.read_ranked(spark, path, 5)
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("baseline_generate")
+def q_baseline_generate(spark, sf_dir):
+    """X1 end to end: top-k for k in {1, 3, 5} -> documents as passages -> prompt ->
+    stand-in generator (first line of the first context) -> gold answer = first line of
+    the question's own document (missing when absent) -> EM / CEM per prediction.
+    Question text = the name of the part with the same key."""
+    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
+    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
+    part = tables.table(spark, sf_dir, "part")
+    questions = qv.select("qid").join(
+        part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
+        "qid", "left")
+    docs = tables.doc_passages(spark, sf_dir)
+    gold = docs.select(F.col("doc_id").alias("qid"),
+                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    scored, _ = J.baseline_topk(questions, qv, pv, docs, I.first_context_line_factory(),
+                                gold=gold)
+    return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
+                         "cover_exact_match")
+
+
+@register("hard_negative_generate")
+def q_hard_negative_generate(spark, sf_dir):
+    """X4 end to end: top-100 over embeddings -> passages from ``part`` -> substring gold
+    (the last word of the question's own part name) -> ratio-path picks (min_quota=1) ->
+    shuffled prompt -> stand-in generator -> gold answer = the question's own brand."""
+    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
+    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
+    part = tables.table(spark, sf_dir, "part")
+    own = part.select(F.col("p_partkey").alias("qid"), "p_name", "p_brand")
+    questions = qv.select("qid").join(own.select("qid", F.col("p_name").alias("question")),
+                                      "qid", "left")
+    gold_titles = own.select("qid", F.array(F.lower(F.substring_index("p_name", " ", -1)))
+                             .alias("gold_titles"))
+    gold = own.select("qid", F.col("p_brand").alias("gold_answer"))
+    scored, _ = J.hard_negatives(questions, qv, pv, tables.part_passages(spark, sf_dir),
+                                 I.first_context_line_factory(), gold_titles=gold_titles,
+                                 gold=gold, seed=SEED)
+    return scored.select("variant", "qid", "prediction", "has_gold", "num_gold",
+                         "num_hard_negative", "exact_match", "cover_exact_match")

@@ -13,3 +13,4 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing == {"encode_topk"}
+    assert len(E.queries()) >= 26
