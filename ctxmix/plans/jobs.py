@@ -52,7 +52,9 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     collected = C.collect_contexts(ctx, keys, CTX_FIELDS)
     counts = C.context_counts(ctx, keys, ROLES)
     rec = C.attach_contexts(records, collected, keys)
-    rec = rec.withColumn("prompt", build_prompt("question", "contexts"))
+    # Prompts feed both the deduplicated model call and the join of answers back to
+    # records: write them once instead of re-running the passage joins.
+    rec = materialize(rec.withColumn("prompt", build_prompt("question", "contexts")), "prompts")
     rec = I.generate(rec, generator)
     if gold is not None:
         rec = C.attach_gold_answers(rec, gold)
