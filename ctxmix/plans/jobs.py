@@ -67,10 +67,6 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     return scored, metrics
 
 
-def _records(questions: DataFrame, variants: Sequence[dict]) -> DataFrame:
-    return C.with_variants(questions.select("qid", "question"), variants)
-
-
 def baseline_topk(questions, query_vectors, passage_vectors, passages, generator,
                   ks: Sequence[int] = (1, 3, 5), gold: DataFrame | None = None):
     """Retrieve once at max(k); each k is a variant; contexts in rank order."""

@@ -40,6 +40,7 @@ def test_gold_titles(spark):
     q = spark.createDataFrame([("q", [("A", 0), ("a", 1), ("B", 0)])],
                               "qid string, supporting_facts array<struct<title:string,sent_idx:int>>")
     assert sorted(G.gold_titles(q).first()["gold_titles"]) == ["a", "b"]
+    assert sorted(r["gold_title"] for r in G.gold_titles_long(q).collect()) == ["a", "b"]
 
 
 def test_oracle_extraction_hand_case(spark):
