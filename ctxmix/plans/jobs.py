@@ -94,7 +94,8 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     relevant = relevant.select("variant", "qid", "doc_id", "title", "text", "score",
                                F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
     pool, n_pool = SM.dense_index(passages.select("doc_id", "title"), ["doc_id"])
-    requests = (C.with_variants(questions.select("qid").join(gold_titles, "qid", "left"), vsel)
+    asked = C.keep_all_questions(questions, run).select("qid", "question")
+    requests = (C.with_variants(asked.select("qid").join(gold_titles, "qid", "left"), vsel)
                 .withColumnRenamed("n_noise", "need"))
     drawn = SM.sample_without_replacement(
         requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
@@ -104,8 +105,7 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
            .join(passages, "doc_id")
            .select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
                    F.col("draw").alias("ord"), F.lit("random").alias("role")))
-    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
-                           [{"variant": v["variant"]} for v in vsel])
+    recs = C.with_variants(asked, [{"variant": v["variant"]} for v in vsel])
     return finish(C.mix_contexts(relevant, rnd), recs, "random_negatives", generator, gold,
                   seed=seed)
 

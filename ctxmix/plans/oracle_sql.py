@@ -179,19 +179,19 @@ SEED = 42
 _DRAWS = 64  # brute-force draw count: far more than the fixtures ever need
 
 
-def _sample_sql(requests: str, pool: str, exclude_pred: str) -> str:
+def _sample_sql(requests: str, pool: str, exclude_pred: str, vcol: str = "variant_id") -> str:
     """Sequential keyed draws, first ``need`` accepted; pool has (idx, ...) dense by order."""
-    h = hash_sql(str(SEED), "r.variant_id", "r.qid", "t.j")
+    h = hash_sql(str(SEED), f"r.{vcol}", "r.qid", "t.j")
     return f"""
-      npool AS (SELECT count(*) AS n FROM pool),
+      npool AS (SELECT count(*) AS n FROM {pool}),
       draws AS (SELECT r.*, t.j, {h} % (SELECT n FROM npool) AS idx
                 FROM ({requests}) r CROSS JOIN range(0, {_DRAWS}) t(j) WHERE r.need > 0),
-      firsts AS (SELECT variant_id, qid, any_value(need) AS need, any_value(q_key) AS q_key, idx, min(j) AS j
-                 FROM draws GROUP BY variant_id, qid, idx),
-      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM firsts f JOIN pool p ON p.idx = f.idx
+      firsts AS (SELECT {vcol}, qid, any_value(need) AS need, any_value(q_key) AS q_key, idx, min(j) AS j
+                 FROM draws GROUP BY {vcol}, qid, idx),
+      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM firsts f JOIN {pool} p ON p.idx = f.idx
                WHERE NOT ({exclude_pred})),
       picked AS (SELECT * FROM (
-                   SELECT *, row_number() OVER (PARTITION BY variant_id, qid ORDER BY j) AS draw FROM cand)
+                   SELECT *, row_number() OVER (PARTITION BY {vcol}, qid ORDER BY j) AS draw FROM cand)
                  WHERE draw <= need)"""
 
 
@@ -380,3 +380,43 @@ ORACLE["hard_negative_generate"] = f"""
          CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
          CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
   FROM j"""
+
+_RN_VARIANTS = ", ".join(
+    f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in RATIOS)
+
+ORACLE["random_negative_generate"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  docs AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents),
+  variants AS (SELECT * FROM (VALUES {_RN_VARIANTS}) t(variant, n_noise, n_keep)),
+  asked AS (SELECT DISTINCT qid FROM ranked),
+  relevant AS (SELECT v.variant, r.qid, r.doc_id, d.text, r.rank AS ord
+               FROM ranked r JOIN variants v ON r.rank <= v.n_keep JOIN docs d ON d.doc_id = r.doc_id),
+  pool AS (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM docs),
+  {_sample_sql(
+      "SELECT v.variant, a.qid, lower(g.title) AS q_key, v.n_noise AS need FROM variants v "
+      "CROSS JOIN asked a LEFT JOIN docs g ON g.doc_id = a.qid",
+      "pool",
+      "coalesce(contains(lower(p.title), f.q_key) OR contains(f.q_key, lower(p.title)), false)"
+      " OR EXISTS (SELECT 1 FROM relevant x WHERE x.variant = f.variant AND x.qid = f.qid"
+      " AND x.doc_id = p.doc_id)", vcol="variant")},
+  ctx AS (SELECT variant, qid, text, 'relevant' AS role, ord FROM relevant
+          UNION ALL
+          SELECT k.variant, k.qid, d.text, 'random' AS role, k.draw AS ord
+          FROM picked k JOIN docs d ON d.doc_id = k.doc_id),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
+                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM ctx),
+  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'relevant') AS INTEGER) AS num_relevant,
+                    CAST(count(*) FILTER (WHERE role = 'random') AS INTEGER) AS num_random
+             FROM ctx GROUP BY ALL),
+  recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer,
+               coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
+        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
+        LEFT JOIN docs g ON g.doc_id = recs.qid
+        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
+  SELECT variant, qid, prediction, has_gold, num_relevant, num_random,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""

@@ -457,3 +457,26 @@ def q_hard_negative_generate(spark, sf_dir):
                                  gold=gold, seed=SEED)
     return scored.select("variant", "qid", "prediction", "has_gold", "num_gold",
                          "num_hard_negative", "exact_match", "cover_exact_match")
+
+
+@register("random_negative_generate")
+def q_random_negative_generate(spark, sf_dir):
+    """X2 end to end: top ``n_keep`` retrieved documents + ``n_noise`` random documents that
+    are neither used nor gold (substring rule on titles; a question's gold title is the
+    source of its own document) -> shuffled prompt -> stand-in generator -> EM / CEM
+    against the first line of the question's own document."""
+    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
+    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
+    part = tables.table(spark, sf_dir, "part")
+    questions = qv.select("qid").join(
+        part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
+        "qid", "left")
+    docs = tables.doc_passages(spark, sf_dir)
+    gold_titles = docs.select(F.col("doc_id").alias("qid"),
+                              F.array(F.lower("title")).alias("gold_titles"))
+    gold = docs.select(F.col("doc_id").alias("qid"),
+                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    scored, _ = J.random_negatives(questions, qv, pv, docs, I.first_context_line_factory(),
+                                   gold_titles=gold_titles, gold=gold, seed=SEED)
+    return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
+                         "num_random", "exact_match", "cover_exact_match")
