@@ -420,3 +420,97 @@ ORACLE["random_negative_generate"] = f"""
          CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
          CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
   FROM j"""
+
+ORACLE["rescore_generate"] = f"""
+  WITH ranked AS ({sql_ranked(10)}),
+  run AS (SELECT r.qid, r.rank, d.text FROM ranked r JOIN documents d ON d.doc_id = r.doc_id),
+  ks AS (SELECT * FROM (VALUES ('baseline_top1', 1), ('baseline_top3', 3), ('baseline_top5', 5)) t(variant, k)),
+  first_ctx AS (SELECT ks.variant, run.qid, arg_min(run.text, run.rank) AS text
+                FROM run JOIN ks ON run.rank <= ks.k GROUP BY ks.variant, run.qid),
+  recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN ks),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(split_part(f.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer
+        FROM recs LEFT JOIN first_ctx f ON f.variant = recs.variant AND f.qid = recs.qid
+        LEFT JOIN documents g ON g.doc_id = recs.qid)
+  SELECT variant, qid, prediction, has_gold,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""
+
+_CFG_VARIANTS = ", ".join(
+    f"('gold{g}_hard{h}{f'_top{m}' if m else ''}', {g}, {h}, {m})"
+    for g, h, m in [(5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)])
+
+ORACLE["config_mix_generate"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  run AS (SELECT r.qid, r.doc_id, coalesce(p.p_name, '') AS title, concat_ws(' ', p.p_brand, p.p_type) AS text,
+                 row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
+          FROM ranked r JOIN part p ON p.p_partkey = r.doc_id),
+  lab AS (SELECT run.*, coalesce(lower(run.title) = lower(g.p_name), false) AS is_gold
+          FROM run LEFT JOIN part g ON g.p_partkey = run.qid),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY qid, is_gold ORDER BY pos, doc_id) AS ord FROM lab),
+  configs AS (SELECT * FROM (VALUES {_CFG_VARIANTS}) t(variant, k_gold, k_hard, mix_topk)),
+  sel AS (SELECT c.variant, o.qid, o.text, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role, o.ord
+          FROM ordered o JOIN configs c ON o.ord <= CASE WHEN o.is_gold THEN c.k_gold ELSE c.k_hard END
+          UNION ALL
+          SELECT c.variant, o.qid, o.text, 'topk' AS role, o.pos AS ord
+          FROM ordered o JOIN configs c ON o.pos <= c.mix_topk),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
+                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM sel),
+  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'gold') AS INTEGER) AS num_gold,
+                    CAST(count(*) FILTER (WHERE role = 'hard_negative') AS INTEGER) AS num_hard_negative,
+                    CAST(count(*) FILTER (WHERE role = 'topk') AS INTEGER) AS num_topk
+             FROM sel GROUP BY ALL),
+  recs AS (SELECT c.variant, q.qid FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN configs c),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.p_brand IS NOT NULL AS has_gold, coalesce(g.p_brand, '') AS gold_answer,
+               coalesce(c.num_gold, 0) AS num_gold, coalesce(c.num_hard_negative, 0) AS num_hard_negative,
+               coalesce(c.num_topk, 0) AS num_topk
+        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
+        LEFT JOIN part g ON g.p_partkey = recs.qid
+        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
+  SELECT variant, qid, prediction, has_gold, num_gold, num_hard_negative, num_topk,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""
+
+_RR_VARIANTS = ", ".join(
+    f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in (0.0, 0.5, 1.0))
+
+ORACLE["random_run_generate"] = f"""
+  WITH ranked AS ({sql_ranked(100)}),
+  run AS (SELECT r.qid, r.doc_id, coalesce(d.source, '') AS title, coalesce(d.text, '') AS text,
+                 row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
+          FROM ranked r JOIN documents d ON d.doc_id = r.doc_id),
+  variants AS (SELECT * FROM (VALUES {_RR_VARIANTS}) t(variant, n_noise, n_keep)),
+  asked AS (SELECT DISTINCT qid FROM run),
+  relevant AS (SELECT v.variant, run.qid, run.text, run.pos AS ord
+               FROM run JOIN variants v ON run.pos <= v.n_keep),
+  pool AS (SELECT qid AS owner, pos AS owner_rank, doc_id, title, text,
+                  row_number() OVER (ORDER BY qid, pos) - 1 AS idx
+           FROM run WHERE pos > 50 AND pos <= 100),
+  {_sample_sql(
+      "SELECT v.variant, a.qid, a.qid AS q_key, v.n_noise AS need FROM variants v CROSS JOIN asked a",
+      "pool", "p.owner = f.qid", vcol="variant")},
+  ctx AS (SELECT variant, qid, text, 'relevant' AS role, ord FROM relevant
+          UNION ALL
+          SELECT variant, qid, text, 'random' AS role, draw AS ord FROM picked),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
+                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM ctx),
+  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'relevant') AS INTEGER) AS num_relevant,
+                    CAST(count(*) FILTER (WHERE role = 'random') AS INTEGER) AS num_random
+             FROM ctx GROUP BY ALL),
+  recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
+  j AS (SELECT recs.variant, recs.qid,
+               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer,
+               coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
+        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
+        LEFT JOIN documents g ON g.doc_id = recs.qid
+        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
+  SELECT variant, qid, prediction, has_gold, num_relevant, num_random,
+         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+  FROM j"""

@@ -480,3 +480,64 @@ def q_random_negative_generate(spark, sf_dir):
                                    gold_titles=gold_titles, gold=gold, seed=SEED)
     return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
                          "num_random", "exact_match", "cover_exact_match")
+
+
+def _part_questions(spark, sf_dir):
+    qv = tables.retrieval_questions(spark, sf_dir).select("qid")
+    part = tables.table(spark, sf_dir, "part")
+    return qv.join(part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
+                   "qid", "left")
+
+
+@register("rescore_generate")
+def q_rescore_generate(spark, sf_dir):
+    """X7 end to end on a stored run: write the top-10 run as Parquet (S3), read it back,
+    attach documents, then generate and score for k in {1, 3, 5} (contexts in rank order)."""
+    path = scratch_path(spark, "stored_run")
+    IO.write_ranked(ranked_run(spark, sf_dir, 10), path)
+    docs = tables.doc_passages(spark, sf_dir)
+    run = C.attach_passages(IO.read_ranked(spark, path), docs)
+    gold = docs.select(F.col("doc_id").alias("qid"),
+                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    scored, _ = J.rescore_run(run, _part_questions(spark, sf_dir),
+                              I.first_context_line_factory(), gold=gold)
+    return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
+                         "cover_exact_match")
+
+
+@register("config_mix_generate")
+def q_config_mix_generate(spark, sf_dir):
+    """X5 end to end: stored top-100 run with ``part`` passages, exact-title gold (the
+    question's own part name), configs (k_gold, k_hard, mix_topk) with duplicates kept,
+    shuffled prompt, stand-in generator, gold answer = the question's own brand."""
+    run = stored_run_with_titles(spark, sf_dir).drop("rank").withColumnRenamed("pos", "rank")
+    part = tables.table(spark, sf_dir, "part")
+    gold_titles = part.select(F.col("p_partkey").alias("qid"),
+                              F.array(F.lower("p_name")).alias("gold_titles"))
+    gold = part.select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("gold_answer"))
+    scored, _ = J.hard_negatives_from_run(run, _part_questions(spark, sf_dir),
+                                          I.first_context_line_factory(),
+                                          gold_titles=gold_titles, gold=gold, seed=SEED)
+    return scored.select("variant", "qid", "prediction", "has_gold", "num_gold",
+                         "num_hard_negative", "num_topk", "exact_match", "cover_exact_match")
+
+
+@register("random_run_generate")
+def q_random_run_generate(spark, sf_dir):
+    """X3 end to end: stored top-100 run with documents attached (positions renumbered
+    after unknown ids drop out); every question of the run asks; random contexts come
+    from positions 51-100 of every other question; shuffled prompt; stand-in generator;
+    gold = first line of the question's own document."""
+    from pyspark.sql import Window
+    docs = tables.doc_passages(spark, sf_dir)
+    run = C.attach_passages(ranked_run(spark, sf_dir, 100), docs)
+    run = run.withColumn("rank", F.row_number().over(
+        Window.partitionBy("qid").orderBy("rank"))).withColumn("rank", F.col("rank").cast("int"))
+    run = materialize(run, "stored_run")
+    questions = _part_questions(spark, sf_dir).withColumn("seq", F.col("qid"))
+    gold = docs.select(F.col("doc_id").alias("qid"),
+                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    scored, _ = J.random_from_run(run, questions, I.first_context_line_factory(),
+                                  num_questions=None, gold=gold, seed=SEED)
+    return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
+                         "num_random", "exact_match", "cover_exact_match")
