@@ -72,7 +72,7 @@ def baseline_topk(questions, query_vectors, passage_vectors, passages, generator
     """Retrieve once at max(k); each k is a variant; contexts in rank order."""
     run = materialize(R.topk_cosine(query_vectors, passage_vectors, max(ks)))
     variants = [{"variant": f"top{k}", "k": k} for k in ks]
-    picked = C.top_k_slice(C.with_variants(run, variants), "k")
+    picked = C.top_k_slice(C.with_variants(C.top_k_slice(run, max(ks)), variants), "k")
     ctx = C.attach_passages(picked, passages).withColumn("role", F.lit("topk")) \
         .withColumn("ord", F.col("rank"))
     recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
@@ -90,7 +90,9 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     variants = [dict(v, variant=f"random_noise_{int(v['ratio'] * 100)}pct")
                 for v in C.ratio_variants(ratios, total)]
     vsel = [{k: v[k] for k in ("variant", "n_keep", "n_noise")} for v in variants]
-    relevant = C.attach_passages(C.top_k_slice(C.with_variants(run, vsel), "n_keep"), passages)
+    keep_max = max(v["n_keep"] for v in vsel)
+    relevant = C.attach_passages(
+        C.top_k_slice(C.with_variants(C.top_k_slice(run, keep_max), vsel), "n_keep"), passages)
     relevant = relevant.select("variant", "qid", "doc_id", "title", "text", "score",
                                F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
     pool, n_pool = SM.dense_index(passages.select("doc_id", "title"), ["doc_id"])
@@ -122,19 +124,23 @@ def random_from_run(run: DataFrame, questions, generator, *, total: int = 5,
     if num_questions is not None:
         asked = C.first_n_questions(asked, num_questions, "seq")
     asked = materialize(asked.select("qid", "question"))
-    mine = run.join(asked.select("qid"), "qid", "left_semi")
+    keep_max = max(v["n_keep"] for v in variants)
+    mine = C.top_k_slice(run, keep_max).join(asked.select("qid"), "qid", "left_semi")
     relevant = C.top_k_slice(C.with_variants(mine, variants), "n_keep").select(
         "variant", "qid", "doc_id", "title", "text", "score", F.col("rank").alias("ord"),
         F.lit("relevant").alias("role"))
+    # The pool is indexed and sampled on ids only; text is joined back for the picks.
     pool_rows = C.rank_band(run, *band).select(F.col("qid").alias("owner"),
-                                               F.col("rank").alias("owner_rank"),
-                                               "doc_id", "title", "text")
+                                               F.col("rank").alias("owner_rank"))
     pool, n_pool = SM.dense_index(pool_rows, ["owner", "owner_rank"])
     requests = C.with_variants(asked.select("qid"), variants).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(requests, pool, n_pool, keys=["variant", "qid"],
                                           seed=seed, exclude_if=F.col("owner") == F.col("qid"))
-    rnd = drawn.select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
-                       F.col("draw").alias("ord"), F.lit("random").alias("role"))
+    texts = run.select(F.col("qid").alias("owner"), F.col("rank").alias("owner_rank"),
+                       "doc_id", "title", "text")
+    rnd = drawn.join(texts, ["owner", "owner_rank"]).select(
+        "variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
+        F.col("draw").alias("ord"), F.lit("random").alias("role"))
     recs = C.with_variants(asked, [{"variant": v["variant"]} for v in variants])
     return finish(C.mix_contexts(relevant, rnd), recs, "random_negatives", generator, gold,
                   seed=seed)
@@ -187,7 +193,7 @@ def rescore_run(run: DataFrame, questions, generator, ks: Sequence[int] = (1, 3,
                 gold: DataFrame | None = None):
     """Generate and score on stored contexts for each k (rank <= k)."""
     variants = [{"variant": f"baseline_top{k}", "k": k} for k in ks]
-    ctx = C.top_k_slice(C.with_variants(run, variants), "k").withColumn(
+    ctx = C.top_k_slice(C.with_variants(C.top_k_slice(run, max(ks)), variants), "k").withColumn(
         "role", F.lit("topk")).withColumn("ord", F.col("rank"))
     recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])

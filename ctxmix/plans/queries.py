@@ -226,7 +226,7 @@ def random_negative_contexts(spark, sf_dir):
     ranked = materialize(ranked_run(spark, sf_dir, 100))
     docs = tables.table(spark, sf_dir, "documents").select("doc_id")
     relevant = C.attach_passages(
-        C.top_k_slice(C.with_variants(ranked, variants), "n_keep"), docs)
+        C.top_k_slice(C.with_variants(C.top_k_slice(ranked, 5), variants), "n_keep"), docs)
     relevant = materialize(relevant.select("variant_id", "qid", "doc_id", "score",
                                            F.col("rank").alias("ord"),
                                            F.lit("relevant").alias("role")), "relevant")
@@ -257,7 +257,7 @@ def q_random_from_run(spark, sf_dir):
     of a passage across questions are separate pool rows)."""
     variants = C.ratio_variants((0.0, 0.5, 1.0), 5)
     run = materialize(ranked_run(spark, sf_dir, 100))
-    relevant = C.top_k_slice(C.with_variants(run, variants), "n_keep").select(
+    relevant = C.top_k_slice(C.with_variants(C.top_k_slice(run, 5), variants), "n_keep").select(
         "variant_id", "qid", "doc_id", "score", F.col("rank").alias("ord"),
         F.lit("relevant").alias("role"))
     band = C.rank_band(run, 50, 100).select(F.col("qid").alias("owner"),
@@ -530,10 +530,11 @@ def q_random_run_generate(spark, sf_dir):
     gold = first line of the question's own document."""
     from pyspark.sql import Window
     docs = tables.doc_passages(spark, sf_dir)
-    run = C.attach_passages(ranked_run(spark, sf_dir, 100), docs)
-    run = run.withColumn("rank", F.row_number().over(
-        Window.partitionBy("qid").orderBy("rank"))).withColumn("rank", F.col("rank").cast("int"))
-    run = materialize(run, "stored_run")
+    ids = C.attach_passages(materialize(ranked_run(spark, sf_dir, 100), "ranked"),
+                            docs.select("doc_id"))
+    ids = materialize(ids.withColumn("rank", F.row_number().over(
+        Window.partitionBy("qid").orderBy("rank")).cast("int")), "stored_run")
+    run = C.attach_passages(ids, docs)
     questions = _part_questions(spark, sf_dir).withColumn("seq", F.col("qid"))
     gold = docs.select(F.col("doc_id").alias("qid"),
                        F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
