@@ -50,8 +50,10 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     else:
         ctx = ctx.withColumn("position", F.col("ord"))
     collected = C.collect_contexts(ctx, keys, CTX_FIELDS)
-    counts = C.context_counts(ctx, keys, ROLES)
     rec = C.attach_contexts(records, collected, keys)
+    # A3 from the prompt's own context array: no second pass over the contexts.
+    for r in ROLES:
+        rec = rec.withColumn(f"num_{r}", F.size(F.filter("contexts", lambda c: c["role"] == r)))
     # Prompts feed both the deduplicated model call and the join of answers back to
     # records: write them once instead of re-running the passage joins.
     rec = materialize(rec.withColumn("prompt", build_prompt("question", "contexts")), "prompts")
@@ -61,7 +63,6 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     elif "gold_answer" not in rec.columns:
         rec = rec.withColumn("gold_answer", F.lit("")).withColumn("has_gold", F.lit(False))
     scored = S.score_answers(rec).withColumn("experiment", F.lit(experiment))
-    scored = scored.join(counts, keys, "left").fillna(0, [f"num_{r}" for r in ROLES])
     variants = records.select("variant").distinct().withColumn("experiment", F.lit(experiment))
     metrics = S.evaluate(scored, ("experiment", "variant"), variants)
     return scored, metrics

@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     write), and the result survives executor loss."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
