@@ -1,8 +1,9 @@
 """Context selection: slices, variants and quotas, gold/hard-negative picks, mixing, assembly.
 
 Everything is long format ``(variant..., qid, doc_id, rank, score, role)`` until prompt
-time. Variants (ratios, k values, config tuples) are rows of a tiny frame joined in,
-so a whole sweep is one Spark job rather than a driver loop.
+time. Variants (ratios, k values, config tuples) are a parameter list exploded onto each
+row as a literal array (a Generate: no join, no shuffle), so a whole sweep is one Spark
+job rather than a driver loop.
 """
 
 from __future__ import annotations
