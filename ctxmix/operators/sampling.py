@@ -112,6 +112,12 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
     for _ in range(max_rounds):
         picked = _one_round(pending, pool, n_pool, keys, carry, budget * scale, seed,
                             exclude, exclude_on, exclude_if)
+        # No request gets more than it needs, so equal totals mean every request is
+        # filled: two plain counts settle the common case without a status join.
+        total_need = pending.agg(F.sum("need")).first()[0] or 0
+        if picked.count() == total_need:
+            outputs.append(picked)
+            break
         got = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_got"))
         # Exhausted: every pool index was drawn (recomputed on the request row).
         n_seen = F.size(_draw_indices(keys, budget * scale, seed, n_pool))
