@@ -103,15 +103,19 @@ def plan_blocks(n_queries: int, n_docs: int, dim: int, parallelism: int,
                 cell_bytes: int = 512 << 20) -> tuple[int, int]:
     """Block counts ``(bq, bc)`` for the scoring cells.
 
-    A cell holds one question block and one passage block as float64 matrices; half of
-    ``cell_bytes`` goes to each side. Fewer, larger blocks mean less replication
-    (questions are copied ``bc`` times, passages ``bq`` times), so blocks are as large
-    as the budget allows, with at least ``parallelism`` cells so every core works.
-    Passages are only replicated when the question set alone exceeds its half budget.
+    A cell holds one question block and one passage block as float64 matrices within
+    ``cell_bytes``. Questions take what they need, at most half; passages get the rest.
+    Fewer, larger blocks mean less replication (questions are copied ``bc`` times,
+    passages ``bq`` times), so blocks are as large as the budget allows, with at least
+    ``parallelism`` cells so every core works. Passages are only replicated when the
+    question set alone exceeds half a cell.
     """
-    rows = max(1, (cell_bytes // 2) // (max(1, dim) * 8))
-    bq = max(1, math.ceil(n_queries / rows))
-    bc = max(math.ceil(n_docs / rows), math.ceil(max(1, parallelism) / bq))
+    row_bytes = max(1, dim) * 8
+    q_rows = max(1, (cell_bytes // 2) // row_bytes)
+    bq = max(1, math.ceil(n_queries / q_rows))
+    q_used = math.ceil(n_queries / bq) * row_bytes
+    c_rows = max(1, (cell_bytes - q_used) // row_bytes)
+    bc = max(math.ceil(n_docs / c_rows), math.ceil(max(1, parallelism) / bq))
     bc = max(1, min(bc, max(1, n_docs)))
     return bq, bc
 

@@ -75,9 +75,13 @@ def test_mean_pool_masked(spark):
 
 def test_plan_blocks_bounds():
     assert R.plan_blocks(10, 10, 64, 8) == (1, 8)
-    # 768-dim vectors, 512 MB cells: ~43k rows per side per cell
+    # 768-dim vectors, 512 MB cells: at most ~43.7k question rows per block
     bq, bc = R.plan_blocks(100_000, 10_000_000, 768, 8)
-    assert bq == 3 and bc == catch_ceil(10_000_000, (256 << 20) // (768 * 8))
+    q_block = catch_ceil(100_000, 3) * 768 * 8
+    assert bq == 3 and bc == catch_ceil(10_000_000, ((512 << 20) - q_block) // (768 * 8))
+    # a small question set leaves most of the cell to passages
+    bq, bc = R.plan_blocks(12_000, 430_000_000, 768, 8)
+    assert bq == 1 and bc == catch_ceil(430_000_000, ((512 << 20) - 12_000 * 768 * 8) // (768 * 8))
 
 
 def catch_ceil(a, b):
