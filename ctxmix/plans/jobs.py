@@ -153,13 +153,16 @@ def hard_negatives(questions, query_vectors, passage_vectors, passages, generato
                    min_quota: int = 1, gold: DataFrame | None = None, seed: int = 42):
     """Substring-title gold on the ranked rows, first ``n_keep`` gold and first
     ``n_noise`` non-gold per ratio (``min_quota=1`` is the ratio path's rule)."""
-    run = R.topk_cosine(query_vectors, passage_vectors, k_retrieval)
-    run = C.attach_passages(run, passages)
-    labelled = materialize(G.split_gold_by_title(run, gold_titles, how="substring"))
+    # Retrieval is materialized as ids; labelling needs titles only, and text is
+    # attached to the few selected rows, not to the whole top-k run.
+    run = materialize(R.topk_cosine(query_vectors, passage_vectors, k_retrieval), "ranked")
+    titled = C.attach_passages(run, passages.select("doc_id", "title"))
+    labelled = G.split_gold_by_title(titled, gold_titles, how="substring")
     variants = [dict(v, variant=f"hard_neg_{int(v['ratio'] * 100)}pct")
                 for v in C.ratio_variants(ratios, total, (min_quota,))]
     sel = C.select_gold_and_hard(labelled, variants, min_quota=min_quota)
-    ctx = sel.select("variant", "qid", "doc_id", "title", "text", "score", "ord", "role")
+    ctx = sel.join(passages.select("doc_id", "text"), "doc_id").select(
+        "variant", "qid", "doc_id", "title", "text", "score", "ord", "role")
     recs = C.with_variants(C.keep_all_questions(questions, labelled).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])
     return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed)
