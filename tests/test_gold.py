@@ -52,3 +52,16 @@ def test_oracle_extraction_hand_case(spark):
     got = sorted((r["position"], r["doc_id"], r["text"], r["score"])
                  for r in G.oracle_contexts(q).collect())
     assert got == [(0, "oracle_T1_0", "c", 1.0), (3, "oracle_T2_-1", "x", 1.0)]
+
+
+def test_cover_join_chunked_equals_single_broadcast(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["abc def", "xyz", "def abc xyz", "", "aaa"])], "tid int, t string")
+    needles = spark.createDataFrame([(j, n) for j, n in enumerate(
+        ["abc", "xyz", "", "zz", "aaa", "def abc"])], "nid int, n string")
+    one = {(r["tid"], r["nid"]) for r in M.cover_join(texts, needles, "t", "n").collect()}
+    many = {(r["tid"], r["nid"]) for r in
+            M.cover_join(texts, needles, "t", "n", max_broadcast_bytes=40, chunk_col="nid").collect()}
+    want = {(i, j) for i, t in enumerate(["abc def", "xyz", "def abc xyz", "", "aaa"])
+            for j, n in enumerate(["abc", "xyz", "", "zz", "aaa", "def abc"]) if n in t}
+    assert one == many == want

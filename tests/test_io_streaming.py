@@ -94,3 +94,18 @@ def test_streaming_evaluator(spark):
         assert r["num_samples"] == 3 and r["n_missing_gold"] == 1
     finally:
         q.stop()
+
+
+def test_read_passages_and_json_predictions(spark):
+    d = tmpdir()
+    with open(os.path.join(d, "corpus.json"), "w") as f:
+        json.dump([{"doc_id": 1, "title": None, "text": "a"}, {"doc_id": 1, "title": "T", "text": "b"},
+                   {"doc_id": 2, "title": "U", "text": None}], f)
+    p = IO.read_passages(spark, os.path.join(d, "corpus.json")).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in p] == ["1", "2"]
+    assert p[1]["text"] == "" and all(r["title"] is not None for r in p)
+    preds = spark.createDataFrame([("e", "v1", "q", "x"), ("e", "v2", "q", "y")],
+                                  "experiment string, variant string, qid string, prediction string")
+    IO.write_predictions(preds, f"{d}/preds", fmt="json")
+    back = spark.read.json(f"{d}/preds")
+    assert sorted((r["variant"], r["prediction"]) for r in back.collect()) == [("v1", "x"), ("v2", "y")]
