@@ -300,7 +300,7 @@ _GEN = f"""
   {_ORACLE_CTX_CTE},
   firstctx AS (SELECT qid, arg_min(text, position) AS text FROM oc GROUP BY qid),
   recs AS (SELECT conv_id AS qid FROM conversations WHERE turn = 0),
-  gold1 AS (SELECT conv_id AS qid, string_split(text, chr(10))[-1] AS gold_answer FROM conversations WHERE turn = 1),
+  gold1 AS (SELECT conv_id AS qid, text AS gold_answer FROM conversations WHERE turn = 1),
   gjoined AS (SELECT 'oracle_gold_only' AS variant, r.qid,
                     regexp_replace(coalesce(f.text, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
                     g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
@@ -337,7 +337,7 @@ ORACLE["baseline_generate"] = f"""
                 JOIN ranked r ON r.qid = m.qid AND r.rank = m.rank JOIN documents d ON d.doc_id = r.doc_id),
   ks AS (SELECT * FROM (VALUES ('top1'), ('top3'), ('top5')) t(variant)),
   recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM ranked) q CROSS JOIN ks),
-  gold AS (SELECT doc_id AS qid, split_part(text, chr(10), 1) AS gold_answer FROM documents),
+  gold AS (SELECT doc_id AS qid, lang AS gold_answer FROM documents),
   j AS (SELECT recs.variant, recs.qid,
                regexp_replace(coalesce(f.line, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
                g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
@@ -411,10 +411,10 @@ ORACLE["random_negative_generate"] = f"""
   recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
   j AS (SELECT recs.variant, recs.qid,
                regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer,
+               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer,
                coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
         FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
-        LEFT JOIN docs g ON g.doc_id = recs.qid
+        LEFT JOIN documents g ON g.doc_id = recs.qid
         LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
   SELECT variant, qid, prediction, has_gold, num_relevant, num_random,
          CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
@@ -430,7 +430,7 @@ ORACLE["rescore_generate"] = f"""
   recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN ks),
   j AS (SELECT recs.variant, recs.qid,
                regexp_replace(coalesce(split_part(f.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer
+               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer
         FROM recs LEFT JOIN first_ctx f ON f.variant = recs.variant AND f.qid = recs.qid
         LEFT JOIN documents g ON g.doc_id = recs.qid)
   SELECT variant, qid, prediction, has_gold,
@@ -505,7 +505,7 @@ ORACLE["random_run_generate"] = f"""
   recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
   j AS (SELECT recs.variant, recs.qid,
                regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.doc_id IS NOT NULL AS has_gold, coalesce(split_part(g.text, chr(10), 1), '') AS gold_answer,
+               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer,
                coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
         FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
         LEFT JOIN documents g ON g.doc_id = recs.qid

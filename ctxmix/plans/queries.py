@@ -354,7 +354,7 @@ from ..sources import io as IO  # noqa: E402
 
 def oracle_generation(spark, sf_dir):
     """X6 on conversations: oracle sentences -> prompt -> stand-in generator (first line
-    of the first context) -> gold = last line of turn 1 (missing when absent) -> scores."""
+    of the first context) -> gold = the whole turn-1 text (missing when absent) -> scores."""
     ctx, facts = conversation_oracle_inputs(spark, sf_dir)
     oc = (G.oracle_contexts_long(ctx, facts).withColumn("variant", F.lit("oracle_gold_only"))
           .withColumn("role", F.lit("oracle")).withColumnRenamed("position", "ord"))
@@ -362,9 +362,8 @@ def oracle_generation(spark, sf_dir):
     recs = (c.where(F.col("turn") == 0)
             .select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
             .withColumn("variant", F.lit("oracle_gold_only")))
-    gold = c.where(F.col("turn") == 1).select(
-        F.col("conv_id").alias("qid"),
-        F.element_at(F.split(F.col("text"), "\n"), -1).alias("gold_answer"))
+    gold = c.where(F.col("turn") == 1).select(F.col("conv_id").alias("qid"),
+                                              F.col("text").alias("gold_answer"))
     return J.finish(oc, recs, "oracle", I.first_context_line_factory(), gold, shuffle=False)
 
 
@@ -420,8 +419,8 @@ def q_read_write_roundtrip(spark, sf_dir):
 @register("baseline_generate")
 def q_baseline_generate(spark, sf_dir):
     """X1 end to end: top-k for k in {1, 3, 5} -> documents as passages -> prompt ->
-    stand-in generator (first line of the first context) -> gold answer = first line of
-    the question's own document (missing when absent) -> EM / CEM per prediction.
+    stand-in generator (first line of the first context) -> gold answer = the language
+    of the question's own document (missing when absent) -> EM / CEM per prediction.
     Question text = the name of the part with the same key."""
     qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
     pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
@@ -430,8 +429,8 @@ def q_baseline_generate(spark, sf_dir):
         part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
         "qid", "left")
     docs = tables.doc_passages(spark, sf_dir)
-    gold = docs.select(F.col("doc_id").alias("qid"),
-                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    gold = tables.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
     scored, _ = J.baseline_topk(questions, qv, pv, docs, I.first_context_line_factory(),
                                 gold=gold)
     return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
@@ -464,7 +463,7 @@ def q_random_negative_generate(spark, sf_dir):
     """X2 end to end: top ``n_keep`` retrieved documents + ``n_noise`` random documents that
     are neither used nor gold (substring rule on titles; a question's gold title is the
     source of its own document) -> shuffled prompt -> stand-in generator -> EM / CEM
-    against the first line of the question's own document."""
+    against the language of the question's own document."""
     qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
     pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
     part = tables.table(spark, sf_dir, "part")
@@ -474,8 +473,8 @@ def q_random_negative_generate(spark, sf_dir):
     docs = tables.doc_passages(spark, sf_dir)
     gold_titles = docs.select(F.col("doc_id").alias("qid"),
                               F.array(F.lower("title")).alias("gold_titles"))
-    gold = docs.select(F.col("doc_id").alias("qid"),
-                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    gold = tables.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
     scored, _ = J.random_negatives(questions, qv, pv, docs, I.first_context_line_factory(),
                                    gold_titles=gold_titles, gold=gold, seed=SEED)
     return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
@@ -497,8 +496,8 @@ def q_rescore_generate(spark, sf_dir):
     IO.write_ranked(ranked_run(spark, sf_dir, 10), path)
     docs = tables.doc_passages(spark, sf_dir)
     run = C.attach_passages(IO.read_ranked(spark, path), docs)
-    gold = docs.select(F.col("doc_id").alias("qid"),
-                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    gold = tables.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
     scored, _ = J.rescore_run(run, _part_questions(spark, sf_dir),
                               I.first_context_line_factory(), gold=gold)
     return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
@@ -527,7 +526,7 @@ def q_random_run_generate(spark, sf_dir):
     """X3 end to end: stored top-100 run with documents attached (positions renumbered
     after unknown ids drop out); every question of the run asks; random contexts come
     from positions 51-100 of every other question; shuffled prompt; stand-in generator;
-    gold = first line of the question's own document."""
+    gold = the language of the question's own document."""
     from pyspark.sql import Window
     docs = tables.doc_passages(spark, sf_dir)
     ids = C.attach_passages(materialize(ranked_run(spark, sf_dir, 100), "ranked"),
@@ -536,8 +535,8 @@ def q_random_run_generate(spark, sf_dir):
         Window.partitionBy("qid").orderBy("rank")).cast("int")), "stored_run")
     run = C.attach_passages(ids, docs)
     questions = _part_questions(spark, sf_dir).withColumn("seq", F.col("qid"))
-    gold = docs.select(F.col("doc_id").alias("qid"),
-                       F.substring_index(F.col("text"), "\n", 1).alias("gold_answer"))
+    gold = tables.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
     scored, _ = J.random_from_run(run, questions, I.first_context_line_factory(),
                                   num_questions=None, gold=gold, seed=SEED)
     return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
