@@ -43,3 +43,20 @@ def test_sweep_retrieves_once(spark):
     df = E.queries()["hard_negative_sweep"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from ctxmix.operators import retrieval as R
+    from ctxmix.sources import io as IO
+    run = spark.createDataFrame([(1, 2, 0.5, 1), (1, 3, 0.4, 7)],
+                                "qid long, doc_id long, score double, rank int")
+    IO.write_ranked(run, str(tmp_path / "ranked"))
+    plan = IO.read_ranked(spark, str(tmp_path / "ranked"), 5)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "LessThanOrEqual(rank,5)" in plan
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    df = R.topk_cosine(e.select(F.col("vec_id").alias("qid"), "embedding"),
+                       e.select(F.col("vec_id").alias("doc_id"), "embedding"), 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "label" not in plan.split("ReadSchema")[1].split("\n")[0]
