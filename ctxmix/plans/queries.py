@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..operators import contexts as C
+from ..operators import gold as G
+from ..operators import inference as I
+from ..operators import matching as M
 from ..operators import retrieval as R
-from ..session import materialize
+from ..operators import sampling as SM
+from ..operators import scoring as S
+from ..session import materialize, scratch_path
+from ..sources import io as IO
+from . import jobs as J
 from . import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,11 +98,6 @@ def q_hard_negative_counts(spark, sf_dir):
 
 # --------------------------------------------------------------------------- text and scoring
 
-from ..functions import text as TX  # noqa: E402
-from ..operators import gold as G  # noqa: E402
-from ..operators import matching as M  # noqa: E402
-from ..operators import scoring as S  # noqa: E402
-
 
 @register("normalize")
 def q_normalize(spark, sf_dir):
@@ -213,7 +216,6 @@ def q_oracle_contexts(spark, sf_dir):
 
 # --------------------------------------------------------------------------- sampling
 
-from ..operators import sampling as SM  # noqa: E402
 
 SEED = 42
 
@@ -309,7 +311,6 @@ CONFIGS = [(5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)]
 def stored_run_with_titles(spark, sf_dir, k: int = 100):
     """A stored run: top-k rows with passages from ``part`` attached (unknown ids dropped),
     ``pos`` = 1-based position in the stored list."""
-    from pyspark.sql import Window
     run = C.attach_passages(ranked_run(spark, sf_dir, k), tables.part_passages(spark, sf_dir))
     w = Window.partitionBy("qid").orderBy("rank")
     return run.withColumn("pos", F.row_number().over(w))
@@ -346,11 +347,6 @@ def q_build_prompt(spark, sf_dir):
 
 # --------------------------------------------------------------------------- inference and IO
 
-from ..operators import inference as I  # noqa: E402
-from ..plans import jobs as J  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import io as IO  # noqa: E402
-
 
 def oracle_generation(spark, sf_dir):
     """X6 on conversations: oracle sentences -> prompt -> stand-in generator (first line
@@ -527,7 +523,6 @@ def q_random_run_generate(spark, sf_dir):
     after unknown ids drop out); every question of the run asks; random contexts come
     from positions 51-100 of every other question; shuffled prompt; stand-in generator;
     gold = the language of the question's own document."""
-    from pyspark.sql import Window
     docs = tables.doc_passages(spark, sf_dir)
     ids = C.attach_passages(materialize(ranked_run(spark, sf_dir, 100), "ranked"),
                             docs.select("doc_id"))
