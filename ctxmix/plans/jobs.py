@@ -94,8 +94,10 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     keep_max = max(v["n_keep"] for v in vsel)
     relevant = C.attach_passages(
         C.top_k_slice(C.with_variants(C.top_k_slice(run, keep_max), vsel), "n_keep"), passages)
-    relevant = relevant.select("variant", "qid", "doc_id", "title", "text", "score",
-                               F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
+    # Used as contexts and as exclusions: join the passages once (at most n_keep per question).
+    relevant = materialize(relevant.select("variant", "qid", "doc_id", "title", "text", "score",
+                                           F.col("rank").alias("ord"),
+                                           F.lit("relevant").alias("role")), "relevant")
     pool, n_pool = SM.dense_index(passages.select("doc_id", "title"), ["doc_id"])
     asked = C.keep_all_questions(questions, run).select("qid", "question")
     requests = (C.with_variants(asked.select("qid").join(gold_titles, "qid", "left"), vsel)
@@ -163,7 +165,7 @@ def hard_negatives(questions, query_vectors, passage_vectors, passages, generato
     sel = C.select_gold_and_hard(labelled, variants, min_quota=min_quota)
     ctx = sel.join(passages.select("doc_id", "text"), "doc_id").select(
         "variant", "qid", "doc_id", "title", "text", "score", "ord", "role")
-    recs = C.with_variants(C.keep_all_questions(questions, labelled).select("qid", "question"),
+    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])
     return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed)
 
