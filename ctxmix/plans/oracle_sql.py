@@ -331,17 +331,17 @@ ORACLE["read_write_roundtrip"] = f"""
 
 ORACLE["baseline_generate"] = f"""
   WITH ranked AS ({sql_ranked(5)}),
-  first_ctx AS (SELECT r.qid, split_part(d.text, chr(10), 1) AS line
-                FROM (SELECT qid, min(rank) AS rank FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
-                      GROUP BY qid) m
-                JOIN ranked r ON r.qid = m.qid AND r.rank = m.rank JOIN documents d ON d.doc_id = r.doc_id),
-  ks AS (SELECT * FROM (VALUES ('top1'), ('top3'), ('top5')) t(variant)),
+  ks AS (SELECT * FROM (VALUES ('top1', 1), ('top3', 3), ('top5', 5)) t(variant, k)),
+  first_ctx AS (SELECT ks.variant, r.qid, split_part(arg_min(d.text, r.rank), chr(10), 1) AS line
+                FROM ranked r JOIN ks ON r.rank <= ks.k JOIN documents d ON d.doc_id = r.doc_id
+                GROUP BY ks.variant, r.qid),
   recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM ranked) q CROSS JOIN ks),
   gold AS (SELECT doc_id AS qid, lang AS gold_answer FROM documents),
   j AS (SELECT recs.variant, recs.qid,
                regexp_replace(coalesce(f.line, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
                g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
-        FROM recs LEFT JOIN first_ctx f ON f.qid = recs.qid LEFT JOIN gold g ON g.qid = recs.qid)
+        FROM recs LEFT JOIN first_ctx f ON f.variant = recs.variant AND f.qid = recs.qid
+        LEFT JOIN gold g ON g.qid = recs.qid)
   SELECT variant, qid, prediction, has_gold,
          CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
          CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
