@@ -137,8 +137,10 @@ def select_gold_and_hard(ranked: DataFrame, variants: Sequence[dict], *, n_gold:
     """
     mq = F.lit(min_quota) if isinstance(min_quota, int) else F.col(min_quota)
     ordered = role_order(ranked, is_gold, qid, rank)
-    cap = max([max(v[n_gold], v[n_hard], v.get("min_quota", 0) if isinstance(min_quota, str)
-                   else min_quota) for v in variants] + [0])
+    def floor_of(v: dict) -> int:
+        return v.get(min_quota, 0) if isinstance(min_quota, str) else min_quota
+
+    cap = max((max(v[n_gold], v[n_hard], floor_of(v)) for v in variants), default=0)
     ordered = ordered.where(F.col("ord") <= cap)
     quota = F.greatest(F.when(F.col(is_gold), F.col(n_gold)).otherwise(F.col(n_hard)), mq)
     out = with_variants(ordered, variants).where(F.col("ord") <= quota)
@@ -155,7 +157,7 @@ def select_config_mix(ranked: DataFrame, configs: Sequence[dict], *, k_gold: str
     'gold'/'hard_negative' and 'topk'.
     """
     ordered = role_order(ranked, is_gold, qid, rank)
-    cap = max([max(c[k_gold], c[k_hard], c[mix_topk]) for c in configs] + [0])
+    cap = max((max(c[k_gold], c[k_hard], c[mix_topk]) for c in configs), default=0)
     ordered = ordered.where((F.col("ord") <= cap) | (F.col(rank) <= cap))
     role_quota = F.when(F.col(is_gold), F.col(k_gold)).otherwise(F.col(k_hard))
     cond = (F.col("ord") <= role_quota) | (F.col(rank) <= F.col(mix_topk))

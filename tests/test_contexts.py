@@ -73,3 +73,12 @@ def test_collect_and_counts(spark):
     counts = {r["qid"]: (r["num_gold"], r["num_hard_negative"])
               for r in C.context_counts(ctx, ["qid"], ["gold", "hard_negative"], req).collect()}
     assert counts == {1: (1, 1), 2: (0, 0)}
+
+
+def test_min_quota_column_name_and_int(spark):
+    v = [{"variant_id": 1, "n_keep": 0, "n_noise": 0, "mq": 1}]
+    got = C.select_gold_and_hard(ranked_fixture(spark), v, min_quota="mq").collect()
+    assert sorted(r["doc_id"] for r in got) == ["g1", "h1"]
+    v2 = [{"variant_id": 1, "n_keep": 0, "n_noise": 0}]
+    got2 = C.select_gold_and_hard(ranked_fixture(spark), v2, min_quota=1).collect()
+    assert sorted(r["doc_id"] for r in got2) == ["g1", "h1"]
