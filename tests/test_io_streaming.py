@@ -109,3 +109,26 @@ def test_read_passages_and_json_predictions(spark):
     IO.write_predictions(preds, f"{d}/preds", fmt="json")
     back = spark.read.json(f"{d}/preds")
     assert sorted((r["variant"], r["prediction"]) for r in back.collect()) == [("v1", "x"), ("v2", "y")]
+
+
+def test_streaming_evaluator_restarts_without_double_counting(spark):
+    src, ck = tmpdir(), tmpdir()
+
+    def drop(name, n):
+        with open(os.path.join(src, name), "w") as f:
+            for i in range(n):
+                f.write(json.dumps({"experiment": "e", "variant": "v", "qid": f"{name}{i}",
+                                    "gold_answer": "a", "prediction": "a"}) + "\n")
+
+    drop("a.json", 3)
+    q = ST.start_incremental_evaluation(spark, src, ck, query_name="m_restart")
+    q.processAllAvailable()
+    q.stop()
+    drop("b.json", 2)
+    q = ST.start_incremental_evaluation(spark, src, ck, query_name="m_restart")
+    try:
+        q.processAllAvailable()
+        r = spark.sql("SELECT * FROM m_restart").first()
+        assert r["num_samples"] == 5 and r["exact_match"] == 1.0
+    finally:
+        q.stop()
