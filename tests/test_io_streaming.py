@@ -132,3 +132,14 @@ def test_streaming_evaluator_restarts_without_double_counting(spark):
         assert r["num_samples"] == 5 and r["exact_match"] == 1.0
     finally:
         q.stop()
+
+
+def test_materialized_tables_live_under_the_configured_checkpoint_dir(spark):
+    from ctxmix.session import checkpoint_root, materialize, scratch_path
+    root = spark.sparkContext.getCheckpointDir()
+    assert root and checkpoint_root(spark) == root
+    assert scratch_path(spark, "x").startswith(root.rstrip("/") + "/tables/")
+    df = materialize(spark.range(5), "probe")
+    files = df.inputFiles()
+    assert files and all(root.rstrip("/").split(":", 1)[-1] in f for f in files)
+    assert df.count() == 5
