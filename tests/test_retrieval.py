@@ -123,3 +123,12 @@ def test_row_level_cosine_matches_cells(spark):
     z = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert z.select(V.cosine("a", "b")).first()[0] == -1.0
     assert z.select(V.cosine("a", "b", floor=None)).first()[0] is None
+
+
+def test_topk_with_empty_sides(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("qid"), "embedding")
+    c = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    assert R.topk_cosine(q.limit(0), c, 3).count() == 0
+    assert R.topk_cosine(q, c.limit(0), 3).count() == 0
+    assert R.plan_blocks(0, 0, 0, 8) == (1, 1)
