@@ -68,3 +68,13 @@ def test_exclude_docs_and_exclusion_set(spark):
     ex = SM.exclusion_set(gold, used)
     assert ex.count() == 2
     assert [(r["qid"], r["doc_id"]) for r in SM.exclude_docs(rows, ex, ["qid"]).collect()] == [(1, 11)]
+
+
+def test_fully_excluded_pool_terminates_empty(spark):
+    pool_df = spark.range(0, 5).select(F.col("id").alias("doc_id"))
+    pool, n = SM.dense_index(pool_df, ["doc_id"])
+    req = spark.createDataFrame([(1, 3), (2, 3)], "qid long, need int")
+    excl = spark.range(0, 5).select(F.lit(1).cast("long").alias("qid"), F.col("id").alias("doc_id"))
+    got = SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude=excl).collect()
+    assert {r["qid"] for r in got} == {2}
+    assert len(got) == 3
