@@ -65,3 +65,12 @@ def test_cover_join_chunked_equals_single_broadcast(spark):
     want = {(i, j) for i, t in enumerate(["abc def", "xyz", "def abc xyz", "", "aaa"])
             for j, n in enumerate(["abc", "xyz", "", "zz", "aaa", "def abc"]) if n in t}
     assert one == many == want
+
+
+def test_oracle_extraction_too_negative_index_is_dropped(spark):
+    q = spark.createDataFrame(
+        [("q", [("T1", ["c", "d"])], [("T1", -3), ("T1", -2), ("T1", 2)])],
+        "qid string, context array<struct<title:string,sentences:array<string>>>, "
+        "supporting_facts array<struct<title:string,sent_idx:int>>")
+    got = [(r["doc_id"], r["text"]) for r in G.oracle_contexts(q).collect()]
+    assert got == [("oracle_T1_-2", "c")]
