@@ -79,3 +79,17 @@ def test_build_prompt_matches_template(spark):
     assert got == want
     empty = spark.createDataFrame([("Q", [])], "q string, c array<struct<title:string,text:string>>")
     assert "Relevant documents:\n\n\nAnswer" in empty.select(TX.build_prompt("q", "c")).first()[0]
+
+
+def test_evaluate_counts_failures_missing_gold_and_empty_runs(spark):
+    from ctxmix.operators import scoring as S
+    rows = [("e", "v1", "Paris", "Paris", True, None), ("e", "v1", "", "Rome", True, "Timeout"),
+            ("e", "v1", "x", "", False, None)]
+    df = spark.createDataFrame(rows, "experiment string, variant string, prediction string, "
+                                     "gold_answer string, has_gold boolean, error string")
+    runs = spark.createDataFrame([("e", "v1"), ("e", "v2")], "experiment string, variant string")
+    m = {r["variant"]: r for r in S.evaluate(S.score_answers(df), variants=runs).collect()}
+    assert (m["v1"]["num_samples"], m["v1"]["n_failed"], m["v1"]["n_missing_gold"]) == (3, 1, 1)
+    assert abs(m["v1"]["exact_match"] - 1 / 3) < 1e-12
+    assert abs(m["v1"]["cover_exact_match"] - 2 / 3) < 1e-12
+    assert (m["v2"]["num_samples"], m["v2"]["exact_match"], m["v2"]["cover_exact_match"]) == (0, 0.0, 0.0)
