@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import language_id, packing, simhash, toxicity
+from ctxmix.llm import bpe, language_id, packing, quality, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -23,11 +23,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes they decode to, as digests."""
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), _file("byte_bpe_multi_50k.tiktoken"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), _file("word_bpe_49k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 2 bits or fewer."""
     return simhash.simhash(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text and the verdict of the weighed rules."""
+    return quality.quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), _file("byte_bpe_50k.json"))
@@ -41,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_simhash, op7_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op10_toxicity)}
 ORACLE: dict[str, str] = {}
