@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ctxmix.llm import batches as B
+from ctxmix.llm.batches import gather
 from ctxmix.llm.packing import _WIDE_SPACE, PATTERN
 
 #: Text bytes whose pre-tokens are replayed together.
@@ -153,13 +154,6 @@ def replay(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return out, out_b
 
 
-def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[bounds[c]:bounds[c + 1]] for each code c, in a row, and where each one ends."""
-    n = np.diff(bounds)[codes]
-    ends = np.cumsum(n)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][codes] - (ends - n), n)], ends
-
-
 def encode(texts: pa.Array, v: Vocabulary):
     """Yields the ids of each text, in order."""
     texts = texts.fill_null("")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import bpe, language_id, packing, quality, simhash, token_counts, toxicity
+from ctxmix.llm import bpe, chat_format, language_id, license_scan, packing, quality, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -48,6 +48,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), _file("byte_bpe_50k.json"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.format_turns(given.unionByName(extra)))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every whole text."""
+    return license_scan.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; learnt from labelled rows outside the held-out third."""
     docs = read(spark, sf_dir, "documents")
@@ -56,5 +69,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity)}
 ORACLE: dict[str, str] = {}
