@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import bpe, chat_format, language_id, license_scan, packing, quality, simhash, token_counts, toxicity
+from ctxmix.llm import bpe, chat_format, cover_tree, language_id, license_scan, packing, quality, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors linked at a cosine of 0.95 or more."""
+    return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the bytes they decode to, as digests."""
     return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), _file("byte_bpe_multi_50k.tiktoken"))
@@ -69,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity)}
 ORACLE: dict[str, str] = {}
