@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,14 @@ def fold(doc_id: Column | str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % k
 
 
-def hash_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, always the same ones: those with the smallest hashes of ``key``."""
-    return ids.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+def hash_sample(ids: DataFrame, key: str, n: int, by: str) -> DataFrame:
+    """At most ``n`` rows for each value of ``by``, always the same ones: those with the smallest hashes of ``key``.
+
+    Values of ``by`` are few (classes). They are counted first, and a cut on the hash leaves about twice
+    as many rows as wanted, whatever the size of the table; only these are ranked.
+    """
+    scale = 1 << 40
+    total = ids.groupBy(by).count().select(by, F.least(F.lit(scale), F.ceil(F.lit(2 * n + 100) * F.lit(scale) / F.col("count"))).alias("__cut"))
+    few = ids.join(F.broadcast(total), by).where(F.pmod(F.xxhash64(key), F.lit(scale)) < F.col("__cut")).drop("__cut")
+    w = Window.partitionBy(by).orderBy(F.pmod(F.xxhash64(key), F.lit(scale)), key)
+    return few.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

@@ -23,7 +23,7 @@ from ctxmix.llm.tables import fold, hash_sample
 
 THRESHOLD = 0.7
 #: Bounds of the training sample: rows of each label, and bytes of a text in it.
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 4000, 6000, 32768
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 4000, 6000, 16384
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -62,20 +62,31 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 4.0, beta: float =
     labels = np.asarray(labels, np.float64)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.inf if len(labels) and labels[0] else -np.inf)
-    rows, keys = [], []
-    for at in range(0, len(texts), 500):
-        r, k = features(texts.slice(at, 500))
+    def distinct(at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of 250 rows, each once, in order."""
+        r, k = features(texts.slice(at, 250))
         order = np.lexsort((k, r))
         r, k = r[order], k[order]
         new = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])) if len(r) else np.zeros(0, bool)
-        rows.append(r[new] + at)
-        keys.append(k[new])
+        return r[new] + at, k[new]
+
+    # most hashes are in one row only: count by their low bits first, and keep what may be frequent
+    low, many = np.uint64((1 << 24) - 1), np.zeros(1 << 24, np.uint16)
+    for at in range(0, len(texts), 250):
+        _, k = distinct(at)
+        np.add.at(many, (k & low).astype(np.int64), 1)
+    rows, keys = [], []
+    for at in range(0, len(texts), 250):
+        r, k = distinct(at)
+        may = many[(k & low).astype(np.int64)] >= min_rows
+        rows.append(r[may])
+        keys.append(k[may])
     rows, keys = np.concatenate(rows), np.concatenate(keys)
     names, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    del keys
     frequent = count >= min_rows
-    renamed = np.cumsum(frequent) - 1
     used = frequent[place]
-    rows, place = rows[used], renamed[place[used]]
+    rows, place = rows[used], (np.cumsum(frequent) - 1)[place[used]]
     names = names[frequent]
     first = np.searchsorted(rows, np.arange(len(labels) + 1))
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -104,6 +115,8 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 4.0, beta: float =
 def score(texts: pa.Array, model: Model, bits: int = 22) -> np.ndarray:
     """Probability of label 1 for each text; an empty or null text gets the bias alone."""
     n = len(texts)
+    if np.isinf(model.bias):
+        return np.full(n, float(model.bias > 0))
     logit = np.full(n, model.bias)
     if len(model.keys) and n:
         seen = np.zeros(1 << bits, bool)
@@ -130,8 +143,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = documents.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
-    chosen = hash_sample(known.where("toxic = 1"), "doc_id", max_toxic).unionByName(
-        hash_sample(known.where("toxic = 0"), "doc_id", max_clean))
+    chosen = hash_sample(known.where("toxic = 1"), "doc_id", max_toxic, "toxic").unionByName(
+        hash_sample(known.where("toxic = 0"), "doc_id", max_clean, "toxic"))
     sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     return train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
 
