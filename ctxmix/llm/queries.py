@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import bpe, chat_format, cover_tree, language_id, license_scan, packing, quality, simhash, token_counts, toxicity
+from ctxmix.llm import bpe, chat_format, cover_tree, language_id, license_scan, oracles, packing, quality, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -75,4 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_embedding_dedup": oracles.OP2, "op8_chat": oracles.OP8, "op9_licenses": oracles.op9()}

@@ -1,0 +1,67 @@
+"""The merge replay against the library, and the exact round trip."""
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ctxmix.llm import bpe
+
+
+@pytest.fixture(scope="module")
+def file():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read()
+
+
+@pytest.fixture(scope="module")
+def vocabulary(file):
+    return bpe.Vocabulary(file)
+
+
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.rank, special_tokens={})
+
+
+def test_odd_texts(vocabulary, library, texts):
+    for text, ids in zip(texts, bpe.encode(pa.array(texts), vocabulary)):
+        assert ids.tolist() == library.encode_ordinary(text or "")
+        assert bpe.decode(ids, vocabulary) == (text or "").encode()
+
+
+def test_all_documents(vocabulary, library, sf_dir):
+    column = pq.read_table(f"{sf_dir}/documents.parquet")["text"].combine_chunks()
+    for text, ids in zip(column.to_pylist(), bpe.encode(column, vocabulary)):
+        assert ids.tolist() == library.encode_ordinary(text)
+
+
+def test_replay_of_runs_and_overlaps(vocabulary):
+    pieces = [b"a" * n for n in range(1, 40)] + [b"ab" * n for n in range(1, 20)] + [b"", b"\xff\xfe", b"  "]
+    ids, bounds = bpe.replay(pieces, vocabulary)
+    for i, p in enumerate(pieces):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == vocabulary.plain(p)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab éß😀'st \n\t  \x1c\x851,.!"), max_size=40), min_size=1, max_size=5))
+def test_random_texts(vocabulary, library, some):
+    got = [i.tolist() for i in bpe.encode(pa.array(some, pa.string()), vocabulary)]
+    assert got == [library.encode_ordinary(t) for t in some]
+
+
+def test_round_trip_rows(docs, no_docs, file, library, texts):
+    rows = bpe.round_trip(docs, file).collect()
+    assert len(rows) == len(texts)
+    want = {hashlib.sha256((t or "").encode()).hexdigest(): len(library.encode_ordinary(t or "")) for t in texts}
+    assert {r.decoded_sha256: r.n_tokens for r in rows} == want
+    assert bpe.round_trip(no_docs, file).count() == 0
+
+
+def test_token_ids(docs, file, library):
+    got = {r.doc_id: r.ids for r in bpe.token_ids(docs, file).collect()}
+    assert got[13] == library.encode_ordinary("one two") and got[3] == []
