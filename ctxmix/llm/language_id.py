@@ -12,12 +12,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxmix.llm import batches as B
-from ctxmix.llm.tables import fold
+from ctxmix.llm.tables import fold, hash_sample
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents and different words of a language, bytes of a text.
@@ -177,9 +177,7 @@ def fit(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_lang
     rows there is no model, and every text gets ``und``."""
     rows = (documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 5) != 0)
                             & (F.octet_length("text") <= max_bytes)))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (rows.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang)
-           .select("doc_id").distinct())
+    ids = hash_sample(rows.select("doc_id", "lang"), "doc_id", docs_per_lang, "lang").select("doc_id").distinct()
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     rng, found, target = np.random.default_rng(seed), [], []
