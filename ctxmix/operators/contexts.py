@@ -96,16 +96,30 @@ def attach_passages(ranked: DataFrame, passages: DataFrame, doc_id: str = "doc_i
     return ranked.join(passages, on=doc_id, how="inner")
 
 
-def keep_all_questions(questions: DataFrame, run: DataFrame, qid: str = "qid") -> DataFrame:
-    """Questions absent from the run are skipped; present ones are kept even if empty."""
-    in_run = run.select(qid).distinct()
-    return questions.join(in_run, on=qid, how="left_semi")
+def renumber(run: DataFrame, qid: str = "qid", rank: str = "rank") -> DataFrame:
+    """Positions 1, 2, ... in rank order: a stored run has gaps where unknown ids were dropped."""
+    w = Window.partitionBy(qid).orderBy(rank, "doc_id")  # a question's rows: the retrieval depth
+    return run.withColumn(rank, F.row_number().over(w).cast("int"))
+
+
+def keep_all_questions(questions: DataFrame, asked: DataFrame, qid: str = "qid") -> DataFrame:
+    """The questions that were asked, whether or not anything was retrieved for them.
+
+    ``asked`` is the question list of the run. Given the rows of a run itself, a question
+    without rows counts as not asked: store the list beside the run to keep those.
+    """
+    return questions.join(asked.select(qid).distinct(), on=qid, how="left_semi")
 
 
 def attach_gold_answers(df: DataFrame, gold: DataFrame, qid: str = "qid",
-                        answer: str = "gold_answer") -> DataFrame:
-    """Left join gold answers; a missing answer becomes '' and ``has_gold`` is false."""
-    g = gold.select(F.col(qid), F.col(answer).alias("_gold"))
+                        answer: str = "gold_answer", order: str | None = None) -> DataFrame:
+    """Left join gold answers; a missing answer becomes '' and ``has_gold`` is false.
+
+    Of several gold rows for one question the last by ``order`` counts (without an order: the
+    largest answer), so rows never multiply.
+    """
+    last = F.max(answer) if order is None else F.max_by(answer, order)
+    g = gold.groupBy(qid).agg(last.alias("_gold"))
     out = df.join(g, on=qid, how="left")
     return (out.withColumn("has_gold", F.col("_gold").isNotNull())
             .withColumn(answer, F.coalesce(F.col("_gold").cast("string"), F.lit("")))

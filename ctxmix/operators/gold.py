@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import either_contains_pairs
+from .skew import salted_join
 
 
-def _lower_title(c) -> Column:
+def lower_title(c) -> Column:
+    """Lower-cased title, '' for null."""
     c = F.col(c) if isinstance(c, str) else c
     return F.lower(F.coalesce(c.cast("string"), F.lit("")))
 
@@ -34,7 +36,7 @@ def gold_titles_long(questions: DataFrame, qid: str = "qid",
 def is_gold_exact(title, titles) -> Column:
     """J6 predicate: lower(title) is one of the question's gold titles."""
     t = F.col(titles) if isinstance(titles, str) else titles
-    return F.coalesce(F.array_contains(t, _lower_title(title)), F.lit(False))
+    return F.coalesce(F.array_contains(t, lower_title(title)), F.lit(False))
 
 
 def is_gold_substring(title, titles) -> Column:
@@ -43,7 +45,7 @@ def is_gold_substring(title, titles) -> Column:
     An untitled passage ('') is therefore gold for every question with a fact.
     """
     t = F.col(titles) if isinstance(titles, str) else titles
-    lt = _lower_title(title)
+    lt = lower_title(title)
     hit = F.exists(F.coalesce(t, F.array().cast("array<string>")),
                    lambda g: lt.contains(g) | g.contains(lt))
     return F.coalesce(hit, F.lit(False))
@@ -69,7 +71,7 @@ def gold_title_matches(gold: DataFrame, passages: DataFrame, gold_title: str = "
     Works on distinct titles with trigram-blocked equi-joins (see ``matching``).
     """
     g = gold.select(F.lower(F.col(gold_title)).alias("gold_title")).distinct()
-    p = passages.select(_lower_title(title).alias("ltitle")).distinct()
+    p = passages.select(lower_title(title).alias("ltitle")).distinct()
     return either_contains_pairs(g, p, "gold_title", "ltitle")
 
 
@@ -83,9 +85,22 @@ def gold_docs_by_substring(gold: DataFrame, passages: DataFrame, key: str = "qid
     """
     pairs = gold_title_matches(gold, passages, gold_title, title)
     g = gold.select(F.col(key), F.lower(F.col(gold_title)).alias("gold_title"))
-    p = passages.select(F.col(doc_id), _lower_title(title).alias("ltitle"))
-    return (g.join(pairs, "gold_title").join(p, "ltitle")
-            .select(key, doc_id).distinct())
+    keyed = g.join(pairs, "gold_title").select(key, "ltitle").distinct()
+    p = passages.select(F.col(doc_id), lower_title(title).alias("ltitle"))
+    # few titles may be shared by very many passages: their rows are dealt over several tasks
+    return salted_join(p, keyed, "ltitle", doc_id).select(key, doc_id).distinct()
+
+
+def gold_title_groups(titles: DataFrame, passages: DataFrame, qid: str = "qid",
+                      title: str = "title") -> DataFrame:
+    """``(qid, ltitle)``: the lower-cased passage titles that are gold for a question by the substring rule.
+
+    Passages with one of these titles are the question's gold passages (J5), without
+    a row for each of them.
+    """
+    long = titles.select(qid, F.explode("gold_titles").alias("gold_title")).where(
+        F.col("gold_title").isNotNull()).select(qid, F.lower("gold_title").alias("gold_title")).distinct()
+    return long.join(gold_title_matches(long, passages, "gold_title", title), "gold_title").select(qid, "ltitle").distinct()
 
 
 def oracle_contexts_long(context: DataFrame, facts: DataFrame, qid: str = "qid") -> DataFrame:
@@ -119,9 +134,29 @@ def oracle_contexts_long(context: DataFrame, facts: DataFrame, qid: str = "qid")
 
 
 def oracle_contexts(questions: DataFrame, qid: str = "qid") -> DataFrame:
-    """P6 on nested question records (``context`` and ``supporting_facts`` arrays)."""
-    ctx = questions.select(qid, F.posexplode("context").alias("ctx_pos", "c")).select(
-        qid, "ctx_pos", F.col("c.title").alias("title"), F.col("c.sentences").alias("sentences"))
-    facts = questions.select(qid, F.posexplode("supporting_facts").alias("fact_pos", "f")).select(
-        qid, "fact_pos", F.col("f.title").alias("title"), F.col("f.sent_idx").alias("sent_idx"))
-    return oracle_contexts_long(ctx, facts, qid)
+    """P6 on nested question records (``context`` and ``supporting_facts`` arrays).
+
+    Row-local: a question's facts are looked up in its own paragraphs with higher-order
+    functions, and nothing is shuffled. Rules and output as in :func:`oracle_contexts_long`.
+    """
+    context = F.filter(F.coalesce("context", F.array()), lambda c: c["title"].isNotNull() & c["sentences"].isNotNull())
+    facts = F.coalesce("supporting_facts", F.array())
+    rows = questions.select(F.col(qid), context.alias("_c"), facts.alias("_f"))
+
+    def found(f: Column, i: Column) -> Column:
+        same = F.filter("_c", lambda c: c["title"] == f["title"])  # the last one counts
+        return F.struct(i.alias("position"), f["title"].alias("title"), f["sent_idx"].alias("idx"),
+                        F.get(same, F.size(same) - 1)["sentences"].alias("s"))
+
+    def sentence(h: Column) -> Column:
+        at = F.when(h["idx"] >= 0, h["idx"]).otherwise(F.size(h["s"]) + h["idx"])
+        return F.struct(h["position"], h["title"], h["idx"], F.get(h["s"], at).alias("text"))
+
+    rows = rows.select(qid, F.transform("_f", found).alias("_h"))
+    rows = rows.select(qid, F.transform(F.filter("_h", lambda h: h["s"].isNotNull() & h["idx"].isNotNull() & (
+        h["idx"] < F.size(h["s"])) & (h["idx"] >= -F.size(h["s"]))), sentence).alias("_h"))
+    first = F.filter("_h", lambda h, i: ~F.exists(F.slice("_h", 1, i), lambda g: (g["title"] == h["title"]) & g["text"].eqNullSafe(h["text"])))
+    return rows.select(qid, F.explode(first).alias("h")).select(
+        qid, F.col("h.position").alias("position"),
+        F.concat(F.lit("oracle_"), F.col("h.title"), F.lit("_"), F.col("h.idx").cast("string")).alias("doc_id"),
+        F.col("h.title").alias("title"), F.col("h.text").alias("text"), F.lit(1.0).alias("score"))

@@ -10,20 +10,17 @@ haystack, for short strings such as titles, as equi-joins:
 * the empty needle is contained in every haystack: when present (a one-row check),
   every haystack is emitted once with it, without any join.
 
-``cover_join`` handles long needles in long texts (passages in documents), where
-exploding grams of the texts is too costly: the needle side is broadcast when its
-measured size is under a limit, otherwise it is split into bounded chunks that are
-broadcast one at a time. Exact in both cases.
+``cover_join`` handles long needles in long texts (passages in documents) by whole words:
+each needle is keyed by its rarest interior word pair.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialize
+from .skew import salted_join
 
 
 def grams(s: Column, n: int) -> Column:
@@ -78,30 +75,72 @@ def either_contains_pairs(left: DataFrame, right: DataFrame, left_col: str,
     return a.unionByName(b).distinct()
 
 
+def _words(c: Column) -> Column:
+    return F.split(c, " ")
+
+
+def _needle_keys(n: Column) -> tuple[Column, Column]:
+    """(kind, keys) of a needle: what every text that contains it must have.
+
+    Four words or more: hashes of its interior word pairs, which stand whole in the text.
+    Three words: its middle word. Fewer: its trigrams, or itself if it has two characters or less.
+    """
+    w = _words(n)
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    kind = F.when(F.size(w) >= 4, "pair").when(F.size(w) == 3, "word").when(F.length(n) >= 3, "gram").otherwise("char")
+    keys = (F.when(kind == "pair", _pair_hashes(inner)).when(kind == "word", F.transform(inner, lambda x: F.xxhash64(x)))
+            .when(kind == "gram", F.transform(grams(n, 3), lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64(n))))
+    return kind, keys
+
+
+def _pair_hashes(w: Column) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
+    return F.when(F.size(w) >= 2, F.transform(at, lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _text_keys(t: Column, kind: str) -> Column:
+    if kind == "pair":
+        return F.array_distinct(_pair_hashes(_words(t)))
+    if kind == "word":
+        return F.array_distinct(F.transform(_words(t), lambda x: F.xxhash64(x)))
+    if kind == "gram":
+        return F.transform(grams(t, 3), lambda x: F.xxhash64(x))
+    return F.transform(F.concat(grams(t, 1), grams(t, 2)), lambda x: F.xxhash64(x))
+
+
 def cover_join(texts: DataFrame, needles: DataFrame, text: str, needle: str,
-               max_broadcast_bytes: int = 64 << 20, max_broadcast_rows: int = 2_000_000,
-               chunk_col: str | None = None) -> DataFrame:
-    """Rows of ``texts x needles`` with ``contains(texts.text, needles.needle)``.
+               text_id: str, needle_id: str) -> DataFrame:
+    """Rows of ``texts x needles`` with ``contains(texts.text, needles.needle)``, as equi-joins.
 
-    The needle side is measured first (one aggregate job). Under both limits it is
-    broadcast once; above them it is hash-split into ``ceil(size / limit)`` chunks,
-    each broadcast against the texts, and the chunk results are unioned.
+    Each needle is keyed by the rarest of its keys (see :func:`_needle_keys`), counted over all texts. Only the keys
+    that some needle has leave the texts, as hashes with the text's id; candidate
+    pairs are then verified on the strings. Ids are unique on their side. The empty needle is in
+    every text and needs no join to be found.
     """
-    stats = needles.agg(F.count(F.lit(1)).alias("rows"),
-                        F.sum(F.length(F.col(needle)).cast("long")).alias("chars")).first()
-    rows, chars = int(stats["rows"] or 0), int(stats["chars"] or 0)
-    approx_bytes = 4 * chars + 64 * rows
-    n_chunks = max(1, math.ceil(approx_bytes / max_broadcast_bytes),
-                   math.ceil(rows / max_broadcast_rows))
-    cond = F.col(text).contains(F.col(needle))
-    # Each text row is checked against every needle: make sure all cores take part.
-    texts = spread(texts)
-    if n_chunks == 1:
-        return texts.join(F.broadcast(needles), cond, "inner")
-    key = F.pmod(F.xxhash64(F.col(chunk_col or needle)), F.lit(n_chunks))
-    parts = [texts.join(F.broadcast(needles.where(key == i)), cond, "inner")
-             for i in range(n_chunks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n = needles.where(F.col(needle).isNotNull())
+    kind, keys = _needle_keys(F.col(needle))
+    keyed = n.where(F.length(needle) > 0).select(F.col(needle_id), kind.alias("kind"), F.explode(F.array_distinct(keys)).alias("key"))
+    kinds = sorted(r["kind"] for r in keyed.select("kind").distinct().collect())  # four at most
+    t = texts.where(F.col(text).isNotNull())
+    pairs = None
+    wanted = materialize(keyed, "needle-keys")
+    for k in kinds:
+        own = wanted.where(F.col("kind") == k)
+        seen = materialize(t.select(F.col(text_id), F.explode(_text_keys(F.col(text), k)).alias("key"))
+                           .join(own.select("key").distinct(), "key", "left_semi"), "text-keys")
+        counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        # a needle with a key that no text has is in none
+        rarest = (own.join(counts, "key", "left").groupBy(needle_id)
+                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+                  .where("k.n > 0").select(needle_id, F.col("k.key").alias("key")))
+        found = seen.join(rarest, "key").select(text_id, needle_id)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if n.where(F.length(needle) == 0).limit(1).count():
+        blank = n.where(F.length(needle) == 0).select(needle_id)
+        ids = salted_join(t.select(text_id, F.lit(1).alias("one")), blank.withColumn("one", F.lit(1)), "one", text_id, 64).drop("one")
+        pairs = ids if pairs is None else pairs.unionByName(ids)
+    if pairs is None:
+        return t.join(n, F.lit(False))
+    return (pairs.join(t, text_id).join(n, needle_id).where(F.col(text).contains(F.col(needle)))
+            .select(*texts.columns, *needles.columns))

@@ -7,8 +7,9 @@ Design (no collect to the driver, no all-pairs join):
   ``(bq, bc)`` holds one question block and one passage block. Blocks are sized from
   row counts so a cell always fits in one Python worker, whatever the table size.
 * ``cogroup(...).applyInPandas`` scores a cell with one NumPy matrix product per
-  passage sub-chunk and keeps a local top-k per question (ties kept at the cut so
-  the global order stays exact).
+  passage sub-chunk. The product's last bits depend on its shape, so it only picks
+  candidates within a small margin of the k-th score; these are scored pair by pair in
+  a fixed order, and ranked on that. Results don't depend on the blocks.
 * The global cut is a ``row_number()`` window per question; Catalyst plans it as a
   partial + final ``WindowGroupLimit`` around the exchange, so only ``k`` rows per
   question and cell cross the network. Each question has at most ``k * bc`` rows
@@ -27,27 +28,33 @@ from pyspark.sql import types as T
 
 from ..session import ship_code
 
-# Scores are computed in float64 on sub-blocks of at most _Q_STEP questions x
-# _C_STEP passages, so the score matrix of one step stays near 16M entries (128 MB).
-_Q_STEP = 8192
-_SCORE_ENTRIES = 16_000_000
-
-
-def _running_topk(keys, ranks, kk):
-    """Indices of the ``kk`` best entries per row: smallest ``keys``, ties broken by
-    largest ``ranks``. Exact: rows whose boundary ties are cut arbitrarily by
-    ``argpartition`` are re-selected with a full lexicographic sort."""
-    width = keys.shape[1]
-    if width <= kk:
-        return np.broadcast_to(np.arange(width), keys.shape).copy()
-    part = np.argpartition(keys, kk - 1, axis=1)[:, :kk]
-    picked = np.take_along_axis(keys, part, 1)
-    kth = picked.max(axis=1)
-    ties_all = (keys == kth[:, None]).sum(axis=1)
-    ties_sel = (picked == kth[:, None]).sum(axis=1)
-    for row in np.nonzero(ties_all != ties_sel)[0]:
-        part[row] = np.lexsort((-ranks[row], keys[row]))[:kk]
-    return part
+# One step scores a few questions against a few passages; its score matrix has at most
+# this many entries (32 MB), and about four arrays of that size live at a time.
+_SCORE_ENTRIES = 4_000_000
+_Q_STEP = 2048
+# Pairs whose product is within this share of the k-th score are scored again, pair by pair.
+_MARGIN = 1e-9
+
+
+def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of row pairs, each from its own two vectors in a fixed order, so that they
+    don't depend on the blocks that the pair was found in."""
+    dot = (q * c).sum(axis=1)
+    if metric == "dot":
+        return dot
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return dot / np.sqrt((q * q).sum(axis=1) * (c * c).sum(axis=1))
+
+
+def _best(row: np.ndarray, score: np.ndarray, place: np.ndarray, order: np.ndarray, k: int):
+    """The ``k`` best candidates of each row: larger score first (NaN above all), then larger id."""
+    key = np.where(np.isnan(score), -np.inf, -score)
+    turn = np.lexsort((-order, key, row))
+    row = row[turn]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    turn = turn[nth < k]
+    return row[nth < k], score[turn], place[turn], order[turn]
 
 
 def _cell_topk(k: int, metric: str, exclude_self: bool, nan_score):
@@ -60,51 +67,64 @@ def _cell_topk(k: int, metric: str, exclude_self: bool, nan_score):
         c = np.stack(cpdf["vec"].to_numpy()).astype(np.float64, copy=False)
         qids = qpdf["qid"].to_numpy()
         dids = cpdf["doc_id"].to_numpy()
-        # Tie-break order of passages: position of the id in ascending id order.
-        drank = np.empty(len(dids), dtype=np.int64)
-        drank[np.argsort(dids, kind="stable")] = np.arange(len(dids))
+        by_id = np.argsort(dids, kind="stable")
+        drank = np.empty(len(dids), dtype=np.int64)  # tie-break order: place in ascending id order
+        drank[by_id] = np.arange(len(dids))
+        own = np.full(len(qids), -1)  # where a question's own id stands among the passages
+        if exclude_self:
+            at = np.minimum(np.searchsorted(dids[by_id], qids), len(dids) - 1)
+            own = np.where(dids[by_id][at] == qids, by_id[at], -1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            if metric == "cosine":
-                q = q / np.linalg.norm(q, axis=1, keepdims=True)
-                c = c / np.linalg.norm(c, axis=1, keepdims=True)
+            unit_q, unit_c = (x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x for x in (q, c))
         kk = min(k, len(dids))
-        c_step = max(256, _SCORE_ENTRIES // _Q_STEP)
-        out_q, out_d, out_s = [], [], []
-        for qs in range(0, len(q), _Q_STEP):
-            qb, qi = q[qs:qs + _Q_STEP], qids[qs:qs + _Q_STEP]
-            top_s = np.zeros((len(qb), 0))
-            top_c = np.zeros((len(qb), 0), dtype=np.int64)
+        q_step = min(len(q), _Q_STEP)
+        c_step = max(256, _SCORE_ENTRIES // q_step)
+        out = []
+        for qs in range(0, len(q), q_step):
+            n = min(q_step, len(q) - qs)
+            row, place, order = (np.zeros(0, np.int64) for _ in range(3))
+            score = np.zeros(0)
+            floor = np.full(n, -np.inf)  # the k-th score so far
             for cs in range(0, len(c), c_step):
                 with np.errstate(invalid="ignore"):
-                    sc = qb @ c[cs:cs + c_step].T
+                    sc = unit_q[qs:qs + n] @ unit_c[cs:cs + c_step].T
+                width = sc.shape[1]
+                mine = np.flatnonzero((own[qs:qs + n] >= cs) & (own[qs:qs + n] < cs + width))
+                sc[mine, own[qs:qs + n][mine] - cs] = -np.inf
+                undefined = np.isnan(sc)
+                if undefined.any():
+                    sc[undefined] = np.inf if nan_score is None else nan_score
+                if width > kk:
+                    kth = np.partition(sc, width - kk, axis=1)[:, width - kk]
+                    floor = np.maximum(floor, kth)
+                near = sc >= (floor - _MARGIN * np.maximum(np.abs(floor), 1.0) if np.isfinite(floor).any() else floor)[:, None]
+                r, p = np.nonzero(near & (sc > -np.inf))
+                s = np.empty(len(r))
+                for i in range(0, len(r), 65536):
+                    a, b = r[i:i + 65536], p[i:i + 65536]
+                    s[i:i + 65536] = _exact(q[qs + a], c[cs + b], metric)
                 if nan_score is not None:
-                    sc[np.isnan(sc)] = nan_score
-                if exclude_self:
-                    sc[qi[:, None] == dids[None, cs:cs + c_step]] = -np.inf
-                cols = np.broadcast_to(np.arange(cs, cs + sc.shape[1]), sc.shape)
-                all_s = np.concatenate([top_s, sc], axis=1)
-                all_c = np.concatenate([top_c, cols], axis=1)
-                # Sort key: larger score first; NaN ranks above every number (as in Spark).
-                key = np.where(np.isnan(all_s), -np.inf, -all_s)
-                sel = _running_topk(key, drank[all_c], kk)
-                top_s = np.take_along_axis(all_s, sel, 1)
-                top_c = np.take_along_axis(all_c, sel, 1)
-            keep = top_s != -np.inf
-            rows = np.nonzero(keep)
-            out_q.append(qi[rows[0]])
-            out_d.append(dids[top_c[keep]])
-            out_s.append(top_s[keep])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                             "score": np.concatenate(out_s)})
+                    s[np.isnan(s)] = nan_score
+                row, score, place, order = _best(np.append(row, r), np.append(score, s), np.append(place, p + cs),
+                                                 np.append(order, drank[p + cs]), kk)
+                full = np.bincount(row, minlength=n) == kk
+                last = np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1) if len(row) else np.zeros(0, int)
+                kept = np.full(n, -np.inf)
+                kept[row[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+                floor = np.where(full, np.maximum(floor, kept), floor)
+            out.append((qids[qs + row], dids[place], score))
+        return pd.DataFrame({"qid": np.concatenate([x[0] for x in out]), "doc_id": np.concatenate([x[1] for x in out]),
+                             "score": np.concatenate([x[2] for x in out])})
     return run
 
 
 def plan_blocks(n_queries: int, n_docs: int, dim: int, parallelism: int,
-                cell_bytes: int = 512 << 20) -> tuple[int, int]:
+                cell_bytes: int = 128 << 20) -> tuple[int, int]:
     """Block counts ``(bq, bc)`` for the scoring cells.
 
     A cell holds one question block and one passage block as float64 matrices within
-    ``cell_bytes``. Questions take what they need, at most half; passages get the rest.
+    ``cell_bytes``; pandas, stacked and unit-length copies make about four times that
+    in a Python worker. Questions take what they need, at most half; passages get the rest.
     Fewer, larger blocks mean less replication (questions are copied ``bc`` times,
     passages ``bq`` times), so blocks are as large as the budget allows, with at least
     ``parallelism`` cells so every core works. Passages are only replicated when the
@@ -135,7 +155,7 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
                 qid: str = "qid", doc_id: str = "doc_id",
                 query_vec: str = "embedding", doc_vec: str = "embedding",
                 metric: str = "cosine", exclude_self: bool = True, nan_score: float | None = -1.0,
-                blocks: tuple[int, int] | None = None, cell_bytes: int = 512 << 20) -> DataFrame:
+                blocks: tuple[int, int] | None = None, cell_bytes: int = 128 << 20) -> DataFrame:
     """Exact top-k passages per question -> ``(qid, doc_id, score double, rank int)``.
 
     ``rank`` is 1-based in the total order (score desc, doc_id desc). ``exclude_self``
@@ -158,24 +178,21 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, *,
         nq, nc, dim = _sizes(q, c)
         blocks = plan_blocks(nq, nc, dim, cores, cell_bytes)
     bq, bc = blocks
+    # A partition is a cell: rows go straight to the partition that their cell's number names, so
+    # no task gets two cells while another gets none, and the number of tasks grows with the cells.
+    cell = (F.col("bq") * bc + F.col("bc")).cast("int")
     qb = (q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
-          .withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
+          .withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
+          .select("qid", "vec", cell.alias("cell")).repartitionById(bq * bc, "cell"))
     cb = (c.withColumn("bc", F.pmod(F.xxhash64("doc_id"), F.lit(bc)).cast("int"))
-          .withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    # One explicit partition count for both sides: the cogroup reuses this hash
-    # partitioning and AQE does not merge the CPU-heavy cells into fewer tasks. With
-    # many cells, each task scores several of them and the partial top-k cut before
-    # the exchange keeps k rows per question per task, not per cell.
-    n_part = max(cores, min(bq * bc, 4 * cores))
-    qb = qb.repartition(n_part, "bq", "bc")
-    cb = cb.repartition(n_part, "bq", "bc")
+          .withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+          .select("doc_id", "vec", cell.alias("cell")).repartitionById(bq * bc, "cell"))
     schema = T.StructType([
         T.StructField("qid", q.schema["qid"].dataType),
         T.StructField("doc_id", c.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    local = (qb.groupBy("bq", "bc")
-             .cogroup(cb.groupBy("bq", "bc"))
+    local = (qb.groupBy("cell").cogroup(cb.groupBy("cell"))
              .applyInPandas(_cell_topk(k, metric, exclude_self, nan_score), schema))
     return rank_within(local, "qid", k)
 
@@ -189,29 +206,42 @@ def rank_within(scored: DataFrame, key: str, k: int | None) -> DataFrame:
     return out
 
 
+def _vector_sums(df: DataFrame, key: str, vector: str, mask: str | None) -> DataFrame:
+    """``(key, n, s)``: number and sum of the unmasked vectors of a key in each Arrow batch."""
+    keep = F.col(vector).isNotNull()
+    if mask is not None:
+        keep = keep & (F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) != 0)
+    rows = df.select(F.col(key).alias("k"), F.when(keep, F.col(vector).cast("array<double>")).alias("v"))
+    ship_code(df.sparkSession)
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("n", T.LongType()),
+                           T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, own in b.groupby("k", dropna=False, sort=False):
+                vs = own["v"].dropna()
+                out.append((None if pd.isna(k) else k, len(vs), np.sum(np.stack(vs.to_numpy()), axis=0) if len(vs) else None))
+            yield pd.DataFrame(out, columns=["k", "n", "s"])
+
+    return rows.mapInPandas(run, schema)
+
+
 def mean_pool_long(df: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
-    """Masked mean of vectors per ``key`` -> ``(key, dim, value)``; all-masked -> null.
+    """Masked mean of vectors per ``key`` -> ``(key, dim, value)``; an all-masked key has no rows.
 
-    A grouped aggregate with map-side partial averaging, so a hot key costs one
-    partial row per (task, dim) and never gathers its rows in one place.
+    Vectors are summed whole, batch by batch; only these sums are taken apart, and added by a
+    grouped aggregate with map-side partial sums. A hot key never gathers its rows in one place.
     """
-    cols = [F.col(key)]
-    v = F.col("value").cast("double")
-    if mask is not None:
-        cols.append(F.col(mask).alias("_mask"))
-    exploded = df.select(*cols, F.posexplode(vector).alias("dim", "value"))
-    if mask is not None:
-        v = F.when(F.coalesce(F.col("_mask"), F.lit(0)) != 0, v)
-    return exploded.groupBy(key, "dim").agg(F.avg(v).alias("value"))
+    each = _vector_sums(df, key, vector, mask).where("n > 0").select("k", "n", F.posexplode("s").alias("dim", "x"))
+    total = each.groupBy("k", "dim").agg((F.sum("x") / F.sum("n")).alias("value"))
+    return total.select(F.col("k").alias(key), "dim", "value")
 
 
 def mean_pool(df: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
-    """Masked mean vector per ``key`` -> ``(key, vector array<double>)``."""
-    long = mean_pool_long(df, key, vector, mask)
+    """A1: masked mean vector per ``key`` -> ``(key, vector array<double>)``; all-masked -> null."""
     # One row per dimension per key: the collected array is bounded by the vector width.
-    agg = long.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_dims"),
-        F.count(F.col("value")).alias("_n"))
-    return agg.select(
-        key,
-        F.when(F.col("_n") > 0, F.transform("_dims", lambda d: d["value"])).alias(vector))
+    means = mean_pool_long(df, key, vector, mask).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_dims"))
+    return df.select(key).distinct().join(means, key, "left").select(
+        key, F.transform("_dims", lambda d: d["value"]).alias(vector))

@@ -1,21 +1,19 @@
 """Reproducible sampling without replacement, and prompt-order shuffling.
 
-Definition (independent of partitioning and of how many draws are generated): for a
-request ``r`` the pool rows carry a dense index ``idx`` in ``0..N-1``. Draw ``j``
-(``j = 0, 1, 2, ...``) points at ``idx = keyed_hash(seed, request keys, j) % N``. A draw
-is accepted when its index has not been drawn before for ``r`` and the pool row is
-not excluded for ``r``. The sample is the first ``need`` accepted draws, in draw
-order, or every available row when fewer than ``need`` are available (the sequence
-then exhausts the pool). This is uniform sampling without replacement.
-
-Execution: each request gets a budget of draws (``2 * need + 16`` first). A request's
-draws are generated and deduplicated on its own row (``array_distinct`` keeps the first
-draw of each index, in draw order), exploded, equi-joined to the pool on ``idx``,
-filtered by the exclusions, and cut with a per-request ``row_number``
-(at most ``budget`` rows per request, so no window partition is hot). Requests that
-are still short and have not seen every index get 4x the budget in the next round.
-Each round's picks are written to the shared checkpoint folder, so no round is
-recomputed and lineage stays short. No Q x N join is ever formed.
+Definition (independent of partitioning and of how many draws are generated): pool rows
+carry a dense index ``idx`` in ``0..N-1``. A request's draws ``j = 0, 1, 2, ...`` run through
+a keyed permutation of ``0..M-1``, M being the power of four at or above N: a four-round
+Feistel network over ``(seed, request keys)``. Draws that land at N or above hit nothing. The
+sample is the first ``need`` draws that hit a pool row which is not excluded for the request, or every
+available row if there are fewer. No index comes twice, so nothing has to be deduplicated.
+
+Execution: requests are written once. What is available to each of them (pool size less
+excluded groups and rows, by equi-joins) is known before any draw, so ``need`` is
+cut to it and a request that cannot be filled costs nothing. A first range of draws is generated that
+fills nearly every request, as rows in blocks of bounded size, and equi-joined
+to the pool on ``idx``; exclusions are equi anti-joins. Requests that are still short go on with the
+next, four times longer range. Each range's picks are written to the shared
+checkpoint folder. No Q x N join is ever formed.
 """
 
 from __future__ import annotations
@@ -26,7 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
-from ..session import materialize, spread
+from ..session import materialize
+
+_ROUNDS, _STEP = 4, 4096
 
 
 def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tuple[DataFrame, int]:
@@ -57,90 +57,112 @@ def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tupl
     return out, run
 
 
-def _draw_indices(keys: list[str], budget: Column, seed: int, n_pool: int) -> Column:
-    """Distinct pool indices of a request's draws ``0 .. budget-1``, in draw order.
+def permuted(j: Column, half: int, seed: int, keys: Sequence[str]) -> Column:
+    """Place of ``j`` in the keyed permutation of ``0 .. 4**half - 1`` (Feistel network on two
+    halves of ``half`` bits)."""
+    mask = F.lit((1 << half) - 1).cast("long")
+    left, right = F.shiftright(j, half), j.bitwiseAND(mask)
+    for r in range(_ROUNDS):
+        left, right = right, left.bitwiseXOR(keyed_hash(F.lit(seed), *keys, F.lit(r), right).bitwiseAND(mask))
+    return F.shiftleft(left, half).bitwiseOR(right)
 
-    All draws of a request come from its own row, so they are deduplicated there:
-    ``array_distinct`` keeps first occurrences, i.e. the smallest draw per index.
-    """
-    seq = F.sequence(F.lit(0), budget - 1)
-    return F.array_distinct(F.transform(
-        seq, lambda j: F.pmod(keyed_hash(F.lit(seed), *keys, j), F.lit(n_pool))))
-
-
-def _one_round(pending: DataFrame, pool: DataFrame, n_pool: int, keys: list[str],
-               carry: list[str], budget: Column, seed: int, exclude: DataFrame | None,
-               exclude_on: list[str], exclude_if: Column | None) -> DataFrame:
-    """One round of draws for the pending requests -> picked rows (written out)."""
-    idxs = _draw_indices(keys, budget, seed, n_pool)
-    first = pending.select(*keys, "need", *carry, F.posexplode(idxs).alias("j", "idx"))
-    cand = first.join(pool, "idx")
-    if exclude is not None:
-        cand = cand.join(exclude.select(*keys, *exclude_on).distinct(), keys + exclude_on,
-                         "left_anti")  # J7
-    if exclude_if is not None:
-        cand = cand.where(~F.coalesce(exclude_if, F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy("j")
-    picked = (cand.withColumn("draw", F.row_number().over(w))
-              .where(F.col("draw") <= F.col("need")))
-    return materialize(picked, "picks")
+
+def half_bits(n_pool: int) -> int:
+    """Bits of each half, so that the permutation covers the pool (1 at least)."""
+    half = 1
+    while 4**half < n_pool:
+        half += 1
+    return half
+
+
+def _draws(pending: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each draw ``lo <= j < hi`` of a request, generated in blocks of 4096 blocks of
+    4096 and so on: no array grows with the pool."""
+    out = pending
+    for level in (_STEP**2, _STEP, 1):
+        span = level * _STEP
+        count = F.ceil((F.least(F.col("hi"), F.col("lo") + span) - F.col("lo")) / level)
+        if level == _STEP**2:
+            count = F.ceil((F.col("hi") - F.col("lo")) / level)
+        out = (out.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+               .withColumn("lo", F.col("lo") + F.col("_b") * level)
+               .withColumn("hi", F.least("hi", F.col("lo") + level)).drop("_b"))
+    return out.select(*columns, F.col("lo").alias("j"))
 
 
 def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int, *,
                                keys: Sequence[str], need: str = "need", seed: int = 42,
                                exclude: DataFrame | None = None,
                                exclude_on: Sequence[str] = ("doc_id",),
-                               exclude_if: Column | None = None,
-                               carry: Sequence[str] = (), max_rounds: int = 30) -> DataFrame:
+                               exclude_groups: DataFrame | None = None,
+                               group: str | None = None) -> DataFrame:
     """Sample ``need`` pool rows per request (see module docstring for the definition).
 
-    ``requests``: unique ``keys`` + ``need`` (+ ``carry`` columns used by ``exclude_if``).
+    ``requests``: unique ``keys`` + ``need``.
     ``pool``: dense ``idx`` + pool columns (from :func:`dense_index`).
-    ``exclude``: explicit ``(keys, exclude_on)`` rows to skip (anti-join, J7).
-    ``exclude_if``: a row predicate over request and pool columns (e.g. gold check).
-    Output: request keys, ``carry`` columns, pool columns, ``j`` and 1-based ``draw``.
+    ``exclude``: explicit ``(keys, exclude_on)`` rows to skip (J7); ``exclude_on`` names pool rows uniquely.
+    ``exclude_groups``: rows ``(some of keys, group)``: pool rows whose column ``group`` has
+    that value are skipped (e.g. gold titles or labels). Null groups are never excluded.
+    Output: request keys, pool columns, ``j`` and 1-based ``draw``.
     """
-    keys, carry, exclude_on = list(keys), list(carry), list(exclude_on)
-    # Each request expands to many hashed draws: start from enough partitions.
-    pending = spread(requests.select(*keys, F.col(need).cast("int").alias("need"), *carry).where(
-        F.col("need") > 0))
+    keys, exclude_on = list(keys), list(exclude_on)
+    asked = requests.select(*keys, F.col(need).cast("long").alias("need")).where("need > 0")
     if n_pool == 0:
-        return _empty_result(pending, pool, keys, carry)
-    budget = F.col("need") * 2 + 16
-    scale = 1
+        return _empty_result(asked, pool, keys)
+    lost = []
+    if exclude_groups is not None:
+        by = [k for k in keys if k in exclude_groups.columns]
+        banned = materialize(exclude_groups.select(*by, group).where(F.col(group).isNotNull()).distinct(), "banned")
+        sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+        lost.append((by, banned.join(sizes, group).groupBy(*by).agg(F.sum("_n").alias("_lost"))))
+    if exclude is not None:
+        used = materialize(exclude.select(*keys, *exclude_on).distinct(), "used")
+        known = used.join(pool.select(*exclude_on, *([group] if group and group not in exclude_on else [])), exclude_on)
+        if exclude_groups is not None:
+            known = known.join(banned, [*by, group], "left_anti")
+        lost.append((keys, known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lost"))))
+    asked = asked.withColumn("available", F.lit(n_pool).cast("long"))
+    for on, counts in lost:
+        asked = asked.join(counts, on, "left").withColumn(
+            "available", F.col("available") - F.coalesce("_lost", F.lit(0))).drop("_lost")
+    asked = asked.withColumn("need", F.least("need", "available")).where("need > 0")
+    half = half_bits(n_pool)
+    space = 4**half
+    # draws that fill a request but for rare bad luck
+    enough = F.ceil((F.col("need") + 4 * F.sqrt("need") + 4) * F.lit(space) / F.col("available"))
+    pending = materialize(asked.withColumns({
+        "lo": F.lit(0).cast("long"), "hi": F.least(enough, F.lit(space).cast("long")), "got": F.lit(0).cast("long")}), "requests")
     outputs = []
-    for _ in range(max_rounds):
-        picked = _one_round(pending, pool, n_pool, keys, carry, budget * scale, seed,
-                            exclude, exclude_on, exclude_if)
-        # No request gets more than it needs, so equal totals mean every request is
-        # filled: two plain counts settle the common case without a status join.
-        total_need = pending.agg(F.sum("need")).first()[0] or 0
-        if picked.count() == total_need:
-            outputs.append(picked)
-            break
-        got = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_got"))
-        # Exhausted: every pool index was drawn (recomputed on the request row).
-        n_seen = F.size(_draw_indices(keys, budget * scale, seed, n_pool))
-        status = (pending.join(got, keys, "left")
-                  .withColumn("done", (F.coalesce("n_got", F.lit(0)) >= F.col("need"))
-                              | (n_seen >= n_pool)))
-        outputs.append(picked.join(status.where("done").select(*keys), keys, "left_semi"))
-        pending = status.where(~F.col("done")).select(*keys, "need", *carry)
-        if pending.isEmpty():
+    while True:
+        drawn = _draws(pending, [*keys, "need", "got"]).withColumn(
+            "idx", permuted(F.col("j"), half, seed, keys))
+        hits = drawn.where(F.col("idx") < n_pool).join(pool, "idx")
+        if exclude is not None:
+            hits = hits.join(used, [*keys, *exclude_on], "left_anti")  # J7
+        if exclude_groups is not None:
+            hits = hits.join(banned, [*by, group], "left_anti")
+        w = Window.partitionBy(*keys).orderBy("j")
+        picked = materialize(hits.withColumn("draw", (F.col("got") + F.row_number().over(w)).cast("int"))
+                             .where(F.col("draw") <= F.col("need")), "picks")
+        outputs.append(picked)
+        # no request gets more than it needs: equal totals mean that all are filled
+        if picked.count() == (pending.agg(F.sum(F.col("need") - F.col("got"))).first()[0] or 0):
             break
-        scale *= 4
-    else:
-        raise RuntimeError("sampling did not finish; raise max_rounds")
+        now = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_now"))
+        pending = materialize(
+            pending.join(now, keys, "left").withColumn("got", F.col("got") + F.coalesce("_now", F.lit(0)))
+            .where("got < need").withColumn("lo", F.col("hi"))
+            .withColumn("hi", F.least(F.col("hi") * 5, F.lit(space).cast("long"))).drop("_now"), "requests")
     out = outputs[0]
     for o in outputs[1:]:
         out = out.unionByName(o)
-    return out.drop("need")
+    return out.drop("need", "got")
 
 
-def _empty_result(pending, pool, keys, carry):
+def _empty_result(asked, pool, keys):
     pool_cols = [F.lit(None).cast(f.dataType).alias(f.name) for f in pool.schema.fields]
-    return (pending.select(*keys, *carry, *pool_cols, F.lit(0).alias("j"),
-                           F.lit(0).alias("draw")).limit(0))
+    return (asked.select(*keys, *pool_cols, F.lit(0).cast("long").alias("j"),
+                         F.lit(0).alias("draw")).limit(0))
 
 
 def exclude_docs(rows: DataFrame, exclusions: DataFrame, keys: Sequence[str],

@@ -6,11 +6,16 @@ Common inputs:
 * ``query_vectors`` / ``passage_vectors``: ``(qid, embedding)`` / ``(doc_id, embedding)``
   (produce them with :func:`ctxmix.operators.inference.encode` or load them, S7)
 * ``passages``: ``(doc_id, title, text)``
+* ``run``: a stored run ``(qid, doc_id, rank, score, title, text)``; a row's position among its
+  question's rows counts, not the value of ``rank``, which has gaps where unknown ids were dropped
+* ``asked``: ``(qid)`` of the questions that a stored run was made for; questions without
+  any row in the run are asked with no contexts. Without it the run's own questions are asked.
 * ``generator``: a factory for :func:`ctxmix.operators.inference.generate`
 
 Each job returns ``(predictions, metrics)``: scored prediction rows keyed by
-``(experiment, variant, qid)`` and one metrics row per variant. Variants are rows,
-so every ratio / k / config of a sweep shares one retrieval and one generation pass.
+``(experiment, variant, qid)`` and one metrics row per variant. Predictions are narrow; pass
+``wide=True`` to get contexts and prompts attached. Variants are rows, so every
+ratio / k / config of a sweep shares one retrieval and one generation pass.
 """
 
 from __future__ import annotations
@@ -28,20 +33,35 @@ from ..operators import retrieval as R
 from ..operators import sampling as SM
 from ..operators import scoring as S
 from ..session import materialize
+from ..sources import io as IO
 
 CTX_FIELDS = ["doc_id", "title", "text", "score", "role"]
 ROLES = ("gold", "hard_negative", "relevant", "random", "topk", "oracle")
 EXPERIMENT_ORDER = ("oracle", "baseline", "random_negatives", "hard_negatives")
 
 
+def percent(prefix: str, ratio: float) -> str:
+    """``prefix_25pct``; a ratio that is no whole percent is written out, so no two share a name."""
+    pct = round(ratio * 100, 9)
+    return f"{prefix}_{int(pct)}pct" if pct == int(pct) else f"{prefix}_{pct:g}pct".replace(".", "p")
+
+
+def _named(variants: Sequence[dict]) -> list[dict]:
+    names = [v["variant"] for v in variants]
+    if len(set(names)) < len(names):
+        raise ValueError(f"variants share a name: {names}")
+    return list(variants)
+
+
 def finish(contexts: DataFrame, records: DataFrame, experiment: str,
            generator: Callable, gold: DataFrame | None, seed: int = 42,
-           shuffle: bool = True) -> tuple[DataFrame, DataFrame]:
+           shuffle: bool = True, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Shared tail: shuffle (R3) -> collect (A4) -> prompt (P8) -> generate
     -> gold answers (J4) -> score (F8) -> evaluate (A2).
 
     ``contexts``: long ``(variant, qid, doc_id, title, text, score, role, ord)``;
     ``records``: one row per ``(variant, qid, question)`` that must produce a prediction.
+    Prompts are written once; answers are joined to narrow rows, by the prompt's hash.
     """
     keys = ["variant", "qid"]
     ctx = contexts.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -54,42 +74,50 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     # A3 from the prompt's own context array: no second pass over the contexts.
     for r in ROLES:
         rec = rec.withColumn(f"num_{r}", F.size(F.filter("contexts", lambda c: c["role"] == r)))
-    # Prompts feed both the deduplicated model call and the join of answers back to
-    # records: write them once instead of re-running the passage joins.
-    rec = materialize(rec.withColumn("prompt", build_prompt("question", "contexts")), "prompts")
-    rec = I.generate(rec, generator)
+    rec = rec.withColumn("prompt", build_prompt("question", "contexts")).withColumn("prompt_hash", F.sha2("prompt", 256))
+    store = materialize(rec, "prompts")
+    narrow = store.drop("contexts", "prompt", "question")
+    answers = I.answer(store.select("prompt_hash", "prompt"), generator)
+    out = narrow.join(answers, "prompt_hash", "left")
     if gold is not None:
-        rec = C.attach_gold_answers(rec, gold)
-    elif "gold_answer" not in rec.columns:
-        rec = rec.withColumn("gold_answer", F.lit("")).withColumn("has_gold", F.lit(False))
-    scored = S.score_answers(rec).withColumn("experiment", F.lit(experiment))
+        out = C.attach_gold_answers(out.drop("gold_answer"), gold)
+    elif "gold_answer" not in out.columns:
+        out = out.withColumn("gold_answer", F.lit("")).withColumn("has_gold", F.lit(False))
+    scored = materialize(S.score_answers(out).withColumn("experiment", F.lit(experiment)), "scored")
     variants = records.select("variant").distinct().withColumn("experiment", F.lit(experiment))
     metrics = S.evaluate(scored, ("experiment", "variant"), variants)
+    if wide:
+        scored = scored.join(store.select(*keys, "question", "contexts", "prompt"), keys)
     return scored, metrics
 
 
+def _asked(questions: DataFrame, run: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """The questions that the run was made for, with or without rows in it."""
+    return C.keep_all_questions(questions, run if asked is None else asked)
+
+
 def baseline_topk(questions, query_vectors, passage_vectors, passages, generator,
-                  ks: Sequence[int] = (1, 3, 5), gold: DataFrame | None = None):
+                  ks: Sequence[int] = (1, 3, 5), gold: DataFrame | None = None, wide: bool = False):
     """Retrieve once at max(k); each k is a variant; contexts in rank order."""
     run = materialize(R.topk_cosine(query_vectors, passage_vectors, max(ks)))
-    variants = [{"variant": f"top{k}", "k": k} for k in ks]
+    variants = _named([{"variant": f"top{k}", "k": k} for k in ks])
     picked = C.top_k_slice(C.with_variants(C.top_k_slice(run, max(ks)), variants), "k")
     ctx = C.attach_passages(picked, passages).withColumn("role", F.lit("topk")) \
         .withColumn("ord", F.col("rank"))
-    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
+    recs = C.with_variants(_asked(questions, run, query_vectors.where(F.col("embedding").isNotNull())).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])
-    return finish(ctx, recs, "baseline", generator, gold, shuffle=False)
+    return finish(ctx, recs, "baseline", generator, gold, shuffle=False, wide=wide)
 
 
 def random_negatives(questions, query_vectors, passage_vectors, passages, generator, *,
                      gold_titles: DataFrame, total: int = 5,
                      ratios: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), k_retrieval: int = 100,
-                     gold: DataFrame | None = None, seed: int = 42):
+                     gold: DataFrame | None = None, seed: int = 42, wide: bool = False):
     """Top ``n_keep`` retrieved + ``n_noise`` random passages that are neither gold
-    (substring title rule, checked on each drawn row) nor already used."""
+    (substring title rule) nor already used."""
     run = materialize(R.topk_cosine(query_vectors, passage_vectors, k_retrieval))
-    variants = [dict(v, variant=f"random_noise_{int(v['ratio'] * 100)}pct")
-                for v in C.ratio_variants(ratios, total)]
+    variants = _named([dict(v, variant=percent("random_noise", v["ratio"]))
+                       for v in C.ratio_variants(ratios, total)])
     vsel = [{k: v[k] for k in ("variant", "n_keep", "n_noise")} for v in variants]
     keep_max = max(v["n_keep"] for v in vsel)
     relevant = C.attach_passages(
@@ -98,61 +126,64 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     relevant = materialize(relevant.select("variant", "qid", "doc_id", "title", "text", "score",
                                            F.col("rank").alias("ord"),
                                            F.lit("relevant").alias("role")), "relevant")
-    pool, n_pool = SM.dense_index(passages.select("doc_id", "title"), ["doc_id"])
-    asked = C.keep_all_questions(questions, run).select("qid", "question")
-    requests = (C.with_variants(asked.select("qid").join(gold_titles, "qid", "left"), vsel)
-                .withColumnRenamed("n_noise", "need"))
+    pool, n_pool = SM.dense_index(passages.select("doc_id", G.lower_title("title").alias("ltitle")), ["doc_id"])
+    asked = materialize(_asked(questions, run, query_vectors.where(F.col("embedding").isNotNull())).select("qid", "question"), "asked")
+    requests = C.with_variants(asked.select("qid"), vsel).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
         requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
         exclude=relevant.select("variant", "qid", "doc_id"),
-        exclude_if=G.is_gold_substring("title", "gold_titles"), carry=["gold_titles"])
+        exclude_groups=G.gold_title_groups(gold_titles, passages), group="ltitle")
     rnd = (drawn.select("variant", "qid", "doc_id", "draw")
            .join(passages, "doc_id")
            .select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
                    F.col("draw").alias("ord"), F.lit("random").alias("role")))
     recs = C.with_variants(asked, [{"variant": v["variant"]} for v in vsel])
     return finish(C.mix_contexts(relevant, rnd), recs, "random_negatives", generator, gold,
-                  seed=seed)
+                  seed=seed, wide=wide)
 
 
-def random_from_run(run: DataFrame, questions, generator, *, total: int = 5,
-                    ratios: Sequence[float] = (0.0, 0.5, 1.0), num_questions: int | None = 200,
+def random_from_run(run: DataFrame, questions, generator, *, passages: DataFrame | None = None, total: int = 5,
+                    ratios: Sequence[float] = (0.0, 0.5, 1.0), num_questions: int | None = None,
                     band: tuple[int, int] = (50, 100), gold: DataFrame | None = None,
-                    seed: int = 42):
-    """Stored run (long, with title/text); first ``num_questions`` questions; random
-    contexts come from ranks ``band`` of every other question (duplicates kept)."""
-    variants = [{"variant": f"random_noise_{int(v['ratio'] * 100)}pct", "n_keep": v["n_keep"],
-                 "n_noise": v["n_noise"]} for v in C.ratio_variants(ratios, total)]
-    asked = C.keep_all_questions(questions, run)
+                    asked: DataFrame | None = None, seed: int = 42, wide: bool = False):
+    """Stored run; random contexts come from positions ``band`` of every other question
+    (duplicates kept). ``num_questions`` asks the first ones only (P2), by ``seq``.
+
+    Text is joined to the picks only: from ``passages`` if given, else from the run's own rows.
+    """
+    ids = materialize(C.renumber(run.select("qid", "doc_id", "score", "rank")), "positions")
+    variants = _named([{"variant": percent("random_noise", v["ratio"]), "n_keep": v["n_keep"],
+                        "n_noise": v["n_noise"]} for v in C.ratio_variants(ratios, total)])
+    ask = _asked(questions, run, asked)
     if num_questions is not None:
-        asked = C.first_n_questions(asked, num_questions, "seq")
-    asked = materialize(asked.select("qid", "question"))
+        ask = C.first_n_questions(ask, num_questions, "seq")
+    ask = materialize(ask.select("qid", "question"), "asked")
     keep_max = max(v["n_keep"] for v in variants)
-    mine = C.top_k_slice(run, keep_max).join(asked.select("qid"), "qid", "left_semi")
+    mine = C.top_k_slice(ids, keep_max).join(ask.select("qid"), "qid", "left_semi")
     relevant = C.top_k_slice(C.with_variants(mine, variants), "n_keep").select(
-        "variant", "qid", "doc_id", "title", "text", "score", F.col("rank").alias("ord"),
-        F.lit("relevant").alias("role"))
-    # The pool is indexed and sampled on ids only; text is joined back for the picks.
-    pool_rows = C.rank_band(run, *band).select(F.col("qid").alias("owner"),
-                                               F.col("rank").alias("owner_rank"))
-    pool, n_pool = SM.dense_index(pool_rows, ["owner", "owner_rank"])
-    requests = C.with_variants(asked.select("qid"), variants).withColumnRenamed("n_noise", "need")
-    drawn = SM.sample_without_replacement(requests, pool, n_pool, keys=["variant", "qid"],
-                                          seed=seed, exclude_if=F.col("owner") == F.col("qid"))
-    texts = run.select(F.col("qid").alias("owner"), F.col("rank").alias("owner_rank"),
-                       "doc_id", "title", "text")
-    rnd = drawn.join(texts, ["owner", "owner_rank"]).select(
-        "variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
-        F.col("draw").alias("ord"), F.lit("random").alias("role"))
-    recs = C.with_variants(asked, [{"variant": v["variant"]} for v in variants])
-    return finish(C.mix_contexts(relevant, rnd), recs, "random_negatives", generator, gold,
-                  seed=seed)
+        "variant", "qid", "doc_id", "score", F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
+    pool, n_pool = SM.dense_index(
+        C.rank_band(ids, *band).select(F.col("qid").alias("owner"), F.col("rank").alias("owner_rank"), "doc_id"),
+        ["owner", "owner_rank"])
+    requests = C.with_variants(ask.select("qid"), variants).withColumnRenamed("n_noise", "need")
+    drawn = SM.sample_without_replacement(
+        requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
+        exclude_groups=ask.select("qid", F.col("qid").alias("owner")), group="owner")
+    rnd = drawn.select("variant", "qid", "doc_id", F.lit(0.0).alias("score"), F.col("draw").alias("ord"), F.lit("random").alias("role"))
+    picks = C.mix_contexts(relevant, rnd)
+    if passages is None:  # a passage has one title and text, whichever row of the run shows it
+        wanted = picks.select("doc_id").distinct()
+        passages = run.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.max_by(F.struct("title", "text"), F.struct("qid", "rank")).alias("p")).select("doc_id", "p.*")
+    ctx = C.attach_passages(picks, passages)
+    recs = C.with_variants(ask, [{"variant": v["variant"]} for v in variants])
+    return finish(ctx, recs, "random_negatives", generator, gold, seed=seed, wide=wide)
 
 
 def hard_negatives(questions, query_vectors, passage_vectors, passages, generator, *,
                    gold_titles: DataFrame, total: int = 5,
                    ratios: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), k_retrieval: int = 100,
-                   min_quota: int = 1, gold: DataFrame | None = None, seed: int = 42):
+                   min_quota: int = 1, gold: DataFrame | None = None, seed: int = 42, wide: bool = False):
     """Substring-title gold on the ranked rows, first ``n_keep`` gold and first
     ``n_noise`` non-gold per ratio (``min_quota=1`` is the ratio path's rule)."""
     # Retrieval is materialized as ids; labelling needs titles only, and text is
@@ -160,50 +191,67 @@ def hard_negatives(questions, query_vectors, passage_vectors, passages, generato
     run = materialize(R.topk_cosine(query_vectors, passage_vectors, k_retrieval), "ranked")
     titled = C.attach_passages(run, passages.select("doc_id", "title"))
     labelled = G.split_gold_by_title(titled, gold_titles, how="substring")
-    variants = [dict(v, variant=f"hard_neg_{int(v['ratio'] * 100)}pct")
-                for v in C.ratio_variants(ratios, total, (min_quota,))]
+    variants = _named([dict(v, variant=percent("hard_neg", v["ratio"]))
+                       for v in C.ratio_variants(ratios, total, (min_quota,))])
     sel = C.select_gold_and_hard(labelled, variants, min_quota=min_quota)
     ctx = sel.join(passages.select("doc_id", "text"), "doc_id").select(
         "variant", "qid", "doc_id", "title", "text", "score", "ord", "role")
-    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
+    recs = C.with_variants(_asked(questions, run, query_vectors.where(F.col("embedding").isNotNull())).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])
-    return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed)
+    return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed, wide=wide)
 
 
 def hard_negatives_from_run(run: DataFrame, questions, generator, *, gold_titles: DataFrame,
                             configs: Sequence[tuple[int, int, int]] = (
                                 (5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)),
-                            gold: DataFrame | None = None, seed: int = 42):
+                            gold: DataFrame | None = None, asked: DataFrame | None = None, seed: int = 42, wide: bool = False):
     """Exact-title gold from a stored run, configs (k_gold, k_hard, mix_topk)."""
-    cfg = [{"variant": f"gold{g}_hard{h}" + (f"_top{m}" if m else ""), "k_gold": g,
-            "k_hard": h, "mix_topk": m} for g, h, m in configs]
-    labelled = G.split_gold_by_title(run, gold_titles, how="exact")
+    cfg = _named([{"variant": f"gold{g}_hard{h}" + (f"_top{m}" if m else ""), "k_gold": g,
+                   "k_hard": h, "mix_topk": m} for g, h, m in configs])
+    labelled = G.split_gold_by_title(C.renumber(run), gold_titles, how="exact")
     sel = C.select_config_mix(labelled, cfg)
     ctx = sel.select("variant", "qid", "doc_id", "title", "text", "score", "ord", "role")
-    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
+    recs = C.with_variants(_asked(questions, run, asked).select("qid", "question"),
                            [{"variant": c["variant"]} for c in cfg])
-    return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed)
+    return finish(ctx, recs, "hard_negatives", generator, gold, seed=seed, wide=wide)
 
 
-def oracle(questions: DataFrame, generator, num_samples: int | None = 1200):
-    """Gold sentences only (upper bound). ``questions`` nested (S1 schema)."""
+def oracle(questions: DataFrame, generator, num_samples: int | None = None, wide: bool = False):
+    """Gold sentences only (upper bound). ``questions`` nested (S1 schema); ``num_samples``
+    asks the first ones only (P2), by ``seq``."""
     q = questions if num_samples is None else C.first_n_questions(questions, num_samples, "seq")
     q = materialize(q)
     oc = G.oracle_contexts(q).withColumn("variant", F.lit("oracle_gold_only")) \
         .withColumn("role", F.lit("oracle")).withColumnRenamed("position", "ord")
     recs = q.select("qid", "question").withColumn("variant", F.lit("oracle_gold_only"))
-    return finish(oc, recs, "oracle", generator, q.select("qid", "gold_answer"), shuffle=False)
+    return finish(oc, recs, "oracle", generator, q.select("qid", "gold_answer"), shuffle=False, wide=wide)
 
 
 def rescore_run(run: DataFrame, questions, generator, ks: Sequence[int] = (1, 3, 5),
-                gold: DataFrame | None = None):
-    """Generate and score on stored contexts for each k (rank <= k)."""
-    variants = [{"variant": f"baseline_top{k}", "k": k} for k in ks]
-    ctx = C.top_k_slice(C.with_variants(C.top_k_slice(run, max(ks)), variants), "k").withColumn(
+                gold: DataFrame | None = None, asked: DataFrame | None = None, wide: bool = False):
+    """Generate and score on the first k stored contexts, for each k."""
+    variants = _named([{"variant": f"baseline_top{k}", "k": k} for k in ks])
+    first = C.top_k_slice(C.renumber(run), max(ks))
+    ctx = C.top_k_slice(C.with_variants(first, variants), "k").withColumn(
         "role", F.lit("topk")).withColumn("ord", F.col("rank"))
-    recs = C.with_variants(C.keep_all_questions(questions, run).select("qid", "question"),
+    recs = C.with_variants(_asked(questions, run, asked).select("qid", "question"),
                            [{"variant": v["variant"]} for v in variants])
-    return finish(ctx, recs, "baseline", generator, gold, shuffle=False)
+    return finish(ctx, recs, "baseline", generator, gold, shuffle=False, wide=wide)
+
+
+def evaluate_folder(spark, paths: str | Sequence[str], fmt: str = "json_array",
+                    name: str = IO.STEM) -> tuple[DataFrame, DataFrame]:
+    """S4 -> F8 -> A2 -> X8: score the result files at ``paths`` (files, folders or globs).
+
+    Returns scored rows with their variant columns, and the summary: one row per run, with 0 samples for a
+    run whose files hold no record. ``name`` is a pattern whose group is a file's run; by default its stem.
+    """
+    rows = IO.read_predictions(spark, paths, fmt, name=name)
+    scored = materialize(S.score_answers(rows.withColumn("has_gold", F.col("gold_answer").isNotNull())), "scored")
+    runs = IO.result_files(spark, paths, name).select(F.lit("results").alias("experiment"), F.col("run").alias("variant")).distinct()
+    metrics = S.evaluate(scored.select(F.lit("results").alias("experiment"), F.col("run").alias("variant"), "exact_match", "cover_exact_match", "has_gold"),
+                         ("experiment", "variant"), runs)
+    return scored, summarize(metrics)
 
 
 def summarize(*metrics: DataFrame) -> DataFrame:

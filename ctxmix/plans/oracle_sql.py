@@ -11,7 +11,7 @@ from ..functions.hashing import sql_keyed_hash
 from ..functions.text import PUNCTUATION
 
 # Python str.strip() whitespace set, as a RE2 character class for DuckDB.
-_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+_WS = ("[\\t\n\x0b\x0c\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
        "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 
 
@@ -176,19 +176,28 @@ ORACLE["oracle_contexts"] = """
   FROM firsts x JOIN hits h ON h.qid = x.qid AND h.fact_pos = x.position"""
 
 SEED = 42
-_DRAWS = 64  # brute-force draw count: far more than the fixtures ever need
+_DRAWS = 256  # brute-force draw count: far more than the fixtures ever need
+
+
+def sql_permuted(n: str, *keys: str, source: str, columns: str) -> str:
+    """Rows of ``source`` (with a draw number ``j``) and ``idx``: j's place in the keyed four-round
+    Feistel permutation over the power of four at or above the pool size ``n``."""
+    out = (f"SELECT {columns}, j, (j // h.m)::BIGINT AS l, (j % h.m)::BIGINT AS r, h.m FROM {source} CROSS JOIN "
+           f"(SELECT pow(2, greatest(1, ceil(round(log2({n}) / 2, 9))))::BIGINT AS m) h")
+    for i in range(4):
+        mix = hash_sql(str(SEED), *keys, str(i), "r")
+        out = f"SELECT * EXCLUDE (l, r), r AS l, xor(l, {mix} % m) AS r FROM ({out}) f{i}"
+    return f"SELECT * EXCLUDE (l, r, m), l * m + r AS idx FROM ({out}) f"
 
 
 def _sample_sql(requests: str, pool: str, exclude_pred: str, vcol: str = "variant_id") -> str:
-    """Sequential keyed draws, first ``need`` accepted; pool has (idx, ...) dense by order."""
-    h = hash_sql(str(SEED), f"r.{vcol}", "r.qid", "t.j")
+    """Keyed draws in order, first ``need`` accepted; pool has (idx, ...) dense by order."""
+    draws = sql_permuted("(SELECT n FROM npool)", vcol, "qid", columns=f"{vcol}, qid, need, q_key",
+                         source=f"(SELECT r.*, t.j FROM ({requests}) r CROSS JOIN range(0, {_DRAWS}) t(j) WHERE r.need > 0)")
     return f"""
       npool AS (SELECT count(*) AS n FROM {pool}),
-      draws AS (SELECT r.*, t.j, {h} % (SELECT n FROM npool) AS idx
-                FROM ({requests}) r CROSS JOIN range(0, {_DRAWS}) t(j) WHERE r.need > 0),
-      firsts AS (SELECT {vcol}, qid, any_value(need) AS need, any_value(q_key) AS q_key, idx, min(j) AS j
-                 FROM draws GROUP BY {vcol}, qid, idx),
-      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM firsts f JOIN {pool} p ON p.idx = f.idx
+      draws AS ({draws}),
+      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM draws f JOIN {pool} p ON p.idx = f.idx
                WHERE NOT ({exclude_pred})),
       picked AS (SELECT * FROM (
                    SELECT *, row_number() OVER (PARTITION BY {vcol}, qid ORDER BY j) AS draw FROM cand)
@@ -269,53 +278,71 @@ ORACLE["hard_negative_configs"] = f"""
          CAST(o.pos AS INTEGER) AS ord, o.title
   FROM ordered o JOIN configs c ON o.pos <= c.mix_topk"""
 
+# A question per turn; evidence from the last four turns: last paragraph of a title, first fact of a sentence.
 _ORACLE_CTX_CTE = """
-  ctx AS (SELECT conv_id AS qid, turn AS ctx_pos, role AS title, string_split(text, chr(10)) AS sentences
-          FROM conversations),
-  last AS (SELECT qid, title, arg_max(sentences, ctx_pos) AS sentences FROM ctx GROUP BY qid, title),
-  facts AS (SELECT conv_id AS qid, turn AS fact_pos,
-                   CASE WHEN role = 'system' THEN upper(role) ELSE role END AS title,
-                   CAST(turn - 2 AS INTEGER) AS sent_idx FROM conversations),
-  hits AS (SELECT f.qid, f.fact_pos, f.title, f.sent_idx,
+  ask AS (SELECT conv_id, turn AS t, conv_id * 1000 + turn AS qid, text AS question FROM conversations),
+  near AS (SELECT a.qid, c.turn, c.role, string_split(c.text, chr(10)) AS sentences
+           FROM ask a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.t - 3 AND a.t),
+  last AS (SELECT qid, role AS title, arg_max(sentences, turn) AS sentences FROM near GROUP BY qid, role),
+  facts AS (SELECT qid, turn AS fact_pos, CASE WHEN role = 'system' THEN upper(role) ELSE role END AS title,
+                   CAST(turn - 2 AS INTEGER) AS sent_idx FROM near),
+  hits AS (SELECT f.qid, f.fact_pos, f.title,
                   l.sentences[CASE WHEN f.sent_idx >= 0 THEN f.sent_idx + 1 ELSE f.sent_idx END] AS text
            FROM facts f JOIN last l ON l.qid = f.qid AND l.title = f.title
            WHERE f.sent_idx < len(l.sentences) AND f.sent_idx >= -len(l.sentences)),
   oc AS (SELECT qid, title, text, min(fact_pos) AS position FROM hits GROUP BY qid, title, text)"""
 
+
+def sql_prompt(question: str, block: str) -> str:
+    return f"""('You are a QA system. Answer questions based on the provided documents.' || chr(10) || chr(10) ||
+         'Question: ' || coalesce({question}, '') || chr(10) || chr(10) || 'Relevant documents:' || chr(10) ||
+         coalesce({block}, '') || chr(10) || chr(10) ||
+         'Answer the question as concisely as possible. Provide only the answer, no explanation needed.')"""
+
+
 ORACLE["build_prompt"] = f"""
   WITH {_ORACLE_CTX_CTE},
   blocks AS (SELECT qid, string_agg('[DOC ' || CAST(rn AS VARCHAR) || '] ' || title || chr(10) || text,
                                     chr(10) || chr(10) ORDER BY position) AS block
              FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position) AS rn FROM oc) x
-             GROUP BY qid),
-  q AS (SELECT conv_id AS qid, text AS question FROM conversations WHERE turn = 0)
-  SELECT q.qid,
-         'You are a QA system. Answer questions based on the provided documents.' || chr(10) || chr(10) ||
-         'Question: ' || coalesce(q.question, '') || chr(10) || chr(10) || 'Relevant documents:' || chr(10) ||
-         coalesce(b.block, '') || chr(10) || chr(10) ||
-         'Answer the question as concisely as possible. Provide only the answer, no explanation needed.' AS prompt
-  FROM q LEFT JOIN blocks b ON b.qid = q.qid"""
+             GROUP BY qid)
+  SELECT q.qid, {sql_prompt('q.question', 'b.block')} AS prompt FROM ask q LEFT JOIN blocks b ON b.qid = q.qid"""
+
+
+def sql_finish(counts: tuple[str, ...], extra: str = "") -> str:
+    """From ``pos`` (variant, qid, position, role, title, text), ``recs`` (variant, qid, question) and
+    ``gold`` (qid, gold_answer): whole prompts, the stand-in's answers and their scores, as CTE ``scored``."""
+    num = "".join(f", CAST(count(*) FILTER (WHERE role = '{c}') AS INTEGER) AS num_{c}" for c in counts)
+    got = "".join(f", coalesce(b.num_{c}, 0) AS num_{c}" for c in counts)
+    return f"""
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY position) AS rn FROM pos),
+  blocks AS (SELECT variant, qid, string_agg('[DOC ' || rn || '] ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY rn) AS block,
+                    string_agg(split_part(text, chr(10), 1), ' | ' ORDER BY rn) AS lines{num}
+             FROM numbered GROUP BY variant, qid),
+  answered AS (SELECT r.variant, r.qid, regexp_replace(coalesce(b.lines, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
+                      sha256({sql_prompt('r.question', 'b.block')}) AS prompt_hash,
+                      g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer{got}
+               FROM recs r LEFT JOIN blocks b ON b.variant = r.variant AND b.qid = r.qid LEFT JOIN gold g ON g.qid = r.qid),
+  scored AS (SELECT *, CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
+                    CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
+             FROM answered)"""
+
+
+_E2E = "variant, qid, prediction, prompt_hash, has_gold, exact_match, cover_exact_match"
 
 _GEN = f"""
   {_ORACLE_CTX_CTE},
-  firstctx AS (SELECT qid, arg_min(text, position) AS text FROM oc GROUP BY qid),
-  recs AS (SELECT conv_id AS qid FROM conversations WHERE turn = 0),
-  gold1 AS (SELECT conv_id AS qid, text AS gold_answer FROM conversations WHERE turn = 1),
-  gjoined AS (SELECT 'oracle_gold_only' AS variant, r.qid,
-                    regexp_replace(coalesce(f.text, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-                    g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
-             FROM recs r LEFT JOIN firstctx f ON f.qid = r.qid LEFT JOIN gold1 g ON g.qid = r.qid),
-  gen AS (SELECT *, CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-                 CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-          FROM gjoined)"""
+  pos AS (SELECT 'oracle_gold_only' AS variant, qid, position, 'oracle' AS role, title, text FROM oc),
+  recs AS (SELECT 'oracle_gold_only' AS variant, qid, question FROM ask),
+  gold AS (SELECT qid, split_part(question, chr(10), 1) AS gold_answer FROM ask WHERE t % 2 = 0),
+  {sql_finish(('oracle',))}"""
 
 ORACLE["generate_score"] = f"""
   WITH {_GEN}
-  SELECT variant, qid, prediction, gold_answer, has_gold, exact_match, cover_exact_match,
-         CAST(NULL AS VARCHAR) AS error FROM gen"""
+  SELECT {_E2E}, num_oracle, gold_answer, CAST(NULL AS VARCHAR) AS error FROM scored"""
 
 ORACLE["summary"] = f"""
-  WITH {_GEN}, {_CONV_PRED},
+  WITH gen AS (WITH {_GEN} SELECT * FROM scored), {_CONV_PRED},
   m AS (SELECT 'oracle' AS experiment, variant, count(*) AS num_samples, avg(exact_match) AS em,
                avg(cover_exact_match) AS cem FROM gen GROUP BY variant
         UNION ALL
@@ -329,188 +356,198 @@ ORACLE["summary"] = f"""
 ORACLE["read_write_roundtrip"] = f"""
   SELECT qid, doc_id, round(score, 6) AS score, rank FROM ({sql_ranked(5)}) x"""
 
+# Half of the vectors' ids are unknown to these passages.
+_SPARSE = "sparse AS (SELECT doc_id * 2 AS doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents)"
+_PARTS = "parts AS (SELECT p_partkey AS doc_id, coalesce(p_name, '') AS title, concat_ws(' ', p_brand, p_type) AS text FROM part)"
+
+
+def sql_asked(variants: str) -> str:
+    """Every vector asks in every variant; its question is the part name under its id."""
+    return f"""recs AS (SELECT v.variant, e.vec_id AS qid, p.p_name AS question
+           FROM (SELECT DISTINCT variant FROM {variants}) v CROSS JOIN embeddings e LEFT JOIN part p ON p.p_partkey = e.vec_id)"""
+
+
+def sql_best_line(run: str) -> str:
+    return f"""gold AS (SELECT qid, arg_min(split_part(text, chr(10), 1), rank) AS gold_answer FROM {run} WHERE qid % 2 = 0 GROUP BY qid)"""
+
+
+def sql_shuffled(source: str) -> str:
+    order = hash_sql(str(SEED), "variant", "qid", "role", "ord")
+    return f"pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY {order}, role, ord) AS position FROM {source})"
+
+
 ORACLE["baseline_generate"] = f"""
-  WITH ranked AS ({sql_ranked(5)}),
+  WITH ranked AS ({sql_ranked(5)}), {_SPARSE},
+  known AS (SELECT r.qid, r.rank, d.title, d.text FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   ks AS (SELECT * FROM (VALUES ('top1', 1), ('top3', 3), ('top5', 5)) t(variant, k)),
-  first_ctx AS (SELECT ks.variant, r.qid, split_part(arg_min(d.text, r.rank), chr(10), 1) AS line
-                FROM ranked r JOIN ks ON r.rank <= ks.k JOIN documents d ON d.doc_id = r.doc_id
-                GROUP BY ks.variant, r.qid),
-  recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM ranked) q CROSS JOIN ks),
-  gold AS (SELECT doc_id AS qid, lang AS gold_answer FROM documents),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(f.line, ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.gold_answer IS NOT NULL AS has_gold, coalesce(g.gold_answer, '') AS gold_answer
-        FROM recs LEFT JOIN first_ctx f ON f.variant = recs.variant AND f.qid = recs.qid
-        LEFT JOIN gold g ON g.qid = recs.qid)
-  SELECT variant, qid, prediction, has_gold,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
+  pos AS (SELECT ks.variant, k.qid, k.rank AS position, 'topk' AS role, k.title, k.text FROM known k JOIN ks ON k.rank <= ks.k),
+  {sql_asked('ks')}, {sql_best_line('known')}, {sql_finish(('topk',))}
+  SELECT {_E2E}, num_topk FROM scored"""
+
+ORACLE["rescore_generate"] = f"""
+  WITH ranked AS ({sql_ranked(6)}), {_SPARSE},
+  known AS (SELECT r.qid, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS rank, d.title, d.text
+            FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
+  ks AS (SELECT * FROM (VALUES ('baseline_top1', 1), ('baseline_top3', 3), ('baseline_top5', 5)) t(variant, k)),
+  pos AS (SELECT ks.variant, k.qid, k.rank AS position, 'topk' AS role, k.title, k.text FROM known k JOIN ks ON k.rank <= ks.k),
+  {sql_asked('ks')}, {sql_best_line('known')}, {sql_finish(('topk',))}
+  SELECT {_E2E}, num_topk FROM scored"""
 
 _HN_VARIANTS = ", ".join(
     f"('hard_neg_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in RATIOS)
 
 ORACLE["hard_negative_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
-  run AS (SELECT r.qid, r.doc_id, r.rank, coalesce(p.p_name, '') AS title,
-                 concat_ws(' ', p.p_brand, p.p_type) AS text
-          FROM ranked r JOIN part p ON p.p_partkey = r.doc_id),
+  WITH ranked AS ({sql_ranked(100)}), {_PARTS},
+  run AS (SELECT r.qid, r.doc_id, r.rank, p.title, p.text FROM ranked r JOIN parts p ON p.doc_id = r.doc_id),
   gt AS (SELECT p_partkey AS qid, lower(split_part(p_name, ' ', -1)) AS g FROM part),
   lab AS (SELECT run.*, coalesce(contains(lower(run.title), gt.g) OR contains(gt.g, lower(run.title)), false) AS is_gold
           FROM run LEFT JOIN gt ON gt.qid = run.qid),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY qid, is_gold ORDER BY rank, doc_id) AS ord FROM lab),
   variants AS (SELECT * FROM (VALUES {_HN_VARIANTS}) t(variant, n_noise, n_keep)),
-  sel AS (SELECT v.variant, o.qid, o.text, o.ord, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role
+  sel AS (SELECT v.variant, o.qid, o.title, o.text, o.ord, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role
           FROM ordered o JOIN variants v
             ON o.ord <= greatest(CASE WHEN o.is_gold THEN v.n_keep ELSE v.n_noise END, 1)),
-  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
-                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM sel),
-  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'gold') AS INTEGER) AS num_gold,
-                    CAST(count(*) FILTER (WHERE role = 'hard_negative') AS INTEGER) AS num_hard_negative
-             FROM sel GROUP BY ALL),
-  recs AS (SELECT v.variant, q.qid FROM (SELECT DISTINCT qid FROM lab) q CROSS JOIN variants v),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.p_brand IS NOT NULL AS has_gold, coalesce(g.p_brand, '') AS gold_answer,
-               coalesce(c.num_gold, 0) AS num_gold, coalesce(c.num_hard_negative, 0) AS num_hard_negative
-        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
-        LEFT JOIN part g ON g.p_partkey = recs.qid
-        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
-  SELECT variant, qid, prediction, has_gold, num_gold, num_hard_negative,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
+  {sql_shuffled('sel')}, {sql_asked('variants')}, {sql_best_line('run')}, {sql_finish(('gold', 'hard_negative'))}
+  SELECT {_E2E}, num_gold, num_hard_negative FROM scored"""
 
 _RN_VARIANTS = ", ".join(
     f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in RATIOS)
 
 ORACLE["random_negative_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
-  docs AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents),
+  WITH ranked AS ({sql_ranked(100)}), {_SPARSE},
+  run AS (SELECT r.qid, r.doc_id, r.rank, d.title, d.text FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   variants AS (SELECT * FROM (VALUES {_RN_VARIANTS}) t(variant, n_noise, n_keep)),
-  asked AS (SELECT DISTINCT qid FROM ranked),
-  relevant AS (SELECT v.variant, r.qid, r.doc_id, d.text, r.rank AS ord
-               FROM ranked r JOIN variants v ON r.rank <= v.n_keep JOIN docs d ON d.doc_id = r.doc_id),
-  pool AS (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM docs),
+  relevant AS (SELECT v.variant, r.qid, r.doc_id, r.title, r.text, r.rank AS ord FROM run r JOIN variants v ON r.rank <= v.n_keep),
+  pool AS (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sparse),
   {_sample_sql(
-      "SELECT v.variant, a.qid, lower(g.title) AS q_key, v.n_noise AS need FROM variants v "
-      "CROSS JOIN asked a LEFT JOIN docs g ON g.doc_id = a.qid",
+      "SELECT v.variant, a.vec_id AS qid, lower(g.title) AS q_key, v.n_noise AS need FROM variants v "
+      "CROSS JOIN embeddings a LEFT JOIN sparse g ON g.doc_id = a.vec_id",
       "pool",
       "coalesce(contains(lower(p.title), f.q_key) OR contains(f.q_key, lower(p.title)), false)"
       " OR EXISTS (SELECT 1 FROM relevant x WHERE x.variant = f.variant AND x.qid = f.qid"
       " AND x.doc_id = p.doc_id)", vcol="variant")},
-  ctx AS (SELECT variant, qid, text, 'relevant' AS role, ord FROM relevant
+  ctx AS (SELECT variant, qid, title, text, 'relevant' AS role, ord FROM relevant
           UNION ALL
-          SELECT k.variant, k.qid, d.text, 'random' AS role, k.draw AS ord
-          FROM picked k JOIN docs d ON d.doc_id = k.doc_id),
-  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
-                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM ctx),
-  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'relevant') AS INTEGER) AS num_relevant,
-                    CAST(count(*) FILTER (WHERE role = 'random') AS INTEGER) AS num_random
-             FROM ctx GROUP BY ALL),
-  recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer,
-               coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
-        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
-        LEFT JOIN documents g ON g.doc_id = recs.qid
-        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
-  SELECT variant, qid, prediction, has_gold, num_relevant, num_random,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
-
-ORACLE["rescore_generate"] = f"""
-  WITH ranked AS ({sql_ranked(10)}),
-  run AS (SELECT r.qid, r.rank, d.text FROM ranked r JOIN documents d ON d.doc_id = r.doc_id),
-  ks AS (SELECT * FROM (VALUES ('baseline_top1', 1), ('baseline_top3', 3), ('baseline_top5', 5)) t(variant, k)),
-  first_ctx AS (SELECT ks.variant, run.qid, arg_min(run.text, run.rank) AS text
-                FROM run JOIN ks ON run.rank <= ks.k GROUP BY ks.variant, run.qid),
-  recs AS (SELECT ks.variant, q.qid FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN ks),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(split_part(f.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer
-        FROM recs LEFT JOIN first_ctx f ON f.variant = recs.variant AND f.qid = recs.qid
-        LEFT JOIN documents g ON g.doc_id = recs.qid)
-  SELECT variant, qid, prediction, has_gold,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
+          SELECT k.variant, k.qid, d.title, d.text, 'random' AS role, k.draw AS ord
+          FROM picked k JOIN sparse d ON d.doc_id = k.doc_id),
+  {sql_shuffled('ctx')}, {sql_asked('variants')}, {sql_best_line('run')}, {sql_finish(('relevant', 'random'))}
+  SELECT {_E2E}, num_relevant, num_random FROM scored"""
 
 _CFG_VARIANTS = ", ".join(
     f"('gold{g}_hard{h}{f'_top{m}' if m else ''}', {g}, {h}, {m})"
     for g, h, m in [(5, 0, 0), (4, 1, 0), (3, 2, 0), (0, 5, 0), (3, 2, 5)])
 
 ORACLE["config_mix_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
-  run AS (SELECT r.qid, r.doc_id, coalesce(p.p_name, '') AS title, concat_ws(' ', p.p_brand, p.p_type) AS text,
-                 row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
-          FROM ranked r JOIN part p ON p.p_partkey = r.doc_id),
+  WITH ranked AS ({sql_ranked(100)}), {_PARTS},
+  run AS (SELECT r.qid, r.doc_id, p.title, p.text, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
+          FROM ranked r JOIN parts p ON p.doc_id = r.doc_id),
   lab AS (SELECT run.*, coalesce(lower(run.title) = lower(g.p_name), false) AS is_gold
           FROM run LEFT JOIN part g ON g.p_partkey = run.qid),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY qid, is_gold ORDER BY pos, doc_id) AS ord FROM lab),
   configs AS (SELECT * FROM (VALUES {_CFG_VARIANTS}) t(variant, k_gold, k_hard, mix_topk)),
-  sel AS (SELECT c.variant, o.qid, o.text, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role, o.ord
+  sel AS (SELECT c.variant, o.qid, o.title, o.text, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role, o.ord
           FROM ordered o JOIN configs c ON o.ord <= CASE WHEN o.is_gold THEN c.k_gold ELSE c.k_hard END
           UNION ALL
-          SELECT c.variant, o.qid, o.text, 'topk' AS role, o.pos AS ord
+          SELECT c.variant, o.qid, o.title, o.text, 'topk' AS role, o.pos AS ord
           FROM ordered o JOIN configs c ON o.pos <= c.mix_topk),
-  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
-                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM sel),
-  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'gold') AS INTEGER) AS num_gold,
-                    CAST(count(*) FILTER (WHERE role = 'hard_negative') AS INTEGER) AS num_hard_negative,
-                    CAST(count(*) FILTER (WHERE role = 'topk') AS INTEGER) AS num_topk
-             FROM sel GROUP BY ALL),
-  recs AS (SELECT c.variant, q.qid FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN configs c),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.p_brand IS NOT NULL AS has_gold, coalesce(g.p_brand, '') AS gold_answer,
-               coalesce(c.num_gold, 0) AS num_gold, coalesce(c.num_hard_negative, 0) AS num_hard_negative,
-               coalesce(c.num_topk, 0) AS num_topk
-        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
-        LEFT JOIN part g ON g.p_partkey = recs.qid
-        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
-  SELECT variant, qid, prediction, has_gold, num_gold, num_hard_negative, num_topk,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
+  gold AS (SELECT qid, arg_min(text, pos) AS gold_answer FROM lab WHERE is_gold GROUP BY qid),
+  {sql_shuffled('sel')}, {sql_asked('configs')}, {sql_finish(('gold', 'hard_negative', 'topk'))}
+  SELECT {_E2E}, num_gold, num_hard_negative, num_topk FROM scored"""
 
 _RR_VARIANTS = ", ".join(
     f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in (0.0, 0.5, 1.0))
 
 ORACLE["random_run_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
-  run AS (SELECT r.qid, r.doc_id, coalesce(d.source, '') AS title, coalesce(d.text, '') AS text,
-                 row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS pos
-          FROM ranked r JOIN documents d ON d.doc_id = r.doc_id),
+  WITH ranked AS ({sql_ranked(100)}), {_SPARSE},
+  run AS (SELECT r.qid, r.doc_id, d.title, d.text, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS rank
+          FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   variants AS (SELECT * FROM (VALUES {_RR_VARIANTS}) t(variant, n_noise, n_keep)),
-  asked AS (SELECT DISTINCT qid FROM run),
-  relevant AS (SELECT v.variant, run.qid, run.text, run.pos AS ord
-               FROM run JOIN variants v ON run.pos <= v.n_keep),
-  pool AS (SELECT qid AS owner, pos AS owner_rank, doc_id, title, text,
-                  row_number() OVER (ORDER BY qid, pos) - 1 AS idx
-           FROM run WHERE pos > 50 AND pos <= 100),
+  relevant AS (SELECT v.variant, run.qid, run.title, run.text, run.rank AS ord
+               FROM run JOIN variants v ON run.rank <= v.n_keep),
+  pool AS (SELECT qid AS owner, rank AS owner_rank, doc_id, title, text,
+                  row_number() OVER (ORDER BY qid, rank) - 1 AS idx
+           FROM run WHERE rank > 30 AND rank <= 60),
   {_sample_sql(
-      "SELECT v.variant, a.qid, a.qid AS q_key, v.n_noise AS need FROM variants v CROSS JOIN asked a",
+      "SELECT v.variant, a.vec_id AS qid, a.vec_id AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings a",
       "pool", "p.owner = f.qid", vcol="variant")},
-  ctx AS (SELECT variant, qid, text, 'relevant' AS role, ord FROM relevant
+  ctx AS (SELECT variant, qid, title, text, 'relevant' AS role, ord FROM relevant
           UNION ALL
-          SELECT variant, qid, text, 'random' AS role, draw AS ord FROM picked),
-  pos AS (SELECT *, row_number() OVER (PARTITION BY variant, qid
-                 ORDER BY {hash_sql(str(SEED), 'variant', 'qid', 'role', 'ord')}, role, ord) AS position FROM ctx),
-  counts AS (SELECT variant, qid, CAST(count(*) FILTER (WHERE role = 'relevant') AS INTEGER) AS num_relevant,
-                    CAST(count(*) FILTER (WHERE role = 'random') AS INTEGER) AS num_random
-             FROM ctx GROUP BY ALL),
-  recs AS (SELECT v.variant, a.qid FROM asked a CROSS JOIN variants v),
-  j AS (SELECT recs.variant, recs.qid,
-               regexp_replace(coalesce(split_part(p.text, chr(10), 1), ''), '^{_WS}+|{_WS}+$', '', 'g') AS prediction,
-               g.lang IS NOT NULL AS has_gold, coalesce(g.lang, '') AS gold_answer,
-               coalesce(c.num_relevant, 0) AS num_relevant, coalesce(c.num_random, 0) AS num_random
-        FROM recs LEFT JOIN pos p ON p.variant = recs.variant AND p.qid = recs.qid AND p.position = 1
-        LEFT JOIN documents g ON g.doc_id = recs.qid
-        LEFT JOIN counts c ON c.variant = recs.variant AND c.qid = recs.qid)
-  SELECT variant, qid, prediction, has_gold, num_relevant, num_random,
-         CAST({sql_normalize('prediction')} = {sql_normalize('gold_answer')} AS INTEGER) AS exact_match,
-         CAST(contains({sql_normalize('prediction')}, {sql_normalize('gold_answer')}) AS INTEGER) AS cover_exact_match
-  FROM j"""
+          SELECT variant, qid, title, text, 'random' AS role, draw AS ord FROM picked),
+  {sql_shuffled('ctx')}, {sql_asked('variants')}, {sql_best_line('run')}, {sql_finish(('relevant', 'random'))}
+  SELECT {_E2E}, num_relevant, num_random FROM scored"""
+
+ORACLE["encode_topk"] = f"""
+  WITH inputs AS (
+    SELECT 'd' AS side, doc_id AS id, CASE WHEN coalesce(source, '') <> '' THEN source || '[SEP]' || coalesce(text, '')
+                                           ELSE coalesce(text, '') END AS input FROM documents
+    UNION ALL SELECT 'q', conv_id * 1000 + turn, coalesce(text, '') FROM conversations),
+  tokens AS (SELECT side, id, unnest(regexp_extract_all(lower(input), '[^ \t\n\x0b\x0c\r]+')) AS tok FROM inputs),
+  hashed AS (SELECT side, id, ('0x' || substr(md5(tok), 1, 15))::BIGINT AS h FROM tokens),
+  slots AS (SELECT side, id, h % 64 AS slot, sum(CASE WHEN (h // 64) % 2 = 1 THEN -1.0 ELSE 1.0 END) AS x FROM hashed GROUP BY ALL),
+  dense AS (SELECT i.side, i.id, list(coalesce(s.x, 0.0)::DOUBLE ORDER BY t.slot) AS v
+            FROM inputs i CROSS JOIN range(0, 64) t(slot) LEFT JOIN slots s ON s.side = i.side AND s.id = i.id AND s.slot = t.slot
+            GROUP BY i.side, i.id),
+  scores AS (SELECT q.id AS qid, d.id AS doc_id, list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v) AS n,
+                    list_dot_product(q.v, d.v) AS dot FROM dense q JOIN dense d ON q.side = 'q' AND d.side = 'd'),
+  ranked AS (SELECT qid, doc_id, CASE WHEN n = 0 THEN -1.0 ELSE dot / sqrt(n) END AS score FROM scores)
+  SELECT qid, doc_id, round(score, 6) AS score, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM ranked) x
+  WHERE rank <= 5"""
+
+ORACLE["gold_titles"] = f"""
+  WITH {_ORACLE_CTX_CTE}
+  SELECT DISTINCT qid, lower(title) AS gold_title FROM facts"""
+
+ORACLE["variant_quotas"] = """
+  SELECT label, count(*) AS vectors, CAST(trunc(7 * (label / 10.0)) AS INTEGER) AS n_noise,
+         7 - CAST(trunc(7 * (label / 10.0)) AS INTEGER) AS n_keep FROM embeddings GROUP BY label"""
+
+ORACLE["exclude_used"] = f"""
+  WITH ranked AS ({sql_ranked(10)})
+  SELECT r.qid, r.doc_id, r.rank FROM ranked r JOIN embeddings q ON q.vec_id = r.qid JOIN embeddings d ON d.vec_id = r.doc_id
+  WHERE r.rank <> 1 AND q.label <> d.label"""
+
+ORACLE["masked_centroids"] = """
+  WITH m AS (SELECT label, CAST(i - 1 AS INTEGER) AS dim, avg(CAST(embedding[i] AS DOUBLE)) AS value
+             FROM embeddings, range(1, 65) t(i) WHERE vec_id % 2 = 1 AND label <> 3 GROUP BY label, i)
+  SELECT l.label, m.dim, round(m.value, 6) AS value FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN m ON m.label = l.label"""
+
+ORACLE["row_similarity"] = """
+  WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 0 THEN 0.0::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings)
+  SELECT a.vec_id, round(CASE WHEN a.vec_id % 9 = 0 OR b.vec_id % 9 = 0 THEN -1.0 ELSE list_cosine_similarity(a.v, b.v) END, 6) AS cosine,
+         round(list_dot_product(a.v, b.v), 6) AS dot
+  FROM e a JOIN e b ON b.vec_id = a.vec_id + 7"""
+
+ORACLE["topk_ties"] = """
+  WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 50 = 0 THEN 0.0 ELSE sign(x) END::DOUBLE) AS v FROM embeddings),
+  c AS (SELECT printf('d%06d-%d', vec_id, i) AS doc_id, v FROM e, range(0, 3) t(i)),
+  q AS (SELECT printf('d%06d-1', vec_id) AS qid, v FROM e),
+  s AS (SELECT qid, doc_id, list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v) AS n, list_dot_product(q.v, c.v) AS dot
+        FROM q JOIN c ON qid <> doc_id),
+  r AS (SELECT qid, doc_id, CASE WHEN n = 0 THEN -1.0 ELSE dot / sqrt(n) END AS score FROM s)
+  SELECT qid, doc_id, round(score, 9) AS score, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM r) x WHERE rank <= 5"""
+
+ORACLE["random_negatives_scarce"] = """
+  SELECT q.label AS qid, e.vec_id AS doc_id FROM (SELECT DISTINCT label FROM embeddings) q JOIN embeddings e ON e.label > q.label"""
+
+ORACLE["questions_roundtrip"] = """
+  SELECT conv_id || '-' || turn AS qid, text AS question, role AS gold_answer, 3 AS n_facts, role AS first_title,
+         CAST(turn AS INTEGER) AS second_index, true AS third_unknown, 1 AS n_paragraphs, text AS sentences FROM conversations"""
+
+ORACLE["passages_roundtrip"] = """
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 > 0 THEN coalesce(source, '') ELSE '' END AS title,
+         sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
+
+ORACLE["predictions_roundtrip"] = f"""
+  WITH {_CONV_PRED}
+  SELECT 'conversations' AS experiment, role AS variant, conv_id || '-' || turn AS qid, prediction,
+         CASE WHEN has_gold THEN gold_answer END AS gold_answer, turn / 4.0::DOUBLE AS noise_ratio, role AS context_id,
+         turn % 2 = 0 AS is_random FROM joined"""
+
+ORACLE["evaluate_folder"] = f"""
+  WITH {_CONV_PRED}
+  SELECT r.variant, count(s.role) AS num_samples, round(coalesce(avg(s.exact_match), 0.0) * 100, 2) AS em_pct,
+         round(coalesce(avg(s.cover_exact_match), 0.0) * 100, 2) AS cem_pct
+  FROM (VALUES ('user'), ('assistant'), ('system'), ('empty')) r(variant) LEFT JOIN scored s ON s.role = r.variant
+  GROUP BY r.variant"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..functions import vectors as V
 from ..operators import contexts as C
 from ..operators import gold as G
 from ..operators import inference as I
@@ -19,6 +20,7 @@ from ..operators import matching as M
 from ..operators import retrieval as R
 from ..operators import sampling as SM
 from ..operators import scoring as S
+from ..operators.skew import lookup
 from ..session import materialize, scratch_path
 from ..sources import io as IO
 from . import jobs as J
@@ -156,10 +158,9 @@ def q_duplicate_answers(spark, sf_dir):
     (linear output; a hot group is aggregated map-side and never expanded to pairs)."""
     d = tables.documents(spark, sf_dir, "doc_id", "text")
     n = d.select("doc_id", F.sha2(TX.normalize("text"), 256).alias("h"))
-    groups = (n.groupBy("h").agg(F.min("doc_id").alias("dup_of"),
-                                 F.count(F.lit(1)).alias("group_size"))
-              .where(F.col("group_size") > 1))
-    return n.join(groups, "h").select("doc_id", "dup_of", "group_size")
+    groups = materialize(n.groupBy("h").agg(F.min("doc_id").alias("dup_of"), F.count(F.lit(1)).alias("group_size"))
+                         .withColumn("rows", F.col("group_size")), "groups")
+    return lookup(n, groups, "h", "rows").where(F.col("group_size") > 1).select("doc_id", "dup_of", "group_size")
 
 
 @register("benchmark_cover")
@@ -170,7 +171,7 @@ def q_benchmark_cover(spark, sf_dir):
         "doc_id", TX.normalize("text").alias("doc_norm"))
     b = tables.table(spark, sf_dir, "benchmark").select(
         "item_id", TX.normalize("text").alias("item_norm"))
-    return M.cover_join(d, b, "doc_norm", "item_norm", chunk_col="item_id").select(
+    return M.cover_join(d, b, "doc_norm", "item_norm", "doc_id", "item_id").select(
         "doc_id", "item_id")
 
 
@@ -234,12 +235,11 @@ def random_negative_contexts(spark, sf_dir):
                                            F.lit("relevant").alias("role")), "relevant")
     labels = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "d_label")
     pool, n_pool = SM.dense_index(docs.join(labels, "doc_id", "left"), ["doc_id"])
-    requests = C.with_variants(tables.retrieval_questions(spark, sf_dir).select("qid", "q_label"),
-                               variants).withColumnRenamed("n_noise", "need")
+    asked = tables.retrieval_questions(spark, sf_dir).select("qid", F.col("q_label").alias("d_label"))
+    requests = C.with_variants(asked.select("qid"), variants).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
         requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
-        exclude=relevant.select("variant_id", "qid", "doc_id"), exclude_on=["doc_id"],
-        exclude_if=F.col("q_label") == F.col("d_label"), carry=["q_label"])
+        exclude=relevant.select("variant_id", "qid", "doc_id"), exclude_groups=asked, group="d_label")
     random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
                           F.col("draw").alias("ord"), F.lit("random").alias("role"))
     return C.mix_contexts(relevant, random)
@@ -270,7 +270,7 @@ def q_random_from_run(spark, sf_dir):
     ).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
         requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
-        exclude_if=F.col("owner") == F.col("qid"))
+        exclude_groups=requests.select("qid", F.col("qid").alias("owner")), group="owner")
     random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
                           F.col("draw").alias("ord"), F.lit("random").alias("role"))
     mixed = C.mix_contexts(relevant, random)
@@ -331,16 +331,28 @@ def q_hard_negative_configs(spark, sf_dir):
                          "ord", "title")
 
 
+def turn_questions(spark, sf_dir):
+    """Every conversation turn asks a question (``qid`` = conv_id * 1000 + turn): its own text. Paragraphs and facts are
+    the last four turns up to it, so a question's evidence is bounded however long the conversation is."""
+    c = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ask = c.select("conv_id", F.col("turn").alias("t"), F.col("text").alias("question"),
+                   (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"))
+    near = ask.select("qid", "t", "conv_id", F.explode(F.sequence(F.col("t") - 3, F.col("t"))).alias("turn"))
+    rows = near.join(c, ["conv_id", "turn"])
+    ctx = rows.select("qid", F.col("turn").alias("ctx_pos"), F.col("role").alias("title"), F.split("text", "\n").alias("sentences"))
+    facts = rows.select("qid", F.col("turn").alias("fact_pos"),
+                        F.when(F.col("role") == "system", F.upper("role")).otherwise(F.col("role")).alias("title"),
+                        (F.col("turn") - 2).cast("int").alias("sent_idx"))
+    gold = ask.where(F.col("t") % 2 == 0).select("qid", F.split("question", "\n")[0].alias("gold_answer"))
+    return ask.select("qid", "question"), ctx, facts, gold
+
+
 @register("build_prompt")
 def q_build_prompt(spark, sf_dir):
-    """A4 + P8: per conversation, question = turn-0 text, contexts = its oracle sentences
-    in fact order, rendered with the fixed prompt template."""
-    ctx, facts = conversation_oracle_inputs(spark, sf_dir)
-    oc = G.oracle_contexts_long(ctx, facts)
-    collected = C.collect_contexts(oc, ["qid"], ["title", "text"])
-    c = tables.table(spark, sf_dir, "conversations")
-    questions = c.where(F.col("turn") == 0).select(F.col("conv_id").alias("qid"),
-                                                   F.col("text").alias("question"))
+    """A4 + P8: every turn's text as question, its oracle sentences in fact order as
+    contexts, rendered with the fixed prompt template."""
+    questions, ctx, facts, _ = turn_questions(spark, sf_dir)
+    collected = C.collect_contexts(G.oracle_contexts_long(ctx, facts), ["qid"], ["title", "text"])
     rec = C.attach_contexts(questions, collected, ["qid"])
     return rec.select("qid", TX.build_prompt("question", "contexts").alias("prompt"))
 
@@ -349,24 +361,20 @@ def q_build_prompt(spark, sf_dir):
 
 
 def oracle_generation(spark, sf_dir):
-    """X6 on conversations: oracle sentences -> prompt -> stand-in generator (first line
-    of the first context) -> gold = the whole turn-1 text (missing when absent) -> scores."""
-    ctx, facts = conversation_oracle_inputs(spark, sf_dir)
-    oc = (G.oracle_contexts_long(ctx, facts).withColumn("variant", F.lit("oracle_gold_only"))
-          .withColumn("role", F.lit("oracle")).withColumnRenamed("position", "ord"))
-    c = tables.table(spark, sf_dir, "conversations")
-    recs = (c.where(F.col("turn") == 0)
-            .select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
-            .withColumn("variant", F.lit("oracle_gold_only")))
-    gold = c.where(F.col("turn") == 1).select(F.col("conv_id").alias("qid"),
-                                              F.col("text").alias("gold_answer"))
-    return J.finish(oc, recs, "oracle", I.first_context_line_factory(), gold, shuffle=False)
+    """X6 on conversations, through the nested form: oracle sentences -> prompt -> stand-in generator
+    (first line of every context) -> gold = the first line of an even turn (else missing) -> scores."""
+    questions, ctx, facts, gold = turn_questions(spark, sf_dir)
+    order = lambda c: F.array_sort(F.collect_list(c))  # noqa: E731 - four turns at most
+    nested = (questions.join(ctx.groupBy("qid").agg(order(F.struct("ctx_pos", "title", "sentences")).alias("context")), "qid", "left")
+              .join(facts.groupBy("qid").agg(order(F.struct("fact_pos", "title", "sent_idx")).alias("supporting_facts")), "qid", "left")
+              .join(gold, "qid", "left").withColumn("seq", F.col("qid")))
+    return J.oracle(nested, I.context_lines_factory())
 
 
 @register("generate_score")
 def q_generate_score(spark, sf_dir):
     scored, _ = oracle_generation(spark, sf_dir)
-    return scored.select("variant", "qid", "prediction", "gold_answer", "has_gold",
+    return scored.select("variant", "qid", "prediction", "prompt_hash", "gold_answer", "has_gold", "num_oracle",
                          "exact_match", "cover_exact_match", "error")
 
 
@@ -388,17 +396,17 @@ def q_summary(spark, sf_dir):
 
 @register("encode_topk")
 def q_encode_topk(spark, sf_dir):
-    """F6 + K1 with the stand-in hashing encoder: user turns retrieve documents
-    (encoder input = source[SEP]text)."""
+    """F6 + S7 + K1 with the stand-in hashing encoder: every turn retrieves documents
+    (encoder input = source[SEP]text). Vectors are stored without the text."""
     enc = I.hashing_encoder_factory(64)
-    docs = tables.doc_passages(spark, sf_dir).withColumn(
-        "input", TX.passage_text("title", "text"))
-    # Encode once and keep the vectors (S7): retrieval reads them several times.
-    dv = materialize(I.encode(docs.select("doc_id", "input"), enc, text="input"))
-    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    qv = materialize(I.encode(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
-                                       F.col("text").alias("input")), enc, text="input"))
-    r = R.topk_cosine(qv, dv, 5, exclude_self=False)
+    docs = tables.doc_passages(spark, sf_dir).select("doc_id", TX.passage_text("title", "text").alias("input"))
+    turns = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("input"))
+    stored = []
+    for rows, key in ((docs, "doc_id"), (turns, "qid")):
+        path = scratch_path(spark, "vectors")
+        IO.materialize_embeddings(I.encode(rows, enc, text="input").drop("input"), path, key)
+        stored.append(IO.load_embeddings(spark, path))
+    r = R.topk_cosine(stored[1], stored[0], 5, exclude_self=False)
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -412,127 +420,245 @@ def q_read_write_roundtrip(spark, sf_dir):
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def first_line(c):
+    return F.split(c, "\n")[0]
+
+
+def _vectors(spark, sf_dir):
+    return (tables.retrieval_questions(spark, sf_dir).select("qid", "embedding"),
+            tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding"))
+
+
+def _part_questions(spark, sf_dir):
+    """Every vector asks; its question is the name of the part with the same key, if there is one."""
+    qv = tables.retrieval_questions(spark, sf_dir).select("qid")
+    part = tables.table(spark, sf_dir, "part")
+    return qv.join(part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
+                   "qid", "left")
+
+
+def first_known_line(run, passages):
+    """Gold answers for even questions: the first line of the best ranked known passage."""
+    known = C.attach_passages(run, passages.select("doc_id", first_line("text").alias("line")))
+    return known.where(F.col("qid") % 2 == 0).groupBy("qid").agg(F.min_by("line", "rank").alias("gold_answer"))
+
+
+E2E = ["variant", "qid", "prediction", "prompt_hash", "has_gold", "exact_match", "cover_exact_match"]
+
+
 @register("baseline_generate")
 def q_baseline_generate(spark, sf_dir):
-    """X1 end to end: top-k for k in {1, 3, 5} -> documents as passages -> prompt ->
-    stand-in generator (first line of the first context) -> gold answer = the language
-    of the question's own document (missing when absent) -> EM / CEM per prediction.
-    Question text = the name of the part with the same key."""
-    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
-    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
-    part = tables.table(spark, sf_dir, "part")
-    questions = qv.select("qid").join(
-        part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
-        "qid", "left")
-    docs = tables.doc_passages(spark, sf_dir)
-    gold = tables.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
-    scored, _ = J.baseline_topk(questions, qv, pv, docs, I.first_context_line_factory(),
-                                gold=gold)
-    return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
-                         "cover_exact_match")
+    """X1 end to end: top-k for k in {1, 3, 5} -> documents as passages, half of the ids unknown ->
+    prompt -> stand-in generator (first line of every context) -> EM / CEM per prediction."""
+    qv, pv = _vectors(spark, sf_dir)
+    docs = tables.sparse_passages(spark, sf_dir)
+    gold = first_known_line(ranked_run(spark, sf_dir, 5), docs)
+    scored, _ = J.baseline_topk(_part_questions(spark, sf_dir), qv, pv, docs, I.context_lines_factory(), gold=gold)
+    return scored.select(*E2E, "num_topk")
 
 
 @register("hard_negative_generate")
 def q_hard_negative_generate(spark, sf_dir):
     """X4 end to end: top-100 over embeddings -> passages from ``part`` -> substring gold
     (the last word of the question's own part name) -> ratio-path picks (min_quota=1) ->
-    shuffled prompt -> stand-in generator -> gold answer = the question's own brand."""
-    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
-    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
-    part = tables.table(spark, sf_dir, "part")
-    own = part.select(F.col("p_partkey").alias("qid"), "p_name", "p_brand")
-    questions = qv.select("qid").join(own.select("qid", F.col("p_name").alias("question")),
-                                      "qid", "left")
-    gold_titles = own.select("qid", F.array(F.lower(F.substring_index("p_name", " ", -1)))
-                             .alias("gold_titles"))
-    gold = own.select("qid", F.col("p_brand").alias("gold_answer"))
-    scored, _ = J.hard_negatives(questions, qv, pv, tables.part_passages(spark, sf_dir),
-                                 I.first_context_line_factory(), gold_titles=gold_titles,
-                                 gold=gold, seed=SEED)
-    return scored.select("variant", "qid", "prediction", "has_gold", "num_gold",
-                         "num_hard_negative", "exact_match", "cover_exact_match")
+    shuffled prompt -> stand-in generator -> gold answer = the best ranked passage's text."""
+    qv, pv = _vectors(spark, sf_dir)
+    passages = tables.part_passages(spark, sf_dir)
+    gold_titles = tables.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("qid"), F.array(F.lower(F.substring_index("p_name", " ", -1))).alias("gold_titles"))
+    gold = first_known_line(ranked_run(spark, sf_dir, 100), passages)
+    scored, _ = J.hard_negatives(_part_questions(spark, sf_dir), qv, pv, passages, I.context_lines_factory(),
+                                 gold_titles=gold_titles, gold=gold, seed=SEED)
+    return scored.select(*E2E, "num_gold", "num_hard_negative")
 
 
 @register("random_negative_generate")
 def q_random_negative_generate(spark, sf_dir):
-    """X2 end to end: top ``n_keep`` retrieved documents + ``n_noise`` random documents that
-    are neither used nor gold (substring rule on titles; a question's gold title is the
-    source of its own document) -> shuffled prompt -> stand-in generator -> EM / CEM
-    against the language of the question's own document."""
-    qv = tables.retrieval_questions(spark, sf_dir).select("qid", "embedding")
-    pv = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "embedding")
-    part = tables.table(spark, sf_dir, "part")
-    questions = qv.select("qid").join(
-        part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
-        "qid", "left")
-    docs = tables.doc_passages(spark, sf_dir)
-    gold_titles = docs.select(F.col("doc_id").alias("qid"),
-                              F.array(F.lower("title")).alias("gold_titles"))
-    gold = tables.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
-    scored, _ = J.random_negatives(questions, qv, pv, docs, I.first_context_line_factory(),
+    """X2 end to end: top ``n_keep`` retrieved documents (half of the ids unknown) + ``n_noise`` random
+    documents that are neither used nor gold (substring rule on titles; a question's gold title is
+    the source of its own document) -> shuffled prompt -> stand-in generator -> EM / CEM."""
+    qv, pv = _vectors(spark, sf_dir)
+    docs = tables.sparse_passages(spark, sf_dir)
+    gold_titles = docs.select(F.col("doc_id").alias("qid"), F.array(F.lower("title")).alias("gold_titles"))
+    gold = first_known_line(ranked_run(spark, sf_dir, 100), docs)
+    scored, _ = J.random_negatives(_part_questions(spark, sf_dir), qv, pv, docs, I.context_lines_factory(),
                                    gold_titles=gold_titles, gold=gold, seed=SEED)
-    return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
-                         "num_random", "exact_match", "cover_exact_match")
+    return scored.select(*E2E, "num_relevant", "num_random")
 
 
-def _part_questions(spark, sf_dir):
-    qv = tables.retrieval_questions(spark, sf_dir).select("qid")
-    part = tables.table(spark, sf_dir, "part")
-    return qv.join(part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
-                   "qid", "left")
+def _stored_run(spark, sf_dir, k, passages):
+    """A run written with its question list (S3), read back, with passages; unknown ids have dropped out."""
+    path = scratch_path(spark, "stored_run")
+    IO.write_ranked(ranked_run(spark, sf_dir, k), path, asked=tables.retrieval_questions(spark, sf_dir))
+    return C.attach_passages(IO.read_ranked(spark, path), passages), IO.read_asked(spark, path)
 
 
 @register("rescore_generate")
 def q_rescore_generate(spark, sf_dir):
-    """X7 end to end on a stored run: write the top-10 run as Parquet (S3), read it back,
-    attach documents, then generate and score for k in {1, 3, 5} (contexts in rank order)."""
-    path = scratch_path(spark, "stored_run")
-    IO.write_ranked(ranked_run(spark, sf_dir, 10), path)
-    docs = tables.doc_passages(spark, sf_dir)
-    run = C.attach_passages(IO.read_ranked(spark, path), docs)
-    gold = tables.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
-    scored, _ = J.rescore_run(run, _part_questions(spark, sf_dir),
-                              I.first_context_line_factory(), gold=gold)
-    return scored.select("variant", "qid", "prediction", "has_gold", "exact_match",
-                         "cover_exact_match")
+    """X7 end to end on a stored top-6 run of which half of the ids are unknown: questions without any known passage
+    are asked with an empty prompt; k counts known passages only."""
+    docs = tables.sparse_passages(spark, sf_dir)
+    run, asked = _stored_run(spark, sf_dir, 6, docs)
+    gold = first_known_line(ranked_run(spark, sf_dir, 6), docs)
+    scored, _ = J.rescore_run(run, _part_questions(spark, sf_dir), I.context_lines_factory(), gold=gold, asked=asked)
+    return scored.select(*E2E, "num_topk")
 
 
 @register("config_mix_generate")
 def q_config_mix_generate(spark, sf_dir):
     """X5 end to end: stored top-100 run with ``part`` passages, exact-title gold (the
     question's own part name), configs (k_gold, k_hard, mix_topk) with duplicates kept,
-    shuffled prompt, stand-in generator, gold answer = the question's own brand."""
-    run = stored_run_with_titles(spark, sf_dir).drop("rank").withColumnRenamed("pos", "rank")
-    part = tables.table(spark, sf_dir, "part")
-    gold_titles = part.select(F.col("p_partkey").alias("qid"),
-                              F.array(F.lower("p_name")).alias("gold_titles"))
-    gold = part.select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("gold_answer"))
-    scored, _ = J.hard_negatives_from_run(run, _part_questions(spark, sf_dir),
-                                          I.first_context_line_factory(),
-                                          gold_titles=gold_titles, gold=gold, seed=SEED)
-    return scored.select("variant", "qid", "prediction", "has_gold", "num_gold",
-                         "num_hard_negative", "num_topk", "exact_match", "cover_exact_match")
+    shuffled prompt, stand-in generator, gold answer = the text of the best ranked gold passage."""
+    passages = tables.part_passages(spark, sf_dir)
+    run, asked = _stored_run(spark, sf_dir, 100, passages)
+    own = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.lower("p_name").alias("own"))
+    gold_titles = own.select("qid", F.array("own").alias("gold_titles"))
+    gold = run.join(own, "qid").where(F.lower("title") == F.col("own")).groupBy("qid").agg(
+        F.min_by("text", "rank").alias("gold_answer"))
+    scored, _ = J.hard_negatives_from_run(run, _part_questions(spark, sf_dir), I.context_lines_factory(),
+                                          gold_titles=gold_titles, gold=gold, asked=asked, seed=SEED)
+    return scored.select(*E2E, "num_gold", "num_hard_negative", "num_topk")
 
 
 @register("random_run_generate")
 def q_random_run_generate(spark, sf_dir):
-    """X3 end to end: stored top-100 run with documents attached (positions renumbered
-    after unknown ids drop out); every question of the run asks; random contexts come
-    from positions 51-100 of every other question; shuffled prompt; stand-in generator;
-    gold = the language of the question's own document."""
-    docs = tables.doc_passages(spark, sf_dir)
-    ids = C.attach_passages(materialize(ranked_run(spark, sf_dir, 100), "ranked"),
-                            docs.select("doc_id"))
-    ids = materialize(ids.withColumn("rank", F.row_number().over(
-        Window.partitionBy("qid").orderBy("rank")).cast("int")), "stored_run")
-    run = C.attach_passages(ids, docs)
+    """X3 end to end: stored top-100 run of which half of the ids are unknown; every question asks;
+    random contexts come from positions 31-60 of every other question; shuffled prompt; stand-in generator."""
+    docs = tables.sparse_passages(spark, sf_dir)
+    run, asked = _stored_run(spark, sf_dir, 100, docs)
     questions = _part_questions(spark, sf_dir).withColumn("seq", F.col("qid"))
-    gold = tables.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("qid"), F.col("lang").alias("gold_answer"))
-    scored, _ = J.random_from_run(run, questions, I.first_context_line_factory(),
-                                  num_questions=None, gold=gold, seed=SEED)
-    return scored.select("variant", "qid", "prediction", "has_gold", "num_relevant",
-                         "num_random", "exact_match", "cover_exact_match")
+    gold = first_known_line(ranked_run(spark, sf_dir, 100), docs)
+    scored, _ = J.random_from_run(run, questions, I.context_lines_factory(), passages=docs, band=(30, 60),
+                                  gold=gold, asked=asked, seed=SEED)
+    return scored.select(*E2E, "num_relevant", "num_random")
+
+
+# --------------------------------------------------------------------------- single operators
+
+
+@register("gold_titles")
+def q_gold_titles(spark, sf_dir):
+    """P3 on the turns' facts: the distinct lower-cased titles of a question."""
+    _, _, facts, _ = turn_questions(spark, sf_dir)
+    nested = facts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("fact_pos", "title", "sent_idx"))).alias("supporting_facts"))
+    return G.gold_titles_long(nested)
+
+
+@register("variant_quotas")
+def q_variant_quotas(spark, sf_dir):
+    """P7 in its frame form: every label of the vectors is a variant with its own ratio."""
+    e = tables.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"))
+    return C.variant_quotas(e.withColumn("ratio", F.col("label") / 10.0), 7).select("label", "vectors", "n_noise", "n_keep")
+
+
+@register("exclude_used")
+def q_exclude_used(spark, sf_dir):
+    """U2 + J7: the top-10 run without what is gold (same label) or ranked first."""
+    run = labelled_run(spark, sf_dir, 10)
+    used = SM.exclusion_set(run.where("is_gold").select("qid", "doc_id"), run.where("rank = 1").select("qid", "doc_id"))
+    return SM.exclude_docs(run, used, ["qid"]).select("qid", "doc_id", "rank")
+
+
+@register("masked_centroids")
+def q_masked_centroids(spark, sf_dir):
+    """A1 with a mask: mean vector by label over vectors with an odd id; a label without any gets null."""
+    e = tables.table(spark, sf_dir, "embeddings").withColumn("mask", F.when(F.col("label") == 3, 0).otherwise(F.col("vec_id") % 2))
+    m = R.mean_pool(e, "label", "embedding", "mask")
+    return m.select("label", F.posexplode_outer(F.transform("embedding", lambda x: F.round(x, 6))).alias("dim", "value"))
+
+
+@register("row_similarity")
+def q_row_similarity(spark, sf_dir):
+    """F4 + F5 by row: cosine and dot product of each vector with the one 7 ids on; every ninth is set to zero."""
+    e = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(
+        "embedding", lambda x: F.when(F.col("vec_id") % 9 == 0, 0.0).otherwise(x.cast("double"))).alias("v"))
+    other = e.select((F.col("vec_id") - 7).alias("vec_id"), F.col("v").alias("w"))
+    return e.join(other, "vec_id").select("vec_id", F.round(V.cosine("v", "w"), 6).alias("cosine"), F.round(V.dot("v", "w"), 6).alias("dot"))
+
+
+@register("topk_ties")
+def q_topk_ties(spark, sf_dir):
+    """K1 + F5 on string ids, every vector three times (exact ties go to the larger id) and some set to zero."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    v = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 50 == 0, 0.0).otherwise(F.signum(x)))
+    e = e.select("vec_id", v.alias("embedding"))
+    copies = e.select(F.explode(F.array(*[F.format_string(f"d%06d-{i}", "vec_id") for i in range(3)])).alias("doc_id"), "embedding")
+    asks = e.select(F.format_string("d%06d-1", "vec_id").alias("qid"), "embedding")
+    return R.topk_cosine(asks, copies, 5).select("qid", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+@register("random_negatives_scarce")
+def q_random_negatives_scarce(spark, sf_dir):
+    """R1 where requests cannot be filled: every label asks for as many random vectors as exist; vectors
+    of labels not above its own are excluded, so the last label gets none and others all that is left."""
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    pool, n = SM.dense_index(e.select("doc_id", F.col("label").alias("d_label")), ["doc_id"])
+    labels = e.groupBy(F.col("label").alias("qid")).agg(F.count(F.lit(1)).alias("n"))
+    banned = labels.select("qid", F.explode(F.sequence(F.lit(0), F.col("qid"))).alias("d_label"))
+    drawn = SM.sample_without_replacement(labels.select("qid", F.lit(n).alias("need")), pool, n, keys=["qid"], seed=SEED,
+                                          exclude_groups=banned, group="d_label")
+    return drawn.select("qid", "doc_id")
+
+
+# --------------------------------------------------------------------------- files
+
+
+@register("questions_roundtrip")
+def q_questions_roundtrip(spark, sf_dir):
+    """Turns written as JSON lines in the raw question shape (facts with and without index), read back."""
+    c = tables.table(spark, sf_dir, "conversations")
+    raw = c.select(F.concat_ws("-", "conv_id", "turn").alias("_id"), F.col("text").alias("question"), F.col("role").alias("answer"),
+                   F.array(F.array(F.col("role")), F.array(F.lit("T2"), F.col("turn").cast("string")), F.array(F.lit("T3"), F.lit("x"))).alias("supporting_facts"),
+                   F.array(F.array(F.col("role"), F.to_json(F.split("text", "\n"))), F.array(F.lit("lonely"))).alias("context"))
+    path = scratch_path(spark, "questions")
+    raw.write.json(path)
+    q = IO.read_questions(spark, path, "json_lines")
+    return q.select("qid", "question", "gold_answer", F.size("supporting_facts").alias("n_facts"),
+                    F.element_at("supporting_facts", 1)["title"].alias("first_title"), F.element_at("supporting_facts", 2)["sent_idx"].alias("second_index"),
+                    F.element_at("supporting_facts", 3)["sent_idx"].isNull().alias("third_unknown"),
+                    F.size("context").alias("n_paragraphs"), F.array_join(F.element_at("context", 1)["sentences"], "\n").alias("sentences"))
+
+
+@register("passages_roundtrip")
+def q_passages_roundtrip(spark, sf_dir):
+    """Documents written as JSON lines, each first under an old text, in one sorted file a partition; the last counts."""
+    d = tables.table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("n"), F.lit("old").alias("title"), F.lit("old").alias("text")),
+        F.struct(F.lit(1).alias("n"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("title"), F.col("text").alias("text")))).alias("p"))
+    path = scratch_path(spark, "passages")
+    rows.repartition("doc_id").sortWithinPartitions("doc_id", "p.n").select("doc_id", "p.title", "p.text").write.json(path)
+    return IO.read_passages(spark, path, "json_lines").select("doc_id", "title", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("predictions_roundtrip")
+def q_predictions_roundtrip(spark, sf_dir):
+    """S5 + S4: turns as predictions with variant columns, written as JSON lines by run keys and read back."""
+    p = conversation_predictions(spark, sf_dir).select(
+        F.lit("conversations").alias("experiment"), F.col("role").alias("variant"), F.concat_ws("-", "conv_id", "turn").alias("qid"),
+        F.col("prediction"), F.when(F.col("has_gold"), F.col("gold_answer")).alias("gold_answer"), (F.col("turn") / 4).alias("noise_ratio"),
+        F.array(F.struct(F.col("role").alias("doc_id"), (F.col("turn") % 2 == 0).alias("is_random"))).alias("contexts"))
+    path = scratch_path(spark, "predictions")
+    IO.write_predictions(p, path, fmt="json_lines")
+    back = IO.read_predictions(spark, path, "json_lines")
+    return back.select("experiment", "variant", "qid", "prediction", "gold_answer", "noise_ratio",
+                       F.col("contexts")[0]["doc_id"].alias("context_id"), F.col("contexts")[0]["is_random"].alias("is_random"))
+
+
+@register("evaluate_folder")
+def q_evaluate_folder(spark, sf_dir):
+    """S4 -> F8 -> A2 -> X8 on result files of the three shapes and an empty one: user turns as bare lists,
+    assistant turns as wrapped lists (50 conversations a file), system turns as single objects."""
+    p = conversation_predictions(spark, sf_dir)
+    rec = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), "prediction", F.when(F.col("has_gold"), F.col("gold_answer")).alias("gold_answer"))
+    files = p.select("role", F.floor(F.col("conv_id") / 50).alias("part"), rec.alias("r")).groupBy("role", "part").agg(F.collect_list("r").alias("rs"))
+    root = scratch_path(spark, "results")
+    bare = files.where("role = 'user'").select(F.to_json("rs").alias("value"))
+    wrapped = files.where("role = 'assistant'").select(F.to_json(F.struct(F.create_map(F.lit("k"), F.lit("1")).alias("config"), F.col("rs").alias("results"))).alias("value"))
+    single = p.where("role = 'system'").select(F.to_json(rec).alias("value"))
+    empty = files.agg(F.lit("[]").alias("value"))
+    # one text file for each list: a file is one top-level array or object
+    for name, df in (("user", bare), ("assistant", wrapped), ("system", single), ("empty", empty)):
+        df.withColumn("n", F.monotonically_increasing_id()).repartition("n").write.partitionBy("n").text(f"{root}/{name}")
+    _, m = J.evaluate_folder(spark, [f"{root}/{n}/*" for n in ("user", "assistant", "system", "empty")], name=r"([^/]+)/n=[^/]+/[^/]*$")
+    return m.select("variant", "num_samples", "em_pct", "cem_pct")

@@ -45,6 +45,11 @@ def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sparse_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as passages under twice their id, so that half of the vectors' ids are unknown."""
+    return doc_passages(spark, sf_dir).withColumn("doc_id", F.col("doc_id") * 2)
+
+
 def part_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, title, text)`` from ``part``: title ``p_name``, text brand + type."""
     p = table(spark, sf_dir, "part")

@@ -37,8 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage. Only when
-    it is unset (local tests) do we pick a fresh local folder and register it.
+    On a cluster this is set by the deployment and points at shared storage; without it
+    this raises, because other machines would not see a local folder. Only a ``local``
+    master (tests) gets a fresh folder of its own when the setting is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ctxmix-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -58,6 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_tables(spark: SparkSession) -> bool:
+    """Delete every table that this application has written by :func:`materialize` or to a
+    :func:`scratch_path`. Call it when results that read them have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/tables")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint folder and
     read it back. One job (a reliable ``checkpoint()`` recomputes its last stage to
@@ -73,15 +83,16 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Give a CPU-heavy stage (Python models, long-text scans) at least ``partitions`` tasks.
+    """Deal a CPU-heavy stage's input (Python models, long-text scans) over the cores.
 
-    Only shuffles when the input has fewer partitions than that (e.g. a file with one
-    row group); an explicit count is never coalesced by AQE.
+    With ``partitions`` it is repartitioned to that number, which AQE never merges. Without,
+    only a scan of fewer files than there are cores is dealt out; everything else
+    stays as it is. Nothing upstream is executed to find out.
     """
-    want = partitions or parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    if partitions:
+        return df.repartition(partitions)
+    files = len(df.inputFiles())
+    return df.repartition(parallelism(df.sparkSession)) if 0 < files < parallelism(df.sparkSession) else df
 
 
 _SHIPPED: set[str] = set()

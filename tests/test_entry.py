@@ -1,6 +1,8 @@
 """Driver contract: entry() runs on sf0.001; every query has a stable schema."""
 
 import __spark_entry__ as E
+from ctxmix.plans.oracle_sql import ORACLE
+from ctxmix.plans.queries import QUERIES
 
 
 def test_entry_smoke(spark):
@@ -11,6 +13,5 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"encode_topk"}
-    assert len(E.queries()) >= 26
+    assert set(QUERIES) == set(ORACLE)
+    assert len(QUERIES) >= 41

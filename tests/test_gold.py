@@ -54,17 +54,38 @@ def test_oracle_extraction_hand_case(spark):
     assert got == [(0, "oracle_T1_0", "c", 1.0), (3, "oracle_T2_-1", "x", 1.0)]
 
 
-def test_cover_join_chunked_equals_single_broadcast(spark):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(
-        ["abc def", "xyz", "def abc xyz", "", "aaa"])], "tid int, t string")
-    needles = spark.createDataFrame([(j, n) for j, n in enumerate(
-        ["abc", "xyz", "", "zz", "aaa", "def abc"])], "nid int, n string")
-    one = {(r["tid"], r["nid"]) for r in M.cover_join(texts, needles, "t", "n").collect()}
-    many = {(r["tid"], r["nid"]) for r in
-            M.cover_join(texts, needles, "t", "n", max_broadcast_bytes=40, chunk_col="nid").collect()}
-    want = {(i, j) for i, t in enumerate(["abc def", "xyz", "def abc xyz", "", "aaa"])
-            for j, n in enumerate(["abc", "xyz", "", "zz", "aaa", "def abc"]) if n in t}
-    assert one == many == want
+def test_cover_join_equals_nested_loop(spark):
+    import random
+    rnd = random.Random(3)
+    words = ["ab", "abc", "b", "", "cab", "a\nb", "é"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 14))) for _ in range(80)] + ["", None]
+    needles = ["", "a", "é", "bc", "abc", "ab ab", "b cab abc", "  ", None]
+    for t in rnd.sample([t for t in texts if t], 40):  # parts of texts, cut inside words too
+        i = rnd.randint(0, len(t))
+        needles.append(t[i:i + rnd.randint(0, 25)])
+    got = M.cover_join(spark.createDataFrame(list(enumerate(texts)), "tid int, t string"),
+                       spark.createDataFrame(list(enumerate(needles)), "nid int, n string"), "t", "n", "tid", "nid")
+    assert got.columns == ["tid", "t", "nid", "n"]
+    want = sorted((i, j) for i, t in enumerate(texts) for j, n in enumerate(needles) if t is not None and n is not None and n in t)
+    assert sorted((r["tid"], r["nid"]) for r in got.collect()) == want
+
+
+def test_nested_and_long_oracle_agree_on_random_rows(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for q in range(60):
+        ctx = [(rnd.choice(["A", "B", "a", None]), rnd.choice([None, [], ["x"], ["x", "y", "x"]])) for _ in range(rnd.randint(0, 4))]
+        rows.append((q, ctx, [(rnd.choice(["A", "B", "a", "Z", None]), rnd.choice([None, -4, -1, 0, 1, 2, 9])) for _ in range(rnd.randint(0, 6))]))
+    rows += [(100, None, None), (101, [("A", ["x"])], None)]
+    q = spark.createDataFrame(rows, "qid int, context array<struct<title:string,sentences:array<string>>>, "
+                                    "supporting_facts array<struct<title:string,sent_idx:int>>")
+    ctx = q.select("qid", F.posexplode("context").alias("ctx_pos", "c")).select("qid", "ctx_pos", "c.title", "c.sentences")
+    facts = q.select("qid", F.posexplode("supporting_facts").alias("fact_pos", "f")).select("qid", "fact_pos", "f.title", "f.sent_idx")
+    nested = G.oracle_contexts(q)
+    assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "position", "doc_id", "title", "text", "score").collect())
+    assert rows(nested) == rows(G.oracle_contexts_long(ctx, facts)) != []
 
 
 def test_oracle_extraction_too_negative_index_is_dropped(spark):

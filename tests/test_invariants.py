@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from ctxmix.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,8 @@ def rows(df):
 
 
 @pytest.mark.parametrize("name", ["hard_negative_sweep", "random_negatives", "random_from_run",
-                                  "shuffle_contexts", "gold_substring", "oracle_contexts"])
+                                  "shuffle_contexts", "gold_substring", "oracle_contexts",
+                                  "benchmark_cover", "topk_ties", "random_negatives_scarce"])
 def test_independent_of_shuffle_partitions(spark, name):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
@@ -25,18 +27,13 @@ def test_independent_of_shuffle_partitions(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-# The cover join broadcasts a measured, size-checked needle side on purpose; summary's
-# one-row nested loop comes from Catalyst folding literal join keys.
-NESTED_LOOP_OK = {"benchmark_cover", "summary"}
-
-
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_or_unplanned_nested_loop(spark, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    if name not in NESTED_LOOP_OK:
-        assert "NestedLoopJoin" not in plan
+    # the one-row nested loop of these comes from Catalyst folding literal join keys
+    assert "NestedLoopJoin" not in plan or name in ("summary", "evaluate_folder")
 
 
 def test_sweep_retrieves_once(spark):

@@ -24,7 +24,7 @@ def test_read_questions(spark):
         json.dump(data, f)
     q = IO.read_questions(spark, d).orderBy("seq").collect()
     assert [r["qid"] for r in q] == ["a", "b"]
-    assert [(f["title"], f["sent_idx"]) for f in q[0]["supporting_facts"]] == [("T1", 0), ("T2", 1)]
+    assert [(f["title"], f["sent_idx"]) for f in q[0]["supporting_facts"]] == [("T1", 0), ("T2", 1), ("bad", None)]
     assert [p["sentences"] for p in q[0]["context"]] == [["s0", "s1"], ["u0", "u1"]]
 
 
@@ -102,13 +102,14 @@ def test_read_passages_and_json_predictions(spark):
         json.dump([{"doc_id": 1, "title": None, "text": "a"}, {"doc_id": 1, "title": "T", "text": "b"},
                    {"doc_id": 2, "title": "U", "text": None}], f)
     p = IO.read_passages(spark, os.path.join(d, "corpus.json")).orderBy("doc_id").collect()
-    assert [r["doc_id"] for r in p] == ["1", "2"]
+    assert [r["doc_id"] for r in p] == ["1", "2"] and (p[0]["title"], p[0]["text"]) == ("T", "b")  # the last counts
     assert p[1]["text"] == "" and all(r["title"] is not None for r in p)
     preds = spark.createDataFrame([("e", "v1", "q", "x"), ("e", "v2", "q", "y")],
                                   "experiment string, variant string, qid string, prediction string")
-    IO.write_predictions(preds, f"{d}/preds", fmt="json")
-    back = spark.read.json(f"{d}/preds")
-    assert sorted((r["variant"], r["prediction"]) for r in back.collect()) == [("v1", "x"), ("v2", "y")]
+    for fmt in ("json_lines", "parquet"):
+        IO.write_predictions(preds, f"{d}/preds-{fmt}", fmt=fmt)
+        back = IO.read_predictions(spark, f"{d}/preds-{fmt}", fmt)
+        assert sorted((r["experiment"], r["variant"], r["qid"], r["prediction"]) for r in back.collect()) == [("e", "v1", "q", "x"), ("e", "v2", "q", "y")]
 
 
 def test_streaming_evaluator_restarts_without_double_counting(spark):
@@ -143,3 +144,73 @@ def test_materialized_tables_live_under_the_configured_checkpoint_dir(spark):
     files = df.inputFiles()
     assert files and all(root.rstrip("/").split(":", 1)[-1] in f for f in files)
     assert df.count() == 5
+
+
+def test_json_lines_keep_every_record_in_file_order(spark):
+    import pytest
+    d = tmpdir()
+    for name, ids in (("b.json", range(3, 6)), ("a.json", range(3))):
+        with open(os.path.join(d, name), "w") as f:
+            f.writelines(json.dumps({"_id": str(i), "question": f"q{i}", "supporting_facts": [["T1"], ["T2", 0]]}) + "\n" for i in ids)
+    q = IO.read_questions(spark, d, "json_lines")
+    assert [r["qid"] for r in q.orderBy("seq").collect()] == list("012345")
+    from ctxmix.operators.gold import gold_titles
+    assert gold_titles(q).first()["gold_titles"] == ["t1", "t2"]
+    with open(os.path.join(d, "corpus.jsonl"), "w") as f:
+        f.writelines(json.dumps({"doc_id": i % 4, "title": f"t{i}", "text": "x"}) + "\n" for i in range(5))
+    p = IO.read_passages(spark, os.path.join(d, "corpus.jsonl"), "json_lines")
+    assert sorted((r["doc_id"], r["title"]) for r in p.collect()) == [("0", "t4"), ("1", "t1"), ("2", "t2"), ("3", "t3")]
+    with pytest.raises(ValueError):
+        IO.read_passages(spark, d, "json")
+
+
+def test_evaluate_folder_has_empty_runs_and_variant_columns(spark):
+    from ctxmix.plans import jobs as J
+    d = tmpdir()
+    rec = {"id": "q", "gold_answer": "Paris", "prediction": "Paris.", "noise_ratio": 0.25, "k_gold": 3,
+           "contexts": [{"doc_id": "1", "is_random": True}]}
+    for name, data in (("bare.json", [rec, dict(rec, prediction="in Paris")]), ("empty.json", []), ("single.json", rec),
+                       ("wrapped.json", {"config": {"k": 1}, "metrics": {}, "results": [dict(rec, gold_answer=None)]})):
+        with open(os.path.join(d, name), "w") as f:
+            json.dump(data, f)
+    scored, summary = J.evaluate_folder(spark, d)
+    got = {r["variant"]: (r["num_samples"], r["em_pct"], r["cem_pct"]) for r in summary.collect()}
+    assert got == {"bare": (2, 50.0, 100.0), "empty": (0, 0.0, 0.0), "single": (1, 100.0, 100.0), "wrapped": (1, 0.0, 100.0)}
+    assert {(r["noise_ratio"], r["k_gold"], r["contexts"][0]["is_random"]) for r in scored.collect()} == {(0.25, 3, True)}
+
+
+def test_report_keeps_the_configuration(spark):
+    d = tmpdir()
+    preds = spark.createDataFrame([("e", "v", "q", 1)], "experiment string, variant string, qid string, exact_match int")
+    IO.write_report(preds.select("experiment", "variant"), preds, f"{d}/report", config={"ks": [1, 3], "seed": 42})
+    rows = spark.read.json(f"{d}/report/config").collect()
+    assert {r["key"]: json.loads(r["value"]) for r in rows} == {"ks": [1, 3], "seed": 42}
+
+
+def test_no_local_folder_off_a_local_master():
+    import pytest
+    from ctxmix.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session)
+
+
+def test_drop_tables(spark):
+    import os as _os
+    from ctxmix.session import checkpoint_root, drop_tables, materialize, spread
+    df = materialize(spark.range(5), "probe")
+    assert spread(df.groupBy("id").count()).rdd is not None  # a plan with shuffles stays as it is
+    root = checkpoint_root(spark).split(":", 1)[-1]
+    assert _os.path.isdir(f"{root}/tables") and drop_tables(spark) and not _os.path.isdir(f"{root}/tables")

@@ -28,22 +28,32 @@ def inputs(spark):
                                    .alias("gold_titles"))
     gold = questions.select("qid", F.element_at(F.split("question", " "), 1).alias("gold_answer"))
     return dict(questions=questions, qv=qv, pv=pv, passages=passages, gold_titles=gold_titles,
-                gold=gold, gen=I.first_context_line_factory())
+                gold=gold, gen=I.context_lines_factory())
 
 
 def check(preds, metrics, n_questions, n_variants):
     assert preds.count() == n_questions * n_variants
     m = metrics.collect()
     assert len(m) == n_variants
-    assert all(0.0 <= r["exact_match"] <= r["cover_exact_match"] <= 1.0 or
-               0.0 <= r["exact_match"] <= 1.0 for r in m)
+    # means of what the rows say; an exact match is always a cover match
+    rows = preds.collect()
+    for r in m:
+        own = [x for x in rows if x["variant"] == r["variant"]]
+        assert len(own) == n_questions == r["num_samples"]
+        assert abs(r["exact_match"] - sum(x["exact_match"] for x in own) / len(own)) < 1e-9
+        assert abs(r["cover_exact_match"] - sum(x["cover_exact_match"] for x in own) / len(own)) < 1e-9
+        assert r["exact_match"] <= r["cover_exact_match"]
 
 
 def test_baseline(spark, inputs):
     p, m = J.baseline_topk(inputs["questions"], inputs["qv"], inputs["pv"], inputs["passages"],
-                           inputs["gen"], gold=inputs["gold"])
+                           inputs["gen"], gold=inputs["gold"], wide=True)
     n = inputs["questions"].count()
     check(p, m, n, 3)
+    answers = {}
+    for r in p.collect():
+        answers.setdefault(r["qid"], set()).add(r["prediction"])
+    assert all(len(a) == 3 for a in answers.values())  # k = 1, 3, 5 give different predictions
     sizes = {r["variant"]: r["n"] for r in
              p.groupBy("variant").agg(F.max(F.size("contexts")).alias("n")).collect()}
     assert sizes == {"top1": 1, "top3": 3, "top5": 5}
@@ -106,6 +116,38 @@ def test_oracle_job(spark):
         "qid string, question string, gold_answer string, "
         "context array<struct<title:string,sentences:array<string>>>, "
         "supporting_facts array<struct<title:string,sent_idx:int>>, seq long")
-    p, m = J.oracle(q, I.first_context_line_factory())
+    p, m = J.oracle(q, I.context_lines_factory())
     got = {r["qid"]: (r["prediction"], r["exact_match"], r["cover_exact_match"]) for r in p.collect()}
     assert got == {"q1": ("c", 1, 1), "q2": ("", 1, 1)}
+
+
+def test_stored_runs_count_positions_and_keep_empty_questions(spark):
+    """Ranks with gaps (unknown ids were dropped) and a question without any known passage."""
+    run = spark.createDataFrame([("q1", "a", 0.9, 2, "t", "one"), ("q1", "b", 0.8, 5, "t", "two"), ("q1", "c", 0.7, 9, "u", "three")],
+                                "qid string, doc_id string, score double, rank int, title string, text string")
+    questions = spark.createDataFrame([("q1", "?", 0), ("q2", "??", 1)], "qid string, question string, seq long")
+    asked = questions.select("qid")
+    gold = spark.createDataFrame([("q1", "one"), ("q1", "x"), ("q2", "y")], "qid string, gold_answer string")
+    p, m = J.rescore_run(run, questions, I.context_lines_factory(), ks=(1, 2), gold=gold, asked=asked)
+    assert {(r["variant"], r["qid"]): r["prediction"] for r in p.collect()} == {
+        ("baseline_top1", "q1"): "one", ("baseline_top2", "q1"): "one | two", ("baseline_top1", "q2"): "", ("baseline_top2", "q2"): ""}
+    assert {r["num_samples"] for r in m.collect()} == {2}
+    titles = spark.createDataFrame([("q1", ["u"])], "qid string, gold_titles array<string>")
+    p, _ = J.hard_negatives_from_run(run, questions, I.context_lines_factory(), gold_titles=titles, configs=((1, 1, 0), (0, 0, 2)), asked=asked)
+    got = {(r["variant"], r["qid"]): set(filter(None, r["prediction"].split(" | "))) for r in p.collect()}
+    assert got == {("gold1_hard1", "q1"): {"three", "one"}, ("gold0_hard0_top2", "q1"): {"one", "two"},
+                   ("gold1_hard1", "q2"): set(), ("gold0_hard0_top2", "q2"): set()}
+    p, _ = J.random_from_run(run, questions, I.context_lines_factory(), total=2, ratios=(0.5,), band=(1, 3), asked=asked)
+    got = {r["qid"]: (r["num_relevant"], r["num_random"]) for r in p.collect()}
+    assert got == {"q1": (1, 0), "q2": (0, 1)}  # q1 may not draw its own rows
+
+
+def test_variant_names_don_t_collide(spark):
+    assert J.percent("x", 0.29) == "x_29pct" and J.percent("x", 0.291) == "x_29p1pct" and J.percent("x", 1.0) == "x_100pct"
+    with pytest.raises(ValueError):
+        J._named([{"variant": "a"}, {"variant": "a"}])
+
+
+def test_answers_join_narrow_rows(spark, inputs):
+    p, _ = J.baseline_topk(inputs["questions"], inputs["qv"], inputs["pv"], inputs["passages"], inputs["gen"])
+    assert not {"contexts", "prompt", "question"} & set(p.columns)

@@ -76,11 +76,11 @@ def test_mean_pool_masked(spark):
 def test_plan_blocks_bounds():
     assert R.plan_blocks(10, 10, 64, 8) == (1, 8)
     # 768-dim vectors, 512 MB cells: at most ~43.7k question rows per block
-    bq, bc = R.plan_blocks(100_000, 10_000_000, 768, 8)
+    bq, bc = R.plan_blocks(100_000, 10_000_000, 768, 8, 512 << 20)
     q_block = catch_ceil(100_000, 3) * 768 * 8
     assert bq == 3 and bc == catch_ceil(10_000_000, ((512 << 20) - q_block) // (768 * 8))
     # a small question set leaves most of the cell to passages
-    bq, bc = R.plan_blocks(12_000, 430_000_000, 768, 8)
+    bq, bc = R.plan_blocks(12_000, 430_000_000, 768, 8, 512 << 20)
     assert bq == 1 and bc == catch_ceil(430_000_000, ((512 << 20) - 12_000 * 768 * 8) // (768 * 8))
 
 
@@ -132,3 +132,25 @@ def test_topk_with_empty_sides(spark):
     assert R.topk_cosine(q.limit(0), c, 3).count() == 0
     assert R.topk_cosine(q, c.limit(0), 3).count() == 0
     assert R.plan_blocks(0, 0, 0, 8) == (1, 1)
+
+
+@pytest.mark.parametrize("strings", [False, True])
+def test_blocks_don_t_change_ids_or_scores(spark, strings):
+    """Distinct dense vectors, each ten times, and zero vectors: exact ties everywhere."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(40, 24)), 10, axis=0), np.zeros((3, 24))])
+    rows = [(f"v{i:04d}" if strings else i, [float(a) for a in v]) for i, v in enumerate(x)]
+    e = spark.createDataFrame(rows, f"id {'string' if strings else 'long'}, embedding array<double>")
+    q, c = e.select(F.col("id").alias("qid"), "embedding"), e.select(F.col("id").alias("doc_id"), "embedding")
+    got = [sorted(tuple(r) for r in R.topk_cosine(q, c, 13, blocks=b).collect()) for b in ((1, 1), (1, 3), (2, 7), (5, 4))]
+    assert got[0] == got[1] == got[2] == got[3]
+    first = [r for r in got[0] if r[0] == rows[0][0]]
+    assert [r[1] for r in sorted(first, key=lambda r: r[3])][:9] == [rows[i][0] for i in range(9, 0, -1)]
+
+
+def test_each_cell_is_a_task_of_its_own(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    run = R.topk_cosine(e.select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 3, blocks=(2, 9))
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("shufflepartitionidpassthrough") == 2 and ", 18), REPARTITION_BY_NUM" in plan
+    assert "Exchange hashpartitioning(cell" not in plan

@@ -78,3 +78,50 @@ def test_fully_excluded_pool_terminates_empty(spark):
     got = SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude=excl).collect()
     assert {r["qid"] for r in got} == {2}
     assert len(got) == 3
+
+
+def test_permutation(spark):
+    for half in (1, 3):
+        rows = spark.range(4**half).select(SM.permuted(F.col("id"), half, 7, [F.lit("a")]).alias("x"),
+                                           SM.permuted(F.col("id"), half, 7, [F.lit("b")]).alias("y")).collect()
+        assert sorted(r["x"] for r in rows) == sorted(r["y"] for r in rows) == list(range(4**half))
+        assert half == 1 or [r["x"] for r in rows] != [r["y"] for r in rows]
+    assert [SM.half_bits(n) for n in (1, 4, 5, 16, 17, 10**10)] == [1, 1, 2, 2, 3, 17]
+
+
+def test_draw_ranges(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (2, 4094, 4099), (3, 10**7 - 2, 10**7 + 4098)], "k long, lo long, hi long")
+    got = {}
+    for r in SM._draws(rows, ["k"]).collect():
+        got.setdefault(r["k"], []).append(r["j"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: list(range(5)), 2: list(range(4094, 4099)), 3: list(range(10**7 - 2, 10**7 + 4098))}
+
+
+def test_groups_and_rows_excluded(spark):
+    pool, n = SM.dense_index(spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, F.col("id") % 10).alias("g")), ["doc_id"])
+    req = spark.createDataFrame([(q, v, 50) for q in range(4) for v in range(2)], "qid long, v int, need int")
+    banned = spark.createDataFrame([(1, 0), (1, 1), (2, 3), (3, 77)] + [(0, g) for g in range(9)], "qid long, g long")
+    used = spark.createDataFrame([(1, 0, 10), (1, 0, 12), (0, 1, 9), (2, 1, 3), (2, 1, 4)], "qid long, v int, doc_id long")
+    got = SM.sample_without_replacement(req, pool, n, keys=["qid", "v"], exclude=used, exclude_groups=banned, group="g").collect()
+    per = {}
+    for r in got:
+        per.setdefault((r["qid"], r["v"]), []).append(r["doc_id"])
+    assert {k: len(v) for k, v in per.items()} == {(0, 0): 9, (0, 1): 8, (1, 0): 50, (1, 1): 50, (2, 0): 50, (2, 1): 50, (3, 0): 50, (3, 1): 50}
+    assert all(len(set(v)) == len(v) for v in per.values())
+    assert all(d % 10 == 9 for d in per[0, 0]) and 9 not in per[0, 1] and not {0, 1} & {d % 10 for d in per[1, 0] + per[1, 1]}
+    assert sorted(r["draw"] for r in got if (r["qid"], r["v"]) == (1, 0)) == list(range(1, 51))
+
+
+def test_a_request_that_cannot_be_filled_costs_no_more_jobs(spark):
+    pool, n = SM.dense_index(spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("g")), ["doc_id"])
+    req = spark.createDataFrame([(1, 3), (2, 3)], "qid long, need int")
+
+    def jobs(name, banned):
+        spark.sparkContext.setJobGroup(name, name)
+        rows = SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude_groups=spark.createDataFrame(banned, "qid long, g long"), group="g").collect()
+        spark.sparkContext.setJobGroup("", "")
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    normal, a = jobs("normal", [(9, 0)])
+    short, b = jobs("short", [(1, 0)])
+    assert len(normal) == 6 and [r["qid"] for r in short] == [2, 2, 2] and b <= a
