@@ -407,7 +407,7 @@ ORACLE["hard_negative_generate"] = f"""
   sel AS (SELECT v.variant, o.qid, o.title, o.text, o.ord, CASE WHEN o.is_gold THEN 'gold' ELSE 'hard_negative' END AS role
           FROM ordered o JOIN variants v
             ON o.ord <= greatest(CASE WHEN o.is_gold THEN v.n_keep ELSE v.n_noise END, 1)),
-  {sql_shuffled('sel')}, {sql_asked('variants')}, {sql_best_line('run')}, {sql_finish(('gold', 'hard_negative'))}
+  {sql_shuffled('sel')}, {sql_asked('variants')}, {sql_best_line('(SELECT * FROM run WHERE rank >= 4)')}, {sql_finish(('gold', 'hard_negative'))}
   SELECT {_E2E}, num_gold, num_hard_negative FROM scored"""
 
 _RN_VARIANTS = ", ".join(
@@ -551,3 +551,8 @@ ORACLE["evaluate_folder"] = f"""
          round(coalesce(avg(s.cover_exact_match), 0.0) * 100, 2) AS cem_pct
   FROM (VALUES ('user'), ('assistant'), ('system'), ('empty')) r(variant) LEFT JOIN scored s ON s.role = r.variant
   GROUP BY r.variant"""
+
+ORACLE["report_roundtrip"] = f"""
+  WITH {_CONV_PRED}
+  SELECT role AS variant, count(*) AS num_samples, round(avg(exact_match), 6) AS exact_match, sum(exact_match)::BIGINT AS hits,
+         '["conv_id", "turn"]' AS config_keys FROM scored GROUP BY role"""

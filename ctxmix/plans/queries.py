@@ -461,12 +461,12 @@ def q_baseline_generate(spark, sf_dir):
 def q_hard_negative_generate(spark, sf_dir):
     """X4 end to end: top-100 over embeddings -> passages from ``part`` -> substring gold
     (the last word of the question's own part name) -> ratio-path picks (min_quota=1) ->
-    shuffled prompt -> stand-in generator -> gold answer = the best ranked passage's text."""
+    shuffled prompt -> stand-in generator -> gold answer = the text of the passage ranked fourth."""
     qv, pv = _vectors(spark, sf_dir)
     passages = tables.part_passages(spark, sf_dir)
     gold_titles = tables.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("qid"), F.array(F.lower(F.substring_index("p_name", " ", -1))).alias("gold_titles"))
-    gold = first_known_line(ranked_run(spark, sf_dir, 100), passages)
+    gold = first_known_line(ranked_run(spark, sf_dir, 100).where("rank >= 4"), passages)
     scored, _ = J.hard_negatives(_part_questions(spark, sf_dir), qv, pv, passages, I.context_lines_factory(),
                                  gold_titles=gold_titles, gold=gold, seed=SEED)
     return scored.select(*E2E, "num_gold", "num_hard_negative")
@@ -662,3 +662,16 @@ def q_evaluate_folder(spark, sf_dir):
         df.withColumn("n", F.monotonically_increasing_id()).repartition("n").write.partitionBy("n").text(f"{root}/{name}")
     _, m = J.evaluate_folder(spark, [f"{root}/{n}/*" for n in ("user", "assistant", "system", "empty")], name=r"([^/]+)/n=[^/]+/[^/]*$")
     return m.select("variant", "num_samples", "em_pct", "cem_pct")
+
+
+@register("report_roundtrip")
+def q_report_roundtrip(spark, sf_dir):
+    """The conversation scoring as a report with its configuration; metrics and configuration read back, and
+    metrics counted again from the report's predictions."""
+    scored = S.score_answers(conversation_predictions(spark, sf_dir)).withColumn("experiment", F.lit("conversations")).withColumnRenamed("role", "variant")
+    path = scratch_path(spark, "report")
+    IO.write_report(S.evaluate(scored), scored, path, config={"metric": "em", "keys": ["conv_id", "turn"]})
+    again = spark.read.parquet(f"{path}/predictions").groupBy("variant").agg(F.sum("exact_match").alias("hits"))
+    metrics = spark.read.parquet(f"{path}/metrics").join(again, "variant").withColumn("key", F.lit("keys"))
+    return metrics.join(F.broadcast(spark.read.json(f"{path}/config")), "key").select(
+        "variant", "num_samples", F.round("exact_match", 6).alias("exact_match"), "hits", F.col("value").alias("config_keys"))

@@ -14,4 +14,4 @@ def test_entry_smoke(spark):
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) >= 41
+    assert len(QUERIES) >= 42
