@@ -1,4 +1,4 @@
-"""Connected components of a link table, and lookups that survive a hot key."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
@@ -38,19 +38,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         state = now
     raise RuntimeError(f"links still change after {max_rounds} rounds")
-
-
-def lookup(rows: DataFrame, facts: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
-    """``rows`` left-joined to ``facts``, which has one row per ``key`` and in ``size`` the rows of it.
-
-    Keys that hold over 1/``share`` of all rows number at most ``share``: they are broadcast, so that
-    no task gets all rows of one of them. The rest is shuffled. ``size`` is dropped.
-    """
-    total = facts.agg(F.sum(size)).first()[0] or 0
-    hot = facts.where(F.col(size) > max(total // share, 1000))
-    names = hot.select(F.col(key), F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(names), key, "left")
-    plain = facts.drop(size)
-    one = marked.where("__hot").drop("__hot").join(F.broadcast(hot.drop(size)), key, "left")
-    rest = marked.where("__hot is null").drop("__hot").join(plain, key, "left")
-    return one.unionByName(rest)
