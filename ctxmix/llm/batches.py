@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ctxmix.session import ship_code
 
 #: Text bytes a task works on at a time (one longer text is a slice of its own).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 #: ASCII white space: blank and U+0009 to U+000D.
 _SPACE = np.zeros(256, bool)

@@ -23,8 +23,8 @@ from ctxmix.operators.skew import lookup
 from ctxmix.session import materialize
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
-#: Shingle hashes whose bits are counted at a time.
-_CHUNK = 1 << 18
+#: Shingle hashes whose bits are counted at a time, and text bytes of a slice: shingles take about thirty times that.
+_CHUNK, _SLICE = 1 << 17, 4 << 20
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -59,7 +59,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
 def fingerprint_table(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long."""
     return B.add_columns(documents, "text", ["doc_id"], [T.StructField("fp", T.LongType())],
-                         lambda: lambda texts: [fingerprints(texts, shingle, seed).view(np.int64)])
+                         lambda: lambda texts: [fingerprints(texts, shingle, seed).view(np.int64)], _SLICE)
 
 
 def counts(fp: Column) -> Column:
