@@ -94,9 +94,20 @@ def _needle_keys(n: Column) -> tuple[Column, Column]:
 
 
 def _pair_hashes(w: Column) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
-    return F.when(F.size(w) >= 2, F.transform(at, lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(
-        F.array().cast("array<bigint>"))
+    """Hashes of neighbouring words. Arrays are zipped, not looked up by place: an array expression inside a
+    lambda would be evaluated for each element."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _text_grams(t: Column, n: int) -> Column:
+    """Distinct character n-grams of a long text, in one pass over its characters."""
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    size = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    out = F.slice(chars, 1, size)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, size), lambda a, b: F.concat(a, b))
+    return F.array_distinct(out)
 
 
 def _text_keys(t: Column, kind: str) -> Column:
@@ -105,8 +116,8 @@ def _text_keys(t: Column, kind: str) -> Column:
     if kind == "word":
         return F.array_distinct(F.transform(_words(t), lambda x: F.xxhash64(x)))
     if kind == "gram":
-        return F.transform(grams(t, 3), lambda x: F.xxhash64(x))
-    return F.transform(F.concat(grams(t, 1), grams(t, 2)), lambda x: F.xxhash64(x))
+        return F.transform(_text_grams(t, 3), lambda x: F.xxhash64(x))
+    return F.transform(F.concat(_text_grams(t, 1), _text_grams(t, 2)), lambda x: F.xxhash64(x))
 
 
 def cover_join(texts: DataFrame, needles: DataFrame, text: str, needle: str,

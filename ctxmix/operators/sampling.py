@@ -57,14 +57,16 @@ def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tupl
     return out, run
 
 
-def permuted(j: Column, half: int, seed: int, keys: Sequence[str]) -> Column:
-    """Place of ``j`` in the keyed permutation of ``0 .. 4**half - 1`` (Feistel network on two
-    halves of ``half`` bits)."""
+def with_permuted(df: DataFrame, j: str, out: str, half: int, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Add ``out``: the place of ``j`` in the keyed permutation of ``0 .. 4**half - 1`` (Feistel network
+    on two halves of ``half`` bits). A round is a column of its own, so that no hash is computed twice."""
     mask = F.lit((1 << half) - 1).cast("long")
-    left, right = F.shiftright(j, half), j.bitwiseAND(mask)
+    df = df.withColumns({"_f0": F.shiftright(j, half), "_f1": F.col(j).bitwiseAND(mask)})
     for r in range(_ROUNDS):
-        left, right = right, left.bitwiseXOR(keyed_hash(F.lit(seed), *keys, F.lit(r), right).bitwiseAND(mask))
-    return F.shiftleft(left, half).bitwiseOR(right)
+        mix = keyed_hash(F.lit(seed), *keys, F.lit(r), f"_f{r + 1}").bitwiseAND(mask)
+        df = df.withColumn(f"_f{r + 2}", F.col(f"_f{r}").bitwiseXOR(mix))
+    last = F.shiftleft(f"_f{_ROUNDS}", half).bitwiseOR(F.col(f"_f{_ROUNDS + 1}"))
+    return df.withColumn(out, last).drop(*[f"_f{i}" for i in range(_ROUNDS + 2)])
 
 
 def half_bits(n_pool: int) -> int:
@@ -103,6 +105,7 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
     ``exclude``: explicit ``(keys, exclude_on)`` rows to skip (J7); ``exclude_on`` names pool rows uniquely.
     ``exclude_groups``: rows ``(some of keys, group)``: pool rows whose column ``group`` has
     that value are skipped (e.g. gold titles or labels). Null groups are never excluded.
+    Both are read in each range of draws: write them first if they are costly to make.
     Output: request keys, pool columns, ``j`` and 1-based ``draw``.
     """
     keys, exclude_on = list(keys), list(exclude_on)
@@ -112,11 +115,11 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
     lost = []
     if exclude_groups is not None:
         by = [k for k in keys if k in exclude_groups.columns]
-        banned = materialize(exclude_groups.select(*by, group).where(F.col(group).isNotNull()).distinct(), "banned")
+        banned = exclude_groups.select(*by, group).where(F.col(group).isNotNull()).distinct()
         sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
         lost.append((by, banned.join(sizes, group).groupBy(*by).agg(F.sum("_n").alias("_lost"))))
     if exclude is not None:
-        used = materialize(exclude.select(*keys, *exclude_on).distinct(), "used")
+        used = exclude.select(*keys, *exclude_on).distinct()
         known = used.join(pool.select(*exclude_on, *([group] if group and group not in exclude_on else [])), exclude_on)
         if exclude_groups is not None:
             known = known.join(banned, [*by, group], "left_anti")
@@ -134,8 +137,7 @@ def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int
         "lo": F.lit(0).cast("long"), "hi": F.least(enough, F.lit(space).cast("long")), "got": F.lit(0).cast("long")}), "requests")
     outputs = []
     while True:
-        drawn = _draws(pending, [*keys, "need", "got"]).withColumn(
-            "idx", permuted(F.col("j"), half, seed, keys))
+        drawn = with_permuted(_draws(pending, [*keys, "need", "got"]), "j", "idx", half, seed, keys)
         hits = drawn.where(F.col("idx") < n_pool).join(pool, "idx")
         if exclude is not None:
             hits = hits.join(used, [*keys, *exclude_on], "left_anti")  # J7

@@ -83,7 +83,7 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
         out = C.attach_gold_answers(out.drop("gold_answer"), gold)
     elif "gold_answer" not in out.columns:
         out = out.withColumn("gold_answer", F.lit("")).withColumn("has_gold", F.lit(False))
-    scored = materialize(S.score_answers(out).withColumn("experiment", F.lit(experiment)), "scored")
+    scored = S.score_answers(out).withColumn("experiment", F.lit(experiment))
     variants = records.select("variant").distinct().withColumn("experiment", F.lit(experiment))
     metrics = S.evaluate(scored, ("experiment", "variant"), variants)
     if wide:
@@ -132,7 +132,7 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     drawn = SM.sample_without_replacement(
         requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
         exclude=relevant.select("variant", "qid", "doc_id"),
-        exclude_groups=G.gold_title_groups(gold_titles, passages), group="ltitle")
+        exclude_groups=materialize(G.gold_title_groups(gold_titles, passages), "gold-groups"), group="ltitle")
     rnd = (drawn.select("variant", "qid", "doc_id", "draw")
            .join(passages, "doc_id")
            .select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),

@@ -82,8 +82,8 @@ def test_fully_excluded_pool_terminates_empty(spark):
 
 def test_permutation(spark):
     for half in (1, 3):
-        rows = spark.range(4**half).select(SM.permuted(F.col("id"), half, 7, [F.lit("a")]).alias("x"),
-                                           SM.permuted(F.col("id"), half, 7, [F.lit("b")]).alias("y")).collect()
+        df = spark.range(4**half).withColumns({"a": F.lit("a"), "b": F.lit("b")})
+        rows = SM.with_permuted(SM.with_permuted(df, "id", "x", half, 7, ["a"]), "id", "y", half, 7, ["b"]).collect()
         assert sorted(r["x"] for r in rows) == sorted(r["y"] for r in rows) == list(range(4**half))
         assert half == 1 or [r["x"] for r in rows] != [r["y"] for r in rows]
     assert [SM.half_bits(n) for n in (1, 4, 5, 16, 17, 10**10)] == [1, 1, 2, 2, 3, 17]
