@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from ctxmix.llm import batches as B
 from ctxmix.llm.tables import fold, hash_sample
+from ctxmix.session import materialize
 
 THRESHOLD = 0.7
 #: Bounds of the training sample: rows of each label, and bytes of a text in it.
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 4000, 6000, 16384
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 4000, 6000, 32768
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -136,13 +137,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
         max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows outside the held-out third.
 
-    At most ``max_toxic`` and ``max_clean`` documents, chosen by the hash of their id, none
-    over ``max_bytes``. A document labelled more than once counts as toxic if any label
+    At most ``max_toxic`` and ``max_clean`` documents, chosen by the hash of their id among those
+    that have a text of at most ``max_bytes``. A document labelled more than once counts as toxic if any label
     says so; null labels and ids are left out.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = documents.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    known = materialize(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "labelled")
     chosen = hash_sample(known.where("toxic = 1"), "doc_id", max_toxic, "toxic").unionByName(
         hash_sample(known.where("toxic = 0"), "doc_id", max_clean, "toxic"))
     sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")

@@ -63,3 +63,15 @@ def test_rows(docs, no_docs, spark):
     labels = spark.createDataFrame([(1, None, 1), (1, 1, 0), (None, 1, 1), (2, 0, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
     assert X.fit(docs, labels) is not None
     assert X.score(pa.array(["x"]), X.fit(no_docs, labels.limit(0))).tolist() == [0.0]
+
+
+def test_sample_has_long_texts_and_is_filled(spark, monkeypatch):
+    """Texts of 20 KB are learnt from; rows without a usable text are replaced by others."""
+    seen = []
+    monkeypatch.setattr(X, "train", lambda texts, labels: seen.append((texts.to_pylist(), labels.tolist())))
+    kinds = [None, "x" * 40000, "a calm day " * 1800]  # the last has 19,800 bytes
+    frame = spark.createDataFrame([(i, kinds[i % 3]) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, i // 3 % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    X.fit(frame, labels, max_toxic=7, max_clean=9)
+    texts, toxic = seen[0]
+    assert texts == [kinds[2]] * 16 and sorted(toxic) == [0] * 9 + [1] * 7
