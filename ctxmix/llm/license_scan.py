@@ -6,7 +6,7 @@ contains at least ``CONTAINMENT`` of its different words. Template words are ord
 their frequency in the whole corpus, rarest first. A block that reaches the threshold must
 have one of a template's first ``size - needed + 1`` words (prefix filter), enough template words at
 all (length filter), and enough of them from the shared word on (positional filter). What
-passes is verified exactly.
+passes is verified exactly, and must have the words that tell the template's license from others.
 """
 
 from __future__ import annotations
@@ -33,7 +33,16 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license",
     "public-domain": "this work has been released into the public domain",
 }
+#: Words that tell a template's license from others: a block without one of them has another license.
+NAMES = {
+    "apache-2.0": "apache 2", "bsd": "redistribution forms", "cc-by-nc": "cc by nc", "gpl-3.0": "gnu", "gpl-notice": "gnu",
+    "mit": "mit", "mit-notice": "free charge", "mpl-2.0": "mozilla", "public-domain": "public domain",
+}
+#: Words that a block with the word "version" must have (a notice cut off before its version has neither).
+VERSIONS = {"gpl-3.0": "3"}
 CONTAINMENT, BLOCK = 0.8, 64
+#: Templates of fewer different words, and without names, are found only whole.
+SHORT = 10
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -68,14 +77,22 @@ def template_index(frequency: dict[str, int], templates: dict[str, str], contain
 
 
 def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int | None = BLOCK, names: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row.
 
     ``score`` is the largest containment of a template found, 1 with a base phrase, else 0. Null and empty
     texts have no words. Repeated rows get the same result each; other columns are not read.
-    Templates must not be longer than half a block.
+    Templates must not be longer than half a block; with ``block`` None, blocks are twice as long as the longest
+    template (``BLOCK`` at least), so whole notices and license bodies can be given. ``names`` are words
+    that a block must have for a label; by default ``NAMES``, and for given templates all
+    words of those with fewer than ``SHORT``.
     """
-    spark, templates = documents.sparkSession, TEMPLATES if templates is None else templates
+    spark = documents.sparkSession
+    names = (NAMES if templates is None else {}) if names is None else names
+    versions = VERSIONS if templates is None else {}
+    templates = TEMPLATES if templates is None else templates
+    if block is None:
+        block = max(BLOCK, 2 * max((len(t.split()) for t in templates.values()), default=0))
     if any(len(t.split()) > block // 2 for t in templates.values()):
         raise ValueError("a template is longer than half a block")
     texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
@@ -93,13 +110,16 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None,
              .select("doc_id", "text_hash", "block", F.array_intersect(
                  F.lit(order), F.slice("w", (F.col("block") * half + 1).cast("int"), F.lit(block))).alias("own")))
     index = spark.createDataFrame(rows, "word string, place int, label string, size int, needed int")
-    whole = spark.createDataFrame([(k, sorted(set(t.split()))) for k, t in templates.items()], "label string, template array<string>")
+    whole = spark.createDataFrame([(k, own, names[k].split() if k in names else own if len(own) < SHORT else [], versions.get(k, "").split())
+                                   for k, t in templates.items() for own in [sorted(set(t.split()))]],
+                                  "label string, template array<string>, names array<string>, version array<string>")
     pairs = (found.select("*", F.posexplode("own").alias("at", "word")).join(F.broadcast(index), "word")
              .where((F.size("own") >= F.col("needed"))
                     & (F.least(F.size("own") - F.col("at"), F.col("size") - F.col("place")) >= F.col("needed") - F.least("at", "place")))
              .join(F.broadcast(whole), "label")
              .withColumn("containment", F.size(F.array_intersect("own", "template")) / F.col("size"))
-             .where(F.size(F.array_intersect("own", "template")) >= F.col("needed")))
+             .where((F.size(F.array_intersect("own", "template")) >= F.col("needed")) & (F.size(F.array_except("names", "own")) == 0)
+                    & (~F.array_contains("own", "version") | (F.size(F.array_except("version", "own")) == 0))))
     matched = materialize(pairs.groupBy("doc_id", "text_hash").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment")), "licenses")  # labels are few
 

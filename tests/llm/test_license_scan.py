@@ -68,3 +68,26 @@ def test_native(spark, sf_dir):
     frame = L.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plan = frame._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_the_words_that_tell_licenses_apart(spark):
+    """The one word that may be missing is not the license's name or another version's number."""
+    notices = {"Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY NC 4.0": "cc-by,cc-by-nc", "licensed under cc by nc 4": "cc-by,cc-by-nc",
+               "released under the Apache License": "", "under the MIT license": "mit", "Licensed under the Apache License, Version 1.0": "",
+               "licensed under the apache license version 2": "apache-2.0",
+               "This work is licensed under the GNU General Public License version 2": "gpl",
+               "This work is licensed under the GNU General Public License": "gpl,gpl-3.0",
+               "is licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+               "this work has been released into the public": ""}
+    frame = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in L.license_scan(frame).collect()}
+    assert got == dict(enumerate(notices.values()))
+    assert all(set(L.NAMES[k].split()) <= set(t.split()) for k, t in L.TEMPLATES.items()) and L.NAMES.keys() == L.TEMPLATES.keys()
+
+
+def test_blocks_follow_the_longest_template(spark):
+    body = " ".join(f"w{i}" for i in range(300))
+    texts = ["x " * 77 + body + " y" * 50, body[:900], body.replace("w7 ", ""), "a b c", "a b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in L.license_scan(frame, {"body": body, "short": "a b c d e"}, block=None, containment=0.6).collect()}
+    assert got == {0: "body", 1: "body", 2: "body", 3: "", 4: ""}
