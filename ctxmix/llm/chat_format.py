@@ -34,6 +34,8 @@ FORMS = {"user": ("[INST] ", " [/INST]\n"), "assistant": ("<s> ", " </s>\n"), "s
 LEARNT, PART_BYTES = ("assistant",), 4 << 20
 PARTS = "conv_id long, part int, n_turns int, formatted string, loss_starts array<int>, loss_ends array<int>"
 _ESCAPED = re.compile(r"(\\*)(" + CONTROL + ")")
+#: What a reader looks for: a whole header of another role, as a text may end in "[ROLE" with the footer's blank behind it.
+_MARK = re.compile(r"(\\*)(" + CONTROL.replace(r"\[ROLE ", r"\[ROLE [0-9A-Za-z%]*\] ") + ")")
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -141,17 +143,16 @@ def format_turns(conversations: DataFrame, part_bytes: int = PART_BYTES) -> Data
 
 def read_turns(formatted: str) -> Iterator[tuple[str | None, str]]:
     """(role, text) of each turn of a formatted part."""
-    marks = [m for m in _ESCAPED.finditer(formatted) if not m[1]]
+    marks = [m for m in _MARK.finditer(formatted) if not m[1]]
     known = {h.strip(): (r, len(h)) for r, (h, _) in FORMS.items()}
     for a, b in zip(marks[::2], marks[1::2]):
         if a[2] in known:
             role, skip = known[a[2]]
             begin = a.start() + skip
         else:
-            close = formatted.index("] ", a.end())
-            name = formatted[a.end():close]
+            name = a[2][6:-2]
             role = None if name == "%" else bytes(int(x[1:], 16) if x[0] == "%" else ord(x) for x in re.findall("%..|.", name)).decode()
-            begin = close + 2
+            begin = a.end()
         yield role, unescape(formatted[begin:b.start() - 1])
 
 

@@ -83,3 +83,14 @@ def test_oracle(spark, sf_dir):
     want = con.execute(ORACLE["op8_chat"]).fetchall()
     got = [(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in op8_chat(spark, sf_dir).collect()]
     assert sorted(want) == sorted(got)
+
+
+@pytest.mark.parametrize("role", ["user", "assistant", "system", "tool", "", None])
+def test_texts_that_end_in_part_of_a_control_string(role):
+    """Every proper prefix of every control string at a text's end, with and without a backslash before it."""
+    controls = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE ", "[/ROLE]", "[ROLE x] "]
+    ends = sorted({c[:n] for c in controls for n in range(1, len(c) + 1)})
+    given = [before + end for end in ends for before in ("", "a ", "\\", "[ROLE ")]
+    turns = [t for text in given for t in ((role, text), ("user", "next"))]
+    formatted, _, _ = C.assemble(pa.array([r for r, _ in turns], pa.string()), pa.array([t for _, t in turns]), C.np.array([0, len(turns)]))
+    assert list(C.read_turns(formatted[0].as_py())) == turns
