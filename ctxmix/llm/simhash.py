@@ -110,12 +110,21 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: that of its smallest doc_id, with all columns.
+    """One row of each component, with all columns: that of its smallest doc_id, before rows without an id.
 
-    Rows that repeat a doc_id count as copies of it: one of them stays. Rows
-    without an id can't be told apart and stay.
+    Components are of fingerprints, so rows that share a doc_id are copies only if their texts are
+    near. Of rows with the smallest id, the smallest fingerprint and row hash stay; of rows alike in all
+    columns, one.
     """
-    found = simhash(documents.select("doc_id", "text"), shingle, max_bits)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = documents.join(stay, documents.doc_id == F.col("__stay")).drop("__stay").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id is null"))
+    row = F.xxhash64(*[documents[c] for c in documents.columns])
+    given = documents.select("doc_id", "text", row.alias("__row"))
+    fps = materialize(B.add_columns(given, "text", ["doc_id", "__row"], [T.StructField("fp", T.LongType())],
+                                    lambda: lambda texts: [fingerprints(texts, shingle).view(np.int64)], _SLICE), "fingerprints")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__row")
+    classes = materialize(fps.groupBy("fp").agg(F.min(best).alias("best")).withColumn("rep", F.col("fp")), "classes")
+    found = components(links(classes, max_bits))
+    stay = (classes.join(found, classes.rep == found.node, "left").groupBy(F.coalesce("component", "rep"))
+            .agg(F.min("best").alias("b")).select(F.col("b.__row").alias("__stay"), F.coalesce("b.doc_id", F.lit(0)).alias("__id")))
+    rows = documents.select("*", row.alias("__row"), F.coalesce("doc_id", F.lit(0)).alias("__own"))
+    kept = rows.join(stay, (F.col("__row") == F.col("__stay")) & (F.col("__own") == F.col("__id")))
+    return kept.dropDuplicates(["__row", "__own"]).drop("__row", "__own", "__stay", "__id")

@@ -104,6 +104,18 @@ def test_keep_one(docs, no_docs):
     assert S.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    """A repeated id links nothing by itself; rows without an id are copies like others."""
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "birds sing at dawn while we walk home by the sea", "tea and bread on a calm rainy day in autumn")
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a, "y"), (1, a, "w"), (None, a, "z"), (None, c, "z"), (None, c, "z")]
+    want = None
+    for parts in (1, 5):
+        got = sorted(map(tuple, S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()), key=repr)
+        assert sorted(r[:2] for r in got if r[0]) == [(1, b), (1, a)] and [r for r in got if r[0] is None] == [(None, c, "z")]
+        want = want or got
+        assert got == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (20, 20), (None, 3), *((100 + i, 101 + i) for i in range(40)), *((300, i) for i in range(301, 340))]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
