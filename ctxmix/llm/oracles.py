@@ -66,3 +66,36 @@ select t.doc_id, len(t.w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base
        case when b.n > 0 then 1.0::double else coalesce(m.best, 0.0)::double end as score
 from texts t left join based b using (doc_id) left join matched m using (doc_id)
 """
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"""xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda c, b:
+        list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def op11(buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024) -> str:
+    """Single words; every different one is hashed once."""
+    def words(table: str) -> str:
+        return rf"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from {table}"""
+    return rf"""
+with docs as (select doc_id, {words("documents")}), target as (select {words("benchmark")}),
+own as (select doc_id, unnest(w) as x from docs), wanted as (select unnest(w) as x from target),
+hashed as (select x, ({crc32("x")} % {buckets}) as bucket from (select x from own union select x from wanted)),
+total as (select (select count(*) from own)::double as s, (select count(*) from wanted)::double as t),
+s as (select bucket, count(*) as n from own join hashed using (x) group by bucket),
+t as (select bucket, count(*) as n from wanted join hashed using (x) group by bucket),
+gain as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (total.s + {buckets}) / ((s.n + 1)::double * (total.t + {buckets}))))::bigint as g
+         from s left join t using (bucket), total),
+means as (select doc_id, floor(sum(g)::double / count(*))::bigint as weight from own join hashed using (x) join gain using (bucket) group by doc_id),
+scored as (
+    select doc_id, len(w) as n, coalesce(m.weight, 0) as weight,
+           coalesce(m.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from docs left join means m using (doc_id)),
+placed as (select *, row_number() over (partition by n >= {min_words} order by score desc, doc_id nulls first) as place from scored)
+select doc_id, n::bigint as n_features, weight, score,
+       case when n >= {min_words} and place <= {percent} * (select count(*) from scored where n >= {min_words}) // 100 then place end as rank
+from placed
+"""

@@ -1,4 +1,4 @@
-"""The ten operators on the given tables, as registered queries."""
+"""The operators on the given tables, as registered queries."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import bpe, chat_format, cover_tree, language_id, license_scan, oracles, packing, quality, simhash, token_counts, toxicity
+from ctxmix.llm import bpe, chat_format, cover_tree, importance, language_id, license_scan, oracles, packing, quality, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -74,5 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity)}
-ORACLE = {"op2_embedding_dedup": oracles.OP2, "op8_chat": oracles.OP8, "op9_licenses": oracles.op9()}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words look like those of the benchmark."""
+    return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity, op11_importance)}
+ORACLE = {"op2_embedding_dedup": oracles.OP2, "op8_chat": oracles.OP8, "op9_licenses": oracles.op9(), "op11_importance": oracles.op11()}

@@ -1,0 +1,106 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
+
+from ctxmix.llm import grams, importance, queries
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_grams(text, longest):
+    w = plain_words(text)
+    return [" ".join(w[i:i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+def plain(rows, target, longest, buckets, percent, min_words, seed=2024):
+    """The contract, document by document."""
+    bucket = lambda g: zlib.crc32(g.encode()) % buckets
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [x for _, x in rows]), (t, target)):
+        for x in texts:
+            for g in plain_grams(x, longest):
+                counts[bucket(g)] += 1
+    S, T = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (S + buckets) / ((s[b] + 1) * (T + buckets)))) for b in range(buckets)]
+    out = []
+    for i, x in rows:
+        g = [gain[bucket(f)] for f in plain_grams(x, longest)]
+        weight = sum(g) // len(g) if g else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    fit = sorted((r for r, (_, x) in zip(out, rows) if len(plain_words(x)) >= min_words), key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1]))
+    for k, r in enumerate(fit[:percent * len(fit) // 100], 1):
+        r[4] = k
+    return out
+
+
+def key(rows):
+    return sorted([tuple(r) for r in rows], key=lambda r: tuple((x is not None, x or 0) for x in r))
+
+
+def test_hash_equals_the_library():
+    rnd = random.Random(1)
+    words = [bytes([97]) * n for n in range(70)] + [bytes(rnd.randrange(256) for _ in range(rnd.randrange(90))) for _ in range(300)]
+    size = np.array([len(w) for w in words])
+    got = grams.hash64(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, 7)
+    assert got.tolist() == [xxhash.xxh64_intdigest(w, 7) for w in words]
+
+
+def test_equal_hashes_of_other_bytes_keep_their_own_slots(monkeypatch):
+    monkeypatch.setattr(grams, "hash64", lambda raw, begin, size, seed=0: (size % 2).astype(np.uint64))
+    texts = pa.array(["ab cd ab " + "x" * 100 + " " + "x" * 99 + "y", None, "cd é ab"])
+    found = grams.spans(texts)
+    table = grams.intern(found, 1000)
+    names = [found.raw[b:b + n].tobytes() for b, n in zip(found.begin, found.size)]
+    assert len(set(table.slot.tolist())) == len(set(names)) == len(table.used)
+    assert len({(s, n) for s, n in zip(table.slot.tolist(), names)}) == len(set(names))
+    assert [table.bucket[s] for s in table.slot] == [zlib.crc32(n) % 1000 for n in names]
+    assert {n: int(table.count[s]) for s, n in zip(table.slot, names)}[b"ab"] == 3
+
+
+def test_runs_of_words(texts):
+    found = grams.spans(pa.array(texts), 1, 3)
+    names = [found.raw[b:b + n].tobytes().decode() for b, n in zip(found.begin, found.size)]
+    for i, text in enumerate(texts):
+        assert sorted(names[found.bounds[i]:found.bounds[i + 1]]) == sorted(plain_grams(text, 3))
+
+
+def test_against_the_contract(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    target = ["the quick brown fox", None, "", "la maison est belle", "fox"]
+    wanted = spark.createDataFrame([(t, 1) for t in target], "text string, bucket int")
+    for longest, buckets, percent, least in ((1, 10_000, 10, 20), (1, 7, 50, 2), (3, 101, 100, 1)):
+        got = importance.resample(docs, wanted, longest=longest, buckets=buckets, percent=percent, min_words=least).collect()
+        assert key(got) == key(plain(rows, target, longest, buckets, percent, least))
+
+
+def test_empty_tables(spark, docs, no_docs):
+    none = spark.createDataFrame([], "text string")
+    assert importance.resample(no_docs, none).collect() == []
+    assert importance.resample(docs, none, min_words=1).count() == docs.count()
+
+
+def test_a_repeated_row_does_not_hold_up_the_ranks(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"))
+    got = importance.resample(docs, spark.createDataFrame([("a",)], "text string"), min_words=1, percent=60).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 1801))
+    by_rank = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert all((-a["score"], a["doc_id"]) <= (-b["score"], b["doc_id"]) for a, b in zip(by_rank, by_rank[1:]))
+
+
+def test_query_draws_whole_share(spark, sf_dir):
+    got = queries.op11_importance(spark, sf_dir).collect()
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    target = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert key(got) == key(plain(rows, target, 1, 10_000, 10, 20))
