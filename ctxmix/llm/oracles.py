@@ -99,3 +99,58 @@ select doc_id, n::bigint as n_features, weight, score,
        case when n >= {min_words} and place <= {percent} * (select count(*) from scored where n >= {min_words}) // 100 then place end as rank
 from placed
 """
+
+
+def op13() -> str:
+    """The cheapest edits by dynamic programming over what was written last: nothing (0), a system (1), user (2) or assistant (3) turn."""
+    role = "case when {0} = 'u' then 'user' else 'assistant' end"
+    z = crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")
+    due = "case when b.state = 2 then 'a' else 'u' end"
+    return rf"""
+with recursive damaged as (
+    select conv_id, turn, case when z = 4 then 'user' else role end as role,
+           case z when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when z = 3 then [0, 1] else [0] end) as again
+    from (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {z} % 20 as z from conversations) where z <> 0),
+seen as (
+    select *, row_number() over (partition by conv_id, role, text order by turn nulls first, again) as nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ending,
+           row_number() over (partition by conv_id order by turn nulls first, role, text, again) as pos from damaged),
+rows_ as (
+    select conv_id, turn, role, text, pos, left(role, 1) as i,
+           case when ending = '' then 'blank' when nth > 1 then 'duplicate' when right(ending, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from seen),
+facts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) as n,
+           count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated
+    from rows_ group by conv_id),
+neighbours as (
+    select a.conv_id, count(*) as illegal from rows_ a join rows_ b on a.conv_id is not distinct from b.conv_id and b.pos = a.pos + 1
+    where a.i || b.i not in ('su', 'ua', 'au') group by a.conv_id),
+inserted(before, state, letters, lines) as (values
+    (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 2, '', []), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, '', []), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+best as (
+    select conv_id, 0::bigint as pos, 0 as state, {{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}} as found from facts
+    union all
+    select conv_id, pos, state, min(found) as found from (
+        select r.conv_id, r.pos, op.letter, case op.letter when 'D' then b.state when 'R' then case when b.state = 2 then 3 else 2 end
+               else case r.i when 's' then 1 when 'u' then 2 else 3 end end as state,
+               {{'cost': b.cost + case op.letter when 'D' then 4 when 'R' then 3 else 0 end + case when op.letter <> 'D' and r.fault = 'truncated' then 3 else 0 end,
+                 'audit': b.audit || op.letter,
+                 'lines': list_concat(b.lines, case op.letter when 'D' then []::varchar[] when 'K' then [r.role || ':' || r.text]
+                                               else [{role.format(due)} || ':' || r.text] end)}} as found
+        from (select conv_id, pos, m.state, found.cost + 3 * length(letters) as cost, found.audit || letters as audit, list_concat(found.lines, m.lines::varchar[]) as lines
+              from best join inserted m on best.state = m.before) b
+        join rows_ r on r.conv_id is not distinct from b.conv_id and r.pos = b.pos + 1
+        cross join (values ('K'), ('R'), ('D')) op(letter)
+        where op.letter = 'D' or (r.fault not in ('blank', 'duplicate') and (op.letter = 'R' or r.i = {due} or (r.i = 's' and b.state = 0)))) moved
+    group by conv_id, pos, state),
+finished as (
+    select b.conv_id, min({{'cost': found.cost + 3 * length(m.letters), 'audit': found.audit || m.letters, 'lines': list_concat(found.lines, m.lines::varchar[])}}) as f
+    from best b join facts t on b.conv_id is not distinct from t.conv_id and b.pos = t.n join inserted m on b.state = m.before
+    where m.state in (0, 3) group by b.conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(f.cost, 0)::bigint as cost,
+       coalesce(f.audit, '') as audit, sha256(coalesce(array_to_string(f.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join facts t on c.conv_id is not distinct from t.conv_id left join neighbours g on c.conv_id is not distinct from g.conv_id
+left join finished e on c.conv_id is not distinct from e.conv_id
+"""
