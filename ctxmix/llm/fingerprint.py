@@ -62,12 +62,13 @@ def _mixed(x: np.ndarray, which: int) -> np.ndarray:
 
 def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all paragraphs, and how many lie before each text."""
-    start = np.zeros(raw.size + 1, bool)
+    start, edge = np.zeros(raw.size + 1, bool), np.zeros(raw.size + 1, bool)
+    edge[offsets] = True
     if raw.size:
         start[1:] = raw == 10
         mark = (raw == 46) | (raw == 33) | (raw == 63)
-        start[2:] |= mark[:-1] & (raw[1:] == 32)
-    start[offsets] = True
+        start[2:] |= mark[:-1] & (raw[1:] == 32) & ~edge[1:-1]  # both of one text
+    start |= edge
     s = np.flatnonzero(start[:raw.size])
     return s, np.searchsorted(s, offsets)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxmix.llm import bpe, chat_format, cover_tree, importance, language_id, license_scan, oracles, packing, quality, repair, simhash, token_counts, toxicity
+from ctxmix.llm import bpe, chat_format, cover_tree, fingerprint, importance, language_id, license_scan, oracles, packing, quality, repair, simhash, token_counts, toxicity
 from ctxmix.llm.tables import fold, read
 
 
@@ -79,10 +79,15 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of each edited with the next one, and how alike they are."""
+    return fingerprint.edited_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged and then repaired by the cheapest edits."""
     return repair.repair(repair.damage(read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity, op11_importance, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_bpe, op4_token_counts, op5_simhash, op6_quality, op7_packing, op8_chat, op9_licenses, op10_toxicity, op11_importance, op12_fingerprint, op13_repair)}
 ORACLE = {"op2_embedding_dedup": oracles.OP2, "op8_chat": oracles.OP8, "op9_licenses": oracles.op9(), "op11_importance": oracles.op11(), "op13_repair": oracles.op13()}
