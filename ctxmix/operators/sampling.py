@@ -1,32 +1,44 @@
 """Reproducible sampling without replacement, and prompt-order shuffling.
 
-Definition (independent of partitioning and of how many draws are generated): pool rows
-carry a dense index ``idx`` in ``0..N-1``. A request's draws ``j = 0, 1, 2, ...`` run through
-a keyed permutation of ``0..M-1``, M being the power of four at or above N: a four-round
-Feistel network over ``(seed, request keys)``. Draws that land at N or above hit nothing. The
-sample is the first ``need`` draws that hit a pool row which is not excluded for the request, or every
-available row if there are fewer. No index comes twice, so nothing has to be deduplicated.
-
-Execution: requests are written once. What is available to each of them (pool size less
-excluded groups and rows, by equi-joins) is known before any draw, so ``need`` is
-cut to it and a request that cannot be filled costs nothing. A first range of draws is generated that
-fills nearly every request, as rows in blocks of bounded size, and equi-joined
-to the pool on ``idx``; exclusions are equi anti-joins. Requests that are still short go on with the
-next, four times longer range. Each range's picks are written to the shared
-checkpoint folder. No Q x N join is ever formed.
+Definition (independent of partitioning): the pool lies in one order, rows of an exclusion group next to each
+other. For each request the rows that it may have are numbered ``0 .. available-1`` in that order, a keyed
+permutation of these numbers decides, and the sample is the rows at the permuted places of
+``0 .. min(need, available)-1``. Every draw hits a row of its own that is not excluded.
+
+The permutation is a four-round Feistel network on ``a x b`` places, ``a`` the square root of the available rows
+rounded up and ``b`` just large enough; a place beyond the available ones (fewer than ``a`` are) is permuted again
+until it is one of them.
+
+Execution (rank and select): what a request may not have is a list of intervals of the pool's order, one for
+an excluded group however large it is, one for an excluded row. A running sum over a request's sorted intervals says
+how many rows each leaves before it; a draw is put among these numbers by a second running sum, which
+adds the excluded rows before it and so turns its number into a place in the pool. A request costs its
+intervals and its draws, whatever it excludes; the draws are then joined to the pool by index. No
+Q x N join is formed, nothing is drawn in vain, and nothing comes to the driver but the sizes of
+the pool's partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..session import materialize
+from .skew import salted_join
 
-_ROUNDS, _STEP = 4, 4096
+_STEP = 4096
+
+
+class Pool(NamedTuple):
+    rows: DataFrame           # pool columns and ``idx``, dense from 0
+    size: int
+    group: str | None         # column of exclusion groups
+    spans: DataFrame | None   # (group, start, length): where a group's rows lie
 
 
 def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tuple[DataFrame, int]:
@@ -57,24 +69,49 @@ def dense_index(pool: DataFrame, order: Sequence[str], idx: str = "idx") -> tupl
     return out, run
 
 
-def with_permuted(df: DataFrame, j: str, out: str, half: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """Add ``out``: the place of ``j`` in the keyed permutation of ``0 .. 4**half - 1`` (Feistel network
-    on two halves of ``half`` bits). A round is a column of its own, so that no hash is computed twice."""
-    mask = F.lit((1 << half) - 1).cast("long")
-    df = df.withColumns({"_f0": F.shiftright(j, half), "_f1": F.col(j).bitwiseAND(mask)})
-    for r in range(_ROUNDS):
-        mix = keyed_hash(F.lit(seed), *keys, F.lit(r), f"_f{r + 1}").bitwiseAND(mask)
-        df = df.withColumn(f"_f{r + 2}", F.col(f"_f{r}").bitwiseXOR(mix))
-    last = F.shiftleft(f"_f{_ROUNDS}", half).bitwiseOR(F.col(f"_f{_ROUNDS + 1}"))
-    return df.withColumn(out, last).drop(*[f"_f{i}" for i in range(_ROUNDS + 2)])
-
-
-def half_bits(n_pool: int) -> int:
-    """Bits of each half, so that the permutation covers the pool (1 at least)."""
-    half = 1
-    while 4**half < n_pool:
-        half += 1
-    return half
+def lay_out(pool: DataFrame, order: Sequence[str], group: str | None = None) -> Pool:
+    """Index the pool by group (nulls first), then ``order``, which names its rows uniquely."""
+    rows, size = dense_index(pool, list(dict.fromkeys([*([group] if group else []), *order])))
+    spans = None
+    if group:
+        spans = materialize(rows.where(F.col(group).isNotNull()).groupBy(group).agg(
+            F.min("idx").alias("start"), F.count(F.lit(1)).alias("length")), "spans")
+    return Pool(rows, size, group, spans)
+
+
+def _rounds(left: Column, right: Column, a: Column, b: Column, seed: int, keys: Sequence[str]):
+    """The halves after each round; every round changes one of them by a hash of the other."""
+    for r in range(4):
+        mix = keyed_hash(F.lit(seed), *keys, F.lit(r), left if r % 2 else right)
+        left, right = (left, (right + mix) % b) if r % 2 else ((left + mix) % a, right)
+        left, right = yield left, right
+
+
+def _permuted_once(x: Column, a: Column, b: Column, seed: int, keys: Sequence[str]) -> Column:
+    right = x % b
+    halves = _rounds(((x - right) / b).cast("long"), right, a, b, seed, keys)
+    pair = next(halves)
+    for _ in range(3):
+        pair = halves.send(pair)
+    return pair[0] * b + pair[1]
+
+
+def with_permuted(df: DataFrame, j: str, out: str, n: str, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Add ``out``: the place of ``j`` in the keyed permutation of ``0 .. n-1`` (column ``n``, 1 at least).
+    A round is a pair of columns of its own, so that no hash is computed twice."""
+    a, b, size = F.col("_a"), F.col("_b"), F.col(n)
+    df = df.withColumn("_a", F.ceil(F.sqrt(size.cast("double")))).withColumn("_b", F.expr(f"({n} + _a - 1) div _a"))
+    df = df.withColumns({"_l": F.expr(f"{j} div _b"), "_r": F.col(j) % b})
+    halves = _rounds(F.col("_l"), F.col("_r"), a, b, seed, keys)
+    left, right = next(halves)
+    for r in range(4):
+        df = df.withColumns({"_l": left, "_r": right})
+        if r < 3:
+            left, right = halves.send((F.col("_l"), F.col("_r")))
+    df = df.withColumn(out, F.col("_l") * b + F.col("_r"))
+    again = F.aggregate(F.sequence(F.lit(1).cast("long"), a * b - size), F.col(out), lambda x, _: F.when(x < size, x).otherwise(
+        _permuted_once(x, a, b, seed, keys)))
+    return df.withColumn(out, F.when(F.col(out) < size, F.col(out)).otherwise(again)).drop("_a", "_b", "_l", "_r")
 
 
 def _draws(pending: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,79 +129,61 @@ def _draws(pending: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*columns, F.col("lo").alias("j"))
 
 
-def sample_without_replacement(requests: DataFrame, pool: DataFrame, n_pool: int, *,
-                               keys: Sequence[str], need: str = "need", seed: int = 42,
-                               exclude: DataFrame | None = None,
-                               exclude_on: Sequence[str] = ("doc_id",),
-                               exclude_groups: DataFrame | None = None,
-                               group: str | None = None) -> DataFrame:
-    """Sample ``need`` pool rows per request (see module docstring for the definition).
+def _intervals(pool: Pool, asked: DataFrame, keys: list[str], exclude: DataFrame | None, exclude_on: list[str],
+               exclude_groups: DataFrame | None) -> list[DataFrame]:
+    """What requests may not have, as (keys, start, length)."""
+    parts = []
+    if exclude_groups is not None:
+        by = [k for k in keys if k in exclude_groups.columns]
+        if not by or pool.group is None:
+            raise ValueError("groups are excluded by request keys, from a pool laid out by group")
+        banned = exclude_groups.select(*by, pool.group).where(F.col(pool.group).isNotNull()).distinct()
+        hit = salted_join(banned, pool.spans, pool.group, by[-1]).drop(pool.group)  # a group may be excluded by all
+        parts.append((hit if by == keys else hit.join(asked.select(*keys), by)).select(*keys, "start", "length"))
+    if exclude is not None:
+        used = exclude.select(*keys, *exclude_on).distinct().join(pool.rows.select(*exclude_on, "idx"), exclude_on)
+        parts.append(used.select(*keys, F.col("idx").alias("start"), F.lit(1).cast("long").alias("length")))
+    return parts
+
+
+def draw_places(requests: DataFrame, pool: Pool, *, keys: Sequence[str], need: str = "need", seed: int = 42,
+                exclude: DataFrame | None = None, exclude_on: Sequence[str] = ("doc_id",),
+                exclude_groups: DataFrame | None = None) -> DataFrame:
+    """(keys, draw, idx): each request's draws, from 1, and the pool rows they hit. One shuffle by request."""
+    keys = list(keys)
+    asked = requests.select(*keys, F.col(need).cast("long").alias("need")).where("need > 0")
+    spans = [p.withColumn("need", F.lit(None).cast("long")) for p in _intervals(pool, asked, keys, exclude, list(exclude_on), exclude_groups)]
+    # a request comes after its intervals, as one without length behind the pool's end
+    end = asked.select(*keys, F.lit(pool.size).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), "need")
+    rows = reduce(DataFrame.unionByName, [*spans, end])
+    w = Window.partitionBy(*keys).orderBy(F.col("need").isNotNull(), "start", F.desc("length"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.col("start") + F.col("length")).over(before), F.lit(0)) > F.col("start")  # a row of an excluded group
+    rows = (rows.withColumn("own", F.when(covered, 0).otherwise(F.col("length"))).where("own > 0 or need is not null")
+            .withColumn("at", F.col("start") - F.coalesce(F.sum("own").over(before), F.lit(0)))  # for a request: what is available
+            .withColumns({"lo": F.lit(0).cast("long"), "hi": F.when(F.col("need").isNull(), 1).otherwise(F.least("need", "at"))})
+            .where("hi > 0"))
+    drawn = _draws(rows, [*keys, "need", "own", "at"]).withColumn("n", F.when(F.col("need").isNotNull(), F.col("at")))
+    drawn = with_permuted(drawn, "j", "place", "n", seed, keys).withColumn("at", F.coalesce("place", "at"))
+    skipped = F.sum("own").over(Window.partitionBy(*keys).orderBy("at", F.col("need").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return (drawn.withColumn("idx", F.col("at") + skipped).where("need is not null")
+            .select(*keys, (F.col("j") + 1).cast("int").alias("draw"), "idx"))
+
+
+def sample_without_replacement(requests: DataFrame, pool: Pool, *, keys: Sequence[str], need: str = "need", seed: int = 42,
+                               exclude: DataFrame | None = None, exclude_on: Sequence[str] = ("doc_id",),
+                               exclude_groups: DataFrame | None = None) -> DataFrame:
+    """Sample ``need`` pool rows per request, or all it may have (see module docstring for the definition).
 
     ``requests``: unique ``keys`` + ``need``.
-    ``pool``: dense ``idx`` + pool columns (from :func:`dense_index`).
+    ``pool``: from :func:`lay_out`.
     ``exclude``: explicit ``(keys, exclude_on)`` rows to skip (J7); ``exclude_on`` names pool rows uniquely.
-    ``exclude_groups``: rows ``(some of keys, group)``: pool rows whose column ``group`` has
-    that value are skipped (e.g. gold titles or labels). Null groups are never excluded.
-    Both are read in each range of draws: write them first if they are costly to make.
-    Output: request keys, pool columns, ``j`` and 1-based ``draw``.
+    ``exclude_groups``: rows ``(some of keys, group)``: pool rows of that group are skipped (e.g.
+    gold titles or labels). Null groups are never excluded.
+    Output: request keys, pool columns and 1-based ``draw``.
     """
-    keys, exclude_on = list(keys), list(exclude_on)
-    asked = requests.select(*keys, F.col(need).cast("long").alias("need")).where("need > 0")
-    if n_pool == 0:
-        return _empty_result(asked, pool, keys)
-    lost = []
-    if exclude_groups is not None:
-        by = [k for k in keys if k in exclude_groups.columns]
-        banned = exclude_groups.select(*by, group).where(F.col(group).isNotNull()).distinct()
-        sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-        lost.append((by, banned.join(sizes, group).groupBy(*by).agg(F.sum("_n").alias("_lost"))))
-    if exclude is not None:
-        used = exclude.select(*keys, *exclude_on).distinct()
-        known = used.join(pool.select(*exclude_on, *([group] if group and group not in exclude_on else [])), exclude_on)
-        if exclude_groups is not None:
-            known = known.join(banned, [*by, group], "left_anti")
-        lost.append((keys, known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lost"))))
-    asked = asked.withColumn("available", F.lit(n_pool).cast("long"))
-    for on, counts in lost:
-        asked = asked.join(counts, on, "left").withColumn(
-            "available", F.col("available") - F.coalesce("_lost", F.lit(0))).drop("_lost")
-    asked = asked.withColumn("need", F.least("need", "available")).where("need > 0")
-    half = half_bits(n_pool)
-    space = 4**half
-    # draws that fill a request but for rare bad luck
-    enough = F.ceil((F.col("need") + 4 * F.sqrt("need") + 4) * F.lit(space) / F.col("available"))
-    pending = materialize(asked.withColumns({
-        "lo": F.lit(0).cast("long"), "hi": F.least(enough, F.lit(space).cast("long")), "got": F.lit(0).cast("long")}), "requests")
-    outputs = []
-    while True:
-        drawn = with_permuted(_draws(pending, [*keys, "need", "got"]), "j", "idx", half, seed, keys)
-        hits = drawn.where(F.col("idx") < n_pool).join(pool, "idx")
-        if exclude is not None:
-            hits = hits.join(used, [*keys, *exclude_on], "left_anti")  # J7
-        if exclude_groups is not None:
-            hits = hits.join(banned, [*by, group], "left_anti")
-        w = Window.partitionBy(*keys).orderBy("j")
-        picked = materialize(hits.withColumn("draw", (F.col("got") + F.row_number().over(w)).cast("int"))
-                             .where(F.col("draw") <= F.col("need")), "picks")
-        outputs.append(picked)
-        # no request gets more than it needs: equal totals mean that all are filled
-        if picked.count() == (pending.agg(F.sum(F.col("need") - F.col("got"))).first()[0] or 0):
-            break
-        now = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_now"))
-        pending = materialize(
-            pending.join(now, keys, "left").withColumn("got", F.col("got") + F.coalesce("_now", F.lit(0)))
-            .where("got < need").withColumn("lo", F.col("hi"))
-            .withColumn("hi", F.least(F.col("hi") * 5, F.lit(space).cast("long"))).drop("_now"), "requests")
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out.drop("need", "got")
-
-
-def _empty_result(asked, pool, keys):
-    pool_cols = [F.lit(None).cast(f.dataType).alias(f.name) for f in pool.schema.fields]
-    return (asked.select(*keys, *pool_cols, F.lit(0).cast("long").alias("j"),
-                         F.lit(0).alias("draw")).limit(0))
+    places = draw_places(requests, pool, keys=keys, need=need, seed=seed, exclude=exclude, exclude_on=exclude_on, exclude_groups=exclude_groups)
+    return places.join(pool.rows, "idx").select(*keys, *[c for c in pool.rows.columns if c not in keys], "draw")
 
 
 def exclude_docs(rows: DataFrame, exclusions: DataFrame, keys: Sequence[str],

@@ -22,25 +22,21 @@ def evaluate(scored: DataFrame, keys: Sequence[str] = ("experiment", "variant"),
     """A2: rows, mean EM and mean CEM per run (0 when a run has no rows).
 
     Also reports ``n_missing_gold`` (when ``has_gold`` exists) and ``n_failed`` (when
-    an ``error`` column exists). ``variants`` lists runs that must appear even if empty.
-    A grouped aggregate with partial aggregation: hot runs are summed map-side.
+    an ``error`` column exists). ``variants`` lists runs that must appear even if empty: each enters as a row
+    that is not counted, so no join is needed. Partial aggregation sums hot runs map-side.
     """
     keys = list(keys)
-    aggs = [F.count(F.lit(1)).alias("num_samples"),
-            F.avg(F.col("exact_match").cast("double")).alias("exact_match"),
-            F.avg(F.col("cover_exact_match").cast("double")).alias("cover_exact_match")]
-    if "has_gold" in scored.columns:
+    extra = [c for c in ("has_gold", "error") if c in scored.columns]
+    rows = scored.select(*keys, "exact_match", "cover_exact_match", *extra, F.lit(True).alias("_row"))
+    if variants is not None:
+        rows = rows.unionByName(variants.select(*keys, F.lit(False).alias("_row")), allowMissingColumns=True)
+    mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c)
+    aggs = [F.count_if("_row").alias("num_samples"), mean("exact_match"), mean("cover_exact_match")]
+    if "has_gold" in extra:
         aggs.append(F.count_if(~F.col("has_gold")).alias("n_missing_gold"))
-    if "error" in scored.columns:
+    if "error" in extra:
         aggs.append(F.count_if(F.col("error").isNotNull()).alias("n_failed"))
-    m = scored.groupBy(*keys).agg(*aggs)
-    if variants is not None:
-        m = variants.select(*keys).join(m, on=keys, how="left")
-    fill = {c: 0 for c in m.columns if c not in keys}
-    for c in fill:
-        zero = F.lit(0.0) if c in ("exact_match", "cover_exact_match") else F.lit(0)
-        m = m.withColumn(c, F.coalesce(F.col(c), zero))
-    return m
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def summary(metrics: DataFrame, experiment_order: Sequence[str] = (),

@@ -32,6 +32,7 @@ from ..operators import inference as I
 from ..operators import retrieval as R
 from ..operators import sampling as SM
 from ..operators import scoring as S
+from ..operators.skew import lookup
 from ..session import materialize
 from ..sources import io as IO
 
@@ -78,7 +79,7 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     store = materialize(rec, "prompts")
     narrow = store.drop("contexts", "prompt", "question")
     answers = I.answer(store.select("prompt_hash", "prompt"), generator)
-    out = narrow.join(answers, "prompt_hash", "left")
+    out = lookup(narrow, answers, "prompt_hash", "size")  # a prompt may be that of very many rows
     if gold is not None:
         out = C.attach_gold_answers(out.drop("gold_answer"), gold)
     elif "gold_answer" not in out.columns:
@@ -126,13 +127,12 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     relevant = materialize(relevant.select("variant", "qid", "doc_id", "title", "text", "score",
                                            F.col("rank").alias("ord"),
                                            F.lit("relevant").alias("role")), "relevant")
-    pool, n_pool = SM.dense_index(passages.select("doc_id", G.lower_title("title").alias("ltitle")), ["doc_id"])
+    pool = SM.lay_out(passages.select("doc_id", G.lower_title("title").alias("ltitle")), ["doc_id"], "ltitle")
     asked = materialize(_asked(questions, run, query_vectors.where(F.col("embedding").isNotNull())).select("qid", "question"), "asked")
     requests = C.with_variants(asked.select("qid"), vsel).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
-        requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
-        exclude=relevant.select("variant", "qid", "doc_id"),
-        exclude_groups=materialize(G.gold_title_groups(gold_titles, passages), "gold-groups"), group="ltitle")
+        requests, pool, keys=["variant", "qid"], seed=seed,
+        exclude=relevant.select("variant", "qid", "doc_id"), exclude_groups=G.gold_title_groups(gold_titles, passages))
     rnd = (drawn.select("variant", "qid", "doc_id", "draw")
            .join(passages, "doc_id")
            .select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
@@ -162,13 +162,13 @@ def random_from_run(run: DataFrame, questions, generator, *, passages: DataFrame
     mine = C.top_k_slice(ids, keep_max).join(ask.select("qid"), "qid", "left_semi")
     relevant = C.top_k_slice(C.with_variants(mine, variants), "n_keep").select(
         "variant", "qid", "doc_id", "score", F.col("rank").alias("ord"), F.lit("relevant").alias("role"))
-    pool, n_pool = SM.dense_index(
+    pool = SM.lay_out(
         C.rank_band(ids, *band).select(F.col("qid").alias("owner"), F.col("rank").alias("owner_rank"), "doc_id"),
-        ["owner", "owner_rank"])
+        ["owner", "owner_rank"], "owner")
     requests = C.with_variants(ask.select("qid"), variants).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
-        requests, pool, n_pool, keys=["variant", "qid"], seed=seed,
-        exclude_groups=ask.select("qid", F.col("qid").alias("owner")), group="owner")
+        requests, pool, keys=["variant", "qid"], seed=seed,
+        exclude_groups=ask.select("qid", F.col("qid").alias("owner")))
     rnd = drawn.select("variant", "qid", "doc_id", F.lit(0.0).alias("score"), F.col("draw").alias("ord"), F.lit("random").alias("role"))
     picks = C.mix_contexts(relevant, rnd)
     if passages is None:  # a passage has one title and text, whichever row of the run shows it

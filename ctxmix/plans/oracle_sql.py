@@ -176,36 +176,34 @@ ORACLE["oracle_contexts"] = """
   FROM firsts x JOIN hits h ON h.qid = x.qid AND h.fact_pos = x.position"""
 
 SEED = 42
-_DRAWS = 256  # brute-force draw count: far more than the fixtures ever need
 
 
-def sql_permuted(n: str, *keys: str, source: str, columns: str) -> str:
-    """Rows of ``source`` (with a draw number ``j``) and ``idx``: j's place in the keyed four-round
-    Feistel permutation over the power of four at or above the pool size ``n``."""
-    out = (f"SELECT {columns}, j, (j // h.m)::BIGINT AS l, (j % h.m)::BIGINT AS r, h.m FROM {source} CROSS JOIN "
-           f"(SELECT pow(2, greatest(1, ceil(round(log2({n}) / 2, 9))))::BIGINT AS m) h")
-    for i in range(4):
-        mix = hash_sql(str(SEED), *keys, str(i), "r")
-        out = f"SELECT * EXCLUDE (l, r), r AS l, xor(l, {mix} % m) AS r FROM ({out}) f{i}"
-    return f"SELECT * EXCLUDE (l, r, m), l * m + r AS idx FROM ({out}) f"
+def sql_permuted(source: str, *keys: str) -> str:
+    """Rows of ``source`` with ``x`` permuted once: four rounds on a x b places, a = ceil(sqrt(n)), b = ceil(n / a)."""
+    out = (f"SELECT *, (x // b)::BIGINT AS l, (x % b)::BIGINT AS r FROM (SELECT *, ((n + a - 1) // a)::BIGINT AS b FROM "
+           f"(SELECT *, ceil(sqrt(n))::BIGINT AS a FROM ({source}) s0) s1) s2")
+    for i, (side, other, m) in enumerate([("l", "r", "a"), ("r", "l", "b")] * 2):
+        out = f"SELECT * REPLACE (({side} + {hash_sql(str(SEED), *keys, str(i), other)}) % {m} AS {side}) FROM ({out}) f{i}"
+    return f"SELECT * EXCLUDE (l, r, a, b) REPLACE (l * b + r AS x) FROM ({out}) f"
 
 
-def _sample_sql(requests: str, pool: str, exclude_pred: str, vcol: str = "variant_id") -> str:
-    """Keyed draws in order, first ``need`` accepted; pool has (idx, ...) dense by order."""
-    draws = sql_permuted("(SELECT n FROM npool)", vcol, "qid", columns=f"{vcol}, qid, need, q_key",
-                         source=f"(SELECT r.*, t.j FROM ({requests}) r CROSS JOIN range(0, {_DRAWS}) t(j) WHERE r.need > 0)")
+def _sample_sql(requests: str, pool: str, exclude_pred: str, group: str, vcol: str = "variant_id") -> str:
+    """Every request against every pool row: what is left is numbered in the order of (group, idx), and the draws'
+    numbers are permuted until they are below its count. Needs WITH RECURSIVE."""
     return f"""
-      npool AS (SELECT count(*) AS n FROM {pool}),
-      draws AS ({draws}),
-      cand AS (SELECT f.*, p.* EXCLUDE (idx) FROM draws f JOIN {pool} p ON p.idx = f.idx
-               WHERE NOT ({exclude_pred})),
-      picked AS (SELECT * FROM (
-                   SELECT *, row_number() OVER (PARTITION BY {vcol}, qid ORDER BY j) AS draw FROM cand)
-                 WHERE draw <= need)"""
+      requests AS ({requests}),
+      left_over AS (SELECT f.{vcol}, f.qid, f.need, p.*,
+                      row_number() OVER (PARTITION BY f.{vcol}, f.qid ORDER BY p.{group} NULLS FIRST, p.idx) - 1 AS place
+                    FROM requests f JOIN {pool} p ON f.need > 0 WHERE NOT ({exclude_pred})),
+      counted AS (SELECT {vcol}, qid, any_value(need) AS need, count(*) AS n FROM left_over GROUP BY {vcol}, qid),
+      walk AS ({sql_permuted(f"SELECT {vcol}, qid, n, t.j, t.j::BIGINT AS x FROM counted JOIN range(0, 100) t(j) ON t.j < least(need, n)", vcol, "qid")}
+               UNION ALL {sql_permuted("SELECT * FROM walk WHERE x >= n", vcol, "qid")}),
+      picked AS (SELECT l.* EXCLUDE (place), w.j + 1 AS draw FROM walk w
+                 JOIN left_over l ON l.{vcol} = w.{vcol} AND l.qid = w.qid AND l.place = w.x)"""
 
 
 ORACLE["random_negatives"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
+  WITH RECURSIVE ranked AS ({sql_ranked(100)}),
   variants AS ({sql_ratio_variants(RATIOS, 5)}),
   relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
                FROM ranked r JOIN variants v ON r.rank <= v.n_keep JOIN documents d ON d.doc_id = r.doc_id),
@@ -215,13 +213,13 @@ ORACLE["random_negatives"] = f"""
       "SELECT v.variant_id, q.vec_id AS qid, q.label AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings q",
       "pool",
       "coalesce(f.q_key = p.d_label, false) OR EXISTS (SELECT 1 FROM relevant x WHERE x.variant_id = f.variant_id"
-      " AND x.qid = f.qid AND x.doc_id = p.doc_id)")}
+      " AND x.qid = f.qid AND x.doc_id = p.doc_id)", "d_label")}
   SELECT variant_id, qid, doc_id, 'relevant' AS role, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM relevant
   UNION ALL
   SELECT variant_id, qid, doc_id, 'random' AS role, CAST(draw AS INTEGER) AS ord, 0.0::DOUBLE AS score FROM picked"""
 
 ORACLE["random_from_run"] = f"""
-  WITH ranked AS ({sql_ranked(100)}),
+  WITH RECURSIVE ranked AS ({sql_ranked(100)}),
   variants AS ({sql_ratio_variants((0.0, 0.5, 1.0), 5)}),
   relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
                FROM ranked r JOIN variants v ON r.rank <= v.n_keep),
@@ -231,7 +229,7 @@ ORACLE["random_from_run"] = f"""
   {_sample_sql(
       "SELECT v.variant_id, q.qid, q.qid AS q_key, v.n_noise AS need FROM variants v "
       "CROSS JOIN (SELECT DISTINCT qid FROM ranked) q",
-      "pool", "p.owner = f.qid")}
+      "pool", "p.owner = f.qid", "owner")}
   SELECT variant_id, qid, doc_id, 'relevant' AS role, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM relevant
   UNION ALL
   SELECT variant_id, qid, doc_id, 'random' AS role, CAST(draw AS INTEGER) AS ord, 0.0::DOUBLE AS score FROM picked"""
@@ -280,7 +278,7 @@ ORACLE["hard_negative_configs"] = f"""
 
 # A question per turn; evidence from the last four turns: last paragraph of a title, first fact of a sentence.
 _ORACLE_CTX_CTE = """
-  ask AS (SELECT conv_id, turn AS t, conv_id * 1000 + turn AS qid, text AS question FROM conversations),
+  ask AS (SELECT conv_id, turn AS t, conv_id || '-' || turn AS qid, text AS question FROM conversations),
   near AS (SELECT a.qid, c.turn, c.role, string_split(c.text, chr(10)) AS sentences
            FROM ask a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.t - 3 AND a.t),
   last AS (SELECT qid, role AS title, arg_max(sentences, turn) AS sentences FROM near GROUP BY qid, role),
@@ -414,18 +412,18 @@ _RN_VARIANTS = ", ".join(
     f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in RATIOS)
 
 ORACLE["random_negative_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}), {_SPARSE},
+  WITH RECURSIVE ranked AS ({sql_ranked(100)}), {_SPARSE},
   run AS (SELECT r.qid, r.doc_id, r.rank, d.title, d.text FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   variants AS (SELECT * FROM (VALUES {_RN_VARIANTS}) t(variant, n_noise, n_keep)),
   relevant AS (SELECT v.variant, r.qid, r.doc_id, r.title, r.text, r.rank AS ord FROM run r JOIN variants v ON r.rank <= v.n_keep),
-  pool AS (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sparse),
+  pool AS (SELECT doc_id, title, lower(coalesce(title, '')) AS ltitle, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sparse),
   {_sample_sql(
       "SELECT v.variant, a.vec_id AS qid, lower(g.title) AS q_key, v.n_noise AS need FROM variants v "
       "CROSS JOIN embeddings a LEFT JOIN sparse g ON g.doc_id = a.vec_id",
       "pool",
       "coalesce(contains(lower(p.title), f.q_key) OR contains(f.q_key, lower(p.title)), false)"
       " OR EXISTS (SELECT 1 FROM relevant x WHERE x.variant = f.variant AND x.qid = f.qid"
-      " AND x.doc_id = p.doc_id)", vcol="variant")},
+      " AND x.doc_id = p.doc_id)", "ltitle", vcol="variant")},
   ctx AS (SELECT variant, qid, title, text, 'relevant' AS role, ord FROM relevant
           UNION ALL
           SELECT k.variant, k.qid, d.title, d.text, 'random' AS role, k.draw AS ord
@@ -458,7 +456,7 @@ _RR_VARIANTS = ", ".join(
     f"('random_noise_{int(r * 100)}pct', {int(5 * r)}, {5 - int(5 * r)})" for r in (0.0, 0.5, 1.0))
 
 ORACLE["random_run_generate"] = f"""
-  WITH ranked AS ({sql_ranked(100)}), {_SPARSE},
+  WITH RECURSIVE ranked AS ({sql_ranked(100)}), {_SPARSE},
   run AS (SELECT r.qid, r.doc_id, d.title, d.text, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS rank
           FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   variants AS (SELECT * FROM (VALUES {_RR_VARIANTS}) t(variant, n_noise, n_keep)),
@@ -469,31 +467,36 @@ ORACLE["random_run_generate"] = f"""
            FROM run WHERE rank > 30 AND rank <= 60),
   {_sample_sql(
       "SELECT v.variant, a.vec_id AS qid, a.vec_id AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings a",
-      "pool", "p.owner = f.qid", vcol="variant")},
+      "pool", "p.owner = f.qid", "owner", vcol="variant")},
   ctx AS (SELECT variant, qid, title, text, 'relevant' AS role, ord FROM relevant
           UNION ALL
           SELECT variant, qid, title, text, 'random' AS role, draw AS ord FROM picked),
   {sql_shuffled('ctx')}, {sql_asked('variants')}, {sql_best_line('run')}, {sql_finish(('relevant', 'random'))}
   SELECT {_E2E}, num_relevant, num_random FROM scored"""
 
-ORACLE["encode_topk"] = f"""
+_ENCODED = f"""
   WITH inputs AS (
-    SELECT 'd' AS side, doc_id AS id, CASE WHEN coalesce(source, '') <> '' THEN source || '[SEP]' || coalesce(text, '')
+    SELECT 'd' AS side, doc_id::VARCHAR AS id, CASE WHEN coalesce(source, '') <> '' THEN source || '[SEP]' || coalesce(text, '')
                                            ELSE coalesce(text, '') END AS input FROM documents
-    UNION ALL SELECT 'q', conv_id * 1000 + turn, coalesce(text, '') FROM conversations),
+    UNION ALL SELECT 'q', conv_id || '-' || turn, coalesce(text, '') FROM conversations),
   tokens AS (SELECT side, id, unnest(regexp_extract_all(lower(input), '[^ \t\n\x0b\x0c\r]+')) AS tok FROM inputs),
   hashed AS (SELECT side, id, ('0x' || substr(md5(tok), 1, 15))::BIGINT AS h FROM tokens),
   slots AS (SELECT side, id, h % 64 AS slot, sum(CASE WHEN (h // 64) % 2 = 1 THEN -1.0 ELSE 1.0 END) AS x FROM hashed GROUP BY ALL),
   dense AS (SELECT i.side, i.id, list(coalesce(s.x, 0.0)::DOUBLE ORDER BY t.slot) AS v
             FROM inputs i CROSS JOIN range(0, 64) t(slot) LEFT JOIN slots s ON s.side = i.side AND s.id = i.id AND s.slot = t.slot
-            GROUP BY i.side, i.id),
-  scores AS (SELECT q.id AS qid, d.id AS doc_id, list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v) AS n,
+            GROUP BY i.side, i.id)"""
+
+ORACLE["encode_topk"] = f"""{_ENCODED},
+  scores AS (SELECT q.id AS qid, d.id::BIGINT AS doc_id, list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v) AS n,
                     list_dot_product(q.v, d.v) AS dot FROM dense q JOIN dense d ON q.side = 'q' AND d.side = 'd'),
   ranked AS (SELECT qid, doc_id, CASE WHEN n = 0 THEN -1.0 ELSE dot / sqrt(n) END AS score FROM scores)
   SELECT qid, doc_id, round(score, 6) AS score, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM ranked) x
   WHERE rank <= 5"""
 
+ORACLE["encode_documents"] = f"""{_ENCODED}
+  SELECT id::BIGINT AS doc_id, list_dot_product(v, v) AS norm2, list_dot_product(v, range(1, 65)::DOUBLE[]) AS weighted FROM dense WHERE side = 'd'"""
+
 ORACLE["gold_titles"] = f"""
   WITH {_ORACLE_CTX_CTE}
   SELECT DISTINCT qid, lower(title) AS gold_title FROM facts"""
@@ -546,13 +549,19 @@ ORACLE["predictions_roundtrip"] = f"""
          turn % 2 = 0 AS is_random FROM joined"""
 
 ORACLE["evaluate_folder"] = f"""
-  WITH {_CONV_PRED}
-  SELECT r.variant, count(s.role) AS num_samples, round(coalesce(avg(s.exact_match), 0.0) * 100, 2) AS em_pct,
+  WITH {_CONV_PRED},
+  firsts AS (SELECT role, min({{'conv_id': conv_id, 'turn': turn}}) AS k FROM scored GROUP BY role),
+  runs AS (SELECT role AS variant, exact_match, cover_exact_match FROM scored
+           UNION ALL
+           SELECT 'single', exact_match, cover_exact_match FROM scored s JOIN firsts f ON f.role = s.role AND f.k.conv_id = s.conv_id AND f.k.turn = s.turn)
+  SELECT r.variant, count(s.variant) AS num_samples, round(coalesce(avg(s.exact_match), 0.0) * 100, 2) AS em_pct,
          round(coalesce(avg(s.cover_exact_match), 0.0) * 100, 2) AS cem_pct
-  FROM (VALUES ('user'), ('assistant'), ('system'), ('empty')) r(variant) LEFT JOIN scored s ON s.role = r.variant
+  FROM (SELECT DISTINCT variant FROM runs UNION ALL SELECT 'empty') r LEFT JOIN runs s ON s.variant = r.variant
   GROUP BY r.variant"""
 
 ORACLE["report_roundtrip"] = f"""
   WITH {_CONV_PRED}
   SELECT role AS variant, count(*) AS num_samples, round(avg(exact_match), 6) AS exact_match, sum(exact_match)::BIGINT AS hits,
-         '["conv_id", "turn"]' AS config_keys FROM scored GROUP BY role"""
+         CASE WHEN role = 'user' THEN '["conv_id", "turn", "again"]' ELSE '["conv_id", "turn"]' END AS config_keys FROM scored GROUP BY role"""
+
+ORACLE["generate_resumed"] = ORACLE["rescore_generate"]

@@ -21,6 +21,7 @@ from ..operators import retrieval as R
 from ..operators import sampling as SM
 from ..operators import scoring as S
 from ..operators.skew import lookup
+from ..operators.stored import Stored
 from ..session import materialize, scratch_path
 from ..sources import io as IO
 from . import jobs as J
@@ -234,12 +235,12 @@ def random_negative_contexts(spark, sf_dir):
                                            F.col("rank").alias("ord"),
                                            F.lit("relevant").alias("role")), "relevant")
     labels = tables.retrieval_corpus(spark, sf_dir).select("doc_id", "d_label")
-    pool, n_pool = SM.dense_index(docs.join(labels, "doc_id", "left"), ["doc_id"])
+    pool = SM.lay_out(docs.join(labels, "doc_id", "left"), ["doc_id"], "d_label")
     asked = tables.retrieval_questions(spark, sf_dir).select("qid", F.col("q_label").alias("d_label"))
     requests = C.with_variants(asked.select("qid"), variants).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
-        requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
-        exclude=relevant.select("variant_id", "qid", "doc_id"), exclude_groups=asked, group="d_label")
+        requests, pool, keys=["variant_id", "qid"], seed=SEED,
+        exclude=relevant.select("variant_id", "qid", "doc_id"), exclude_groups=asked)
     random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
                           F.col("draw").alias("ord"), F.lit("random").alias("role"))
     return C.mix_contexts(relevant, random)
@@ -264,13 +265,13 @@ def q_random_from_run(spark, sf_dir):
         F.lit("relevant").alias("role"))
     band = C.rank_band(run, 50, 100).select(F.col("qid").alias("owner"),
                                             F.col("rank").alias("owner_rank"), "doc_id")
-    pool, n_pool = SM.dense_index(band, ["owner", "owner_rank"])
+    pool = SM.lay_out(band, ["owner", "owner_rank"], "owner")
     requests = C.with_variants(C.keep_all_questions(
         tables.retrieval_questions(spark, sf_dir).select("qid"), run), variants
     ).withColumnRenamed("n_noise", "need")
     drawn = SM.sample_without_replacement(
-        requests, pool, n_pool, keys=["variant_id", "qid"], seed=SEED,
-        exclude_groups=requests.select("qid", F.col("qid").alias("owner")), group="owner")
+        requests, pool, keys=["variant_id", "qid"], seed=SEED,
+        exclude_groups=requests.select("qid", F.col("qid").alias("owner")))
     random = drawn.select("variant_id", "qid", "doc_id", F.lit(0.0).alias("score"),
                           F.col("draw").alias("ord"), F.lit("random").alias("role"))
     mixed = C.mix_contexts(relevant, random)
@@ -332,11 +333,11 @@ def q_hard_negative_configs(spark, sf_dir):
 
 
 def turn_questions(spark, sf_dir):
-    """Every conversation turn asks a question (``qid`` = conv_id * 1000 + turn): its own text. Paragraphs and facts are
+    """Every conversation turn asks a question (``qid`` = conv_id-turn): its own text. Paragraphs and facts are
     the last four turns up to it, so a question's evidence is bounded however long the conversation is."""
     c = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ask = c.select("conv_id", F.col("turn").alias("t"), F.col("text").alias("question"),
-                   (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"))
+                   F.concat_ws("-", "conv_id", "turn").alias("qid"))
     near = ask.select("qid", "t", "conv_id", F.explode(F.sequence(F.col("t") - 3, F.col("t"))).alias("turn"))
     rows = near.join(c, ["conv_id", "turn"])
     ctx = rows.select("qid", F.col("turn").alias("ctx_pos"), F.col("role").alias("title"), F.split("text", "\n").alias("sentences"))
@@ -400,7 +401,7 @@ def q_encode_topk(spark, sf_dir):
     (encoder input = source[SEP]text). Vectors are stored without the text."""
     enc = I.hashing_encoder_factory(64)
     docs = tables.doc_passages(spark, sf_dir).select("doc_id", TX.passage_text("title", "text").alias("input"))
-    turns = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("input"))
+    turns = tables.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("input"))
     stored = []
     for rows, key in ((docs, "doc_id"), (turns, "qid")):
         path = scratch_path(spark, "vectors")
@@ -410,6 +411,16 @@ def q_encode_topk(spark, sf_dir):
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("encode_documents")
+def q_encode_documents(spark, sf_dir):
+    """F6 by content with the stand-in encoder: every document's vector, equal texts encoded once; squared norm and a
+    weighted sum of each."""
+    docs = tables.doc_passages(spark, sf_dir).select("doc_id", TX.passage_text("title", "text").alias("input"))
+    v = I.encode_distinct(docs, Stored(I.hashing_encoder_factory(64), scratch_path(spark, "vectors")), text="input")
+    total = lambda f: F.aggregate(F.transform("embedding", f), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return v.select("doc_id", total(lambda x: x.cast("double") * x).alias("norm2"), total(lambda x, i: x.cast("double") * (i + 1)).alias("weighted"))
+
+
 @register("read_write_roundtrip")
 def q_read_write_roundtrip(spark, sf_dir):
     """S3 round trip: store the top-10 run as Parquet in the shared folder, read back the
@@ -504,6 +515,18 @@ def q_rescore_generate(spark, sf_dir):
     return scored.select(*E2E, "num_topk")
 
 
+@register("generate_resumed")
+def q_generate_resumed(spark, sf_dir):
+    """F7 from a half-filled answer store: X7 for k = 1 fills it, then X7 for all k asks only for prompts it lacks."""
+    docs = tables.sparse_passages(spark, sf_dir)
+    run, asked = _stored_run(spark, sf_dir, 6, docs)
+    gold = first_known_line(ranked_run(spark, sf_dir, 6), docs)
+    generator = Stored(I.context_lines_factory(), scratch_path(spark, "answers"))
+    for ks in ((1,), (1, 3, 5)):
+        scored, _ = J.rescore_run(run, _part_questions(spark, sf_dir), generator, ks=ks, gold=gold, asked=asked)
+    return scored.select(*E2E, "num_topk")
+
+
 @register("config_mix_generate")
 def q_config_mix_generate(spark, sf_dir):
     """X5 end to end: stored top-100 run with ``part`` passages, exact-title gold (the
@@ -592,11 +615,11 @@ def q_random_negatives_scarce(spark, sf_dir):
     """R1 where requests cannot be filled: every label asks for as many random vectors as exist; vectors
     of labels not above its own are excluded, so the last label gets none and others all that is left."""
     e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    pool, n = SM.dense_index(e.select("doc_id", F.col("label").alias("d_label")), ["doc_id"])
+    pool = SM.lay_out(e.select("doc_id", F.col("label").alias("d_label")), ["doc_id"], "d_label")
     labels = e.groupBy(F.col("label").alias("qid")).agg(F.count(F.lit(1)).alias("n"))
     banned = labels.select("qid", F.explode(F.sequence(F.lit(0), F.col("qid"))).alias("d_label"))
-    drawn = SM.sample_without_replacement(labels.select("qid", F.lit(n).alias("need")), pool, n, keys=["qid"], seed=SEED,
-                                          exclude_groups=banned, group="d_label")
+    drawn = SM.sample_without_replacement(labels.select("qid", F.lit(pool.size).alias("need")), pool, keys=["qid"], seed=SEED,
+                                          exclude_groups=banned)
     return drawn.select("qid", "doc_id")
 
 
@@ -647,31 +670,35 @@ def q_predictions_roundtrip(spark, sf_dir):
 
 @register("evaluate_folder")
 def q_evaluate_folder(spark, sf_dir):
-    """S4 -> F8 -> A2 -> X8 on result files of the three shapes and an empty one: user turns as bare lists,
-    assistant turns as wrapped lists (50 conversations a file), system turns as single objects."""
+    """S4 -> F8 -> A2 -> X8 on result files of the three shapes and an empty one: user and system turns as bare lists,
+    assistant turns as wrapped lists (500 conversations a file), and the first turn of each role as a file of one object."""
     p = conversation_predictions(spark, sf_dir)
     rec = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), "prediction", F.when(F.col("has_gold"), F.col("gold_answer")).alias("gold_answer"))
-    files = p.select("role", F.floor(F.col("conv_id") / 50).alias("part"), rec.alias("r")).groupBy("role", "part").agg(F.collect_list("r").alias("rs"))
+    files = p.select("role", F.floor(F.col("conv_id") / 500).alias("part"), rec.alias("r")).groupBy("role", "part").agg(F.collect_list("r").alias("rs"))
     root = scratch_path(spark, "results")
-    bare = files.where("role = 'user'").select(F.to_json("rs").alias("value"))
-    wrapped = files.where("role = 'assistant'").select(F.to_json(F.struct(F.create_map(F.lit("k"), F.lit("1")).alias("config"), F.col("rs").alias("results"))).alias("value"))
-    single = p.where("role = 'system'").select(F.to_json(rec).alias("value"))
-    empty = files.agg(F.lit("[]").alias("value"))
-    # one text file for each list: a file is one top-level array or object
-    for name, df in (("user", bare), ("assistant", wrapped), ("system", single), ("empty", empty)):
-        df.withColumn("n", F.monotonically_increasing_id()).repartition("n").write.partitionBy("n").text(f"{root}/{name}")
-    _, m = J.evaluate_folder(spark, [f"{root}/{n}/*" for n in ("user", "assistant", "system", "empty")], name=r"([^/]+)/n=[^/]+/[^/]*$")
+    wrapped = F.to_json(F.struct(F.create_map(F.lit("k"), F.lit("1")).alias("config"), F.col("rs").alias("results")))
+    lists = files.select("role", "part", F.when(F.col("role") == "assistant", wrapped).otherwise(F.to_json("rs")).alias("value"))
+    first = p.groupBy("role").agg(F.to_json(F.min_by(rec, F.struct("conv_id", "turn"))).alias("value"))
+    single = first.select(F.lit("single").alias("role"), F.crc32("role").alias("part"), "value")
+    empty = files.agg(F.lit("empty").alias("role"), F.lit(0).cast("long").alias("part"), F.lit("[]").alias("value"))
+    # one text file for each value: a file is one top-level array or object
+    lists.unionByName(single).unionByName(empty).repartition("role", "part").write.partitionBy("role", "part").text(root)
+    _, m = J.evaluate_folder(spark, f"{root}/*/*", name=r"role=([^/]+)/part=[^/]+/[^/]*$")
     return m.select("variant", "num_samples", "em_pct", "cem_pct")
 
 
 @register("report_roundtrip")
 def q_report_roundtrip(spark, sf_dir):
-    """The conversation scoring as a report with its configuration; metrics and configuration read back, and
-    metrics counted again from the report's predictions."""
-    scored = S.score_answers(conversation_predictions(spark, sf_dir)).withColumn("experiment", F.lit("conversations")).withColumnRenamed("role", "variant")
+    """The conversation scoring as a report of three runs with their configuration. User turns are first reported as a
+    draft of empty answers, and that run alone is written again; metrics, configuration and the
+    predictions, counted again, are read back."""
+    scored = materialize(S.score_answers(conversation_predictions(spark, sf_dir)).withColumn("experiment", F.lit("conversations"))
+                         .withColumnRenamed("role", "variant"), "scored")
+    draft = S.score_answers(scored.withColumn("prediction", F.when(F.col("variant") == "user", "").otherwise(F.col("prediction"))))
     path = scratch_path(spark, "report")
-    IO.write_report(S.evaluate(scored), scored, path, config={"metric": "em", "keys": ["conv_id", "turn"]})
-    again = spark.read.parquet(f"{path}/predictions").groupBy("variant").agg(F.sum("exact_match").alias("hits"))
-    metrics = spark.read.parquet(f"{path}/metrics").join(again, "variant").withColumn("key", F.lit("keys"))
-    return metrics.join(F.broadcast(spark.read.json(f"{path}/config")), "key").select(
-        "variant", "num_samples", F.round("exact_match", 6).alias("exact_match"), "hits", F.col("value").alias("config_keys"))
+    for rows, keys in ((draft, ["conv_id", "turn"]), (scored.where("variant = 'user'"), ["conv_id", "turn", "again"])):
+        IO.write_report(S.evaluate(rows), rows, path, config={"metric": "em", "keys": keys})
+    metrics, predictions, config = IO.read_report(spark, path)
+    again = predictions.groupBy("run").agg(F.sum("exact_match").alias("hits"))
+    keys = config.where("key = 'keys'").select("run", F.col("value").alias("config_keys"))
+    return metrics.join(again, "run").join(keys, "run").select("variant", "num_samples", F.round("exact_match", 6).alias("exact_match"), "hits", "config_keys")

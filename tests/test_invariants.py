@@ -28,12 +28,11 @@ def test_independent_of_shuffle_partitions(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cartesian_or_unplanned_nested_loop(spark, name):
+def test_no_cartesian_or_nested_loop(spark, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    # the one-row nested loop of these comes from Catalyst folding literal join keys
-    assert "NestedLoopJoin" not in plan or name in ("summary", "evaluate_folder")
+    assert "NestedLoopJoin" not in plan
 
 
 def test_sweep_retrieves_once(spark):

@@ -183,8 +183,24 @@ def test_report_keeps_the_configuration(spark):
     d = tmpdir()
     preds = spark.createDataFrame([("e", "v", "q", 1)], "experiment string, variant string, qid string, exact_match int")
     IO.write_report(preds.select("experiment", "variant"), preds, f"{d}/report", config={"ks": [1, 3], "seed": 42})
-    rows = spark.read.json(f"{d}/report/config").collect()
-    assert {r["key"]: json.loads(r["value"]) for r in rows} == {"ks": [1, 3], "seed": 42}
+    _, _, config = IO.read_report(spark, f"{d}/report")
+    assert {r["key"]: json.loads(r["value"]) for r in config.collect()} == {"ks": [1, 3], "seed": 42}
+
+
+def test_a_run_written_again_replaces_its_own_rows_only(spark):
+    path = f"{tmpdir()}/report"
+    schema = "experiment string, variant string, qid string, exact_match int"
+
+    def put(rows, runs, **config):
+        IO.write_report(spark.createDataFrame(runs, "experiment string, variant string, num_samples long"), spark.createDataFrame(rows, schema), path, config=config)
+
+    put([("e", "01", "a", 1), ("e", "01", "b", 0), ("e", "x/y=z", "a", 1), ("e", None, "n", 1)], [("e", "01", 2), ("e", "x/y=z", 1), ("e", None, 1)], k=1)
+    put([("e", "01", "c", 1)], [("e", "01", 1)], k=2)
+    put([], [("e", "x/y=z", 0)])  # a run that has no predictions any more
+    metrics, predictions, config = IO.read_report(spark, path)
+    assert sorted(((r["variant"] or "", r["num_samples"]) for r in metrics.collect())) == [("", 1), ("01", 1), ("x/y=z", 0)]
+    assert sorted((r["variant"] or "", r["qid"]) for r in predictions.collect()) == [("", "n"), ("01", "c")]
+    assert sorted((r["variant"] or "", r["key"], r["value"]) for r in config.collect()) == [("", "k", "1"), ("01", "k", "2")]
 
 
 def test_no_local_folder_off_a_local_master():

@@ -1,5 +1,7 @@
 """R1/R2/R3 invariants: quotas, distinct draws, exclusions, partition independence, uniformity."""
 
+import hashlib
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from ctxmix.operators import sampling as SM
 
 def sample(spark, n_pool=200, n_req=40, need=5, excl=None, parts=8):
     pool_df = spark.range(0, n_pool).select((F.col("id") * 3).alias("doc_id")).repartition(parts)
-    pool, n = SM.dense_index(pool_df, ["doc_id"])
+    pool = SM.lay_out(pool_df, ["doc_id"])
     req = spark.range(0, n_req).select(F.col("id").alias("qid"), F.lit(need).alias("need"))
-    return SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude=excl), n
+    return SM.sample_without_replacement(req, pool, keys=["qid"], exclude=excl), pool.size
 
 
 def test_dense_index(spark):
@@ -72,21 +74,43 @@ def test_exclude_docs_and_exclusion_set(spark):
 
 def test_fully_excluded_pool_terminates_empty(spark):
     pool_df = spark.range(0, 5).select(F.col("id").alias("doc_id"))
-    pool, n = SM.dense_index(pool_df, ["doc_id"])
+    pool = SM.lay_out(pool_df, ["doc_id"])
     req = spark.createDataFrame([(1, 3), (2, 3)], "qid long, need int")
     excl = spark.range(0, 5).select(F.lit(1).cast("long").alias("qid"), F.col("id").alias("doc_id"))
-    got = SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude=excl).collect()
+    got = SM.sample_without_replacement(req, pool, keys=["qid"], exclude=excl).collect()
     assert {r["qid"] for r in got} == {2}
     assert len(got) == 3
 
 
-def test_permutation(spark):
-    for half in (1, 3):
-        df = spark.range(4**half).withColumns({"a": F.lit("a"), "b": F.lit("b")})
-        rows = SM.with_permuted(SM.with_permuted(df, "id", "x", half, 7, ["a"]), "id", "y", half, 7, ["b"]).collect()
-        assert sorted(r["x"] for r in rows) == sorted(r["y"] for r in rows) == list(range(4**half))
-        assert half == 1 or [r["x"] for r in rows] != [r["y"] for r in rows]
-    assert [SM.half_bits(n) for n in (1, 4, 5, 16, 17, 10**10)] == [1, 1, 2, 2, 3, 17]
+def plain_hash(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def plain_place(j, n, seed, *keys):
+    """The definition, one number at a time."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        left, right = divmod(j, b)
+        for r in range(4):
+            if r % 2:
+                right = (right + plain_hash(seed, *keys, r, left)) % b
+            else:
+                left = (left + plain_hash(seed, *keys, r, right)) % a
+        j = left * b + right
+        if j < n:
+            return j
+
+
+def test_permutation_of_any_size(spark):
+    sizes = [1, 2, 3, 5, 10, 17, 63, 64, 65, 250]
+    rows = spark.createDataFrame([(n, j) for n in sizes for j in range(n)], "n long, j long").withColumns({"a": F.lit("a"), "b": F.lit("b")})
+    got = SM.with_permuted(SM.with_permuted(rows, "j", "x", "n", 7, ["a"]), "j", "y", "n", 7, ["b"]).collect()
+    for n in sizes:
+        own = [r for r in got if r["n"] == n]
+        assert sorted(r["x"] for r in own) == sorted(r["y"] for r in own) == list(range(n))
+        assert all(r["x"] == plain_place(r["j"], n, 7, "a") for r in own)
+        assert n < 10 or [r["x"] for r in own] != [r["y"] for r in own]
 
 
 def test_draw_ranges(spark):
@@ -98,30 +122,41 @@ def test_draw_ranges(spark):
 
 
 def test_groups_and_rows_excluded(spark):
-    pool, n = SM.dense_index(spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, F.col("id") % 10).alias("g")), ["doc_id"])
+    pool = SM.lay_out(spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, F.col("id") % 10).alias("g")), ["doc_id"], "g")
     req = spark.createDataFrame([(q, v, 50) for q in range(4) for v in range(2)], "qid long, v int, need int")
-    banned = spark.createDataFrame([(1, 0), (1, 1), (2, 3), (3, 77)] + [(0, g) for g in range(9)], "qid long, g long")
-    used = spark.createDataFrame([(1, 0, 10), (1, 0, 12), (0, 1, 9), (2, 1, 3), (2, 1, 4)], "qid long, v int, doc_id long")
-    got = SM.sample_without_replacement(req, pool, n, keys=["qid", "v"], exclude=used, exclude_groups=banned, group="g").collect()
-    per = {}
-    for r in got:
-        per.setdefault((r["qid"], r["v"]), []).append(r["doc_id"])
-    assert {k: len(v) for k, v in per.items()} == {(0, 0): 9, (0, 1): 8, (1, 0): 50, (1, 1): 50, (2, 0): 50, (2, 1): 50, (3, 0): 50, (3, 1): 50}
-    assert all(len(set(v)) == len(v) for v in per.values())
-    assert all(d % 10 == 9 for d in per[0, 0]) and 9 not in per[0, 1] and not {0, 1} & {d % 10 for d in per[1, 0] + per[1, 1]}
-    assert sorted(r["draw"] for r in got if (r["qid"], r["v"]) == (1, 0)) == list(range(1, 51))
-
-
-def test_a_request_that_cannot_be_filled_costs_no_more_jobs(spark):
-    pool, n = SM.dense_index(spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("g")), ["doc_id"])
-    req = spark.createDataFrame([(1, 3), (2, 3)], "qid long, need int")
-
-    def jobs(name, banned):
-        spark.sparkContext.setJobGroup(name, name)
-        rows = SM.sample_without_replacement(req, pool, n, keys=["qid"], exclude_groups=spark.createDataFrame(banned, "qid long, g long"), group="g").collect()
-        spark.sparkContext.setJobGroup("", "")
-        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
-
-    normal, a = jobs("normal", [(9, 0)])
-    short, b = jobs("short", [(1, 0)])
-    assert len(normal) == 6 and [r["qid"] for r in short] == [2, 2, 2] and b <= a
+    banned = [(1, 0), (1, 1), (2, 3), (3, 77)] + [(0, g) for g in range(9)]
+    used = [(1, 0, 10), (1, 0, 12), (0, 1, 9), (2, 1, 3), (2, 1, 4), (9, 9, 9)]
+    got = SM.sample_without_replacement(req, pool, keys=["qid", "v"], exclude=spark.createDataFrame(used, "qid long, v int, doc_id long"),
+                                        exclude_groups=spark.createDataFrame(banned + banned[:2], "qid long, g long")).collect()
+    # every request against every row, in the pool's order: group (nulls first), then id
+    group = lambda d: d % 10 if d % 10 < 9 else None
+    order = sorted(range(90), key=lambda d: (group(d) is not None, group(d) or 0, d))
+    for q in range(4):
+        for v in range(2):
+            free = [d for d in order if (q, group(d)) not in banned and (q, v, d) not in used]
+            wanted = [free[plain_place(j, len(free), 42, q, v)] for j in range(min(50, len(free)))]
+            assert [r["doc_id"] for r in sorted((r for r in got if (r["qid"], r["v"]) == (q, v)), key=lambda r: r["draw"])] == wanted
+
+
+def test_draws_hit_available_rows_only(spark):
+    """30 requests with 10 of 200,000 rows available, and one that may have nothing: 150 draws, all of them hits."""
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, 1).otherwise(0).cast("long").alias("g"))
+    pool = SM.lay_out(rows, ["doc_id"], "g")
+    req = spark.range(31).select(F.col("id").alias("qid"), F.lit(5).alias("need"))
+    banned = spark.createDataFrame([(q, 0) for q in range(31)] + [(30, 1)], "qid long, g long")
+    places = SM.draw_places(req, pool, keys=["qid"], exclude_groups=banned)
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 3
+    drawn = places.collect()
+    assert len(drawn) == 150
+    got = SM.sample_without_replacement(req, pool, keys=["qid"], exclude_groups=banned).collect()
+    assert len(got) == 150 and {r["doc_id"] for r in got} == set(range(10)) and all(len({r["doc_id"] for r in got if r["qid"] == q}) == 5 for q in range(30))
+
+
+def test_many_single_exclusions(spark):
+    """A request that may have five rows only, the others named one by one."""
+    pool = SM.lay_out(spark.range(5000).select(F.col("id").alias("doc_id")), ["doc_id"])
+    req = spark.createDataFrame([(1, 9), (2, 2)], "qid long, need int")
+    used = spark.range(5000).where("id % 1000 <> 7").select(F.lit(1).cast("long").alias("qid"), F.col("id").alias("doc_id"))
+    got = SM.sample_without_replacement(req, pool, keys=["qid"], exclude=used).collect()
+    assert sorted(r["doc_id"] for r in got if r["qid"] == 1) == [7, 1007, 2007, 3007, 4007] and sum(r["qid"] == 2 for r in got) == 2
