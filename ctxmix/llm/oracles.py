@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxmix.llm.license_scan import BLOCK, CONTAINMENT, PHRASES, TEMPLATES, needed
+from ctxmix.llm.license_scan import BLOCK, CONTAINMENT, NAMES, PHRASES, TEMPLATES, VERSIONS, needed
 
 OP2 = """
 with recursive usable as (
@@ -45,8 +45,11 @@ def _phrase(phrase: str, label: str) -> str:
 
 
 def op9() -> str:
-    """Every block against every template, without filters."""
-    templates = ", ".join(f"('{k}', {sorted(set(t.split()))}, {needed(len(set(t.split())), CONTAINMENT)})" for k, t in TEMPLATES.items())
+    """Every block against every template, without filters; a block needs a template's names, and its version's number if it
+    has the word "version"."""
+    listed = lambda words: f"{words.split()}::varchar[]"
+    templates = ", ".join(f"('{k}', {sorted(set(t.split()))}, {needed(len(set(t.split())), CONTAINMENT)}, {listed(NAMES.get(k, ''))}, {listed(VERSIONS.get(k, ''))})"
+                          for k, t in TEMPLATES.items())
     return rf"""
 with texts as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -54,11 +57,12 @@ with texts as (
 place as (select doc_id, w, unnest(range(len(w))) as i from texts where len(w) > 0),
 base as ({" union all ".join(_phrase(p, k) for p, k in PHRASES.items())}),
 based as (select doc_id, count(*) as n, min(i) as lo, max(i) as hi, list(distinct label) as labels from base group by doc_id),
-templates(label, words, need) as (values {templates}),
+templates(label, words, need, names, version) as (values {templates}),
 blocks as (select doc_id, w[b + 1 : b + {BLOCK}] as own from (select doc_id, w, unnest(range(0, len(w), {BLOCK // 2})) as b from texts)),
 found as (
     select doc_id, label, len(list_intersect(own, words)) / len(words)::double as containment
-    from blocks, templates where len(list_intersect(own, words)) >= need),
+    from blocks, templates where len(list_intersect(own, words)) >= need and len(list_intersect(own, names)) = len(names)
+      and (not list_contains(own, 'version') or len(list_intersect(own, version)) = len(version))),
 matched as (select doc_id, list(distinct label) as labels, max(containment) as best from found group by doc_id)
 select t.doc_id, len(t.w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,

@@ -1,10 +1,14 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents become token ids, ids are cut into pieces of at most ``limit``. Pieces of the full
-length are sequences of their own. The rest is dealt by a hash into blocks of bounded size;
+length are sequences of their own. The rest is dealt by a hash into blocks of about as many tokens;
 each block is evolved on several islands (tasks of their own), whose elites move to the
 next island between epochs.
 
+A block ends with sequences that are not full. So these sequences of all blocks are
+opened (at most half of a block's, the worst-filled ones), their pieces are dealt into fewer blocks and evolved again, and so
+on until one block is left: what is missing to full sequences is gathered in that one, whatever the number of blocks.
+
 An individual is a partition of a block's pieces into bins. Crossover injects the well-filled
 bins of one parent into the other, removes the bins that hold duplicates of their pieces, and puts the
 displaced pieces back by best fit.
@@ -16,13 +20,14 @@ import json
 import os
 import zlib
 from bisect import bisect_left, insort
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +37,8 @@ from ctxmix.session import materialize, ship_code
 LIMIT, END = 1024, 2
 #: The split pattern of the byte-level vocabularies (a fixed value of their format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces of a block at most on average, islands and epochs, individuals and generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 1024, 2, 2, 4, 3
+#: Full sequences in a block's tokens, islands and epochs, individuals and generations of an epoch.
+BLOCK, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 2000, 2, 2, 6, 6
 #: White space beyond ASCII: next to blanks it would be split elsewhere in a part of a text.
 _WIDE_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "uid")])
@@ -215,23 +220,13 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, people: int,
     return group[0]
 
 
-def pack(documents: DataFrame, file: bytes, limit: int = LIMIT, end: int = END, block: int = BLOCK,
-         islands: int = ISLANDS, epochs: int = EPOCHS, people: int = PEOPLE, generations: int = GENERATIONS) -> DataFrame:
-    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-
-    Null and empty texts are one piece with the end token. Repeated rows (and rows without an id) are packed
-    each; other columns are not read; an empty table gives an empty result.
-    """
-    table = materialize(pieces(documents, file, limit, end), "pieces")
-    full = table.where(F.col("length") == limit).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long")})
-    short = table.where(F.col("length") < limit)
-    n = short.count()
-    blocks = max(1, -(-n // block))
-    tasks = min(blocks * islands, max(documents.sparkSession.sparkContext.defaultParallelism, blocks * islands // 16))
-    items = short.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), "uid", "length").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("items"))  # bounded: about `block` pieces each
-    state = items.select("block", "items.uid", "items.length", F.array().cast("array<array<int>>").alias("elites"))
+def evolve_blocks(items: DataFrame, blocks: int, level: int, limit: int, islands: int, epochs: int, people: int, generations: int) -> DataFrame:
+    """(block, uid, length, best) of all ``items`` (uid, length): the bin of each in the best individual of its block."""
     schema = "block long, uid array<long>, length array<long>, island int, best array<int>"
+    tasks = min(blocks * islands, max(items.sparkSession.sparkContext.defaultParallelism, blocks * islands // 16))
+    state = (items.select(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block"), "uid", "length").groupBy("block")
+             .agg(F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("items"))  # bounded: `BLOCK` sequences of tokens
+             .select("block", "items.uid", "items.length", F.array().cast("array<array<int>>").alias("elites")))
 
     def epoch(number: int):
         def run(batches):
@@ -240,7 +235,8 @@ def pack(documents: DataFrame, file: bytes, limit: int = LIMIT, end: int = END,
                 for r in batch.itertuples():
                     sizes = np.asarray(r.length, np.int64)
                     elites = [np.asarray(e, np.int64) for e in r.elites]
-                    best = evolve(sizes, elites, hash((int(r.block), int(r.island), number)) & 0x7FFFFFFF, people, generations, limit)
+                    seed = hash((level, int(r.block), int(r.island), number)) & 0x7FFFFFFF
+                    best = evolve(sizes, elites, seed, people, generations, limit)
                     out.append((r.block, r.uid, r.length, r.island, best.astype(np.int32)))
                 yield pd.DataFrame(out, columns=["block", "uid", "length", "island", "best"])
 
@@ -256,18 +252,50 @@ def pack(documents: DataFrame, file: bytes, limit: int = LIMIT, end: int = END,
                 "block", "uid", "length", F.transform(F.array_sort("e"), lambda x: x["best"]).alias("elites"))
     winner = grown.groupBy("block").agg(F.min_by(
         F.struct("uid", "length", "best"), F.struct(F.array_max("best"), "island")).alias("w")).select("block", "w.*")
-    placed = (winner.select("block", F.posexplode(F.arrays_zip("uid", "length", "best")).alias("at", "i"))
-              .select("block", "i.*"))
-    return _offsets(full, short, placed)
+    return (winner.select("block", F.posexplode(F.arrays_zip("uid", "length", "best")).alias("at", "i"))
+            .select("block", "i.*"))
+
+
+def place(items: DataFrame, limit: int = LIMIT, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS,
+          people: int = PEOPLE, generations: int = GENERATIONS) -> DataFrame:
+    """(level, block, best, uid, length) of ``items`` (uid, length): pieces with equal level, block and best are a sequence.
+
+    Each level but the last opens at most half of its sequences (one of a block at least), so levels shrink by half or more.
+    """
+    settled, level = [], 0
+    while True:
+        tokens = items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        blocks = max(1, -(-tokens // (limit * block)))
+        placed = evolve_blocks(items, blocks, level, limit, islands, epochs, people, generations).select(F.lit(level).alias("level"), "*")
+        if blocks == 1:
+            return reduce(DataFrame.unionByName, [*settled, placed])
+        own = Window.partitionBy("block")  # a block has about `block` sequences
+        fill = placed.groupBy("block", "best").agg(F.sum("length").alias("fill"))
+        worst = (fill.withColumn("n", F.row_number().over(own.orderBy("fill", "best"))).withColumn("of", F.count(F.lit(1)).over(own))
+                 .where((F.col("n") == 1) | ((F.col("n") <= F.floor(F.col("of") / 2)) & (F.col("fill") < limit))))
+        split = materialize(placed.join(worst.select("block", "best", F.lit(True).alias("open")), ["block", "best"], "left"), "level")
+        settled.append(split.where("open is null").select(*placed.columns))
+        items, level = split.where("open").select("uid", "length"), level + 1
+
+
+def pack(documents: DataFrame, file: bytes, limit: int = LIMIT, end: int = END, block: int = BLOCK, islands: int = ISLANDS,
+         epochs: int = EPOCHS, people: int = PEOPLE, generations: int = GENERATIONS) -> DataFrame:
+    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece with the end token. Repeated rows (and rows without an id) are packed
+    each; other columns are not read; an empty table gives an empty result.
+    """
+    table = materialize(pieces(documents, file, limit, end), "pieces")
+    full = table.where(F.col("length") == limit).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long")})
+    short = table.where(F.col("length") < limit)
+    return _offsets(full, short, place(short.select("uid", "length"), limit, block, islands, epochs, people, generations))
 
 
 def _offsets(full: DataFrame, short: DataFrame, placed: DataFrame) -> DataFrame:
     """Join the bins back to the pieces and place each one behind those before it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("block", "best").orderBy("uid")  # a bin holds `limit` tokens at most
+    w = Window.partitionBy("level", "block", "best").orderBy("uid")  # a bin holds `limit` tokens at most
     where = placed.withColumn("offset", F.sum("length").over(w) - F.col("length")).select(
-        F.col("uid"), (-1 - (F.col("block") * F.lit(1 << 20) + F.col("best"))).alias("sequence_id"), "offset")
+        F.col("uid"), (-1 - (F.col("level") * F.lit(1 << 57) + F.col("block") * F.lit(1 << 20) + F.col("best"))).alias("sequence_id"), "offset")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = short.join(where, "uid").select(*columns)
     return full.select(*columns).unionByName(done).withColumn("piece", F.col("piece").cast("int"))

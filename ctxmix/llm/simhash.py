@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ctxmix.llm import batches as B
 from ctxmix.llm.components import components
+from ctxmix.llm.tables import fresh
 from ctxmix.operators.skew import lookup
 from ctxmix.session import materialize
 
@@ -97,14 +98,17 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
     Equal fingerprints are one class, represented by the smallest doc_id; links between
     classes and their components are found on representatives only, so copies are never
     expanded into pairs. Null and wordless texts have fingerprint zero and link like any other.
-    Rows with a null doc_id belong to the component of their fingerprint if it has rows
-    with an id, else their component is null. Repeated rows come back as often as given.
+    Components are of fingerprints, so rows that share a doc_id are linked only if their texts are near; a component's
+    id is the smallest doc_id of its rows, null if none has one. Repeated rows come back as often as given.
     """
     fps = materialize(fingerprint_table(documents, shingle, seed), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    found = components(links(classes.where("rep is not null"), max_bits))
-    facts = classes.join(found, classes.rep == found.node, "left").select(
-        "fp", "size", F.coalesce("component", "rep").alias("component_id"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).withColumn("rep", F.col("fp")), "classes")
+    found = components(links(classes, max_bits))
+    # classes without a link are most; only linked ones look for the smallest id of their component
+    linked = classes.join(found, classes.rep == found.node).select("fp", "size", "component", "least")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    alone = classes.join(found, classes.rep == found.node, "left_anti").select("fp", "size", F.col("least").alias("component_id"))
+    facts = linked.join(ids, "component").select("fp", "size", "component_id").unionByName(alone)
     return lookup(fps, facts, "fp", "size").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -116,15 +120,17 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     near. Of rows with the smallest id, the smallest fingerprint and row hash stay; of rows alike in all
     columns, one.
     """
-    row = F.xxhash64(*[documents[c] for c in documents.columns])
-    given = documents.select("doc_id", "text", row.alias("__row"))
-    fps = materialize(B.add_columns(given, "text", ["doc_id", "__row"], [T.StructField("fp", T.LongType())],
+    row, own, stay_, id_ = (fresh(documents, c) for c in ("__row", "__own", "__stay", "__id"))
+    # maps cannot be hashed, their JSON can
+    hashed = F.xxhash64(*[F.to_json(documents[f.name]) if "map<" in f.dataType.simpleString() else documents[f.name] for f in documents.schema])
+    given = documents.select("doc_id", "text", hashed.alias("row"))
+    fps = materialize(B.add_columns(given, "text", ["doc_id", "row"], [T.StructField("fp", T.LongType())],
                                     lambda: lambda texts: [fingerprints(texts, shingle).view(np.int64)], _SLICE), "fingerprints")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__row")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
     classes = materialize(fps.groupBy("fp").agg(F.min(best).alias("best")).withColumn("rep", F.col("fp")), "classes")
     found = components(links(classes, max_bits))
     stay = (classes.join(found, classes.rep == found.node, "left").groupBy(F.coalesce("component", "rep"))
-            .agg(F.min("best").alias("b")).select(F.col("b.__row").alias("__stay"), F.coalesce("b.doc_id", F.lit(0)).alias("__id")))
-    rows = documents.select("*", row.alias("__row"), F.coalesce("doc_id", F.lit(0)).alias("__own"))
-    kept = rows.join(stay, (F.col("__row") == F.col("__stay")) & (F.col("__own") == F.col("__id")))
-    return kept.dropDuplicates(["__row", "__own"]).drop("__row", "__own", "__stay", "__id")
+            .agg(F.min("best").alias("b")).select(F.col("b.row").alias(stay_), F.coalesce("b.doc_id", F.lit(0)).alias(id_)))
+    rows = documents.select("*", hashed.alias(row), F.coalesce("doc_id", F.lit(0)).alias(own))
+    kept = rows.join(stay, (F.col(row) == F.col(stay_)) & (F.col(own) == F.col(id_)))
+    return kept.dropDuplicates([row, own]).drop(row, own, stay_, id_)

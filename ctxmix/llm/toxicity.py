@@ -139,7 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
 
     At most ``max_toxic`` and ``max_clean`` documents, chosen by the hash of their id among those
     that have a text of at most ``max_bytes``. A document labelled more than once counts as toxic if any label
-    says so; null labels and ids are left out.
+    says so; null labels and ids are left out, and of texts with the same id all but the smallest.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -147,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     known = materialize(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "labelled")
     chosen = hash_sample(known.where("toxic = 1"), "doc_id", max_toxic, "toxic").unionByName(
         hash_sample(known.where("toxic = 0"), "doc_id", max_clean, "toxic"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
 
 

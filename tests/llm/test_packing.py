@@ -64,18 +64,39 @@ def test_query(spark, sf_dir, library):
     rows = op7_packing(spark, sf_dir).collect()
     n = check(rows, list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist())), library, K.LIMIT)
     sizes = np.array([r.length for r in rows if r.length < K.LIMIT])
+    assert n - (len(rows) - len(sizes)) <= best_fit_sequences(sizes, K.LIMIT)  # no worse than best fit by falling size
+
+
+def best_fit_sequences(sizes, limit):
+    """Sequences of best fit by falling size over all pieces of the table."""
     greedy = np.zeros(len(sizes), int)
-    K.best_fit([], sizes, np.argsort(-sizes, kind="stable"), greedy, 0, K.LIMIT)
-    assert n - (len(rows) - len(sizes)) <= greedy.max() + 1  # no worse than best fit by falling size
+    K.best_fit([], sizes, np.argsort(-sizes, kind="stable"), greedy, 0, limit)
+    return int(greedy.max()) + 1
 
 
 def test_several_blocks_and_islands(spark, sf_dir, file, library):
+    """Some twenty small blocks on several levels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = docs.toPandas()
-    rows = K.pack(docs, file, limit=256, block=40, islands=3, epochs=3).collect()
+    rows = K.pack(docs, file, limit=256, block=5, islands=3, epochs=2).collect()
     n = check(rows, list(zip(t.doc_id, t.text)), library, 256)
-    total = sum(r.length for r in rows)
-    assert n <= 1.08 * total / 256
+    short = np.array([r.length for r in rows if r.length < 256])
+    assert n - (len(rows) - len(short)) <= 1.05 * best_fit_sequences(short, 256)
+    assert len({(-1 - r.sequence_id) >> 57 for r in rows if r.length < 256}) >= 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_of_the_default_size(spark, seed):
+    """Four blocks, two or three levels: no more than one sequence above best fit over the whole table."""
+    sizes = np.random.default_rng(seed).gamma(1.2, 420, 22_000).astype(int) % (K.LIMIT - 1) + 1
+    items = spark.createDataFrame(list(enumerate(sizes.tolist())), "uid long, length long").repartition(4)
+    rows = K.place(items).collect()
+    assert sorted(r.uid for r in rows) == list(range(len(sizes)))
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.level, r.block, r.best] += r.length
+    assert max(fill.values()) <= K.LIMIT and len({r.block for r in rows if r.level == 0}) > 3
+    assert len(fill) <= best_fit_sequences(sizes, K.LIMIT) + 1
 
 
 def test_rows(docs, no_docs, file, library):

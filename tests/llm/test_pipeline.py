@@ -1,4 +1,7 @@
 """The pipeline's stages against the single operators on what the stage before kept."""
+import random
+import string
+
 import corpus_pipeline as P
 from ctxmix.llm import packing, simhash
 from ctxmix.session import materialize
@@ -25,6 +28,19 @@ def test_stages(spark, sf_dir):
     assert {"sequence_id", "offset"} <= set(rows[0].asDict()) and max(r.length for r in rows) <= packing.LIMIT
 
 
+def test_language_stage_drops_noise_and_keeps_documents(spark, sf_dir):
+    """Random letters and Base64 go; every document of the table stays."""
+    rnd = random.Random(4)
+    draw = lambda letters, n, k: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, k))) for _ in range(n))
+    base64 = string.ascii_letters + string.digits + "+/"
+    planted = [draw(string.ascii_lowercase, 200, 9) for _ in range(10)] + [draw(base64, 20, 80) for _ in range(10)] + ["12 34 ...", ""]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    noise = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = P.keep_known_languages(spark, docs.unionByName(noise, allowMissingColumns=True), sf_dir)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == ids
+
+
 def test_odd_rows(spark, docs, no_docs, sf_dir):
     for frame in (docs, no_docs):
         kept = frame

@@ -116,6 +116,23 @@ def test_keep_one_of_repeated_and_null_ids(spark):
         assert got == want
 
 
+def test_a_repeated_id_with_other_texts_does_not_link_them(spark):
+    """Document 1 has two texts; document 0 is near one of them, documents 5 and 6 are near the other."""
+    a, b = "the quick brown fox jumps over the lazy dog", "birds sing at dawn while we walk home by the sea"
+    rows = [(1, a), (1, b), (0, a), (5, b), (6, b), (None, b)]
+    got = S.simhash(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(0, 0), (1, 0), (1, 1), (5, 1), (6, 1)]
+    assert [r.component_id for r in got if r.doc_id is None] == [1]
+
+
+def test_keep_one_with_clashing_names_and_maps(spark):
+    rows = spark.createDataFrame([(1, "a b c d", 7, 8, 1), (1, "a b c d", 7, 8, 1), (2, "a b c d", 7, 8, 1), (3, "x y z", 7, 8, 1)],
+                                 "doc_id long, text string, __row long, __STAY long, __id long")
+    rows = rows.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "s": F.array(F.struct(F.create_map(F.lit("k"), F.lit(1))))})
+    kept = S.keep_one(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r.m["k"], r["__row"]) for r in kept.collect()) == [(1, 1, 7), (3, 3, 7)]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (20, 20), (None, 3), *((100 + i, 101 + i) for i in range(40)), *((300, i) for i in range(301, 340))]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
