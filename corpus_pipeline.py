@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (``und``) go; those with a language stay whatever its score."""
+    """Documents without a letter (``und``) go, and those whose best language scores below ``language_id.LEAST``."""
     return language_id.keep_known(docs, *language_id.fit(read(spark, sf_dir, "documents")))
 
 
