@@ -104,11 +104,9 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
     fps = materialize(fingerprint_table(documents, shingle, seed), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).withColumn("rep", F.col("fp")), "classes")
     found = components(links(classes, max_bits))
-    # classes without a link are most; only linked ones look for the smallest id of their component
-    linked = classes.join(found, classes.rep == found.node).select("fp", "size", "component", "least")
-    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    alone = classes.join(found, classes.rep == found.node, "left_anti").select("fp", "size", F.col("least").alias("component_id"))
-    facts = linked.join(ids, "component").select("fp", "size", "component_id").unionByName(alone)
+    member = classes.join(found, classes.rep == found.node, "left").select("fp", "size", "least", F.coalesce("component", "rep").alias("component"))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = member.join(ids, "component").select("fp", "size", "component_id")
     return lookup(fps, facts, "fp", "size").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

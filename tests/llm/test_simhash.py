@@ -125,6 +125,23 @@ def test_a_repeated_id_with_other_texts_does_not_link_them(spark):
     assert [r.component_id for r in got if r.doc_id is None] == [1]
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_components_of_linked_fingerprints(spark, monkeypatch, parts):
+    """Chains of fingerprints two bits apart, with ids in any order: the smallest id of a chain, whatever its place."""
+    rng = np.random.default_rng(parts)
+    prints = {}
+    for chain in range(12):
+        f = int(rng.integers(0, 1 << 63))
+        for _ in range(6):
+            prints[int(rng.integers(0, 10**6))] = f
+            f ^= (1 << int(rng.integers(0, 32))) | (1 << int(rng.integers(32, 64)))
+    table = spark.createDataFrame([(i, f - (1 << 64) if f >= 1 << 63 else f) for i, f in prints.items()], "doc_id long, fp long").repartition(parts)
+    monkeypatch.setattr(S, "fingerprint_table", lambda *a: table)
+    got = {r.doc_id: r.component_id for r in S.simhash(table).collect()}
+    want = plain_components(prints)
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_keep_one_with_clashing_names_and_maps(spark):
     rows = spark.createDataFrame([(1, "a b c d", 7, 8, 1), (1, "a b c d", 7, 8, 1), (2, "a b c d", 7, 8, 1), (3, "x y z", 7, 8, 1)],
                                  "doc_id long, text string, __row long, __STAY long, __id long")
