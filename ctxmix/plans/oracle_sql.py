@@ -192,14 +192,14 @@ def _sample_sql(requests: str, pool: str, exclude_pred: str, group: str, vcol: s
     numbers are permuted until they are below its count. Needs WITH RECURSIVE."""
     return f"""
       requests AS ({requests}),
-      left_over AS (SELECT f.{vcol}, f.qid, f.need, p.*,
+      left_over AS MATERIALIZED (SELECT f.{vcol}, f.qid, f.need, p.idx,
                       row_number() OVER (PARTITION BY f.{vcol}, f.qid ORDER BY p.{group} NULLS FIRST, p.idx) - 1 AS place
                     FROM requests f JOIN {pool} p ON f.need > 0 WHERE NOT ({exclude_pred})),
-      counted AS (SELECT {vcol}, qid, any_value(need) AS need, count(*) AS n FROM left_over GROUP BY {vcol}, qid),
+      counted AS MATERIALIZED (SELECT {vcol}, qid, any_value(need) AS need, count(*) AS n FROM left_over GROUP BY {vcol}, qid),
       walk AS ({sql_permuted(f"SELECT {vcol}, qid, n, t.j, t.j::BIGINT AS x FROM counted JOIN range(0, 100) t(j) ON t.j < least(need, n)", vcol, "qid")}
                UNION ALL {sql_permuted("SELECT * FROM walk WHERE x >= n", vcol, "qid")}),
-      picked AS (SELECT l.* EXCLUDE (place), w.j + 1 AS draw FROM walk w
-                 JOIN left_over l ON l.{vcol} = w.{vcol} AND l.qid = w.qid AND l.place = w.x)"""
+      picked AS MATERIALIZED (SELECT w.{vcol}, w.qid, p.*, w.j + 1 AS draw FROM (SELECT * FROM walk WHERE x < n) w
+                 JOIN left_over l ON l.{vcol} = w.{vcol} AND l.qid = w.qid AND l.place = w.x JOIN {pool} p ON p.idx = l.idx)"""
 
 
 ORACLE["random_negatives"] = f"""
@@ -565,3 +565,5 @@ ORACLE["report_roundtrip"] = f"""
          CASE WHEN role = 'user' THEN '["conv_id", "turn", "again"]' ELSE '["conv_id", "turn"]' END AS config_keys FROM scored GROUP BY role"""
 
 ORACLE["generate_resumed"] = ORACLE["rescore_generate"]
+
+ORACLE["topk_pruned"] = ORACLE["topk_cosine"]

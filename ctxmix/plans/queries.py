@@ -20,6 +20,7 @@ from ..operators import matching as M
 from ..operators import retrieval as R
 from ..operators import sampling as SM
 from ..operators import scoring as S
+from ..operators.pruned import topk_pruned
 from ..operators.skew import lookup
 from ..operators.stored import Stored
 from ..session import materialize, scratch_path
@@ -599,6 +600,13 @@ def q_row_similarity(spark, sf_dir):
     return e.join(other, "vec_id").select("vec_id", F.round(V.cosine("v", "w"), 6).alias("cosine"), F.round(V.dot("v", "w"), 6).alias("dot"))
 
 
+@register("topk_pruned")
+def q_topk_pruned(spark, sf_dir):
+    """K1 with pruned groups: the rows of ``topk_cosine``."""
+    found = topk_pruned(tables.retrieval_questions(spark, sf_dir), tables.retrieval_corpus(spark, sf_dir), 10)
+    return found.ranked.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("topk_ties")
 def q_topk_ties(spark, sf_dir):
     """K1 + F5 on string ids, every vector three times (exact ties go to the larger id) and some set to zero."""
@@ -626,16 +634,30 @@ def q_random_negatives_scarce(spark, sf_dir):
 # --------------------------------------------------------------------------- files
 
 
+#: Bytes of an array that a task reads here, so that the fixtures' files are split; the readers' default is 64 MB.
+SPLIT = 1 << 18
+
+
+def write_arrays(rows: DataFrame, part: str, order: list[str], path: str) -> None:
+    """Rows as files of one top-level array each, one for each value of ``part``, in the order of ``order`` (not written)."""
+    fields = [c for c in rows.columns if c not in (part, *order)]
+    listed = rows.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("r")))).alias("rs"))
+    listed.select(part, F.to_json(F.transform("rs", lambda x: x["r"])).alias("value")).repartition(part).write.partitionBy(part).text(path)
+
+
 @register("questions_roundtrip")
 def q_questions_roundtrip(spark, sf_dir):
-    """Turns written as JSON lines in the raw question shape (facts with and without index), read back."""
+    """Turns in the raw question shape (facts with and without index), those of assistants as top-level arrays (500
+    conversations a file), others as JSON lines, read back."""
     c = tables.table(spark, sf_dir, "conversations")
-    raw = c.select(F.concat_ws("-", "conv_id", "turn").alias("_id"), F.col("text").alias("question"), F.col("role").alias("answer"),
+    raw = c.select(F.col("role"), "conv_id", "turn",
+                   F.concat_ws("-", "conv_id", "turn").alias("_id"), F.col("text").alias("question"), F.col("role").alias("answer"),
                    F.array(F.array(F.col("role")), F.array(F.lit("T2"), F.col("turn").cast("string")), F.array(F.lit("T3"), F.lit("x"))).alias("supporting_facts"),
                    F.array(F.array(F.col("role"), F.to_json(F.split("text", "\n"))), F.array(F.lit("lonely"))).alias("context"))
-    path = scratch_path(spark, "questions")
-    raw.write.json(path)
-    q = IO.read_questions(spark, path, "json_lines")
+    lines, arrays = scratch_path(spark, "questions"), scratch_path(spark, "question-arrays")
+    raw.where("role <> 'assistant'").drop("role", "conv_id", "turn").write.json(lines)
+    write_arrays(raw.where("role = 'assistant'").drop("role").withColumn("part", F.floor(F.col("conv_id") / 500)), "part", ["conv_id", "turn"], arrays)
+    q = IO.read_questions(spark, lines, "json_lines").drop("seq").unionByName(IO.read_questions(spark, f"{arrays}/*", split=SPLIT).drop("seq"))
     return q.select("qid", "question", "gold_answer", F.size("supporting_facts").alias("n_facts"),
                     F.element_at("supporting_facts", 1)["title"].alias("first_title"), F.element_at("supporting_facts", 2)["sent_idx"].alias("second_index"),
                     F.element_at("supporting_facts", 3)["sent_idx"].isNull().alias("third_unknown"),
@@ -644,14 +666,18 @@ def q_questions_roundtrip(spark, sf_dir):
 
 @register("passages_roundtrip")
 def q_passages_roundtrip(spark, sf_dir):
-    """Documents written as JSON lines, each first under an old text, in one sorted file a partition; the last counts."""
+    """Documents, each first under an old text; English ones as JSON lines in one sorted file a partition, others as
+    top-level arrays (1,000 ids a file), read back; the last counts."""
     d = tables.table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.explode(F.array(
+    rows = d.select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("lines"), F.explode(F.array(
         F.struct(F.lit(0).alias("n"), F.lit("old").alias("title"), F.lit("old").alias("text")),
         F.struct(F.lit(1).alias("n"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("title"), F.col("text").alias("text")))).alias("p"))
-    path = scratch_path(spark, "passages")
-    rows.repartition("doc_id").sortWithinPartitions("doc_id", "p.n").select("doc_id", "p.title", "p.text").write.json(path)
-    return IO.read_passages(spark, path, "json_lines").select("doc_id", "title", F.sha2("text", 256).alias("text_sha256"))
+    rows = rows.select("lines", "doc_id", "p.*")
+    lines, arrays = scratch_path(spark, "passages"), scratch_path(spark, "passage-arrays")
+    (rows.where("lines").repartition("doc_id").sortWithinPartitions("doc_id", "n").select("doc_id", "title", "text").write.json(lines))
+    write_arrays(rows.where("not lines").drop("lines").withColumns({"part": F.floor(F.col("doc_id") / 1000), "k": F.col("doc_id")}), "part", ["k", "n"], arrays)
+    p = IO.read_passages(spark, lines, "json_lines").unionByName(IO.read_passages(spark, f"{arrays}/*", split=SPLIT))
+    return p.select("doc_id", "title", F.sha2("text", 256).alias("text_sha256"))
 
 
 @register("predictions_roundtrip")
