@@ -187,19 +187,22 @@ def sql_permuted(source: str, *keys: str) -> str:
     return f"SELECT * EXCLUDE (l, r, a, b) REPLACE (l * b + r AS x) FROM ({out}) f"
 
 
-def _sample_sql(requests: str, pool: str, exclude_pred: str, group: str, vcol: str = "variant_id") -> str:
+def _sample_sql(requests: str, pool: str, exclude_pred: str, group: str, vcol: str = "variant_id", by_variant: bool = True) -> str:
     """Every request against every pool row: what is left is numbered in the order of (group, idx), and the draws'
-    numbers are permuted until they are below its count. Needs WITH RECURSIVE."""
+    numbers are permuted until they are below its count. Where exclusions are those of a question whatever the
+    variant (not ``by_variant``), questions stand for their requests. Needs WITH RECURSIVE."""
+    keys = f"{vcol}, qid" if by_variant else "qid"
+    same = f"l.{vcol} = w.{vcol} AND l.qid = w.qid" if by_variant else "l.qid = w.qid"
     return f"""
-      requests AS ({requests}),
-      left_over AS MATERIALIZED (SELECT f.{vcol}, f.qid, f.need, p.idx,
-                      row_number() OVER (PARTITION BY f.{vcol}, f.qid ORDER BY p.{group} NULLS FIRST, p.idx) - 1 AS place
-                    FROM requests f JOIN {pool} p ON f.need > 0 WHERE NOT ({exclude_pred})),
-      counted AS MATERIALIZED (SELECT {vcol}, qid, any_value(need) AS need, count(*) AS n FROM left_over GROUP BY {vcol}, qid),
-      walk AS ({sql_permuted(f"SELECT {vcol}, qid, n, t.j, t.j::BIGINT AS x FROM counted JOIN range(0, 100) t(j) ON t.j < least(need, n)", vcol, "qid")}
+      requests AS MATERIALIZED ({requests}),
+      left_over AS MATERIALIZED (SELECT {keys}, p.idx,
+                      row_number() OVER (PARTITION BY {keys} ORDER BY p.{group} NULLS FIRST, p.idx) - 1 AS place
+                    FROM (SELECT DISTINCT {keys}, q_key FROM requests WHERE need > 0) f JOIN {pool} p ON NOT ({exclude_pred})),
+      counted AS MATERIALIZED (SELECT {keys}, count(*) AS n FROM left_over GROUP BY {keys}),
+      walk AS ({sql_permuted(f"SELECT {vcol}, qid, n, t.j, t.j::BIGINT AS x FROM requests JOIN counted USING ({keys}) JOIN range(0, 100) t(j) ON t.j < least(need, n)", vcol, "qid")}
                UNION ALL {sql_permuted("SELECT * FROM walk WHERE x >= n", vcol, "qid")}),
       picked AS MATERIALIZED (SELECT w.{vcol}, w.qid, p.*, w.j + 1 AS draw FROM (SELECT * FROM walk WHERE x < n) w
-                 JOIN left_over l ON l.{vcol} = w.{vcol} AND l.qid = w.qid AND l.place = w.x JOIN {pool} p ON p.idx = l.idx)"""
+                 JOIN left_over l ON {same} AND l.place = w.x JOIN {pool} p ON p.idx = l.idx)"""
 
 
 ORACLE["random_negatives"] = f"""
@@ -207,7 +210,7 @@ ORACLE["random_negatives"] = f"""
   variants AS ({sql_ratio_variants(RATIOS, 5)}),
   relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
                FROM ranked r JOIN variants v ON r.rank <= v.n_keep JOIN documents d ON d.doc_id = r.doc_id),
-  pool AS (SELECT d.doc_id, e.label AS d_label, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx
+  pool AS MATERIALIZED (SELECT d.doc_id, e.label AS d_label, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx
            FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
   {_sample_sql(
       "SELECT v.variant_id, q.vec_id AS qid, q.label AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings q",
@@ -223,13 +226,13 @@ ORACLE["random_from_run"] = f"""
   variants AS ({sql_ratio_variants((0.0, 0.5, 1.0), 5)}),
   relevant AS (SELECT v.variant_id, r.qid, r.doc_id, r.score, r.rank AS ord
                FROM ranked r JOIN variants v ON r.rank <= v.n_keep),
-  pool AS (SELECT qid AS owner, rank AS owner_rank, doc_id,
+  pool AS MATERIALIZED (SELECT qid AS owner, rank AS owner_rank, doc_id,
                   row_number() OVER (ORDER BY qid, rank) - 1 AS idx
            FROM ranked WHERE rank > 50 AND rank <= 100),
   {_sample_sql(
       "SELECT v.variant_id, q.qid, q.qid AS q_key, v.n_noise AS need FROM variants v "
       "CROSS JOIN (SELECT DISTINCT qid FROM ranked) q",
-      "pool", "p.owner = f.qid", "owner")}
+      "pool", "p.owner = f.qid", "owner", by_variant=False)}
   SELECT variant_id, qid, doc_id, 'relevant' AS role, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM relevant
   UNION ALL
   SELECT variant_id, qid, doc_id, 'random' AS role, CAST(draw AS INTEGER) AS ord, 0.0::DOUBLE AS score FROM picked"""
@@ -416,7 +419,7 @@ ORACLE["random_negative_generate"] = f"""
   run AS (SELECT r.qid, r.doc_id, r.rank, d.title, d.text FROM ranked r JOIN sparse d ON d.doc_id = r.doc_id),
   variants AS (SELECT * FROM (VALUES {_RN_VARIANTS}) t(variant, n_noise, n_keep)),
   relevant AS (SELECT v.variant, r.qid, r.doc_id, r.title, r.text, r.rank AS ord FROM run r JOIN variants v ON r.rank <= v.n_keep),
-  pool AS (SELECT doc_id, title, lower(coalesce(title, '')) AS ltitle, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sparse),
+  pool AS MATERIALIZED (SELECT doc_id, title, lower(coalesce(title, '')) AS ltitle, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sparse),
   {_sample_sql(
       "SELECT v.variant, a.vec_id AS qid, lower(g.title) AS q_key, v.n_noise AS need FROM variants v "
       "CROSS JOIN embeddings a LEFT JOIN sparse g ON g.doc_id = a.vec_id",
@@ -462,12 +465,12 @@ ORACLE["random_run_generate"] = f"""
   variants AS (SELECT * FROM (VALUES {_RR_VARIANTS}) t(variant, n_noise, n_keep)),
   relevant AS (SELECT v.variant, run.qid, run.title, run.text, run.rank AS ord
                FROM run JOIN variants v ON run.rank <= v.n_keep),
-  pool AS (SELECT qid AS owner, rank AS owner_rank, doc_id, title, text,
+  pool AS MATERIALIZED (SELECT qid AS owner, rank AS owner_rank, doc_id, title, text,
                   row_number() OVER (ORDER BY qid, rank) - 1 AS idx
            FROM run WHERE rank > 30 AND rank <= 60),
   {_sample_sql(
       "SELECT v.variant, a.vec_id AS qid, a.vec_id AS q_key, v.n_noise AS need FROM variants v CROSS JOIN embeddings a",
-      "pool", "p.owner = f.qid", "owner", vcol="variant")},
+      "pool", "p.owner = f.qid", "owner", vcol="variant", by_variant=False)},
   ctx AS (SELECT variant, qid, title, text, 'relevant' AS role, ord FROM relevant
           UNION ALL
           SELECT variant, qid, title, text, 'random' AS role, draw AS ord FROM picked),
