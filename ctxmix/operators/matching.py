@@ -6,6 +6,10 @@ haystack, for short strings such as titles, as equi-joins:
 * needles of length >= 3 are keyed by their rarest trigram (frequency measured on
   the haystack side) and joined with the exploded trigrams of each haystack, then
   verified with ``contains``. Lossless: a contained needle shares every trigram.
+* a needle whose rarest trigram is in more than ``RARE`` haystacks, and which is long enough, is
+  keyed by its rarest gram of six characters instead, then of twelve and of twenty-four, with the
+  haystacks' grams of that length: keys grow until they are rare. What stays common has matches
+  in about as many haystacks as it has candidates; its join is dealt by the haystack's hash.
 * needles of length 1 or 2 join the exploded 1- and 2-grams of the haystacks.
 * the empty needle is contained in every haystack: when present (a one-row check),
   every haystack is emitted once with it, without any join.
@@ -16,6 +20,8 @@ each needle is keyed by its rarest interior word pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +37,38 @@ def grams(s: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
+#: Haystacks that may share a needle's key before it grows, and the lengths of keys.
+RARE, LENGTHS = 1000, (3, 6, 12, 24)
+
+
+def rarest_keys(n: DataFrame, h: DataFrame, rare: int = RARE) -> list[tuple[int, DataFrame]]:
+    """(length, needles ``n`` with their key ``g`` and the number ``cnt`` of haystacks that have it): each needle
+    once, with the shortest key that is rare enough, else with the longest it has."""
+    out, left = [], n.where(F.length("n") >= LENGTHS[0])
+    for size, longer in zip(LENGTHS, [*LENGTHS[1:], None]):
+        freq = h.select(F.explode(grams(F.col("h"), size)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
+        each = left.select("n", F.explode(grams(F.col("n"), size)).alias("g")).join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        # a needle with a gram found in no haystack has minimum count 0 and cannot match anything
+        keyed = materialize(each.groupBy("n").agg(F.min(F.struct("cnt", "g")).alias("k")).where("k.cnt > 0").select("n", "k.g", "k.cnt"), "keys")
+        grows = (F.col("cnt") > rare) & (F.length("n") >= (longer or 0)) if longer else F.lit(False)
+        out.append((size, keyed.where(~grows)))
+        left = keyed.where(grows).select("n")
+        if longer is None or left.isEmpty():
+            return out
+    return out
+
+
 def contained_pairs(needles: DataFrame, haystacks: DataFrame, needle: str = "needle",
-                    haystack: str = "haystack") -> DataFrame:
+                    haystack: str = "haystack", rare: int = RARE) -> DataFrame:
     """All distinct ``(needle, haystack)`` with ``contains(haystack, needle)``."""
     n = needles.select(F.col(needle).alias("n")).where(F.col("n").isNotNull()).distinct()
     h = haystacks.select(F.col(haystack).alias("h")).where(F.col("h").isNotNull()).distinct()
 
-    h3 = h.select("h", F.explode(grams(F.col("h"), 3)).alias("g"))
-    freq = h3.groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
-    n3 = n.where(F.length("n") >= 3).select("n", F.explode(grams(F.col("n"), 3)).alias("g"))
-    # Key each needle by its rarest trigram; a needle with a trigram found in no
-    # haystack has minimum count 0 and cannot match anything.
-    n3c = n3.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    keyed = (n3c.groupBy("n")
-             .agg(F.min(F.struct("cnt", "g")).alias("k"))
-             .where(F.col("k.cnt") > 0)
-             .select("n", F.col("k.g").alias("g")))
-    long_hits = keyed.join(h3, "g").where(F.col("h").contains(F.col("n"))).select("n", "h")
+    hits = []
+    for size, keyed in rarest_keys(n, h, rare):
+        found = salted_join(h.select("h", F.explode(grams(F.col("h"), size)).alias("g")), keyed.select("n", "g"), "g", "h", 4)
+        hits.append(found.where(F.col("h").contains(F.col("n"))).select("n", "h"))
+    long_hits = reduce(DataFrame.unionByName, hits)
 
     h12 = h.select("h", F.explode(F.concat(grams(F.col("h"), 1), grams(F.col("h"), 2))).alias("g"))
     short = n.where(F.length("n").between(1, 2))

@@ -19,6 +19,7 @@ Design (no collect to the driver, no all-pairs join):
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_code
+from ..session import materialize, ship_code
 
 # One step scores a few questions against a few passages; its score matrix has at most
 # this many entries (32 MB), and about four arrays of that size live at a time.
@@ -206,23 +207,51 @@ def rank_within(scored: DataFrame, key: str, k: int | None) -> DataFrame:
     return out
 
 
+#: Doubles are taken apart into whole multiples of powers of 2**32, of which a double has three at most.
+_BITS = 32
+
+
+def exact_parts(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, multiple) pairs with ``x`` = the sum of ``multiple * 2**(32 * place)``; multiples are whole and below 2**32."""
+    parts = []
+    for _ in range(3):
+        place = np.floor_divide(np.frexp(x)[1] - 1, _BITS).astype(np.int64)
+        # scaled in two steps, as 2**(32 * place) may be too small for a double
+        multiple = np.trunc(np.ldexp(x, -(_BITS * place).astype(np.int32)))
+        parts.append((place, multiple))
+        x = x - np.ldexp(multiple, (_BITS * place).astype(np.int32))
+    return parts
+
+
 def _vector_sums(df: DataFrame, key: str, vector: str, mask: str | None) -> DataFrame:
-    """``(key, n, s)``: number and sum of the unmasked vectors of a key in each Arrow batch."""
+    """``(k, n, dim, place, total, odd)``: for each Arrow batch the exact sums of a key's unmasked vectors, by dimension and
+    power of 2**32, as whole numbers; ``odd`` has bits for what else there is (1: infinite, 2: minus infinite, 4: no number). ``n`` counts vectors, on rows without a dimension."""
     keep = F.col(vector).isNotNull()
     if mask is not None:
         keep = keep & (F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) != 0)
-    rows = df.select(F.col(key).alias("k"), F.when(keep, F.col(vector).cast("array<double>")).alias("v"))
+    rows = df.where(keep).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     ship_code(df.sparkSession)
-    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("n", T.LongType()),
-                           T.StructField("s", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()),
+                           T.StructField("place", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("odd", T.IntegerType())])
 
     def run(batches):
         for b in batches:
             out = []
             for k, own in b.groupby("k", dropna=False, sort=False):
-                vs = own["v"].dropna()
-                out.append((None if pd.isna(k) else k, len(vs), np.sum(np.stack(vs.to_numpy()), axis=0) if len(vs) else None))
-            yield pd.DataFrame(out, columns=["k", "n", "s"])
+                k = None if pd.isna(k) else k
+                out.append((k, len(own), None, None, None, None))
+                m = np.stack(own["v"].to_numpy())
+                finite = np.isfinite(m)
+                for dim in np.flatnonzero(~finite.all(axis=0)):
+                    c = m[:, dim]
+                    out.append((k, 0, dim, 0, 0, int((c == np.inf).any()) | 2 * int((c == -np.inf).any()) | 4 * int(np.isnan(c).any())))
+                for place, multiple in exact_parts(np.where(finite, m, 0.0)):
+                    low = int(place.min())
+                    sums = np.zeros((m.shape[1], int(place.max()) - low + 1), np.int64)
+                    np.add.at(sums, (np.broadcast_to(np.arange(m.shape[1]), m.shape), place - low), multiple.astype(np.int64))
+                    out += [(k, 0, int(d), int(p) + low, int(sums[d, p]), 0) for d, p in zip(*np.nonzero(sums))]
+                out += [(k, 0, d, 0, 0, 0) for d in range(m.shape[1])]  # dimensions that are zero throughout
+            yield pd.DataFrame(out, columns=schema.names).astype({"dim": "Int32", "place": "Int32", "total": "Int64", "odd": "Int32"})
 
     return rows.mapInPandas(run, schema)
 
@@ -230,12 +259,33 @@ def _vector_sums(df: DataFrame, key: str, vector: str, mask: str | None) -> Data
 def mean_pool_long(df: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
     """Masked mean of vectors per ``key`` -> ``(key, dim, value)``; an all-masked key has no rows.
 
-    Vectors are summed whole, batch by batch; only these sums are taken apart, and added by a
-    grouped aggregate with map-side partial sums. A hot key never gathers its rows in one place.
+    Sums are exact: each number goes apart into whole multiples of powers of 2**32, which are added as whole numbers,
+    batch by batch and then by a grouped aggregate with map-side partial sums, so the result has the same bits
+    whatever the partitions. A hot key never gathers its rows in one place.
     """
-    each = _vector_sums(df, key, vector, mask).where("n > 0").select("k", "n", F.posexplode("s").alias("dim", "x"))
-    total = each.groupBy("k", "dim").agg((F.sum("x") / F.sum("n")).alias("value"))
-    return total.select(F.col("k").alias(key), "dim", "value")
+    each = materialize(_vector_sums(df, key, vector, mask), "sums")
+    numbers = each.where("dim is null").groupBy("k").agg(F.sum("n").alias("n"))
+    places = (each.where("dim is not null").groupBy("k", "dim", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.bit_or("odd").alias("odd"))
+              .groupBy("k", "dim").agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("ps"), F.bit_or("odd").alias("odd")))  # 70 places at most
+    total = places.withColumn("k_", F.struct("k")).join(numbers.select(F.struct("k").alias("k_"), "n"), "k_").select("k", "dim", "ps", "odd", "n")
+    schema = T.StructType([total.schema["k"], total.schema["dim"], total.schema["odd"], T.StructField("value", T.DoubleType())])
+
+    def run(batches):  # a row for each key and dimension
+        for b in batches:
+            yield b[["k", "dim", "odd"]].assign(value=[_mean(ps, n) for ps, n in zip(b["ps"], b["n"])])
+
+    odd = F.when(F.col("odd") == 0, F.col("value")).when(F.col("odd") == 1, float("inf")).when(F.col("odd") == 2, float("-inf")).otherwise(float("nan"))
+    return total.mapInPandas(run, schema).select(F.col("k").alias(key), "dim", odd.alias("value"))
+
+
+def _mean(places, n: int) -> float:
+    """The mean nearest to the exact one."""
+    low = min(p["place"] for p in places)
+    whole = sum(int(p["total"]) << _BITS * (p["place"] - low) for p in places)
+    try:
+        return float(Fraction(whole, n) * Fraction(2) ** (_BITS * low))
+    except OverflowError:
+        return math.inf if whole > 0 else -math.inf
 
 
 def mean_pool(df: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:

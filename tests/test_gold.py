@@ -95,3 +95,25 @@ def test_oracle_extraction_too_negative_index_is_dropped(spark):
         "supporting_facts array<struct<title:string,sent_idx:int>>")
     got = [(r["doc_id"], r["text"]) for r in G.oracle_contexts(q).collect()]
     assert got == [("oracle_T1_-2", "c")]
+
+
+def test_keys_grow_until_they_are_rare(spark):
+    """Titles of two letters: every trigram is in every title. Keys grow, and pairs are those of plain search."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ctxmix.operators import matching as M
+    rnd = random.Random(1)
+    hay = ["".join(rnd.choice("ab") for _ in range(60)) for _ in range(300)]
+    needles = [h[i:i + n] for h in hay[:40] for i, n in ((3, 30), (10, 14), (5, 8), (0, 3), (7, 2))] + ["", "abc"]
+    n = spark.createDataFrame([(x,) for x in needles], "n string").distinct()
+    h = spark.createDataFrame([(x,) for x in hay], "h string").distinct()
+    keys = M.rarest_keys(n, h, rare=20)
+    assert [size for size, _ in keys][:3] == [3, 6, 12]
+    counts = {r["n"]: r["cnt"] for _, k in keys for r in k.collect()}
+    assert max(c for x, c in counts.items() if len(x) >= 12) <= 20 < min(c for x, c in counts.items() if len(x) == 3)
+    got = M.contained_pairs(n.withColumnRenamed("n", "needle"), h.withColumnRenamed("h", "haystack"), rare=20).collect()
+    want = {(x, t) for x in needles for t in hay if x in t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert len(M.rarest_keys(n, h)) == 1

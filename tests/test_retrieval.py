@@ -154,3 +154,36 @@ def test_each_cell_is_a_task_of_its_own(spark):
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert plan.count("shufflepartitionidpassthrough") == 2 and ", 18), REPARTITION_BY_NUM" in plan
     assert "Exchange hashpartitioning(cell" not in plan
+
+
+def test_mean_pool_has_the_same_bits_whatever_the_partitions(spark):
+    """Terms that cancel, of sizes from 1e-200 to 1e200; the exact mean from fractions."""
+    from fractions import Fraction
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 3)) * 10.0 ** rng.integers(-12, 12, (400, 3))
+    x[::2, 1] = -x[1::2, 1]
+    x[:4, 2] = [1e200, 1e-200, -1e200, 3.0]
+    rows = [(i % 3 if i % 7 else None, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    got = []
+    for parts in (1, 4, 17):
+        out = R.mean_pool(df.repartition(parts), "k", "v").collect()
+        got.append(sorted((-1 if r["k"] is None else r["k"], r["v"]) for r in out if r["v"]))
+    assert got[0] == got[1] == got[2]
+    for k, mean in got[0]:
+        own = [r for j, r in rows if (-1 if j is None else j) == k]
+        for d in range(3):
+            exact = float(sum(Fraction(r[d]) for r in own) / len(own))
+            assert mean[d] == exact
+    odd = spark.createDataFrame([(1, [1.0, float("inf"), 0.0]), (1, [2.0, 1.0, 0.0]), (2, [float("nan"), -1.0, 5e-324])], "k int, v array<double>")
+    out = {r["k"]: r["v"] for r in R.mean_pool(odd, "k", "v").collect()}
+    assert out[1] == [1.5, float("inf"), 0.0] and np.isnan(out[2][0]) and out[2][1:] == [-1.0, 5e-324]
+
+
+def test_exact_parts():
+    rng = np.random.default_rng(0)
+    x = np.append(rng.standard_normal(500) * 10.0 ** rng.integers(-290, 290, 500), [0.0, 1.0, -1.0, 2.0**52 + 1, 1.7e308, -2.0**-40])
+    from fractions import Fraction
+    for v, *parts in zip(x, *[list(zip(p, m)) for p, m in R.exact_parts(x)]):
+        assert sum(Fraction(int(m)) * Fraction(2) ** (32 * int(p)) for p, m in parts) == Fraction(v)
+        assert all(abs(m) < 2**32 and m == int(m) for _, m in parts)
