@@ -82,13 +82,21 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 4.0, beta: float =
         may = many[(k & low).astype(np.int64)] >= min_rows
         rows.append(r[may])
         keys.append(k[may])
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    names, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    del many
+    rows = np.concatenate(rows)
+    keys = np.concatenate(keys)
+    # names of the frequent hashes, a sixteenth of them at a time: sorting all at once takes several times their bytes
+    place, found, known = np.full(len(keys), -1, np.int32), [], 0
+    for part in range(16):
+        own = np.flatnonzero((keys >> np.uint64(60)) == part)
+        u, back, count = np.unique(keys[own], return_inverse=True, return_counts=True)
+        frequent = count >= min_rows
+        place[own] = np.where(frequent, known + np.cumsum(frequent) - 1, -1)[back]
+        found.append(u[frequent])
+        known += len(found[-1])
     del keys
-    frequent = count >= min_rows
-    used = frequent[place]
-    rows, place = rows[used], (np.cumsum(frequent) - 1)[place[used]]
-    names = names[frequent]
+    names = np.concatenate(found)
+    rows, place = rows[place >= 0], place[place >= 0]
     first = np.searchsorted(rows, np.arange(len(labels) + 1))
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     bias = len(names)  # the last coordinate, without L1
