@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, ship_code
-from .retrieval import _cell_topk, rank_within
+from .retrieval import _cell_topk_arrow, rank_within
 
 #: Centres at most, and vectors of either side in a cell at most (about).
 CENTRES, CELL_ROWS = 1024, 50_000
+#: Passages of a group on average, where there are more than ``FEW`` centres: a question's vector is sent to a group
+#: only for so many products at least. Rows of a batch that are compared with all centres at once, and visits
+#: (a vector each) that leave a worker at once.
+GROUP_ROWS, FEW, _ROWS, _VISITS = 4096, 32, 512, 20_000
 #: Added to radii (angles lose about half of their digits near 0), and the share by which scores may differ.
 _ANGLE, _SCORE = 1e-6, 1e-9
 #: The group of zero vectors, whose cosine with any other is undefined.
@@ -56,12 +60,18 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(good[:, None], u, 0.0), good, norm == 0
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), _ROWS):
+            yield pdf.iloc[i:i + _ROWS]
+
+
 def _grouped(c: DataFrame, centres: np.ndarray) -> DataFrame:
     """Passages with their nearest centre and the angle to it."""
     schema = T.StructType([*c.schema.fields, T.StructField("group", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches):
             u, good, zero = _unit(_matrix(pdf["vec"]))
             if not len(centres):
                 yield pdf.assign(group=np.full(len(u), _NONE, np.int32), angle=0.0)
@@ -81,7 +91,7 @@ def _visits(q: DataFrame, groups: _Groups, k: int, nan_score: float, first: bool
     n = len(groups.centres)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches):
             u, good, zero = _unit(_matrix(pdf["vec"]))
             bound = np.full((len(u), n + 1), nan_score if n else np.inf)
             if n:
@@ -95,9 +105,11 @@ def _visits(q: DataFrame, groups: _Groups, k: int, nan_score: float, first: bool
             np.put_along_axis(near, order, before <= k, axis=1)
             near &= groups.size > 0
             go = near if first else ~near & (groups.size > 0) & (bound >= pdf["floor"].to_numpy()[:, None] - _SCORE)
-            row, group = np.nonzero(go)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
-                                "group": np.where(group == n, _NONE, group).astype(np.int32)})
+            rows, visited = np.nonzero(go)
+            for i in range(0, len(rows), _VISITS):
+                row, group = rows[i:i + _VISITS], visited[i:i + _VISITS]
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
+                                    "group": np.where(group == n, _NONE, group).astype(np.int32)})
 
     return q.mapInPandas(run, schema)
 
@@ -121,7 +133,7 @@ def _scored(visits: DataFrame, passages: DataFrame, groups: _Groups, k: int, exc
     right = passages.join(plan, "group").withColumn("cp", part("doc_id", "c_parts")).withColumn("qp", spread("q_parts")).select("doc_id", "vec", cell)
     schema = T.StructType([visits.schema["qid"], passages.schema["doc_id"], T.StructField("score", T.DoubleType())])
     left, right = (x.repartitionById(max(1, base), "cell") for x in (left, right))
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(_cell_topk(k, "cosine", exclude_self, nan_score), schema), pairs
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_cell_topk_arrow(k, "cosine", exclude_self, nan_score), schema), pairs
 
 
 def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qid", doc_id: str = "doc_id", query_vec: str = "embedding",
@@ -130,7 +142,8 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qi
     """The rows of :func:`~ctxmix.operators.retrieval.topk_cosine`, found in the groups that can hold them.
 
     Worth it where passages cluster; without clusters most bounds are 1 and it scores all pairs, in two passes.
-    The number of centres is the square root of that of passages, ``centres`` at most.
+    The number of centres is the square root of that of passages, ``centres`` at most, and beyond ``FEW`` one for each
+    ``GROUP_ROWS`` passages at most.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -139,7 +152,7 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qi
     q = queries.select(F.col(qid).alias("qid"), F.col(query_vec).alias("vec")).where(F.col("vec").isNotNull())
     c = corpus.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("vec")).where(F.col("vec").isNotNull())
     nq, nc = q.count(), c.count()
-    wanted = min(centres, math.isqrt(nc) + 1)
+    wanted = min(centres, math.isqrt(nc) + 1, max(FEW, nc // GROUP_ROWS))
     sample = c.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).select("vec").toPandas()  # `centres` vectors at most
     unit = np.zeros((0, 1))
     if len(sample):
