@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .matching import either_contains_pairs
 from .skew import salted_join
 
@@ -81,14 +82,23 @@ def gold_docs_by_substring(gold: DataFrame, passages: DataFrame, key: str = "qid
     """``(key, doc_id)`` for every passage whose title matches one of the key's gold titles.
 
     ``gold`` is long ``(key, gold_title)``. Matching runs on distinct titles, then two
-    equi-joins map titles back to keys and passage ids; the result is distinct.
+    equi-joins map titles back to keys and passage ids; the result is distinct. Only
+    ids with several rows can come twice, so only their matches are compared with each other.
     """
     pairs = gold_title_matches(gold, passages, gold_title, title)
     g = gold.select(F.col(key), F.lower(F.col(gold_title)).alias("gold_title"))
     keyed = g.join(pairs, "gold_title").select(key, "ltitle").distinct()
     p = passages.select(F.col(doc_id), lower_title(title).alias("ltitle"))
+    # dealt by id first: a map-side aggregate would hold a task's ids, of which few or none are equal
+    counted = p.select(F.struct(doc_id).alias("__id")).repartition("__id").groupBy("__id").agg(F.count(F.lit(1)).alias("n"))
+    several = materialize(counted.where("n > 1").select("__id"), "repeated-ids")
     # few titles may be shared by very many passages: their rows are dealt over several tasks
-    return salted_join(p, keyed, "ltitle", doc_id).select(key, doc_id).distinct()
+    matches = lambda rows: salted_join(rows, keyed, "ltitle", doc_id).select(key, doc_id)
+    if several.isEmpty():
+        return matches(p)
+    own = p.withColumn("__id", F.struct(doc_id))
+    once = own.join(several, "__id", "left_anti").drop("__id")
+    return matches(once).unionByName(matches(own.join(several, "__id", "left_semi").drop("__id").distinct()).distinct())
 
 
 def gold_title_groups(titles: DataFrame, passages: DataFrame, qid: str = "qid",
