@@ -45,17 +45,18 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType, key: str, g
 
 
 def remember(asked: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame], path: str, schema: T.StructType, *,
-             good: str = "true", per_task: int = PER_TASK, like: Sequence[str] = ()) -> DataFrame:
+             good: str = "true", per_task: int = PER_TASK, like: Sequence[str] = (),
+             deal: Callable[[DataFrame, int], DataFrame] = lambda d, tasks: d.repartition(tasks)) -> DataFrame:
     """Results for all rows of ``asked`` (unique by ``key``), read from the table at ``path`` after asking for those it lacks.
 
     ``ask`` maps rows of ``asked`` to results of ``schema``, row by row. Results that are not ``good`` (an SQL
-    condition) are asked again. Tasks get rows alike in ``like`` (columns), else dealt evenly.
+    condition) are asked again. Tasks get rows alike in ``like`` (columns), else as ``deal`` has it: evenly, by default.
     """
     spark = asked.sparkSession
     known = read_store(spark, path, schema, key, good).where(good).select(key)
     lacking = asked.join(known, key, "left_anti")
     tasks = max(parallelism(spark), -(-lacking.count() // per_task))
-    dealt = lacking.repartitionByRange(tasks, *like, key).sortWithinPartitions(*like, key) if like else lacking.repartition(tasks)
+    dealt = lacking.repartitionByRange(tasks, *like, key).sortWithinPartitions(*like, key) if like else deal(lacking, tasks)
     (ask(dealt).select(*schema.names).write.mode("append")
      .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path))
     return read_store(spark, path, schema, key, good).join(asked.select(key), key, "left_semi")

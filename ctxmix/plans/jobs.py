@@ -76,9 +76,11 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     for r in ROLES:
         rec = rec.withColumn(f"num_{r}", F.size(F.filter("contexts", lambda c: c["role"] == r)))
     rec = rec.withColumn("prompt", build_prompt("question", "contexts")).withColumn("prompt_hash", F.sha2("prompt", 256))
-    store = materialize(rec, "prompts")
-    narrow = store.drop("contexts", "prompt", "question")
-    answers = I.answer(store.select("prompt_hash", "prompt"), generator)
+    # a prompt has its contexts' texts: they are not written beside it, unless asked for
+    rec = rec.withColumn("prompt_row", F.monotonically_increasing_id())
+    store = materialize(rec if wide else rec.drop("contexts", "question"), "prompts", "zstd")
+    narrow = store.drop("contexts", "prompt", "question", "prompt_row")
+    answers = I.answer(store.select("prompt_row", "prompt_hash", "prompt"), generator, keys=["prompt_row"])
     out = lookup(narrow, answers, "prompt_hash", "size")  # a prompt may be that of very many rows
     if gold is not None:
         out = C.attach_gold_answers(out.drop("gold_answer"), gold)
@@ -121,10 +123,10 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
                        for v in C.ratio_variants(ratios, total)])
     vsel = [{k: v[k] for k in ("variant", "n_keep", "n_noise")} for v in variants]
     keep_max = max(v["n_keep"] for v in vsel)
-    relevant = C.attach_passages(
-        C.top_k_slice(C.with_variants(C.top_k_slice(run, keep_max), vsel), "n_keep"), passages)
-    # Used as contexts and as exclusions: join the passages once (at most n_keep per question).
-    relevant = materialize(relevant.select("variant", "qid", "doc_id", "title", "text", "score",
+    known = C.top_k_slice(run, keep_max).join(passages.select("doc_id"), "doc_id", "left_semi")
+    relevant = C.top_k_slice(C.with_variants(known, vsel), "n_keep")
+    # Used as contexts and as exclusions, by id; texts are joined once, to all picks.
+    relevant = materialize(relevant.select("variant", "qid", "doc_id", "score",
                                            F.col("rank").alias("ord"),
                                            F.lit("relevant").alias("role")), "relevant")
     pool = SM.lay_out(passages.select("doc_id", G.lower_title("title").alias("ltitle")), ["doc_id"], "ltitle")
@@ -133,12 +135,10 @@ def random_negatives(questions, query_vectors, passage_vectors, passages, genera
     drawn = SM.sample_without_replacement(
         requests, pool, keys=["variant", "qid"], seed=seed,
         exclude=relevant.select("variant", "qid", "doc_id"), exclude_groups=G.gold_title_groups(gold_titles, passages))
-    rnd = (drawn.select("variant", "qid", "doc_id", "draw")
-           .join(passages, "doc_id")
-           .select("variant", "qid", "doc_id", "title", "text", F.lit(0.0).alias("score"),
-                   F.col("draw").alias("ord"), F.lit("random").alias("role")))
+    rnd = drawn.select("variant", "qid", "doc_id", F.lit(0.0).alias("score"),
+                       F.col("draw").alias("ord"), F.lit("random").alias("role"))
     recs = C.with_variants(asked, [{"variant": v["variant"]} for v in vsel])
-    return finish(C.mix_contexts(relevant, rnd), recs, "random_negatives", generator, gold,
+    return finish(C.attach_passages(C.mix_contexts(relevant, rnd), passages), recs, "random_negatives", generator, gold,
                   seed=seed, wide=wide)
 
 
