@@ -70,8 +70,7 @@ class _Side:
 
     def __init__(self, blocks: list[np.ndarray], metric: str):
         self.blocks = blocks
-        self.square = np.concatenate([np.zeros(0), *[self._squares(b) for b in blocks]])
-        largest = np.concatenate([np.zeros(0), *[np.abs(b).max(axis=1, initial=0.0) for b in blocks]])  # NaN stays NaN
+        self.square, largest = np.concatenate([np.zeros((2, 0)), *[self._lengths(b) for b in blocks]], axis=1)
         finite = np.isfinite(largest)
         # undefined: the cosine with any other vector is; odd: may be anything, so all pairs are scored one by one
         self.undefined = ~finite | (largest == 0) if metric == "cosine" else np.zeros(len(largest), bool)
@@ -80,12 +79,14 @@ class _Side:
         self.odd = ~self.plain & ~self.undefined
 
     @staticmethod
-    def _squares(block: np.ndarray) -> np.ndarray:
-        out = np.empty(len(block))
+    def _lengths(block: np.ndarray) -> np.ndarray:
+        """Squared length and largest size of an entry (NaN stays NaN) of each vector, without a copy of the block, which may be a whole side."""
+        out = np.empty((2, len(block)))
         with np.errstate(over="ignore", invalid="ignore", under="ignore"):
             for i in range(0, len(block), 8192):
                 x = block[i:i + 8192].astype(np.float64)
-                out[i:i + 8192] = (x * x).sum(axis=1)
+                out[1, i:i + 8192] = np.abs(x).max(axis=1, initial=0.0)
+                out[0, i:i + 8192] = (x * x).sum(axis=1)
         return out
 
     def comparable(self, block: np.ndarray, at: int, metric: str) -> np.ndarray:
