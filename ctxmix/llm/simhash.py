@@ -75,6 +75,9 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ``classes`` holds each fingerprint once, with ``rep``. Pairs are checked as the join
     streams them; only links leave it. A pair in the same cell is taken there alone, so
     it is not found again in the 32 cells around.
+
+    The join is a sort-merge join whatever its tables' estimates are: Spark sizes the up to 33 rows of a fingerprint like the
+    one they were exploded from, and would broadcast them through the driver.
     """
     if not 1 <= max_bits <= 2:
         raise ValueError("cells one step away find pairs of at most 2 bits")
@@ -87,7 +90,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     x, y = entered.alias("x"), entered.alias("y")
     same = F.col("x.p") == F.col("y.p")
     return x.join(
-        y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.rep") < F.col("y.rep"))
+        y.hint("merge"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.rep") < F.col("y.rep"))
         & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
         & (~same | (F.col("x.cell") == F.col("x.p")))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 

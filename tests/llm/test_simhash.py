@@ -162,3 +162,10 @@ def test_lookup_of_a_hot_key(spark):
     facts = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("v")).where("k <> 4500")
     got = {r.id: r.v for r in lookup(rows, facts, "k", "size").collect()}
     assert got == {i: 3999 if i < 4000 else None if i == 4500 else i for i in range(5000)}
+
+
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """Spark's estimate of the cells, 33 for a fingerprint, is far too low; a broadcast of them fills the driver."""
+    spark.range(5000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("rep")).write.parquet(f"{tmp_path}/classes")
+    plan = S.links(spark.read.parquet(f"{tmp_path}/classes"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
