@@ -32,6 +32,8 @@ from ..session import materialize
 from .skew import salted_join
 
 _STEP = 4096
+#: Exclusion groups or rows of a pool that are broadcast at most.
+_FEW = 20_000
 
 
 class Pool(NamedTuple):
@@ -138,8 +140,13 @@ def _intervals(pool: Pool, asked: DataFrame, keys: list[str], exclude: DataFrame
         if not by or pool.group is None:
             raise ValueError("groups are excluded by request keys, from a pool laid out by group")
         banned = exclude_groups.select(*by, pool.group).where(F.col(pool.group).isNotNull()).distinct()
-        hit = salted_join(banned, pool.spans, pool.group, by[-1]).drop(pool.group)  # a group may be excluded by all
-        parts.append((hit if by == keys else hit.join(asked.select(*keys), by)).select(*keys, "start", "length"))
+        if pool.spans.count() <= _FEW:  # a written table
+            hit = banned.join(F.broadcast(pool.spans), pool.group)
+        else:  # a group may be excluded by all
+            hit = salted_join(banned, pool.spans, pool.group, by[-1], shuffled=True)
+        # requests come from an explode: Spark takes them for fewer than they are, and must not broadcast them for it
+        hit = hit if by == keys else hit.join(asked.select(*keys).hint("merge"), by)
+        parts.append(hit.select(*keys, "start", "length"))
     if exclude is not None:
         used = exclude.select(*keys, *exclude_on).distinct().join(pool.rows.select(*exclude_on, "idx"), exclude_on)
         parts.append(used.select(*keys, F.col("idx").alias("start"), F.lit(1).cast("long").alias("length")))
@@ -183,7 +190,9 @@ def sample_without_replacement(requests: DataFrame, pool: Pool, *, keys: Sequenc
     Output: request keys, pool columns and 1-based ``draw``.
     """
     places = draw_places(requests, pool, keys=keys, need=need, seed=seed, exclude=exclude, exclude_on=exclude_on, exclude_groups=exclude_groups)
-    return places.join(pool.rows, "idx").select(*keys, *[c for c in pool.rows.columns if c not in keys], "draw")
+    # places come from an explode as well
+    hit = places.join(F.broadcast(pool.rows), "idx") if pool.size <= _FEW else places.join(pool.rows.hint("merge"), "idx")
+    return hit.select(*keys, *[c for c in pool.rows.columns if c not in keys], "draw")
 
 
 def exclude_docs(rows: DataFrame, exclusions: DataFrame, keys: Sequence[str],

@@ -442,10 +442,11 @@ def _vectors(spark, sf_dir):
 
 
 def _part_questions(spark, sf_dir):
-    """Every vector asks; its question is the name of the part with the same key, if there is one."""
+    """Every vector asks; its question is the name of the part with the same key, if there is one. Names compress well, so the
+    size of their files says little of the rows: they are not broadcast."""
     qv = tables.retrieval_questions(spark, sf_dir).select("qid")
     part = tables.table(spark, sf_dir, "part")
-    return qv.join(part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")),
+    return qv.join(part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("question")).hint("merge"),
                    "qid", "left")
 
 

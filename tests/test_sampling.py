@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from ctxmix.operators import sampling as SM
@@ -160,3 +162,21 @@ def test_many_single_exclusions(spark):
     used = spark.range(5000).where("id % 1000 <> 7").select(F.lit(1).cast("long").alias("qid"), F.col("id").alias("doc_id"))
     got = SM.sample_without_replacement(req, pool, keys=["qid"], exclude=used).collect()
     assert sorted(r["doc_id"] for r in got if r["qid"] == 1) == [7, 1007, 2007, 3007, 4007] and sum(r["qid"] == 2 for r in got) == 2
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_repeated_groups_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    """Groups repeated for each salt and requests repeated for each variant stay out of the driver; only few groups, as they are, go there."""
+    monkeypatch.setattr(SM, "_FEW", few, raising=False)
+    spark.range(50).select(F.col("id").alias("qid")).write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    requests = asked.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("need", F.lit(2))
+    pool = SM.lay_out(spark.range(400).select((F.col("id") % 50).alias("owner"), F.col("id").alias("doc_id")), ["owner", "doc_id"], "owner")
+    part, = SM._intervals(pool, requests, ["variant", "qid"], None, ["doc_id"], asked.select("qid", F.col("qid").alias("owner")))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == (1 if few else 0)
+    assert sorted((r.variant, r.qid, r.start, r.length) for r in part.collect()) == [(v, q, 8 * q, 8) for v in "ab" for q in range(50)]
+    drawn = SM.sample_without_replacement(requests, pool, keys=["variant", "qid"], exclude_groups=asked.select("qid", F.col("qid").alias("owner")))
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan)) == ({"_pid", "owner"} if few else {"_pid"})
+    assert drawn.count() == 200
