@@ -78,9 +78,10 @@ def finish(contexts: DataFrame, records: DataFrame, experiment: str,
     rec = rec.withColumn("prompt", build_prompt("question", "contexts")).withColumn("prompt_hash", F.sha2("prompt", 256))
     # a prompt has its contexts' texts: they are not written beside it, unless asked for
     rec = rec.withColumn("prompt_row", F.monotonically_increasing_id())
-    store = materialize(rec if wide else rec.drop("contexts", "question"), "prompts", "zstd")
+    # dealt by the keys that its rows come by: the chosen prompts go to the model from where they lie, without a shuffle
+    store = materialize(rec if wide else rec.drop("contexts", "question"), "prompts", "zstd", keys)
     narrow = store.drop("contexts", "prompt", "question", "prompt_row")
-    answers = I.answer(store.select("prompt_row", "prompt_hash", "prompt"), generator, keys=["prompt_row"])
+    answers = I.answer(store.select(*keys, "prompt_row", "prompt_hash", "prompt"), generator, keys=["prompt_row"], dealt=keys)
     out = lookup(narrow, answers, "prompt_hash", "size")  # a prompt may be that of very many rows
     if gold is not None:
         out = C.attach_gold_answers(out.drop("gold_answer"), gold)

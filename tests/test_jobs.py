@@ -165,3 +165,30 @@ def test_prompts_are_written_without_their_contexts(spark, monkeypatch):
         assert ("contexts" in written["prompts"]) == wide
         if not wide:  # records that come twice are answered twice
             assert sorted((r["qid"], r["prediction"]) for r in p.collect()) == [(1, "first"), (1, "first"), (2, "")]
+
+
+def test_prompts_go_to_the_model_from_where_they_lie(spark, tmp_path, monkeypatch):
+    """The prompt table is read by its buckets, not shuffled; rows without an id and records that come twice are answered, each distinct prompt once."""
+    plans = []
+    keep = I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, *a))
+
+    def model():
+        def run(prompts):
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.writelines(f"{len(p)}\n" for p in prompts)
+            return [str(len(p)) for p in prompts]
+        return run
+
+    contexts = spark.createDataFrame([("v", i, "d", "t", "x" * (i % 50), 1.0, "topk", 1) for i in range(500)],
+                                     "variant string, qid long, doc_id string, title string, text string, score double, role string, ord int")
+    records = spark.createDataFrame([("v", i, "q") for i in [*range(500), 3, 600]] + [("v", None, "q"), ("w", 1, "longer")], "variant string, qid long, question string")
+    p, _ = J.finish(contexts, records, "x", model, None)
+    got = p.collect()
+    assert len(got) == 504 and all(r["prediction"] for r in got)
+    calls = open(f"{tmp_path}/calls").read().split()
+    assert len(calls) == len(set(r["prompt_hash"] for r in got)) == 52  # 50 texts, no context, another question
+    assert any("Bucketed: true" in x for x in plans)
+    p, _ = J.finish(contexts, records.limit(0), "x", model, None)
+    assert p.collect() == []
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ctxmix_")]
