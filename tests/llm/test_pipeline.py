@@ -51,3 +51,13 @@ def test_odd_rows(spark, docs, no_docs, sf_dir):
             assert kept.columns == frame.columns
         n = kept.count()
         assert P.STAGES[-1][1](spark, kept, sf_dir).select("doc_id").count() >= n
+
+
+def test_near_duplicates_stay_out_of_the_driver(spark, docs, monkeypatch):
+    """The stage's cells, 33 for a fingerprint, are joined by sort-merge, whatever Spark takes their size for."""
+    from ctxmix.llm import simhash
+
+    plans, keep = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or keep(links))
+    assert simhash.keep_one(docs).count() < docs.count()
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
